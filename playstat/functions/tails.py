@@ -16,6 +16,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import sys as _sys
+from pyspark import cloudpickle as _cloudpickle
+
+# ship this module's code with its UDFs: executors need not have the package
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 # fixed values: erfc rational approximation, t = 1 / (1 + |z| / 2)
 ERFC_COEFFS = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
                0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)

@@ -13,6 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import sys as _sys
+from pyspark import cloudpickle as _cloudpickle
+
+# ship this module's code with its UDFs: executors need not have the package
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 N_BOOTSTRAP = 2000          # fixed values: replicates and seed of the analyses
 SEED = 42
 CI_LOW, CI_HIGH = 0.025, 0.975
