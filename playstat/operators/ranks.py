@@ -86,7 +86,7 @@ def spearman(df: DataFrame, x: str, y: str, part=()) -> DataFrame:
                              F.sum(F.col("c") * dy * dy).alias("syy"))
     rho = F.when((F.col("sxx") > 0) & (F.col("syy") > 0),
                  F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
-    rho = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho))
+    rho = F.when(rho.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho)))  # greatest skips NULL
     s = s.withColumn("rho", rho).withColumn(
         "t", F.when(F.abs("rho") < 1.0,
                     F.col("rho") * F.sqrt((F.col("n") - 2.0) / (1.0 - F.col("rho") ** 2))))

@@ -42,7 +42,8 @@ def chi2_2x2(ct: DataFrame, yates: bool = False) -> DataFrame:
 
 def fisher_z(r1, r2, n1, n2) -> tuple[Column, Column]:
     """(z, two-sided p) comparing two correlations."""
-    clip = lambda r: F.least(F.lit(FISHER_CLIP), F.greatest(F.lit(-FISHER_CLIP), _c(r)))
+    clip = lambda r: F.when(_c(r).isNotNull(),  # greatest/least skip NULL
+                            F.least(F.lit(FISHER_CLIP), F.greatest(F.lit(-FISHER_CLIP), _c(r))))
     se = F.sqrt(1.0 / (_c(n1) - 3.0) + 1.0 / (_c(n2) - 3.0))
     z = (F.atanh(clip(r1)) - F.atanh(clip(r2))) / se
     return z, normal_two_sided_p(z)

@@ -294,7 +294,7 @@ def spearman_sql(src: str, x: str, y: str, part: str = "") -> str:
     sums = (f"SELECT {sel}max(n) AS n, sum((rx - (n + 1) / 2.0) * (ry - (n + 1) / 2.0)) AS sxy, "
             f"sum((rx - (n + 1) / 2.0) * (rx - (n + 1) / 2.0)) AS sxx, "
             f"sum((ry - (n + 1) / 2.0) * (ry - (n + 1) / 2.0)) AS syy FROM ({ranked}) {grp}")
-    rho = ("least(1.0, greatest(-1.0, CASE WHEN sxx > 0 AND syy > 0 THEN sxy / sqrt(sxx * syy) END))")
+    rho = "CASE WHEN sxx > 0 AND syy > 0 THEN least(1.0, greatest(-1.0, sxy / sqrt(sxx * syy))) END"
     return (f"SELECT {sel}n, rho, CASE WHEN abs(rho) < 1.0 THEN rho * sqrt((n - 2.0) / (1.0 - rho * rho)) END AS t "
             f"FROM (SELECT *, CAST({rho} AS DOUBLE) AS rho FROM ({sums}))")
 
@@ -339,7 +339,9 @@ ORACLE["spearman_by_group"] = q(spearman_sql(H4SRC, "played_ratio", "liked", "is
 ORACLE["trend_spearman"] = q(spearman_sql("RQ", "activity_quartile", "listen_plus"), ["rho", "t"],
                              extra_ctes=ACT)
 
-_fz = "((atanh(least(0.9999, greatest(-0.9999, rho_rec))) - atanh(least(0.9999, greatest(-0.9999, rho_org)))) / sqrt(1.0 / (n_rec - 3.0) + 1.0 / (n_org - 3.0)))"
+_clip = "(CASE WHEN {r} IS NOT NULL THEN least(0.9999, greatest(-0.9999, {r})) END)"
+_fz = (f"((atanh({_clip.format(r='rho_rec')}) - atanh({_clip.format(r='rho_org')})) "
+       "/ sqrt(1.0 / (n_rec - 3.0) + 1.0 / (n_org - 3.0)))")
 ORACLE["fisher_z"] = q(
     f"SELECT *, {_fz} AS z, {p_two(_fz)} AS p_value FROM ("
     "SELECT max(rho) FILTER (WHERE is_organic = 0) AS rho_rec, max(rho) FILTER (WHERE is_organic = 1) AS rho_org, "
