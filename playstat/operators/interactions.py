@@ -65,6 +65,8 @@ def top_fraction_users(per_user: DataFrame, count_col: str = "cnt", fraction: fl
     only users tied at the cut-off are ranked, by uid, with a range-bucketed
     prefix count instead of a global window."""
     from playstat.operators.prefix import global_prefix
+    from playstat.session import cut_lineage
+    per_user = cut_lineage(per_user)          # one row per user, read three times
     hist = per_user.groupBy(count_col).agg(F.count(F.lit(1)).alias("users"))
     w = Window.orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, -1)
     n_users = F.sum("users").over(Window.partitionBy())

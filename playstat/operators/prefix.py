@@ -41,6 +41,8 @@ def running_sum(df: DataFrame, part: Sequence[str] | str, order: Sequence[str],
     keys = part + [chunk_col]
     local = df.withColumn(out, F.coalesce(F.sum(tmp).over(
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNB, hi)), F.lit(0)))
+    # chunk totals from a column-pruned, map-side-combined aggregate of the input;
+    # one row per (key, chunk), so the offset scan per key is small
     offsets = (df.groupBy(*keys).agg(F.sum(tmp).alias("__tot"))
                .withColumn(off, F.coalesce(F.sum("__tot").over(
                    Window.partitionBy(*part).orderBy(chunk_col).rowsBetween(UNB, -1)), F.lit(0)))
@@ -71,14 +73,25 @@ def row_index(df: DataFrame, part, order, out: str = "idx", chunk_col: str | Non
     return running_sum(df, part, order, F.lit(1), out, chunk_col, inclusive=False)
 
 
+SINGLE_SCAN_MAX_ROWS = 1_000_000   # size bound for the one-window path
+
+
 def global_prefix(df: DataFrame, key: str, weight: str, out: str = "cum_before",
-                  part: Sequence[str] = (), n_buckets: int = 128) -> DataFrame:
+                  part: Sequence[str] = (), n_buckets: int = 128,
+                  single_max_rows: int = SINGLE_SCAN_MAX_ROWS) -> DataFrame:
     """``out`` = sum of ``weight`` over rows with a smaller ``key`` (within ``part``).
 
-    ``key`` must be unique within ``part``. Range buckets come from
-    ``percentile_approx`` cut-points (one small row per part), so each bucket
-    holds about 1/n_buckets of the distinct keys whatever the weights are."""
+    ``key`` must be unique within ``part``. Callers pass small, materialised
+    frames (value histograms). When the frame is checked to hold at most
+    ``single_max_rows`` rows, one ordered window over it is cheapest; above
+    that, range buckets come from ``percentile_approx`` cut-points (one small
+    row per part), so each bucket holds about 1/n_buckets of the distinct keys
+    whatever the weights are, and no task sees more than its bucket."""
     part = list(part)
+    if single_max_rows and df.count() <= single_max_rows:
+        w = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy(key) \
+            .rowsBetween(UNB, -1)
+        return df.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = (df.groupBy(*part) if part else df.groupBy()).agg(
         F.percentile_approx(F.col(key), probs, 10000).alias("__cuts"))

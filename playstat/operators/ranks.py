@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from playstat.functions.tails import normal_lower_p, normal_two_sided_p, student_t_two_sided_p
 from playstat.operators.prefix import global_prefix
+from playstat.session import cut_lineage
 
 
 def _c(c) -> Column:
@@ -43,7 +44,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, x_value=0, y_value=1,
     p_two_sided and rank-biserial r = 2 U1/(n1 n2) - 1 (negative -> x lower).
     Rows of other groups are ignored. Zero variance -> NULL z and p."""
     hist = value_histogram(df.filter(F.col(group).isin(x_value, y_value)), value, group, x_value, y_value)
-    r = avg_ranks(hist, value)
+    # the histogram is read three times below: materialise it once (reliably)
+    r = avg_ranks(cut_lineage(hist), value)
     s = r.agg(F.sum("n_x").cast("double").alias("n1"), F.sum("n_y").cast("double").alias("n2"),
               F.sum(F.col("n_x") * F.col("avg_rank")).alias("r1"),
               F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("tie"))
@@ -70,7 +72,7 @@ def spearman(df: DataFrame, x: str, y: str, part=()) -> DataFrame:
     from their own value histograms and are joined onto it."""
     part = list(part)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = d.groupBy(*part, x, y).agg(F.count(F.lit(1)).alias("c"))
+    pairs = cut_lineage(d.groupBy(*part, x, y).agg(F.count(F.lit(1)).alias("c")))
     rx = avg_ranks(pairs.groupBy(*part, x).agg(F.sum("c").alias("n")), x, part).select(
         *part, x, F.col("avg_rank").alias("rx"))
     ry = avg_ranks(pairs.groupBy(*part, y).agg(F.sum("c").alias("n")), y, part).select(

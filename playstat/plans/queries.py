@@ -20,6 +20,7 @@ from playstat.operators.enrich import clocked, enrich_listens, reconstruct_time
 from playstat.operators.models import zscore_stats
 from playstat.operators.prefix import global_prefix
 from playstat.operators.sampling import hash_sample, sample_to_target
+from playstat.session import cut_lineage
 from playstat.sources.adapters import events_bundle, lineitem_bundle
 
 # fixed values: parameters used on the synthetic events (users have < 100 events)
@@ -308,7 +309,7 @@ def session_fatigue(spark, d):
 def discrete_quantiles(values: DataFrame, col: str, probs=QUARTILE_PROBS, names=("q1", "q2", "q3")):
     """Exact lower quantiles (smallest value whose cumulative count reaches
     ceil(p n)), from the value histogram; one row."""
-    h = values.groupBy(col).agg(F.count(F.lit(1)).alias("__c"))
+    h = cut_lineage(values.groupBy(col).agg(F.count(F.lit(1)).alias("__c")))
     h = global_prefix(h, col, "__c", "__before").withColumn("__cum", F.col("__before") + F.col("__c"))
     n = F.sum("__c")
     aggs = []
@@ -323,7 +324,7 @@ def discrete_quantiles(values: DataFrame, col: str, probs=QUARTILE_PROBS, names=
 
 def _activity(spark, d):
     b, lst = e_enriched(spark, d)
-    per_user = lst.groupBy("uid").agg(F.count(F.lit(1)).alias("total_listens"))
+    per_user = cut_lineage(lst.groupBy("uid").agg(F.count(F.lit(1)).alias("total_listens")))
     cuts = discrete_quantiles(per_user, "total_listens")
     q = (per_user.crossJoin(F.broadcast(cuts))                            # one row
          .withColumn("activity_quartile", quartile_from_cuts("total_listens", "q1", "q2", "q3")))
