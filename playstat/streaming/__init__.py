@@ -1,0 +1,4 @@
+"""No streaming operators: the analyses this engine reproduces are batch-only
+(no streaming source, watermark or stateful operator exists in them), so
+nothing is provided here. Sessions and sliding windows are batch operators in
+``playstat.operators``."""
