@@ -27,24 +27,43 @@ def flag_join(left: DataFrame, events: DataFrame, flag: str, keys=PAIR) -> DataF
             .withColumn(flag, F.coalesce(F.col(flag), F.lit(0))))
 
 
-def cancel_match(dis: DataFrame, und: DataFrame, fix_min_time: bool = True) -> DataFrame:
+CANCEL_CHUNK_SEC = 86_400     # one scan per (pair, day); later days via a small table
+
+
+def cancel_match(dis: DataFrame, und: DataFrame, fix_min_time: bool = True,
+                 chunk_sec: int | None = CANCEL_CHUNK_SEC) -> DataFrame:
     """Per dislike (uid, item_id, abs_time_sec, is_organic): ``cancelled`` = 1 if
     an undislike of the same pair comes strictly later; ``time_to_cancel`` =
     first such undislike time minus the dislike time.
 
     Both kinds are unioned and scanned per pair in reverse time order with a
-    running minimum, so no (dislike, undislike) pairs are materialised.
-    ``fix_min_time=False`` reproduces the original time, the minimum over *all*
-    undislikes of the pair (which can be negative)."""
+    running minimum, so no (dislike, undislike) pairs are materialised. With
+    ``chunk_sec`` the scan runs per (pair, time chunk) and the first undislike
+    of any later chunk comes from a per-chunk aggregate joined back, so one hot
+    pair is spread over its chunks. ``fix_min_time=False`` reproduces the
+    original time, the minimum over *all* undislikes of the pair (which can be
+    negative)."""
     d = dis.select(*PAIR, "abs_time_sec", "is_organic", F.lit(0).alias("kind"))
     u = und.select(*PAIR, "abs_time_sec", F.lit(None).cast("int").alias("is_organic"),
                    F.lit(1).alias("kind"))
     both = d.unionByName(u)
+    und_t = F.when(F.col("kind") == 1, F.col("abs_time_sec"))
+    keys = list(PAIR)
+    if chunk_sec:
+        both = both.withColumn("__chunk", F.floor(F.col("abs_time_sec") / chunk_sec).cast("bigint"))
+        keys = keys + ["__chunk"]
     # (time desc, dislike before undislike): rows before a dislike are strictly later
-    w = Window.partitionBy(*PAIR).orderBy(F.desc("abs_time_sec"), F.asc("kind")) \
+    w = Window.partitionBy(*keys).orderBy(F.desc("abs_time_sec"), F.asc("kind")) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    nxt = (both.withColumn("next_und", F.min(F.when(F.col("kind") == 1, F.col("abs_time_sec"))).over(w))
-           .filter(F.col("kind") == 0))
+    nxt = both.withColumn("next_und", F.min(und_t).over(w)).filter(F.col("kind") == 0)
+    if chunk_sec:
+        # first undislike in any strictly later chunk: one row per (pair, chunk)
+        per = both.groupBy(*keys).agg(F.min(und_t).alias("__m"))
+        later = per.withColumn("__later_und", F.min("__m").over(
+            Window.partitionBy(*PAIR).orderBy(F.desc("__chunk"))
+            .rowsBetween(Window.unboundedPreceding, -1))).drop("__m")
+        nxt = (nxt.join(later, keys, "inner")
+               .withColumn("next_und", F.least("next_und", "__later_und")).drop("__later_und"))
     g = nxt.groupBy(*PAIR, "abs_time_sec", "is_organic").agg(F.min("next_und").alias("next_und"))
     g = g.withColumn("cancelled", F.col("next_und").isNotNull().cast("int"))
     if fix_min_time:

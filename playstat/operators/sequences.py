@@ -13,6 +13,7 @@ WINDOW_SIZE = 100
 WINDOW_STEP = 50
 HISTORY_LEN = 20
 MIN_HISTORY = 3
+HISTORY_CHUNK_ROWS = 4096    # organic rows per history task (plus a k-1 row halo)
 
 
 def sliding_count_windows(df: DataFrame, order_cols, size: int = WINDOW_SIZE, step: int = WINDOW_STEP,
@@ -59,7 +60,8 @@ def window_diversity(win_rows: DataFrame, emb: DataFrame, size: int = WINDOW_SIZ
 
 def history_similarity(listens: DataFrame, emb: DataFrame, order_cols, k: int = HISTORY_LEN,
                        min_history: int = MIN_HISTORY, part: str = "uid",
-                       chunk_col: str | None = None) -> DataFrame:
+                       chunk_col: str | None = None,
+                       chunk_rows: int | None = HISTORY_CHUNK_ROWS) -> DataFrame:
     """For each recommended listen with at least ``min_history`` organic listens
     before it: cosine between its vector and the mean vector of the last ``k``
     organic listens that have a vector. Rows without a vector, or whose history
@@ -67,14 +69,27 @@ def history_similarity(listens: DataFrame, emb: DataFrame, order_cols, k: int =
 
     ``n_org`` (organic listens so far) turns the as-of lookup into an equi-join
     on (part, n_org); the history side is a bounded ROWS frame over organic rows
-    only."""
+    only. With ``chunk_rows``, the frame runs per (part, block of chunk_rows
+    organic rows) and the last k-1 rows of each block are copied into the next
+    block as a halo, so no task holds more than chunk_rows + k - 1 rows of one
+    user."""
     d = running_sum(listens, part, order_cols, F.col("is_organic"), "n_org", chunk_col)
     vec = emb.select("item_id", "normalized_embed")
     org = (d.filter(F.col("is_organic") == 1).select(part, "n_org", "item_id")
            .join(vec, "item_id", "left"))
-    w = Window.partitionBy(part).orderBy("n_org").rowsBetween(-(k - 1), 0)
+    if chunk_rows:
+        chunk_rows = max(chunk_rows, k - 1)     # the halo reaches one block back
+        home = F.floor((F.col("n_org") - 1) / chunk_rows).cast("bigint")
+        own = org.withColumn("__blk", home).withColumn("__own", F.lit(True))
+        halo = (org.filter((F.col("n_org") - 1) % chunk_rows >= chunk_rows - (k - 1))
+                .withColumn("__blk", home + 1).withColumn("__own", F.lit(False)))
+        org = own.unionByName(halo)
+        w = Window.partitionBy(part, "__blk").orderBy("n_org").rowsBetween(-(k - 1), 0)
+    else:
+        org = org.withColumn("__own", F.lit(True))
+        w = Window.partitionBy(part).orderBy("n_org").rowsBetween(-(k - 1), 0)
     hist = (org.withColumn("hl", F.collect_list("normalized_embed").over(w))
-            .filter(F.size("hl") > 0)
+            .filter(F.col("__own") & (F.size("hl") > 0))
             .select(part, "n_org", V.sum_vectors("hl").alias("hist_sum")))
     rec = (d.filter((F.col("is_organic") == 0) & (F.col("n_org") >= min_history))
            .select(part, "n_org", "item_id", "listen_plus", *[c for c in order_cols if c != "item_id"])
