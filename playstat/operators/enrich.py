@@ -26,10 +26,19 @@ def reconstruct_time(df: DataFrame, order_cols, clock: str = "cumsum", delta_col
     return r.withColumn(out, F.col(out) * unit)
 
 
-def enrich_listens(b: Bundle) -> DataFrame:
-    lst = reconstruct_time(b.listens, b.order_cols, b.clock, chunk_col=b.chunk_col)
-    return (lst.withColumn("listen_plus", listen_plus())
-               .withColumn("length_bucket", length_bucket4()))
+def with_flags(listens: DataFrame) -> DataFrame:
+    """listen_plus and length_bucket only (no clock: cheaper when time is unused)."""
+    return (listens.withColumn("listen_plus", listen_plus())
+                   .withColumn("length_bucket", length_bucket4()))
+
+
+def enrich_listens(b: Bundle, clock: bool = True) -> DataFrame:
+    """Listens with abs_time_sec (unless ``clock=False``), listen_plus, length_bucket.
+
+    The chunked clock ends in a join Catalyst cannot prune, so callers that
+    never read abs_time_sec pass ``clock=False``."""
+    lst = reconstruct_time(b.listens, b.order_cols, b.clock, chunk_col=b.chunk_col) if clock else b.listens
+    return with_flags(lst)
 
 
 def clocked(b: Bundle, table: str) -> DataFrame:

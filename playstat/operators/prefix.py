@@ -26,29 +26,45 @@ def _cols(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def running_sum(df: DataFrame, part: Sequence[str] | str, order: Sequence[str], value: Column | str,
-                out: str, chunk_col: str | None = None, inclusive: bool = True) -> DataFrame:
-    """``out`` = sum of ``value`` over rows of the same ``part`` up to this row
-    (``inclusive=False``: strictly before it)."""
+def running_sums(df: DataFrame, part: Sequence[str] | str, order: Sequence[str], sums: dict,
+                 chunk_col: str | None = None) -> DataFrame:
+    """Several running sums in one pass: ``sums`` maps out -> (value, inclusive).
+    ``inclusive=False`` sums strictly earlier rows."""
     part, order = _cols(part), _cols(order)
-    v = F.col(value) if isinstance(value, str) else value
-    hi = 0 if inclusive else -1
+    specs = {o: (F.col(v) if isinstance(v, str) else v, inc) for o, (v, inc) in sums.items()}
     if chunk_col is None:
-        w = Window.partitionBy(*part).orderBy(*order).rowsBetween(UNB, hi)
-        return df.withColumn(out, F.coalesce(F.sum(v).over(w), F.lit(0)))
-    tmp, off = f"__{out}_v", f"__{out}_off"
-    df = df.withColumn(tmp, v)
+        for o, (v, inc) in specs.items():
+            w = Window.partitionBy(*part).orderBy(*order).rowsBetween(UNB, 0 if inc else -1)
+            df = df.withColumn(o, F.coalesce(F.sum(v).over(w), F.lit(0)))
+        return df
     keys = part + [chunk_col]
-    local = df.withColumn(out, F.coalesce(F.sum(tmp).over(
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNB, hi)), F.lit(0)))
+    for o, (v, _) in specs.items():
+        df = df.withColumn(f"__{o}_v", v)
+    local = df
+    for o, (_, inc) in specs.items():
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(UNB, 0 if inc else -1)
+        local = local.withColumn(o, F.coalesce(F.sum(f"__{o}_v").over(w), F.lit(0)))
     # chunk totals from a column-pruned, map-side-combined aggregate of the input;
     # one row per (key, chunk), so the offset scan per key is small
-    offsets = (df.groupBy(*keys).agg(F.sum(tmp).alias("__tot"))
-               .withColumn(off, F.coalesce(F.sum("__tot").over(
-                   Window.partitionBy(*part).orderBy(chunk_col).rowsBetween(UNB, -1)), F.lit(0)))
-               .drop("__tot"))
-    return (local.join(offsets, keys, "inner")
-            .withColumn(out, F.col(out) + F.col(off)).drop(tmp, off))
+    tot = df.groupBy(*keys).agg(*[F.sum(f"__{o}_v").alias(f"__{o}_t") for o in specs])
+    wk = Window.partitionBy(*part).orderBy(chunk_col).rowsBetween(UNB, -1)
+    for o in specs:
+        tot = tot.withColumn(f"__{o}_off", F.coalesce(F.sum(f"__{o}_t").over(wk), F.lit(0)))
+    tot = tot.drop(*[f"__{o}_t" for o in specs])
+    out = local.join(tot, keys, "inner")
+    for o in specs:
+        out = out.withColumn(o, F.col(o) + F.col(f"__{o}_off"))
+    return out.drop(*[f"__{o}_{x}" for o in specs for x in ("v", "off")])
+
+
+def running_sum(df: DataFrame, part: Sequence[str] | str, order: Sequence[str], value: Column | str,
+                out: str, chunk_col: str | None = None, inclusive: bool = True) -> DataFrame:
+    """``out`` = sum of ``value`` over rows of the same ``part`` up to this row
+    (``inclusive=False``: strictly before it).
+
+    With ``chunk_col`` each (part, chunk) is scanned on its own and the totals
+    of earlier chunks are added from a small per-chunk table."""
+    return running_sums(df, part, order, {out: (value, inclusive)}, chunk_col)
 
 
 def lag_value(df: DataFrame, part: Sequence[str] | str, order: Sequence[str], col: str, out: str,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playstat.functions.flags import event_flag, position_third
-from playstat.operators.prefix import lag_value, row_index, running_sum
+from playstat.operators.prefix import lag_value, row_index, running_sums
 
 # fixed values: defaults of the session analysis
 SESSION_GAP_SEC = 30 * 60
@@ -20,12 +20,17 @@ DOMINATED_SHARE = 0.5
 
 
 def sessionize(df: DataFrame, order_cols, gap_sec: int = SESSION_GAP_SEC, time_col: str = "abs_time_sec",
-               part: str = "uid", chunk_col: str | None = None) -> DataFrame:
-    """``session_id`` (0-based per user): a gap strictly above ``gap_sec`` opens a session."""
+               part: str = "uid", chunk_col: str | None = None, with_index: bool = False) -> DataFrame:
+    """``session_id`` (0-based per user): a gap strictly above ``gap_sec`` opens a
+    session. ``with_index`` also adds ``__idx`` (0-based row index per user) in
+    the same pass."""
     d = lag_value(df, part, order_cols, time_col, "__prev", chunk_col)
     d = d.withColumn("__new", F.when(
         F.coalesce(F.col(time_col) - F.col("__prev"), F.lit(0)) > gap_sec, 1).otherwise(0))
-    return running_sum(d, part, order_cols, F.col("__new"), "session_id", chunk_col).drop("__prev", "__new")
+    sums = {"session_id": (F.col("__new"), True)}
+    if with_index:
+        sums["__idx"] = (F.lit(1), False)
+    return running_sums(d, part, order_cols, sums, chunk_col).drop("__prev", "__new")
 
 
 def session_positions(sess: DataFrame, order_cols, min_len: int = MIN_SESSION_LEN, part: str = "uid",
@@ -33,7 +38,7 @@ def session_positions(sess: DataFrame, order_cols, min_len: int = MIN_SESSION_LE
     """Adds pos_in_session, session_len, pos_third, is_dislike, rec_share and
     rec_dominated; keeps sessions with at least ``min_len`` events and at least
     one listen (non-NULL is_organic)."""
-    d = row_index(sess, part, order_cols, "__idx", chunk_col)
+    d = sess if "__idx" in sess.columns else row_index(sess, part, order_cols, "__idx", chunk_col)
     keys = [part, "session_id"]
     stats = (d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("session_len"),

@@ -103,7 +103,7 @@ def h4_correlation(spark, d):
 def h5_length_interaction(spark, d):
     b = Q.L(spark, d)
     from playstat.operators.enrich import enrich_listens
-    lst = enrich_listens(b).filter(F.col("played_ratio_pct").isNotNull()
+    lst = enrich_listens(b, clock=False).filter(F.col("played_ratio_pct").isNotNull()
                                    & F.col("track_length_seconds").isNotNull())
     coefs, _ = logit_interaction(lst)
     rows = []

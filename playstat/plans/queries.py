@@ -50,14 +50,14 @@ def E(spark, d, emb=True):
     return events_bundle(spark, d, with_embeddings=emb)
 
 
-def l_enriched(spark, d):
+def l_enriched(spark, d, clock=False):
     b = L(spark, d)
-    return b, enrich_listens(b)
+    return b, enrich_listens(b, clock)
 
 
-def e_enriched(spark, d):
+def e_enriched(spark, d, clock=False):
     b = E(spark, d)
-    return b, enrich_listens(b)
+    return b, enrich_listens(b, clock)
 
 
 def e_pairs(spark, d):
@@ -93,7 +93,7 @@ def reconstruct_time_q(spark, d):
 
 
 def enrich_listens_q(spark, d):
-    _, lst = l_enriched(spark, d)
+    _, lst = l_enriched(spark, d, clock=True)
     return lst.select("uid", "item_id", "l_orderkey", "l_linenumber", "l_suppkey", "is_organic",
                       "abs_time_sec", "listen_plus", "length_bucket")
 
@@ -257,10 +257,11 @@ def time_to_cancel(spark, d):
 
 # ---------------------------------------------------------------- E: sessions
 
-def _sessions(spark, d):
+def _sessions(spark, d, with_index=False):
     b = E(spark, d, emb=False)
     me = clocked(b, "multi_event")
-    return b, S.sessionize(me, b.order_cols, gap_sec=E_SESSION_GAP, chunk_col=b.chunk_col)
+    return b, S.sessionize(me, b.order_cols, gap_sec=E_SESSION_GAP, chunk_col=b.chunk_col,
+                           with_index=with_index)
 
 
 def sessionize_q(spark, d):
@@ -269,7 +270,7 @@ def sessionize_q(spark, d):
 
 
 def _positions(spark, d):
-    b, s = _sessions(spark, d)
+    b, s = _sessions(spark, d, with_index=True)
     return S.session_positions(s, b.order_cols, chunk_col=b.chunk_col)
 
 
@@ -437,7 +438,7 @@ def eligible_users(spark, d):
 
 
 def sampled_user_history(spark, d):
-    b, lst = e_enriched(spark, d)
+    b, lst = e_enriched(spark, d, clock=True)
     users = hash_sample(_eligible(lst).select("uid"), "uid", SAMPLE_FRACTION, SAMPLE_SEED)
     return lst.join(users, "uid", "left_semi").select("uid", "event_id", "item_id", "abs_time_sec",
                                                       "is_organic", "listen_plus")
