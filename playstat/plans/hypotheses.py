@@ -156,12 +156,12 @@ def h10_asymmetry(spark, d):
 
 
 def h11_diversity(spark, d):
-    t = Q.diversity_test_df(spark, d)
+    st = Q.window_table(spark, d)
+    t = Q.diversity_test_df(spark, d, st)
     b, win = Q._win_rows(spark, d)
-    from playstat.operators.sequences import window_diversity, window_stats
+    from playstat.operators.sequences import window_diversity
     div = (window_diversity(win, b.embeddings, Q.E_WINDOW_SIZE)
-           .join(window_stats(win, Q.E_WINDOW_SIZE).select("uid", "win", "rec_share"), ["uid", "win"])
-           .withColumn("rec_dom", (F.col("rec_share") > 0.5).cast("int"))
+           .join(st.select("uid", "win", "rec_dom"), ["uid", "win"])
            .withColumn("diversity", F.round("diversity", Q.RANK_DIGITS)))
     dm = R.mann_whitney(div, "diversity", "rec_dom", 1, 0).select(
         F.col("p_two_sided").alias("diversity_p_value"))

@@ -487,11 +487,17 @@ def window_cosine_diversity(spark, d):
     return rounded(Q.window_diversity(w, b.embeddings, E_WINDOW_SIZE))
 
 
-def diversity_test_df(spark, d):
+def window_table(spark, d) -> DataFrame:
+    """Per full window: rec_share, entropy (rank-rounded) and rec_dom; one row per
+    window (about rows/step), materialised because the tests read it repeatedly."""
     _, w = _win_rows(spark, d)
-    st = (Q.window_stats(w, E_WINDOW_SIZE)
-          .withColumn("rec_dom", (F.col("rec_share") > 0.5).cast("int"))
-          .withColumn("entropy", F.round("entropy", RANK_DIGITS)))
+    return cut_lineage(Q.window_stats(w, E_WINDOW_SIZE)
+                       .withColumn("rec_dom", (F.col("rec_share") > 0.5).cast("int"))
+                       .withColumn("entropy", F.round("entropy", RANK_DIGITS)))
+
+
+def diversity_test_df(spark, d, st: DataFrame | None = None):
+    st = st if st is not None else window_table(spark, d)
     m = R.mann_whitney(st, "entropy", "rec_dom", 1, 0)
     means = st.agg(F.avg(F.when(F.col("rec_dom") == 1, F.col("entropy"))).alias("mean_rec"),
                    F.avg(F.when(F.col("rec_dom") == 0, F.col("entropy"))).alias("mean_org"))

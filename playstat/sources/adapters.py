@@ -64,7 +64,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("uid"),
         F.get_json_object("props", "$.k").cast("bigint").alias("item_id"),
         "event_id", "ts",
-        F.expr("unix_micros(cast(ts as timestamp)) div 5000000").alias("timestamp"),
+        # microseconds since the epoch of the wall-clock (NTZ) time: independent
+        # of the session time zone
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 5000000")
+         .alias("timestamp"),
         F.col("event_type").alias("raw_type"), "value",
         F.to_date("ts").alias("day"),
     )
