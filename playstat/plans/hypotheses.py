@@ -49,8 +49,8 @@ def result(wide: DataFrame, hid: str, confirmed: Column, metrics: list[str]) ->
                     F.expr(f"stack({len(metrics)}, {parts}) AS (metric, value)")))
 
 
-def skipped(spark, hid: str, reason: str) -> DataFrame:
-    return spark.createDataFrame([(hid, DESCRIPTIONS[hid], False, reason, None)], RESULT_SCHEMA)
+def skipped(ctx, hid: str, reason: str) -> DataFrame:
+    return ctx.spark.createDataFrame([(hid, DESCRIPTIONS[hid], False, reason, None)], RESULT_SCHEMA)
 
 
 def _boot_counts(df: DataFrame, outcome: str) -> DataFrame:
@@ -60,29 +60,29 @@ def _boot_counts(df: DataFrame, outcome: str) -> DataFrame:
                   F.sum(F.when(F.col("is_organic") == 1, F.col(outcome)).otherwise(0)).alias("k2"))
 
 
-def h1_listen_plus(spark, d):
-    b = Q.L(spark, d)
+def h1_listen_plus(ctx):
+    b = Q.L(ctx)
     m = R.mann_whitney(b.listens, "played_ratio_pct", "is_organic", 0, 1)
     return result(m, "H1", (F.col("p_less") < ALPHA) & (F.col("r_rank_biserial") < 0),
                   ["n1", "n2", "u1", "z", "p_less", "r_rank_biserial"])
 
 
-def h2_dislike_rate(spark, d):
-    b, p = Q.e_pairs(spark, d)
+def h2_dislike_rate(ctx):
+    b, p = Q.e_pairs(ctx)
     from playstat.operators.interactions import flag_join
     h = flag_join(p, b.dislikes, "disliked")
     chi = TS.chi2_2x2(TS.contingency(h, "disliked"))
-    boot = bootstrap_rate_diff(_boot_counts(h, "disliked"))
+    boot = bootstrap_rate_diff(_boot_counts(h, "disliked"), ctx.params.bootstrap_b, ctx.params.seed)
     w = chi.crossJoin(boot)                                                   # one-row frames
     return result(w, "H2", (F.col("p_value") < ALPHA) & (F.col("odds_ratio_rec_over_org") > 1)
                   & (F.col("ci_low") > 0),
                   ["chi2", "p_value", "odds_ratio_rec_over_org", "diff", "ci_low", "ci_high"])
 
 
-def h3_cancellation(spark, d):
-    c = Q._cancel(spark, d)
+def h3_cancellation(ctx):
+    c = Q._cancel(ctx)
     chi = TS.chi2_2x2(TS.contingency(c, "cancelled"))
-    boot = bootstrap_rate_diff(_boot_counts(c, "cancelled"))
+    boot = bootstrap_rate_diff(_boot_counts(c, "cancelled"), ctx.params.bootstrap_b, ctx.params.seed)
     canc = c.filter(F.col("cancelled") == 1)
     mw = R.mann_whitney(canc, "time_to_cancel", "is_organic", 0, 1, tie_correction=False).select(
         F.col("p_two_sided").alias("time_p_value"))
@@ -94,14 +94,14 @@ def h3_cancellation(spark, d):
                    "time_p_value", "median_time_rec", "median_time_org"])
 
 
-def h4_correlation(spark, d):
-    w = Q.fisher_z_df(spark, d)
+def h4_correlation(ctx):
+    w = Q.fisher_z_df(ctx)
     return result(w, "H4", (F.col("p_value") < ALPHA) & (F.col("rho_rec") < F.col("rho_org")),
                   ["rho_rec", "rho_org", "n_rec", "n_org", "z", "p_value"])
 
 
-def h5_length_interaction(spark, d):
-    b = Q.L(spark, d)
+def h5_length_interaction(ctx):
+    b = Q.L(ctx)
     from playstat.operators.enrich import enrich_listens
     lst = enrich_listens(b, clock=False).filter(F.col("played_ratio_pct").isNotNull()
                                    & F.col("track_length_seconds").isNotNull())
@@ -110,14 +110,14 @@ def h5_length_interaction(spark, d):
     for name, (beta, z, p) in coefs.items():
         rows += [(f"coef_{name}", beta), (f"wald_z_{name}", z), (f"p_{name}", p)]
     conf = coefs["interaction"][0] > 0
-    return spark.createDataFrame([("H5", DESCRIPTIONS["H5"], bool(conf), m, float(v)) for m, v in rows],
+    return ctx.spark.createDataFrame([("H5", DESCRIPTIONS["H5"], bool(conf), m, float(v)) for m, v in rows],
                                  RESULT_SCHEMA)
 
 
-def h6_rewind(spark, d):
-    chi = TS.chi2_2x2(Q.contingency_rewind(spark, d)).withColumn(
+def h6_rewind(ctx):
+    chi = TS.chi2_2x2(Q.contingency_rewind(ctx)).withColumn(
         "or_org_over_rec", F.try_divide(F.lit(1.0), F.col("odds_ratio_rec_over_org")))
-    ex = Q.rewind_rate_excl_top(spark, d).agg(
+    ex = Q.rewind_rate_excl_top(ctx).agg(
         F.max(F.when(F.col("is_organic") == 0, F.col("rewind_rate"))).alias("rate_rec_excl_top"),
         F.max(F.when(F.col("is_organic") == 1, F.col("rewind_rate"))).alias("rate_org_excl_top"))
     w = chi.crossJoin(ex)                                                     # one-row frames
@@ -125,8 +125,8 @@ def h6_rewind(spark, d):
                   ["chi2", "p_value", "or_org_over_rec", "rate_rec_excl_top", "rate_org_excl_top"])
 
 
-def h7_session_fatigue(spark, d):
-    w = Q.session_fatigue_df(spark, d)
+def h7_session_fatigue(ctx):
+    w = Q.session_fatigue_df(ctx)
     return result(w, "H7", (F.col("p_value") < ALPHA) & (F.col("p_end") > F.col("p_begin")),
                   ["p_end", "n_end", "p_begin", "n_begin", "z", "p_value"])
 
@@ -136,31 +136,31 @@ def _spearman_result(s: DataFrame, hid: str) -> DataFrame:
     return result(s, hid, (F.col("p_value") < ALPHA) & (F.col("rho") > 0), ["n", "rho", "p_value"])
 
 
-def h8_experience(spark, d):
-    _, r = Q._rec_quartile(spark, d)
+def h8_experience(ctx):
+    _, r = Q._rec_quartile(ctx)
     return _spearman_result(R.spearman(r, "activity_quartile", "listen_plus"), "H8")
 
 
-def h9_similarity(spark, d):
-    b = Q.E(spark, d)
-    if b.embeddings is None:
-        return skipped(spark, "H9", "SKIPPED: no embeddings")
-    h = Q._history(spark, d).withColumn("cosine_sim", F.round("cosine_sim", Q.RANK_DIGITS))
+def h9_similarity(ctx):
+    b = Q.E(ctx)
+    if b.embeddings is None:                      # optional source absent
+        return skipped(ctx, "H9", "SKIPPED: no embeddings")
+    h = Q._history(ctx).withColumn("cosine_sim", F.round("cosine_sim", Q.RANK_DIGITS))
     return _spearman_result(R.spearman(h, "cosine_sim", "listen_plus"), "H9")
 
 
-def h10_asymmetry(spark, d):
-    w = Q.asymmetry_test_df(spark, d)
+def h10_asymmetry(ctx):
+    w = Q.asymmetry_test_df(ctx)
     return result(w, "H10", F.col("confirmed"),
                   ["p_like_adj", "p_dislike_adj", "like_rec", "like_org", "dislike_rec", "dislike_org"])
 
 
-def h11_diversity(spark, d):
-    st = Q.window_table(spark, d)
-    t = Q.diversity_test_df(spark, d, st)
-    b, win = Q._win_rows(spark, d)
+def h11_diversity(ctx):
+    st = Q.window_table(ctx)
+    t = Q.diversity_test_df(ctx, st)
+    b, win = Q._win_rows(ctx)
     from playstat.operators.sequences import window_diversity
-    div = (window_diversity(win, b.embeddings, Q.E_WINDOW_SIZE)
+    div = (window_diversity(win, b.embeddings, ctx.params.window_size)
            .join(st.select("uid", "win", "rec_dom"), ["uid", "win"])
            .withColumn("diversity", F.round("diversity", Q.RANK_DIGITS)))
     dm = R.mann_whitney(div, "diversity", "rec_dom", 1, 0).select(
@@ -174,15 +174,15 @@ ALL = [h1_listen_plus, h2_dislike_rate, h3_cancellation, h4_correlation, h5_leng
        h6_rewind, h7_session_fatigue, h8_experience, h9_similarity, h10_asymmetry, h11_diversity]
 
 
-def run_all(spark, d) -> DataFrame:
+def run_all(ctx) -> DataFrame:
     """All analyses in order; each small result is checkpointed (reliable, in the
     shared checkpoint dir) before the union, so the summary does not re-plan
     eleven pipelines at once."""
-    return reduce(DataFrame.unionByName, [cut_lineage(h(spark, d)) for h in ALL])
+    return reduce(DataFrame.unionByName, [cut_lineage(h(ctx)) for h in ALL])
 
 
-def hypothesis_summary(spark, d) -> DataFrame:
-    res = run_all(spark, d)
+def hypothesis_summary(ctx) -> DataFrame:
+    res = run_all(ctx)
     per = res.groupBy("id", "description").agg(F.max(F.col("confirmed").cast("int")).alias("confirmed"))
     tot = per.agg(F.lit("ALL").alias("id"), F.lit("confirmed / total").alias("description"),
                   F.sum("confirmed").alias("confirmed"), F.count(F.lit(1)).alias("total"))
@@ -190,17 +190,18 @@ def hypothesis_summary(spark, d) -> DataFrame:
         "confirmed", F.col("confirmed").cast("bigint")).unionByName(tot)
 
 
-def logit_interaction_q(spark, d) -> DataFrame:
-    return h5_length_interaction(spark, d).select("metric", "value")
+def logit_interaction_q(ctx) -> DataFrame:
+    return h5_length_interaction(ctx).select("metric", "value")
 
 
-def bootstrap_rate_diff_q(spark, d) -> DataFrame:
-    b, p = Q.e_pairs(spark, d)
+def bootstrap_rate_diff_q(ctx) -> DataFrame:
+    b, p = Q.e_pairs(ctx)
     from playstat.operators.interactions import flag_join
-    return bootstrap_rate_diff(_boot_counts(flag_join(p, b.dislikes, "disliked"), "disliked"))
+    return bootstrap_rate_diff(_boot_counts(flag_join(p, b.dislikes, "disliked"), "disliked"),
+                               ctx.params.bootstrap_b, ctx.params.seed)
 
 
-HYPOTHESIS_QUERIES = {
+CTX_HYPOTHESES = {
     "h1_listen_plus": h1_listen_plus,
     "h2_dislike_rate": h2_dislike_rate,
     "h3_cancellation": h3_cancellation,
@@ -216,3 +217,5 @@ HYPOTHESIS_QUERIES = {
     "logit_interaction": logit_interaction_q,
     "bootstrap_rate_diff": bootstrap_rate_diff_q,
 }
+
+HYPOTHESIS_QUERIES = {k: Q.on_testdata(f) for k, f in CTX_HYPOTHESES.items()}

@@ -1,6 +1,8 @@
-"""Named queries over the adapter views: one function (spark, sf_dir) -> DataFrame
-per operator or analysis. Parameters that keep the synthetic data
-non-degenerate are fixed here and mirrored in ``oracle.py``."""
+"""Named queries: one function ``Context -> DataFrame`` per operator or
+analysis (``CTX_QUERIES``). ``REGISTRY`` binds them to the adapter views of the
+given tables as ``(spark, sf_dir) -> DataFrame``; ``oracle.py`` spells the
+same queries for DuckDB. On real interaction data use
+``Context.from_folder(spark, path)`` and call the functions directly."""
 
 from __future__ import annotations
 
@@ -20,16 +22,14 @@ from playstat.operators.enrich import clocked, enrich_listens, reconstruct_time
 from playstat.operators.models import zscore_stats
 from playstat.operators.prefix import global_prefix
 from playstat.operators.sampling import hash_sample, sample_to_target
+from playstat.plans.context import Context, testdata_context  # noqa: F401
 from playstat.session import cut_lineage
 from playstat.sources.adapters import events_bundle, lineitem_bundle
 
-# fixed values: parameters used on the synthetic events (users have < 100 events)
-E_SESSION_GAP = 86_400
-E_WINDOW_SIZE, E_WINDOW_STEP = 20, 10
+# fixed values: parameters of the registered sampling queries
 SAMPLE_SEED = 42
 SAMPLE_FRACTION = 0.5
 SAMPLE_TARGET = 500
-ELIGIBLE_MIN_ORGANIC, ELIGIBLE_MIN_REC = 5, 1
 QUARTILE_PROBS = (0.25, 0.5, 0.75)
 
 
@@ -42,41 +42,41 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # ---------------------------------------------------------------- shared views
 
-def L(spark, d):
-    return lineitem_bundle(spark, d)
+def L(ctx):
+    return ctx.volume
 
 
-def E(spark, d, emb=True):
-    return events_bundle(spark, d, with_embeddings=emb)
+def E(ctx, emb=True):
+    return ctx.behaviour
 
 
-def l_enriched(spark, d, clock=False):
-    b = L(spark, d)
+def l_enriched(ctx, clock=False):
+    b = L(ctx)
     return b, enrich_listens(b, clock)
 
 
-def e_enriched(spark, d, clock=False):
-    b = E(spark, d)
+def e_enriched(ctx, clock=False):
+    b = E(ctx)
     return b, enrich_listens(b, clock)
 
 
-def e_pairs(spark, d):
-    b, lst = e_enriched(spark, d)
+def e_pairs(ctx):
+    b, lst = e_enriched(ctx)
     return b, I.pair_agg(lst, b.order_cols)
 
 
 # ---------------------------------------------------------------- A: sources
 
-def table_profile(spark, d):
-    b = E(spark, d, emb=False)
+def table_profile(ctx):
+    b = E(ctx, emb=False)
     parts = [getattr(b, t).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("row_count"),
                                F.count_distinct("uid").alias("distinct_uid"))
              for t in ("listens", "likes", "dislikes", "undislikes", "multi_event")]
     return reduce(DataFrame.unionByName, parts)
 
 
-def needed_embeddings(spark, d):
-    b = E(spark, d)
+def needed_embeddings(ctx):
+    b = E(ctx)
     items = b.listens.select("item_id").distinct()
     e = b.embeddings.join(items, "item_id", "left_semi")
     return rounded(e.select("item_id", F.size("normalized_embed").alias("dims"),
@@ -86,20 +86,20 @@ def needed_embeddings(spark, d):
 
 # ---------------------------------------------------------------- B/D: enrich + groups
 
-def reconstruct_time_q(spark, d):
-    b = L(spark, d)
+def reconstruct_time_q(ctx):
+    b = L(ctx)
     r = reconstruct_time(b.listens, b.order_cols, b.clock, chunk_col=b.chunk_col)
     return r.select("uid", "item_id", "l_orderkey", "l_linenumber", "l_suppkey", "abs_time_sec")
 
 
-def enrich_listens_q(spark, d):
-    _, lst = l_enriched(spark, d, clock=True)
+def enrich_listens_q(ctx):
+    _, lst = l_enriched(ctx, clock=True)
     return lst.select("uid", "item_id", "l_orderkey", "l_linenumber", "l_suppkey", "is_organic",
                       "abs_time_sec", "listen_plus", "length_bucket")
 
 
-def listen_plus_by_group(spark, d):
-    _, lst = l_enriched(spark, d)
+def listen_plus_by_group(ctx):
+    _, lst = l_enriched(ctx)
     g = (lst.filter(F.col("played_ratio_pct").isNotNull()).groupBy("is_organic").agg(
         F.count(F.lit(1)).alias("total"), F.sum("listen_plus").alias("lp_count"),
         F.avg("listen_plus").alias("lp_rate"), F.avg("played_ratio_pct").alias("mean_ratio"),
@@ -107,15 +107,15 @@ def listen_plus_by_group(spark, d):
     return rounded(g)
 
 
-def listen_plus_by_bucket(spark, d):
-    _, lst = l_enriched(spark, d)
+def listen_plus_by_bucket(ctx):
+    _, lst = l_enriched(ctx)
     return rounded(lst.filter(F.col("played_ratio_pct").isNotNull())
                    .groupBy("length_bucket", "is_organic")
                    .agg(F.avg("listen_plus").alias("lp_rate"), F.count(F.lit(1)).alias("n")))
 
 
-def listen_plus_by_len6(spark, d):
-    _, lst = l_enriched(spark, d)
+def listen_plus_by_len6(ctx):
+    _, lst = l_enriched(ctx)
     return rounded(lst.filter(F.col("played_ratio_pct").isNotNull()
                               & F.col("track_length_seconds").isNotNull())
                    .withColumn("len_bucket", length_bucket6())
@@ -123,13 +123,13 @@ def listen_plus_by_len6(spark, d):
                    .agg(F.avg("listen_plus").alias("lp_rate"), F.count(F.lit(1)).alias("n")))
 
 
-def _l_rewind(spark, d):
-    b = L(spark, d)
+def _l_rewind(ctx):
+    b = L(ctx)
     return b.listens.withColumn("rewind", rewind_flag())
 
 
-def rewind_rate_by_group(spark, d):
-    lst = _l_rewind(spark, d)
+def rewind_rate_by_group(ctx):
+    lst = _l_rewind(ctx)
     return rounded(lst.groupBy("is_organic").agg(
         F.count(F.lit(1)).alias("total"), F.sum("rewind").alias("rewind_count"),
         F.avg("rewind").alias("rewind_rate")))
@@ -140,12 +140,12 @@ def _top_users(lst):
     return I.top_fraction_users(per_user, "cnt")
 
 
-def top_fraction_users(spark, d):
-    return _top_users(_l_rewind(spark, d))
+def top_fraction_users(ctx):
+    return _top_users(_l_rewind(ctx))
 
 
-def rewind_rate_excl_top(spark, d):
-    lst = _l_rewind(spark, d)
+def rewind_rate_excl_top(ctx):
+    lst = _l_rewind(ctx)
     rest = I.exclude_users(lst, _top_users(lst))
     return rounded(rest.groupBy("is_organic").agg(F.count(F.lit(1)).alias("total"),
                                                   F.avg("rewind").alias("rewind_rate")))
@@ -153,70 +153,70 @@ def rewind_rate_excl_top(spark, d):
 
 # ---------------------------------------------------------------- C/D: pairs and flags
 
-def pair_agg(spark, d):
-    _, p = e_pairs(spark, d)
+def pair_agg(ctx):
+    _, p = e_pairs(ctx)
     return rounded(p)
 
 
-def flag_join(spark, d):
-    b, p = e_pairs(spark, d)
+def flag_join(ctx):
+    b, p = e_pairs(ctx)
     return I.flag_join(p, b.dislikes, "disliked").select("uid", "item_id", "is_organic", "disliked")
 
 
-def _like_dislike(spark, d):
-    b, p = e_pairs(spark, d)
+def _like_dislike(ctx):
+    b, p = e_pairs(ctx)
     return I.flag_join(I.flag_join(p, b.likes, "liked"), b.dislikes, "disliked")
 
 
-def like_dislike_rates(spark, d):
-    h = _like_dislike(spark, d)
+def like_dislike_rates(ctx):
+    h = _like_dislike(ctx)
     return rounded(h.groupBy("is_organic").agg(F.count(F.lit(1)).alias("pairs"),
                                                F.avg("liked").alias("like_rate"),
                                                F.avg("disliked").alias("dislike_rate")))
 
 
-def asymmetry_ratio(spark, d):
-    h = _like_dislike(spark, d)
+def asymmetry_ratio(ctx):
+    h = _like_dislike(ctx)
     g = h.groupBy("is_organic").agg(F.avg("liked").alias("like_rate"),
                                     F.avg("disliked").alias("dislike_rate"))
     return rounded(g.withColumn("asymmetry_ratio", F.try_divide("dislike_rate", "like_rate")))
 
 
-def contingency_like(spark, d):
-    return TS.contingency(_like_dislike(spark, d), "liked")
+def contingency_like(ctx):
+    return TS.contingency(_like_dislike(ctx), "liked")
 
 
-def contingency_dislike(spark, d):
-    return TS.contingency(_like_dislike(spark, d), "disliked")
+def contingency_dislike(ctx):
+    return TS.contingency(_like_dislike(ctx), "disliked")
 
 
-def contingency_rewind(spark, d):
-    return TS.contingency(_l_rewind(spark, d), "rewind")
+def contingency_rewind(ctx):
+    return TS.contingency(_l_rewind(ctx), "rewind")
 
 
-def _cancel(spark, d):
-    b = E(spark, d, emb=False)
+def _cancel(ctx):
+    b = E(ctx, emb=False)
     return I.cancel_match(clocked(b, "dislikes"), clocked(b, "undislikes"))
 
 
-def contingency_cancel(spark, d):
-    return TS.contingency(_cancel(spark, d), "cancelled")
+def contingency_cancel(ctx):
+    return TS.contingency(_cancel(ctx), "cancelled")
 
 
-def chi2_like(spark, d):
-    return rounded(TS.chi2_2x2(contingency_like(spark, d)))
+def chi2_like(ctx):
+    return rounded(TS.chi2_2x2(contingency_like(ctx)))
 
 
-def chi2_dislike(spark, d):
-    return rounded(TS.chi2_2x2(contingency_dislike(spark, d)))
+def chi2_dislike(ctx):
+    return rounded(TS.chi2_2x2(contingency_dislike(ctx)))
 
 
-def chi2_rewind(spark, d):
-    return rounded(TS.chi2_2x2(contingency_rewind(spark, d)))
+def chi2_rewind(ctx):
+    return rounded(TS.chi2_2x2(contingency_rewind(ctx)))
 
 
-def chi2_cancel(spark, d):
-    return rounded(TS.chi2_2x2(contingency_cancel(spark, d)))
+def chi2_cancel(ctx):
+    return rounded(TS.chi2_2x2(contingency_cancel(ctx)))
 
 
 def _rates_wide(h):
@@ -226,8 +226,8 @@ def _rates_wide(h):
                  F.avg(F.when(F.col("is_organic") == 1, F.col("disliked"))).alias("dislike_org"))
 
 
-def asymmetry_test_df(spark, d):
-    h = _like_dislike(spark, d)
+def asymmetry_test_df(ctx):
+    h = _like_dislike(ctx)
     cl = TS.chi2_2x2(TS.contingency(h, "liked")).select(F.col("p_value").alias("p_like"))
     cd = TS.chi2_2x2(TS.contingency(h, "disliked")).select(F.col("p_value").alias("p_dislike"))
     r = cl.crossJoin(cd).crossJoin(_rates_wide(h))                       # one-row frames
@@ -239,16 +239,16 @@ def asymmetry_test_df(spark, d):
                  & (F.col("dislike_rec") > F.col("dislike_org")), F.lit(False))))
 
 
-def asymmetry_test(spark, d):
-    return rounded(asymmetry_test_df(spark, d))
+def asymmetry_test(ctx):
+    return rounded(asymmetry_test_df(ctx))
 
 
-def cancel_match_q(spark, d):
-    return _cancel(spark, d)
+def cancel_match_q(ctx):
+    return _cancel(ctx)
 
 
-def time_to_cancel(spark, d):
-    c = _cancel(spark, d).filter(F.col("cancelled") == 1)
+def time_to_cancel(ctx):
+    c = _cancel(ctx).filter(F.col("cancelled") == 1)
     return rounded(c.groupBy("is_organic").agg(
         F.count(F.lit(1)).alias("n_cancelled"),
         F.percentile("time_to_cancel", 0.5).alias("median_time"),
@@ -257,41 +257,41 @@ def time_to_cancel(spark, d):
 
 # ---------------------------------------------------------------- E: sessions
 
-def _sessions(spark, d, with_index=False):
-    b = E(spark, d, emb=False)
+def _sessions(ctx, with_index=False):
+    b = E(ctx, emb=False)
     me = clocked(b, "multi_event")
-    return b, S.sessionize(me, b.order_cols, gap_sec=E_SESSION_GAP, chunk_col=b.chunk_col,
+    return b, S.sessionize(me, b.order_cols, gap_sec=ctx.params.session_gap, chunk_col=b.chunk_col,
                            with_index=with_index)
 
 
-def sessionize_q(spark, d):
-    _, s = _sessions(spark, d)
+def sessionize_q(ctx):
+    _, s = _sessions(ctx)
     return s.select("uid", "event_id", "abs_time_sec", "session_id")
 
 
-def _positions(spark, d):
-    b, s = _sessions(spark, d, with_index=True)
-    return S.session_positions(s, b.order_cols, chunk_col=b.chunk_col)
+def _positions(ctx):
+    b, s = _sessions(ctx, with_index=True)
+    return S.session_positions(s, b.order_cols, min_len=ctx.params.min_session_len, chunk_col=b.chunk_col)
 
 
-def session_position(spark, d):
-    return _positions(spark, d).select("uid", "event_id", "session_id", "pos_in_session",
+def session_position(ctx):
+    return _positions(ctx).select("uid", "event_id", "session_id", "pos_in_session",
                                        "session_len", "pos_third", "is_dislike")
 
 
-def session_rec_share(spark, d):
-    p = _positions(spark, d)
+def session_rec_share(ctx):
+    p = _positions(ctx)
     return rounded(p.select("uid", "session_id", "session_len", "rec_share", "rec_dominated").distinct())
 
 
-def dislike_by_third(spark, d):
-    p = _positions(spark, d)
+def dislike_by_third(ctx):
+    p = _positions(ctx)
     return rounded(p.groupBy("rec_dominated", "pos_third").agg(
         F.avg("is_dislike").alias("p_dislike"), F.count(F.lit(1)).alias("n")))
 
 
-def session_fatigue_df(spark, d):
-    p = _positions(spark, d).filter(F.col("rec_dominated") & F.col("pos_third").isin("beginning", "end"))
+def session_fatigue_df(ctx):
+    p = _positions(ctx).filter(F.col("rec_dominated") & F.col("pos_third").isin("beginning", "end"))
     end, beg = F.col("pos_third") == "end", F.col("pos_third") == "beginning"
     w = p.agg(F.avg(F.when(end, F.col("is_dislike"))).alias("p_end"),
               F.count_if(end).alias("n_end"),
@@ -301,8 +301,8 @@ def session_fatigue_df(spark, d):
     return w.withColumn("z", z).withColumn("p_value", pv)
 
 
-def session_fatigue(spark, d):
-    return rounded(session_fatigue_df(spark, d))
+def session_fatigue(ctx):
+    return rounded(session_fatigue_df(ctx))
 
 
 # ---------------------------------------------------------------- activity quartiles
@@ -323,8 +323,8 @@ def discrete_quantiles(values: DataFrame, col: str, probs=QUARTILE_PROBS, names=
     return h.agg(*aggs)
 
 
-def _activity(spark, d):
-    b, lst = e_enriched(spark, d)
+def _activity(ctx):
+    b, lst = e_enriched(ctx)
     per_user = cut_lineage(lst.groupBy("uid").agg(F.count(F.lit(1)).alias("total_listens")))
     cuts = discrete_quantiles(per_user, "total_listens")
     q = (per_user.crossJoin(F.broadcast(cuts))                            # one row
@@ -332,74 +332,74 @@ def _activity(spark, d):
     return b, lst, cuts, q.select("uid", "total_listens", "activity_quartile")
 
 
-def activity_cutpoints(spark, d):
-    return _activity(spark, d)[2]
+def activity_cutpoints(ctx):
+    return _activity(ctx)[2]
 
 
-def activity_quartile(spark, d):
-    return _activity(spark, d)[3]
+def activity_quartile(ctx):
+    return _activity(ctx)[3]
 
 
-def _rec_quartile(spark, d):
-    b, lst, _, q = _activity(spark, d)
+def _rec_quartile(ctx):
+    b, lst, _, q = _activity(ctx)
     return b, lst.filter(F.col("is_organic") == 0).join(q.select("uid", "activity_quartile"), "uid")
 
 
-def listen_plus_by_quartile(spark, d):
-    _, r = _rec_quartile(spark, d)
+def listen_plus_by_quartile(ctx):
+    _, r = _rec_quartile(ctx)
     return rounded(r.groupBy("activity_quartile").agg(F.avg("listen_plus").alias("lp_rate"),
                                                       F.count(F.lit(1)).alias("n")))
 
 
-def like_rate_by_quartile(spark, d):
-    b, r = _rec_quartile(spark, d)
+def like_rate_by_quartile(ctx):
+    b, r = _rec_quartile(ctx)
     pairs = r.groupBy("uid", "item_id", "activity_quartile").agg(F.count(F.lit(1)).alias("n"))
     h = I.flag_join(pairs, b.likes, "liked")
     return rounded(h.groupBy("activity_quartile").agg(F.avg("liked").alias("like_rate"),
                                                       F.count(F.lit(1)).alias("pairs")))
 
 
-def trend_spearman(spark, d):
-    _, r = _rec_quartile(spark, d)
+def trend_spearman(ctx):
+    _, r = _rec_quartile(ctx)
     return rounded(R.spearman(r, "activity_quartile", "listen_plus"))
 
 
 # ---------------------------------------------------------------- G: statistics
 
-def zscore_stats_q(spark, d):
-    b = L(spark, d)
+def zscore_stats_q(ctx):
+    b = L(ctx)
     lst = b.listens.filter(F.col("played_ratio_pct").isNotNull() & F.col("track_length_seconds").isNotNull())
     return rounded(zscore_stats(lst, ["is_organic", "track_length_seconds"]))
 
 
-def avg_ranks_q(spark, d):
-    b = L(spark, d)
+def avg_ranks_q(ctx):
+    b = L(ctx)
     h = R.value_histogram(b.listens, "played_ratio_pct")
     return rounded(R.avg_ranks(h, "played_ratio_pct"))
 
 
-def mann_whitney_less(spark, d):
-    b = L(spark, d)
+def mann_whitney_less(ctx):
+    b = L(ctx)
     return rounded(R.mann_whitney(b.listens, "played_ratio_pct", "is_organic", 0, 1))
 
 
-def mann_whitney_two_sided(spark, d):
-    c = _cancel(spark, d).filter(F.col("cancelled") == 1)
+def mann_whitney_two_sided(ctx):
+    c = _cancel(ctx).filter(F.col("cancelled") == 1)
     m = R.mann_whitney(c, "time_to_cancel", "is_organic", 0, 1)
     return rounded(m.select("n1", "n2", "u1", "z", "p_two_sided"))
 
 
-def _h4(spark, d):
-    b, p = e_pairs(spark, d)
+def _h4(ctx):
+    b, p = e_pairs(ctx)
     return I.flag_join(p, b.likes, "liked").filter(F.col("played_ratio").isNotNull())
 
 
-def spearman_by_group(spark, d):
-    return rounded(R.spearman(_h4(spark, d), "played_ratio", "liked", part=["is_organic"]))
+def spearman_by_group(ctx):
+    return rounded(R.spearman(_h4(ctx), "played_ratio", "liked", part=["is_organic"]))
 
 
-def fisher_z_df(spark, d):
-    s = R.spearman(_h4(spark, d), "played_ratio", "liked", part=["is_organic"])
+def fisher_z_df(ctx):
+    s = R.spearman(_h4(ctx), "played_ratio", "liked", part=["is_organic"])
     w = s.agg(F.max(F.when(F.col("is_organic") == 0, F.col("rho"))).alias("rho_rec"),
               F.max(F.when(F.col("is_organic") == 1, F.col("rho"))).alias("rho_org"),
               F.max(F.when(F.col("is_organic") == 0, F.col("n"))).alias("n_rec"),
@@ -408,52 +408,53 @@ def fisher_z_df(spark, d):
     return w.withColumn("z", z).withColumn("p_value", p)
 
 
-def fisher_z_q(spark, d):
-    return rounded(fisher_z_df(spark, d))
+def fisher_z_q(ctx):
+    return rounded(fisher_z_df(ctx))
 
 
 # ---------------------------------------------------------------- F: sampling
 
-def hash_sample_q(spark, d):
-    b = E(spark, d, emb=False)
+def hash_sample_q(ctx):
+    b = E(ctx, emb=False)
     users = b.listens.select("uid").distinct()
     return hash_sample(users, "uid", SAMPLE_FRACTION, SAMPLE_SEED)
 
 
-def sample_to_target_q(spark, d):
-    b = E(spark, d, emb=False)
+def sample_to_target_q(ctx):
+    b = E(ctx, emb=False)
     s = sample_to_target(b.listens, "event_id", SAMPLE_TARGET, SAMPLE_SEED)
     return s.select("event_id", "uid", "item_id")
 
 
-def _eligible(lst):
+def _eligible(lst, p):
     g = lst.groupBy("uid").agg(F.count_if(F.col("is_organic") == 1).alias("organic_cnt"),
                                F.count_if(F.col("is_organic") == 0).alias("rec_cnt"))
-    return g.filter((F.col("organic_cnt") >= ELIGIBLE_MIN_ORGANIC) & (F.col("rec_cnt") >= ELIGIBLE_MIN_REC))
+    return g.filter((F.col("organic_cnt") >= p.eligible_min_organic) & (F.col("rec_cnt") >= p.eligible_min_rec))
 
 
-def eligible_users(spark, d):
-    b = E(spark, d, emb=False)
-    return _eligible(b.listens)
+def eligible_users(ctx):
+    b = E(ctx, emb=False)
+    return _eligible(b.listens, ctx.params)
 
 
-def sampled_user_history(spark, d):
-    b, lst = e_enriched(spark, d, clock=True)
-    users = hash_sample(_eligible(lst).select("uid"), "uid", SAMPLE_FRACTION, SAMPLE_SEED)
+def sampled_user_history(ctx):
+    b, lst = e_enriched(ctx, clock=True)
+    users = hash_sample(_eligible(lst, ctx.params).select("uid"), "uid", SAMPLE_FRACTION, SAMPLE_SEED)
     return lst.join(users, "uid", "left_semi").select("uid", "event_id", "item_id", "abs_time_sec",
                                                       "is_organic", "listen_plus")
 
 
 # ---------------------------------------------------------------- vectors and windows
 
-def _history(spark, d):
-    b, lst = e_enriched(spark, d)
-    lst = lst.join(_eligible(lst).select("uid"), "uid", "left_semi")
-    return Q.history_similarity(lst, b.embeddings, b.order_cols, chunk_col=b.chunk_col)
+def _history(ctx):
+    b, lst = e_enriched(ctx)
+    lst = lst.join(_eligible(lst, ctx.params).select("uid"), "uid", "left_semi")
+    return Q.history_similarity(lst, b.embeddings, b.order_cols, k=ctx.params.history_len,
+                                min_history=ctx.params.min_history, chunk_col=b.chunk_col)
 
 
-def history_similarity(spark, d):
-    return rounded(_history(spark, d).select("uid", "event_id", "n_org", "listen_plus", "cosine_sim"))
+def history_similarity(ctx):
+    return rounded(_history(ctx).select("uid", "event_id", "n_org", "listen_plus", "cosine_sim"))
 
 
 # ranks are taken on values rounded to 1e-9: sums of floats in another order
@@ -461,56 +462,57 @@ def history_similarity(spark, d):
 RANK_DIGITS = 9
 
 
-def history_spearman(spark, d):
-    h = _history(spark, d).withColumn("cosine_sim", F.round("cosine_sim", RANK_DIGITS))
+def history_spearman(ctx):
+    h = _history(ctx).withColumn("cosine_sim", F.round("cosine_sim", RANK_DIGITS))
     return rounded(R.spearman(h, "cosine_sim", "listen_plus"))
 
 
-def _win_rows(spark, d):
-    b, lst = e_enriched(spark, d)
-    return b, Q.sliding_count_windows(lst, b.order_cols, E_WINDOW_SIZE, E_WINDOW_STEP, chunk_col=b.chunk_col)
+def _win_rows(ctx):
+    b, lst = e_enriched(ctx)
+    return b, Q.sliding_count_windows(lst, b.order_cols, ctx.params.window_size, ctx.params.window_step,
+                                       chunk_col=b.chunk_col)
 
 
-def sliding_count_windows_q(spark, d):
-    _, w = _win_rows(spark, d)
+def sliding_count_windows_q(ctx):
+    _, w = _win_rows(ctx)
     return (w.groupBy("uid", "win").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"))
-             .filter(F.col("n") == E_WINDOW_SIZE))
+             .filter(F.col("n") == ctx.params.window_size))
 
 
-def window_entropy(spark, d):
-    _, w = _win_rows(spark, d)
-    return rounded(Q.window_stats(w, E_WINDOW_SIZE))
+def window_entropy(ctx):
+    _, w = _win_rows(ctx)
+    return rounded(Q.window_stats(w, ctx.params.window_size))
 
 
-def window_cosine_diversity(spark, d):
-    b, w = _win_rows(spark, d)
-    return rounded(Q.window_diversity(w, b.embeddings, E_WINDOW_SIZE))
+def window_cosine_diversity(ctx):
+    b, w = _win_rows(ctx)
+    return rounded(Q.window_diversity(w, b.embeddings, ctx.params.window_size))
 
 
-def window_table(spark, d) -> DataFrame:
+def window_table(ctx) -> DataFrame:
     """Per full window: rec_share, entropy (rank-rounded) and rec_dom; one row per
     window (about rows/step), materialised because the tests read it repeatedly."""
-    _, w = _win_rows(spark, d)
-    return cut_lineage(Q.window_stats(w, E_WINDOW_SIZE)
+    _, w = _win_rows(ctx)
+    return cut_lineage(Q.window_stats(w, ctx.params.window_size)
                        .withColumn("rec_dom", (F.col("rec_share") > 0.5).cast("int"))
                        .withColumn("entropy", F.round("entropy", RANK_DIGITS)))
 
 
-def diversity_test_df(spark, d, st: DataFrame | None = None):
-    st = st if st is not None else window_table(spark, d)
+def diversity_test_df(ctx, st: DataFrame | None = None):
+    st = st if st is not None else window_table(ctx)
     m = R.mann_whitney(st, "entropy", "rec_dom", 1, 0)
     means = st.agg(F.avg(F.when(F.col("rec_dom") == 1, F.col("entropy"))).alias("mean_rec"),
                    F.avg(F.when(F.col("rec_dom") == 0, F.col("entropy"))).alias("mean_org"))
     return m.select("n1", "n2", "u1", "z", "p_two_sided").crossJoin(means)   # one-row frames
 
 
-def diversity_test(spark, d):
-    return rounded(diversity_test_df(spark, d))
+def diversity_test(ctx):
+    return rounded(diversity_test_df(ctx))
 
 
 # ---------------------------------------------------------------- registry
 
-REGISTRY = {
+CTX_QUERIES = {
     "table_profile": table_profile,
     "needed_embeddings": needed_embeddings,
     "reconstruct_time": reconstruct_time_q,
@@ -563,3 +565,15 @@ REGISTRY = {
     "window_cosine_diversity": window_cosine_diversity,
     "diversity_test": diversity_test,
 }
+
+
+def on_testdata(f):
+    """(spark, sf_dir) -> DataFrame over the adapter views of the given tables."""
+    def run(spark, sf_dir):
+        return f(testdata_context(spark, sf_dir))
+    run.__name__ = f.__name__
+    run.__doc__ = f.__doc__
+    return run
+
+
+REGISTRY = {k: on_testdata(f) for k, f in CTX_QUERIES.items()}

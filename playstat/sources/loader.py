@@ -33,15 +33,28 @@ def optional_table(spark: SparkSession, base: str, name: str, columns: dict) ->
         return None
 
 
-def load_bundle(spark: SparkSession, base: str) -> Bundle:
-    """The six interaction tables plus optional embeddings from ``base``."""
-    return Bundle(
-        listens=read_table(spark, base, "listens", S.LISTENS),
-        likes=read_table(spark, base, "likes", S.LIKES),
-        dislikes=read_table(spark, base, "dislikes", S.DISLIKES),
-        undislikes=read_table(spark, base, "undislikes", S.UNDISLIKES),
-        unlikes=optional_table(spark, base, "unlikes", S.UNLIKES),
-        multi_event=read_table(spark, base, "multi_event", S.MULTI_EVENT),
-        embeddings=optional_table(spark, base, "embeddings", S.EMBEDDINGS),
-        order_cols=("timestamp", "item_id"),
-    )
+DAY_UNITS = 86_400 // 5      # 5-second units per day
+
+
+def load_bundle(spark: SparkSession, base: str, clock: str = "cumsum") -> Bundle:
+    """The six interaction tables plus optional embeddings from ``base``.
+
+    ``clock="cumsum"`` treats ``timestamp`` as per-user deltas ordered by the
+    timestamp column itself (the original preprocessing). ``clock="absolute"``
+    treats it as absolute time in 5-second units; then the event day also
+    serves as the chunk column that spreads very active users over tasks."""
+    tables = {
+        "listens": read_table(spark, base, "listens", S.LISTENS),
+        "likes": read_table(spark, base, "likes", S.LIKES),
+        "dislikes": read_table(spark, base, "dislikes", S.DISLIKES),
+        "undislikes": read_table(spark, base, "undislikes", S.UNDISLIKES),
+        "unlikes": optional_table(spark, base, "unlikes", S.UNLIKES),
+        "multi_event": read_table(spark, base, "multi_event", S.MULTI_EVENT),
+    }
+    chunk = None
+    if clock == "absolute":
+        chunk = "day"
+        tables = {k: (v.withColumn("day", F.col("timestamp").cast("bigint") / DAY_UNITS).withColumn(
+            "day", F.floor("day")) if v is not None else None) for k, v in tables.items()}
+    return Bundle(**tables, embeddings=optional_table(spark, base, "embeddings", S.EMBEDDINGS),
+                  order_cols=("timestamp", "item_id"), chunk_col=chunk, clock=clock)
