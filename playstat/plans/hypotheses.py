@@ -174,11 +174,18 @@ ALL = [h1_listen_plus, h2_dislike_rate, h3_cancellation, h4_correlation, h5_leng
        h6_rewind, h7_session_fatigue, h8_experience, h9_similarity, h10_asymmetry, h11_diversity]
 
 
-def run_all(ctx) -> DataFrame:
-    """All analyses in order; each small result is checkpointed (reliable, in the
-    shared checkpoint dir) before the union, so the summary does not re-plan
-    eleven pipelines at once."""
-    return reduce(DataFrame.unionByName, [cut_lineage(h(ctx)) for h in ALL])
+CONCURRENT_ANALYSES = 4     # analyses submitted at once (Spark runs their jobs side by side)
+
+
+def run_all(ctx, workers: int = CONCURRENT_ANALYSES) -> DataFrame:
+    """All analyses; each small result is checkpointed (reliable, in the shared
+    checkpoint dir) before the union, so the summary does not re-plan eleven
+    pipelines at once. The analyses are independent, so a few are submitted
+    concurrently from driver threads; the union keeps the H1..H11 order."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        parts = list(pool.map(lambda h: cut_lineage(h(ctx)), ALL))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def hypothesis_summary(ctx) -> DataFrame:
