@@ -31,8 +31,8 @@ def _draws(seed: int):
             for i, (b, n1, p1, n2, p2) in enumerate(zip(pdf["id"], pdf["n1"], pdf["p1"],
                                                         pdf["n2"], pdf["p2"])):
                 rng = np.random.default_rng([seed, int(b)])
-                x1 = rng.binomial(int(n1), float(p1)) / n1 if n1 > 0 else np.nan
-                x2 = rng.binomial(int(n2), float(p2)) / n2 if n2 > 0 else np.nan
+                x1 = rng.binomial(int(n1), float(p1)) / n1 if n1 > 0 and p1 == p1 else np.nan
+                x2 = rng.binomial(int(n2), float(p2)) / n2 if n2 > 0 and p2 == p2 else np.nan
                 out[i] = x1 - x2
             yield pd.DataFrame({"b": pdf["id"].astype("int64"), "diff": out})
     return run
@@ -43,12 +43,13 @@ def bootstrap_rate_diff(counts: DataFrame, b: int = N_BOOTSTRAP, seed: int = SEE
     Returns one row: observed diff (k1/n1 - k2/n2), ci_low, ci_high (sorted
     replicate diffs at 0-based positions floor(0.025 B) and floor(0.975 B))."""
     spark = counts.sparkSession
-    c = counts.select(F.col("n1").cast("long"), (F.col("k1") / F.col("n1")).alias("p1"),
-                      F.col("n2").cast("long"), (F.col("k2") / F.col("n2")).alias("p2"))
+    c = counts.select(F.col("n1").cast("long"), F.try_divide(F.col("k1"), F.col("n1")).alias("p1"),
+                      F.col("n2").cast("long"), F.try_divide(F.col("k2"), F.col("n2")).alias("p2"))
     reps = spark.range(b).crossJoin(F.broadcast(c))                  # one-row side
     diffs = reps.mapInPandas(_draws(seed), "b long, diff double")
     lo, hi = int(b * CI_LOW), int(b * CI_HIGH)
     ci = diffs.agg(F.sort_array(F.collect_list("diff")).alias("d"))  # B values, bounded by b
-    ci = ci.select(F.col("d")[lo].alias("ci_low"), F.col("d")[hi].alias("ci_high"))
+    # ``get`` is NULL when degenerate groups left no replicate
+    ci = ci.select(F.get("d", lo).alias("ci_low"), F.get("d", hi).alias("ci_high"))
     obs = c.select((F.col("p1") - F.col("p2")).alias("diff"))
     return obs.crossJoin(ci)

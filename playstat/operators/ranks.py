@@ -52,7 +52,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, x_value=0, y_value=1,
     nn = F.col("n1") + F.col("n2")
     var = F.col("n1") * F.col("n2") / 12.0 * (nn + 1)
     if tie_correction:
-        var = F.col("n1") * F.col("n2") / 12.0 * ((nn + 1) - F.col("tie") / (nn * (nn - 1)))
+        var = F.col("n1") * F.col("n2") / 12.0 * ((nn + 1) - F.try_divide(F.col("tie"), nn * (nn - 1)))
     s = (s.withColumn("u1", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0)
           .withColumn("__sd", F.when(var > 0, F.sqrt(var)))
           .withColumn("z", (F.col("u1") - F.col("n1") * F.col("n2") / 2.0) / F.col("__sd"))

@@ -44,16 +44,18 @@ def fisher_z(r1, r2, n1, n2) -> tuple[Column, Column]:
     """(z, two-sided p) comparing two correlations."""
     clip = lambda r: F.when(_c(r).isNotNull(),  # greatest/least skip NULL
                             F.least(F.lit(FISHER_CLIP), F.greatest(F.lit(-FISHER_CLIP), _c(r))))
-    se = F.sqrt(1.0 / (_c(n1) - 3.0) + 1.0 / (_c(n2) - 3.0))
-    z = (F.atanh(clip(r1)) - F.atanh(clip(r2))) / se
+    ok = (_c(n1) > 3) & (_c(n2) > 3)
+    se = F.sqrt(F.try_divide(F.lit(1.0), _c(n1) - 3.0) + F.try_divide(F.lit(1.0), _c(n2) - 3.0))
+    z = F.when(ok, (F.atanh(clip(r1)) - F.atanh(clip(r2))) / se)
     return z, normal_two_sided_p(z)
 
 
 def two_proportion_z(p1, n1, p2, n2) -> tuple[Column, Column]:
     """Pooled two-proportion z of (p1 - p2) and its two-sided p; zero SE -> NULL."""
     n1d, n2d = _c(n1).cast("double"), _c(n2).cast("double")
-    pooled = (_c(p1) * n1d + _c(p2) * n2d) / (n1d + n2d)
-    se = F.sqrt(pooled * (1 - pooled) * (1.0 / n1d + 1.0 / n2d))
+    # ANSI mode: x / 0 raises, so every count divisor goes through try_divide
+    pooled = F.try_divide(_c(p1) * n1d + _c(p2) * n2d, n1d + n2d)
+    se = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n1d) + F.try_divide(F.lit(1.0), n2d)))
     z = F.when(se > 0, (_c(p1) - _c(p2)) / se)
     return z, normal_two_sided_p(z)
 

@@ -46,3 +46,17 @@ def test_results_invariant_under_repartition(spark):
     ctx2 = Context.from_bundle(spark, b8, Params(session_gap=86_400, window_size=20, window_step=10))
     for f in (Q.chi2_dislike, Q.session_fatigue, Q.window_entropy, Q.spearman_by_group):
         assert sorted(map(tuple, f(ctx1).collect())) == sorted(map(tuple, f(ctx2).collect()))
+
+
+def test_zero_counts_do_not_raise_under_ansi(spark):
+    one = spark.range(1)
+    z, p = TS.two_proportion_z(F.lit(0.1), F.lit(0), F.lit(0.2), F.lit(0))
+    assert one.select(z.alias("z"), p.alias("p")).first() == (None, None)
+    z, p = TS.fisher_z(F.lit(0.1), F.lit(0.2), F.lit(3), F.lit(50))
+    assert one.select(z.alias("z")).first().z is None
+    single = spark.createDataFrame([(1.0, 0)], "v double, g int")
+    assert R.mann_whitney(single, "v", "g", 0, 1).first().p_two_sided is None
+    from playstat.operators.bootstrap import bootstrap_rate_diff
+    c = spark.createDataFrame([(0, 0, 10, 3)], "n1 long, k1 long, n2 long, k2 long")
+    r = bootstrap_rate_diff(c, b=50).first()
+    assert r.diff is None
