@@ -33,23 +33,40 @@ def add_zscores(df: DataFrame, cols, prefix: str = "s_") -> DataFrame:
 
 def logit_interaction(df: DataFrame, a: str = "is_organic", b: str = "track_length_seconds",
                       label: str = "listen_plus", max_iter: int = MAX_ITER):
-    """Fits label ~ z(a) + z(b) + z(a) z(b). Returns (coefficients dict, model data).
+    """Fits label ~ z(a) + z(b) + z(a) z(b) on all complete rows. Returns
+    (coefficients dict name -> (beta, wald_z, p), model).
 
-    Coefficients come with Wald z and p from the Fisher information, computed
-    with one distributed aggregate of weighted products (4 x 4 matrix)."""
-    d = add_zscores(df.select(a, b, label).dropna(), [a, b])
-    d = (d.withColumn("interaction", F.col(f"s_{a}") * F.col(f"s_{b}"))
-          .withColumn("label", F.col(label).cast("double")).dropna())
+    Identical (a, b, label) rows contribute identical likelihood terms, so the
+    rows are first collapsed into a weighted histogram (map-side combined) and
+    the model is fitted with ``weightCol``: the same maximum-likelihood fit, but
+    every optimiser pass scans distinct feature values instead of the full
+    table. Means, sample standard deviations and the Fisher information (for
+    Wald z) are weighted sums over the same histogram."""
+    h = (df.select(F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b),
+                   F.col(label).cast("double").alias("label")).dropna()
+         .groupBy(a, b, "label").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    from playstat.session import cut_lineage
+    h = cut_lineage(h)                               # small; read by several passes
+    n = F.sum("w")
+    st = h.agg(*[x for c in (a, b) for x in (
+        (F.sum(F.col("w") * F.col(c)) / n).alias(f"{c}_mean"),
+        F.sqrt(F.try_divide(F.sum(F.col("w") * F.col(c) * F.col(c)) - F.sum(F.col("w") * F.col(c)) ** 2 / n,
+                            n - 1)).alias(f"{c}_std"))])
+    d = h.crossJoin(F.broadcast(st))                 # one-row side
+    for c in (a, b):
+        d = d.withColumn(f"s_{c}", F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std")))
+    d = d.withColumn("interaction", F.col(f"s_{a}") * F.col(f"s_{b}")).dropna()
     feats = [f"s_{a}", f"s_{b}", "interaction"]
     data = VectorAssembler(inputCols=feats, outputCol="features").transform(d)
-    model = LogisticRegression(maxIter=max_iter, featuresCol="features", labelCol="label").fit(data)
+    model = LogisticRegression(maxIter=max_iter, featuresCol="features", labelCol="label",
+                               weightCol="w").fit(data)
     beta = [float(x) for x in model.coefficients.toArray()]
     b0 = float(model.intercept)
     eta = F.lit(b0)
     for f, c in zip(feats, beta):
         eta = eta + F.col(f) * c
     p = 1.0 / (1.0 + F.exp(-eta))
-    w = p * (1 - p)
+    w = F.col("w") * p * (1 - p)
     xs = [F.lit(1.0)] + [F.col(f) for f in feats]
     aggs = [F.sum(w * xs[i] * xs[j]).alias(f"i{i}{j}") for i in range(4) for j in range(i, 4)]
     info = d.agg(*aggs).first()                      # one row of 10 sums

@@ -80,7 +80,7 @@ def h2_dislike_rate(ctx):
 
 
 def h3_cancellation(ctx):
-    c = Q._cancel(ctx)
+    c = cut_lineage(Q._cancel(ctx))            # one row per dislike, read four times
     chi = TS.chi2_2x2(TS.contingency(c, "cancelled"))
     boot = bootstrap_rate_diff(_boot_counts(c, "cancelled"), ctx.params.bootstrap_b, ctx.params.seed)
     canc = c.filter(F.col("cancelled") == 1)
