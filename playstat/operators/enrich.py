@@ -37,9 +37,10 @@ def enrich_listens(b: Bundle, clock: bool = True) -> DataFrame:
 
     The chunked clock ends in a join Catalyst cannot prune, so callers that
     never read abs_time_sec pass ``clock=False``."""
-    lst = reconstruct_time(b.listens, b.order_cols, b.clock, chunk_col=b.chunk_col) if clock else b.listens
+    lst = (reconstruct_time(b.listens, b.order_cols, b.clock, chunk_col=b.chunk_for("listens"))
+           if clock else b.listens)
     return with_flags(lst)
 
 
 def clocked(b: Bundle, table: str) -> DataFrame:
-    return reconstruct_time(getattr(b, table), b.order_cols, b.clock, chunk_col=b.chunk_col)
+    return reconstruct_time(getattr(b, table), b.order_cols, b.clock, chunk_col=b.chunk_for(table))

@@ -88,7 +88,7 @@ def needed_embeddings(ctx):
 
 def reconstruct_time_q(ctx):
     b = L(ctx)
-    r = reconstruct_time(b.listens, b.order_cols, b.clock, chunk_col=b.chunk_col)
+    r = reconstruct_time(b.listens, b.order_cols, b.clock, chunk_col=b.chunk_for("listens"))
     return r.select("uid", "item_id", "l_orderkey", "l_linenumber", "l_suppkey", "abs_time_sec")
 
 
@@ -260,7 +260,7 @@ def time_to_cancel(ctx):
 def _sessions(ctx, with_index=False):
     b = E(ctx, emb=False)
     me = clocked(b, "multi_event")
-    return b, S.sessionize(me, b.order_cols, gap_sec=ctx.params.session_gap, chunk_col=b.chunk_col,
+    return b, S.sessionize(me, b.order_cols, gap_sec=ctx.params.session_gap, chunk_col=b.chunk_for("multi_event"),
                            with_index=with_index)
 
 
@@ -271,7 +271,8 @@ def sessionize_q(ctx):
 
 def _positions(ctx):
     b, s = _sessions(ctx, with_index=True)
-    return S.session_positions(s, b.order_cols, min_len=ctx.params.min_session_len, chunk_col=b.chunk_col)
+    return S.session_positions(s, b.order_cols, min_len=ctx.params.min_session_len,
+                               chunk_col=b.chunk_for("multi_event"))
 
 
 def session_position(ctx):
@@ -450,7 +451,7 @@ def _history(ctx):
     b, lst = e_enriched(ctx)
     lst = lst.join(_eligible(lst, ctx.params).select("uid"), "uid", "left_semi")
     return Q.history_similarity(lst, b.embeddings, b.order_cols, k=ctx.params.history_len,
-                                min_history=ctx.params.min_history, chunk_col=b.chunk_col)
+                                min_history=ctx.params.min_history, chunk_col=b.chunk_for("listens"))
 
 
 def history_similarity(ctx):
@@ -470,7 +471,7 @@ def history_spearman(ctx):
 def _win_rows(ctx):
     b, lst = e_enriched(ctx)
     return b, Q.sliding_count_windows(lst, b.order_cols, ctx.params.window_size, ctx.params.window_step,
-                                       chunk_col=b.chunk_col)
+                                       chunk_col=b.chunk_for("listens"))
 
 
 def sliding_count_windows_q(ctx):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -19,6 +19,8 @@ UNDISLIKES = {"uid": L, "item_id": L, "timestamp": L}
 UNLIKES = {"uid": L, "item_id": L, "timestamp": L}
 EMBEDDINGS = {"item_id": L, "normalized_embed": T.ArrayType(T.FloatType())}
 
+HOT_KEY_ROWS = 4_000_000      # rows one task sorts comfortably in a per-user window
+
 RESULT_SCHEMA = T.StructType([
     T.StructField("id", S, False),
     T.StructField("description", S, False),
@@ -49,6 +51,27 @@ class Bundle:
     # "cumsum": ``timestamp`` holds per-user deltas (clock = running sum);
     # "absolute": ``timestamp`` already is the time in clock units
     clock: str = "cumsum"
+    # per-user row count above which a user's scans are split by ``chunk_col``
+    # (0: always split)
+    hot_key_rows: int = HOT_KEY_ROWS
+    _chunk_cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     def with_(self, **kw) -> "Bundle":
-        return replace(self, **kw)
+        return replace(self, _chunk_cache={}, **kw)
+
+    def chunk_for(self, table: str = "listens", part: str = "uid") -> str | None:
+        """``chunk_col`` if some user of ``table`` holds more than ``hot_key_rows``
+        rows, else None (one plain window per user is cheaper then).
+
+        The check is one column-pruned aggregate (rows per user, map-side
+        combined) and one row back to the driver; it is made once per table."""
+        if self.chunk_col is None:
+            return None
+        if self.hot_key_rows <= 0:
+            return self.chunk_col
+        if table not in self._chunk_cache:
+            from pyspark.sql import functions as F
+            top = (getattr(self, table).groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+                   .agg(F.max("n").alias("m")).first())
+            self._chunk_cache[table] = (top.m or 0) > self.hot_key_rows
+        return self.chunk_col if self._chunk_cache[table] else None

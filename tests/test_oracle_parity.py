@@ -51,3 +51,28 @@ def test_event_clock_ignores_session_time_zone(spark, con):
         spark.conf.set("spark.sql.session.timeZone", old)
     want = dict(con.execute("SELECT event_id, epoch_us(ts) // 5000000 FROM events").fetchall())
     assert got == want
+
+
+CHUNK_KEYS = ["reconstruct_time", "enrich_listens", "sessionize", "session_position", "session_fatigue",
+              "history_similarity", "sliding_count_windows", "window_entropy", "sampled_user_history"]
+
+
+@pytest.mark.parametrize("key", CHUNK_KEYS)
+def test_parity_with_forced_chunking(spark, con, key):
+    """Same oracle, with every per-user scan split by day (the hot-user path)."""
+    from playstat.plans.context import Context, testdata_context
+    from playstat.plans.queries import CTX_QUERIES
+    base = testdata_context(spark, SF)
+    ctx = Context(spark, base.volume.with_(hot_key_rows=0), base.behaviour.with_(hot_key_rows=0), base.params)
+    assert ctx.behaviour.chunk_for("multi_event") == "day"
+    df = CTX_QUERIES[key](ctx)
+    cur = con.execute(E.oracle_sql()[key])
+    ocols = [c[0] for c in cur.description]
+    assert _norm([tuple(r) for r in df.collect()], df.columns) == _norm(cur.fetchall(), ocols)
+
+
+def test_chunking_is_size_checked(spark):
+    from playstat.sources.adapters import events_bundle
+    b = events_bundle(spark, SF, with_embeddings=False)
+    assert b.chunk_for("listens") is None                 # < 100 events per user
+    assert b.with_(hot_key_rows=10).chunk_for("listens") == "day"
