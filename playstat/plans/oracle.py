@@ -97,10 +97,11 @@ def q(body: str, doubles=(), extra_ctes: str = "") -> str:
 
 
 def contingency_sql(src: str, outcome: str) -> str:
-    return (f"SELECT count_if(is_organic = 0 AND {outcome} = 0) AS rec_neg, "
-            f"count_if(is_organic = 0 AND {outcome} = 1) AS rec_pos, "
-            f"count_if(is_organic = 1 AND {outcome} = 0) AS org_neg, "
-            f"count_if(is_organic = 1 AND {outcome} = 1) AS org_pos FROM {src}")
+    # DuckDB's count_if is HUGEINT: cast to BIGINT like Spark's count_if
+    return (f"SELECT CAST(count_if(is_organic = 0 AND {outcome} = 0) AS BIGINT) AS rec_neg, "
+            f"CAST(count_if(is_organic = 0 AND {outcome} = 1) AS BIGINT) AS rec_pos, "
+            f"CAST(count_if(is_organic = 1 AND {outcome} = 0) AS BIGINT) AS org_neg, "
+            f"CAST(count_if(is_organic = 1 AND {outcome} = 1) AS BIGINT) AS org_pos FROM {src}")
 
 
 def chi2_sql(src: str, outcome: str) -> str:
@@ -122,7 +123,7 @@ ORACLE["table_profile"] = q(" UNION ALL ".join(
                  ("undislikes", "EUND"), ("multi_event", "EME")]))
 
 ORACLE["needed_embeddings"] = q(
-    "SELECT item_id, len(normalized_embed) AS dims, "
+    "SELECT item_id, CAST(len(normalized_embed) AS INTEGER) AS dims, "
     "sqrt(list_sum(list_transform(normalized_embed, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm "
     "FROM EMB WHERE item_id IN (SELECT item_id FROM ELIS)", ["norm"])
 
@@ -242,9 +243,10 @@ ORACLE["session_fatigue"] = q(
     f"SELECT p_end, n_end, p_begin, n_begin, {_z} AS z, {p_two(_z)} AS p_value FROM ("
     "SELECT *, sqrt(pooled * (1 - pooled) * (1.0 / n_end + 1.0 / n_begin)) AS se FROM ("
     "SELECT *, (p_end * n_end + p_begin * n_begin) / (n_end + n_begin) AS pooled FROM ("
-    "SELECT avg(is_dislike) FILTER (WHERE pos_third = 'end') AS p_end, count_if(pos_third = 'end') AS n_end, "
+    "SELECT avg(is_dislike) FILTER (WHERE pos_third = 'end') AS p_end, "
+    "CAST(count_if(pos_third = 'end') AS BIGINT) AS n_end, "
     "avg(is_dislike) FILTER (WHERE pos_third = 'beginning') AS p_begin, "
-    "count_if(pos_third = 'beginning') AS n_begin "
+    "CAST(count_if(pos_third = 'beginning') AS BIGINT) AS n_begin "
     "FROM POS2 WHERE rec_dominated AND pos_third IN ('beginning', 'end'))))",
     ["p_end", "p_begin", "z", "p_value"], extra_ctes=SESS)
 
@@ -356,7 +358,8 @@ def hu(key: str, seed: int = 42) -> str:
     return f"(CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0)"
 
 
-ELIG = ("ELIG AS (SELECT uid, count_if(is_organic = 1) AS organic_cnt, count_if(is_organic = 0) AS rec_cnt "
+ELIG = ("ELIG AS (SELECT uid, CAST(count_if(is_organic = 1) AS BIGINT) AS organic_cnt, "
+        "CAST(count_if(is_organic = 0) AS BIGINT) AS rec_cnt "
         "FROM ELIS GROUP BY uid HAVING count_if(is_organic = 1) >= 5 AND count_if(is_organic = 0) >= 1)")
 
 ORACLE["hash_sample"] = q(f"SELECT DISTINCT uid FROM ELIS WHERE {hu('uid')} < 0.5")

@@ -9,6 +9,22 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["part", "orders", "lineitem", "events", "embeddings"]
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
+def test_types_match_for_every_oracle_key(spark, con):
+    bad = {}
+    for key, sql in E.oracle_sql().items():
+        df = E.queries()[key](spark, SF)
+        st = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
+        rel = con.sql(sql)
+        ot = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        if st != ot:
+            bad[key] = (st, ot)
+    assert not bad
+
+
 KEYS = ["table_profile", "enrich_listens", "listen_plus_by_group", "top_fraction_users", "pair_agg",
         "chi2_dislike", "cancel_match", "sessionize", "session_position", "activity_cutpoints",
         "mann_whitney_less", "spearman_by_group", "history_similarity", "window_entropy",
