@@ -39,8 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a fresh scratch folder; on a cluster an
     unset checkpoint dir is a configuration error (a machine-local folder would
     not survive executor loss)."""
-    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server owns the checkpoint dir)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return configured
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
