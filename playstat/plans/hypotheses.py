@@ -115,8 +115,12 @@ def h5_length_interaction(ctx):
 
 
 def h6_rewind(ctx):
+    # organic/recommended odds ratio; no recommended rewinds at all -> +inf
+    org_odds = F.col("org_pos").cast("double") * F.col("rec_neg")
+    rec_odds = F.col("rec_pos").cast("double") * F.col("org_neg")
     chi = TS.chi2_2x2(Q.contingency_rewind(ctx)).withColumn(
-        "or_org_over_rec", F.try_divide(F.lit(1.0), F.col("odds_ratio_rec_over_org")))
+        "or_org_over_rec", F.when(rec_odds > 0, org_odds / rec_odds)
+                            .when(org_odds > 0, F.lit(float("inf"))))
     ex = Q.rewind_rate_excl_top(ctx).agg(
         F.max(F.when(F.col("is_organic") == 0, F.col("rewind_rate"))).alias("rate_rec_excl_top"),
         F.max(F.when(F.col("is_organic") == 1, F.col("rewind_rate"))).alias("rate_org_excl_top"))
