@@ -24,6 +24,7 @@ class Params:
     eligible_min_rec: int = 1
     bootstrap_b: int = 2000
     seed: int = 42
+    hot_session_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)

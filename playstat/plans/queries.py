@@ -272,7 +272,8 @@ def sessionize_q(ctx):
 def _positions(ctx):
     b, s = _sessions(ctx, with_index=True)
     return S.session_positions(s, b.order_cols, min_len=ctx.params.min_session_len,
-                               chunk_col=b.chunk_for("multi_event"))
+                               chunk_col=b.chunk_for("multi_event"),
+                               hot_session_rows=ctx.params.hot_session_rows)
 
 
 def session_position(ctx):

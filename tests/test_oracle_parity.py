@@ -78,8 +78,11 @@ def test_parity_with_forced_chunking(spark, con, key):
     """Same oracle, with every per-user scan split by day (the hot-user path)."""
     from playstat.plans.context import Context, testdata_context
     from playstat.plans.queries import CTX_QUERIES
+    from dataclasses import replace
     base = testdata_context(spark, SF)
-    ctx = Context(spark, base.volume.with_(hot_key_rows=0), base.behaviour.with_(hot_key_rows=0), base.params)
+    # every user chunked, every session of more than 5 rows salted
+    ctx = Context(spark, base.volume.with_(hot_key_rows=0), base.behaviour.with_(hot_key_rows=0),
+                  replace(base.params, hot_session_rows=5))
     assert ctx.behaviour.chunk_for("multi_event") == "day"
     df = CTX_QUERIES[key](ctx)
     cur = con.execute(E.oracle_sql()[key])
