@@ -101,6 +101,7 @@ def top_fraction_users(per_user: DataFrame, count_col: str = "cnt", fraction: fl
     return above.unionByName(tied)
 
 
-def exclude_users(df: DataFrame, users: DataFrame, part: str = "uid") -> DataFrame:
+def exclude_users(df: DataFrame, users: DataFrame, part: str = "uid", hot: bool = False) -> DataFrame:
     """Rows whose user is not in ``users`` (NULL users dropped too, as NOT IN does)."""
-    return df.filter(F.col(part).isNotNull()).join(users.select(part), part, "left_anti")
+    from playstat.operators.skew import join_maybe_salted
+    return join_maybe_salted(df.filter(F.col(part).isNotNull()), users.select(part), part, "left_anti", hot)

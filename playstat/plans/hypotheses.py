@@ -164,7 +164,8 @@ def h11_diversity(ctx):
     t = Q.diversity_test_df(ctx, st)
     b, win = Q._win_rows(ctx)
     from playstat.operators.sequences import window_diversity
-    div = (window_diversity(win, b.embeddings, ctx.params.window_size)
+    div = (window_diversity(win, b.embeddings, ctx.params.window_size,
+                            hot_items=b.key_is_hot("listens", "item_id"))
            .join(st.select("uid", "win", "rec_dom"), ["uid", "win"])
            .withColumn("diversity", F.round("diversity", Q.RANK_DIGITS)))
     dm = R.mann_whitney(div, "diversity", "rec_dom", 1, 0).select(

@@ -22,6 +22,7 @@ from playstat.operators.enrich import clocked, enrich_listens, reconstruct_time
 from playstat.operators.models import zscore_stats
 from playstat.operators.prefix import global_prefix
 from playstat.operators.sampling import hash_sample, sample_to_target
+from playstat.operators.skew import join_maybe_salted
 from playstat.plans.context import Context, testdata_context  # noqa: F401
 from playstat.session import cut_lineage
 from playstat.sources.adapters import events_bundle, lineitem_bundle
@@ -146,7 +147,7 @@ def top_fraction_users(ctx):
 
 def rewind_rate_excl_top(ctx):
     lst = _l_rewind(ctx)
-    rest = I.exclude_users(lst, _top_users(lst))
+    rest = I.exclude_users(lst, _top_users(lst), hot=L(ctx).key_is_hot("listens", "uid"))
     return rounded(rest.groupBy("is_organic").agg(F.count(F.lit(1)).alias("total"),
                                                   F.avg("rewind").alias("rewind_rate")))
 
@@ -344,7 +345,8 @@ def activity_quartile(ctx):
 
 def _rec_quartile(ctx):
     b, lst, _, q = _activity(ctx)
-    return b, lst.filter(F.col("is_organic") == 0).join(q.select("uid", "activity_quartile"), "uid")
+    return b, join_maybe_salted(lst.filter(F.col("is_organic") == 0), q.select("uid", "activity_quartile"),
+                                "uid", "inner", b.key_is_hot("listens", "uid"), b.hot_key_rows)
 
 
 def listen_plus_by_quartile(ctx):
@@ -450,9 +452,11 @@ def sampled_user_history(ctx):
 
 def _history(ctx):
     b, lst = e_enriched(ctx)
-    lst = lst.join(_eligible(lst, ctx.params).select("uid"), "uid", "left_semi")
+    lst = join_maybe_salted(lst, _eligible(lst, ctx.params).select("uid"), "uid", "left_semi",
+                            b.key_is_hot("listens", "uid"), b.hot_key_rows)
     return Q.history_similarity(lst, b.embeddings, b.order_cols, k=ctx.params.history_len,
-                                min_history=ctx.params.min_history, chunk_col=b.chunk_for("listens"))
+                                min_history=ctx.params.min_history, chunk_col=b.chunk_for("listens"),
+                                hot_items=b.key_is_hot("listens", "item_id"))
 
 
 def history_similarity(ctx):
@@ -488,7 +492,8 @@ def window_entropy(ctx):
 
 def window_cosine_diversity(ctx):
     b, w = _win_rows(ctx)
-    return rounded(Q.window_diversity(w, b.embeddings, ctx.params.window_size))
+    return rounded(Q.window_diversity(w, b.embeddings, ctx.params.window_size,
+                                      hot_items=b.key_is_hot("listens", "item_id")))
 
 
 def window_table(ctx) -> DataFrame:

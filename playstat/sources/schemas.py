@@ -59,19 +59,22 @@ class Bundle:
     def with_(self, **kw) -> "Bundle":
         return replace(self, _chunk_cache={}, **kw)
 
-    def chunk_for(self, table: str = "listens", part: str = "uid") -> str | None:
-        """``chunk_col`` if some user of ``table`` holds more than ``hot_key_rows``
-        rows, else None (one plain window per user is cheaper then).
-
-        The check is one column-pruned aggregate (rows per user, map-side
-        combined) and one row back to the driver; it is made once per table."""
-        if self.chunk_col is None:
-            return None
+    def key_is_hot(self, table: str = "listens", key: str = "uid") -> bool:
+        """True if some ``key`` value of ``table`` holds more than ``hot_key_rows``
+        rows. One column-pruned aggregate (rows per key, map-side combined) and
+        one row back to the driver; made once per (table, key)."""
         if self.hot_key_rows <= 0:
-            return self.chunk_col
-        if table not in self._chunk_cache:
+            return True
+        if (table, key) not in self._chunk_cache:
             from pyspark.sql import functions as F
-            top = (getattr(self, table).groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+            top = (getattr(self, table).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
                    .agg(F.max("n").alias("m")).first())
-            self._chunk_cache[table] = (top.m or 0) > self.hot_key_rows
-        return self.chunk_col if self._chunk_cache[table] else None
+            self._chunk_cache[(table, key)] = (top.m or 0) > self.hot_key_rows
+        return self._chunk_cache[(table, key)]
+
+    def chunk_for(self, table: str = "listens", part: str = "uid") -> str | None:
+        """``chunk_col`` if some user of ``table`` is hot, else None (one plain
+        window per user is cheaper then)."""
+        if self.chunk_col is None:
+            return None
+        return self.chunk_col if self.key_is_hot(table, part) else None

@@ -60,3 +60,13 @@ def test_zero_counts_do_not_raise_under_ansi(spark):
     c = spark.createDataFrame([(0, 0, 10, 3)], "n1 long, k1 long, n2 long, k2 long")
     r = bootstrap_rate_diff(c, b=50).first()
     assert r.diff is None
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_plain_join(spark, how):
+    from playstat.operators.skew import salted_join
+    big = spark.createDataFrame([(0 if i % 3 else i % 50, i) for i in range(3000)], "k long, v long")
+    small = spark.createDataFrame([(k, k * 10) for k in range(0, 50, 2)], "k long, w long")
+    a = sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
+    b = sorted(map(tuple, salted_join(big, small, "k", how, hot_rows=100, salt=8).collect()), key=str)
+    assert a == b

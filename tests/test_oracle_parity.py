@@ -70,12 +70,15 @@ def test_event_clock_ignores_session_time_zone(spark, con):
 
 
 CHUNK_KEYS = ["reconstruct_time", "enrich_listens", "sessionize", "session_position", "session_fatigue",
-              "history_similarity", "sliding_count_windows", "window_entropy", "sampled_user_history"]
+              "history_similarity", "sliding_count_windows", "window_entropy", "sampled_user_history",
+              "listen_plus_by_quartile", "like_rate_by_quartile", "trend_spearman", "rewind_rate_excl_top",
+              "window_cosine_diversity", "history_spearman"]
 
 
 @pytest.mark.parametrize("key", CHUNK_KEYS)
 def test_parity_with_forced_chunking(spark, con, key):
-    """Same oracle, with every per-user scan split by day (the hot-user path)."""
+    """Same oracle, with every key treated as hot: per-user scans split by day,
+    joins on users/items salted, sessions salted."""
     from playstat.plans.context import Context, testdata_context
     from playstat.plans.queries import CTX_QUERIES
     from dataclasses import replace
