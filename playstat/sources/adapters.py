@@ -56,7 +56,10 @@ def lineitem_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
         "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
         F.to_date("l_shipdate").alias("day"),
     )
-    return Bundle(listens=listens, order_cols=L_ORDER, chunk_col="day", clock="cumsum")
+    # every listen is one lineitem row (inner joins on keys): the parquet row
+    # count (footer metadata) bounds the rows of any user
+    return Bundle(listens=listens, order_cols=L_ORDER, chunk_col="day", clock="cumsum",
+                  row_bound=li.count())
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +102,4 @@ def events_bundle(spark: SparkSession, sf_dir: str, with_embeddings: bool = True
             F.col("embedding").cast("array<float>").alias("normalized_embed"))
     return Bundle(listens=listens, likes=likes, dislikes=dislikes, undislikes=undislikes,
                   multi_event=multi, embeddings=emb, order_cols=E_ORDER, chunk_col="day",
-                  clock="absolute")
+                  clock="absolute", row_bound=ev.count())
