@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
@@ -27,15 +27,31 @@ class Params:
     hot_session_rows: int = 1_000_000
 
 
-@dataclass(frozen=True)
 class Context:
     """``volume`` feeds the listen-only analyses (H1, H5, H6 and their tables);
     ``behaviour`` feeds everything that joins listens with likes, dislikes,
-    sessions or vectors. For real interaction data both are the same bundle."""
-    spark: SparkSession
-    volume: Bundle
-    behaviour: Bundle
-    params: Params = field(default_factory=Params)
+    sessions or vectors. For real interaction data both are the same bundle.
+    Bundles may be given as zero-argument factories; they are built on first
+    use, so a query pays only for the tables it reads."""
+
+    def __init__(self, spark: SparkSession, volume, behaviour, params: Params | None = None):
+        self.spark = spark
+        self._volume, self._behaviour = volume, behaviour
+        self.params = params or Params()
+
+    @staticmethod
+    def _get(v):
+        return v() if callable(v) else v
+
+    @property
+    def volume(self) -> Bundle:
+        self._volume = self._get(self._volume)
+        return self._volume
+
+    @property
+    def behaviour(self) -> Bundle:
+        self._behaviour = self._get(self._behaviour)
+        return self._behaviour
 
     @staticmethod
     def from_folder(spark: SparkSession, path: str, params: Params | None = None,
@@ -55,4 +71,5 @@ TESTDATA_PARAMS = Params(session_gap=86_400, window_size=20, window_step=10)
 
 def testdata_context(spark: SparkSession, sf_dir: str) -> Context:
     """Adapter views over the given tables (see ``sources.adapters``)."""
-    return Context(spark, lineitem_bundle(spark, sf_dir), events_bundle(spark, sf_dir), TESTDATA_PARAMS)
+    return Context(spark, lambda: lineitem_bundle(spark, sf_dir), lambda: events_bundle(spark, sf_dir),
+                   TESTDATA_PARAMS)

@@ -32,8 +32,20 @@ L_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "item_id", "l_suppkey", "
 E_ORDER = ("ts", "event_id")
 
 
+_READS: dict = {}
+
+
 def _pq(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(join_path(sf_dir, f"{name}.parquet"))
+    """Base table definition, cached per Spark application and path (schema and
+    file listing are resolved once; every execution still scans the files)."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001  (no SparkContext, e.g. Spark Connect)
+        return spark.read.parquet(join_path(sf_dir, f"{name}.parquet"))
+    key = (app, join_path(sf_dir, f"{name}.parquet"))
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(key[1])
+    return _READS[key]
 
 
 def lineitem_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
@@ -59,7 +71,7 @@ def lineitem_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
     # every listen is one lineitem row (inner joins on keys): the parquet row
     # count (footer metadata) bounds the rows of any user
     return Bundle(listens=listens, order_cols=L_ORDER, chunk_col="day", clock="cumsum",
-                  row_bound=li.count())
+                  bound_source=li)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +114,4 @@ def events_bundle(spark: SparkSession, sf_dir: str, with_embeddings: bool = True
             F.col("embedding").cast("array<float>").alias("normalized_embed"))
     return Bundle(listens=listens, likes=likes, dislikes=dislikes, undislikes=undislikes,
                   multi_event=multi, embeddings=emb, order_cols=E_ORDER, chunk_col="day",
-                  clock="absolute", row_bound=ev.count())
+                  clock="absolute", bound_source=ev)

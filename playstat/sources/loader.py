@@ -56,7 +56,10 @@ def load_bundle(spark: SparkSession, base: str, clock: str = "cumsum") -> Bundle
         chunk = "day"
         tables = {k: (v.withColumn("day", F.col("timestamp").cast("bigint") / DAY_UNITS).withColumn(
             "day", F.floor("day")) if v is not None else None) for k, v in tables.items()}
-    # the largest table's row count (parquet metadata) bounds the rows of any key
-    bound = max(t.count() for t in tables.values() if t is not None)
+    # all tables together bound the rows of any key (counted from parquet metadata
+    # on the first hot-key check)
+    from functools import reduce
+    keyed = [t.select("uid") for t in tables.values() if t is not None]
     return Bundle(**tables, embeddings=optional_table(spark, base, "embeddings", S.EMBEDDINGS),
-                  order_cols=("timestamp", "item_id"), chunk_col=chunk, clock=clock, row_bound=bound)
+                  order_cols=("timestamp", "item_id"), chunk_col=chunk, clock=clock,
+                  bound_source=reduce(DataFrame.unionAll, keyed))

@@ -54,9 +54,9 @@ class Bundle:
     # per-user row count above which a user's scans are split by ``chunk_col``
     # (0: always split)
     hot_key_rows: int = HOT_KEY_ROWS
-    # an upper bound of the rows of any table (None: unknown); at or below
-    # hot_key_rows no key can be hot and the per-key check is skipped
-    row_bound: int | None = None
+    # a frame whose row count bounds the rows of any table (counted lazily, on
+    # the first hot-key check); at or below hot_key_rows no key can be hot
+    bound_source: DataFrame | None = None
     _chunk_cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     def with_(self, **kw) -> "Bundle":
@@ -68,8 +68,11 @@ class Bundle:
         one row back to the driver; made once per (table, key)."""
         if self.hot_key_rows <= 0:
             return True
-        if self.row_bound is not None and self.row_bound <= self.hot_key_rows:
-            return False
+        if self.bound_source is not None:
+            if "__bound" not in self._chunk_cache:
+                self._chunk_cache["__bound"] = self.bound_source.count()
+            if self._chunk_cache["__bound"] <= self.hot_key_rows:
+                return False
         if (table, key) not in self._chunk_cache:
             from pyspark.sql import functions as F
             top = (getattr(self, table).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
