@@ -100,3 +100,32 @@ def with_t_pvalue(s: DataFrame) -> DataFrame:
     p = student_t_two_sided_p(F.col("t"), F.col("n") - 2)
     return s.withColumn("p_value", F.when(F.abs("rho") == 1.0, F.lit(0.0))
                         .when(F.col("n") > 2, p))
+
+
+def exact_median(df: DataFrame, value: str, part=(), out: str = "median",
+                 small: bool = False) -> DataFrame:
+    """Interpolated median (= percentile_cont(0.5)) of ``value`` per ``part``.
+
+    ``small=True`` (the caller checked the input holds few rows) uses Spark's
+    ``percentile``, whose final aggregation keeps a group's distinct values in
+    one task. Otherwise the median comes from the value histogram with
+    range-bucketed prefix counts, so no task holds a group's values: the two
+    middle ranks floor((n-1)/2) and ceil((n-1)/2) are located in the cumulative
+    counts and interpolated."""
+    part = list(part)
+    if small:
+        g = df.groupBy(*part) if part else df.groupBy()
+        return g.agg(F.percentile(value, 0.5).alias(out))
+    h = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*part, value)
+                    .agg(F.count(F.lit(1)).alias("__c")))
+    h = global_prefix(h, value, "__c", "__before", part=part)
+    tot = h.groupBy(*part).agg(F.sum("__c").alias("__n"))
+    h = h.join(tot, part) if part else h.crossJoin(F.broadcast(tot))          # one row per part
+    pos = (F.col("__n") - 1) / 2.0
+    lo, hi = F.floor(pos), F.ceil(pos)
+    covers = lambda r: (F.col("__before") <= r) & (r < F.col("__before") + F.col("__c"))
+    g = h.groupBy(*part).agg(F.min(F.when(covers(lo), F.col(value))).alias("__lo"),
+                             F.min(F.when(covers(hi), F.col(value))).alias("__hi"),
+                             F.first("__n").alias("__n"))
+    frac = (F.col("__n") - 1) / 2.0 - F.floor((F.col("__n") - 1) / 2.0)
+    return g.select(*part, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac).cast("double").alias(out))

@@ -62,17 +62,22 @@ class Bundle:
     def with_(self, **kw) -> "Bundle":
         return replace(self, _chunk_cache={}, **kw)
 
+    def rows_at_most(self, n: int) -> bool:
+        """True if the bundle's row bound (lazily counted) is at most ``n``."""
+        if self.bound_source is None:
+            return False
+        if "__bound" not in self._chunk_cache:
+            self._chunk_cache["__bound"] = self.bound_source.count()
+        return self._chunk_cache["__bound"] <= n
+
     def key_is_hot(self, table: str = "listens", key: str = "uid") -> bool:
         """True if some ``key`` value of ``table`` holds more than ``hot_key_rows``
         rows. One column-pruned aggregate (rows per key, map-side combined) and
         one row back to the driver; made once per (table, key)."""
         if self.hot_key_rows <= 0:
             return True
-        if self.bound_source is not None:
-            if "__bound" not in self._chunk_cache:
-                self._chunk_cache["__bound"] = self.bound_source.count()
-            if self._chunk_cache["__bound"] <= self.hot_key_rows:
-                return False
+        if self.rows_at_most(self.hot_key_rows):
+            return False
         if (table, key) not in self._chunk_cache:
             from pyspark.sql import functions as F
             top = (getattr(self, table).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
