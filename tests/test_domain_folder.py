@@ -58,3 +58,15 @@ def test_missing_embeddings_gives_skipped(spark, tmp_path):
     ctx = Context.from_folder(spark, path)
     r = H.h9_similarity(ctx).collect()
     assert len(r) == 1 and r[0].metric.startswith("SKIPPED") and r[0].confirmed is False
+
+
+def test_runner_writes_results(spark, tmp_path, capsys):
+    from playstat.plans import run
+    path = str(tmp_path / "runner")
+    _write_folder(spark, path, with_embeddings=True)
+    out = str(tmp_path / "results")
+    run.main(["--data-dir", path, "--out", out, "--session-gap", "86400", "--window-size", "20",
+              "--window-step", "10"], spark=spark)
+    res = spark.read.parquet(out)
+    assert set(r.id for r in res.select("id").distinct().collect()) == {f"H{i}" for i in range(1, 12)}
+    assert "confirmed:" in capsys.readouterr().out
