@@ -26,7 +26,9 @@ def sliding_count_windows(df: DataFrame, order_cols, size: int = WINDOW_SIZE, st
     d = row_index(df, part, order_cols, "idx", chunk_col)
     lo = F.greatest(F.lit(0), F.floor((F.col("idx") - size) / step) + 1).cast("bigint")
     hi = F.floor(F.col("idx") / step).cast("bigint")
-    return d.withColumn("win", F.explode(F.sequence(lo, hi)))
+    # size < step leaves rows in no window (lo > hi); sequence() would count down
+    return d.withColumn("win", F.explode(F.when(lo <= hi, F.sequence(lo, hi))
+                                          .otherwise(F.array().cast("array<bigint>"))))
 
 
 def window_stats(win_rows: DataFrame, size: int = WINDOW_SIZE, part: str = "uid",

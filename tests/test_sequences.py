@@ -201,3 +201,12 @@ def test_chunked_history_equals_plain(spark):
              for r in Q.history_similarity(df, emb, ["t"], k=k, chunk_rows=blk).collect()}
         assert a.keys() == b.keys() and len(a) > 100
         assert all(abs(a[x] - b[x]) < 1e-9 for x in a)
+
+
+def test_count_windows_with_gaps(spark):
+    # size 5, step 10: windows [0,5), [10,15), ...; rows 5..9 belong to none
+    df = spark.createDataFrame([(1, i, i, 0) for i in range(25)], "uid long, t long, item_id long, is_organic int")
+    w = Q.sliding_count_windows(df, ["t"], size=5, step=10)
+    got = sorted((r.idx, r.win) for r in w.collect())
+    assert got == [(i, i // 10) for i in range(25) if i % 10 < 5]
+    assert Q.window_stats(w, 5).count() == 3
