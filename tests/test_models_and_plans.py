@@ -58,3 +58,14 @@ def test_entry_runs(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() == 2 and "lp_rate" in df.columns
+
+
+def test_every_registered_query_runs(spark):
+    import __spark_entry__ as E
+    failed = {}
+    for key, f in E.queries().items():
+        try:
+            f(spark, "/root/testdata/sf0.001").collect()
+        except Exception as e:  # noqa: BLE001
+            failed[key] = str(e)[:200]
+    assert not failed
