@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from playstat.llm import decontamination
+from playstat.llm import decontamination, token_counts
 
 QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL = {
