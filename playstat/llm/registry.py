@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from playstat.llm import decontamination, token_counts
+from playstat.llm import decontamination, packing, token_counts
 
 QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
