@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from playstat.llm import decontamination, language_id, packing, token_counts
+from playstat.llm import decontamination, language_id, packing, pii, token_counts
 
 QUERIES = {
     "op3_language_id": language_id.op3_language_id,
+    "op4_pii": pii.op4_pii,
     "op7_decontamination": decontamination.op7_decontamination,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_token_counts": token_counts.op10_token_counts,
