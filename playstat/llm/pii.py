@@ -10,7 +10,8 @@ the bootstrap:
 * a pattern's confidence for a kind is the share of that kind among the distinct
   values that it introduces, if it introduces enough of them;
 * an unlabelled occurrence takes a kind when its patterns' joint confidence is
-  high and its shape is one that labelled values of that kind have.
+  high and its value has the loose form of that kind (an ``@`` between other
+  characters; dotted or coloned groups; 12-19 digits; 7-15 digits).
 
 Spark scores this graph of patterns and occurrences in rounds (distinct values,
 partial aggregation, joins on the pattern's hash); new labels support patterns in
@@ -37,7 +38,7 @@ from playstat.llm.storage import materialise, table
 KINDS = ("email", "ip", "card", "phone")
 MIN_VALUES = 5                 # distinct labelled values that a pattern must introduce
 MIN_CONFIDENCE = 0.8           # of a pattern
-MIN_SCORE = 0.9                # of an occurrence
+MIN_SCORE = 0.8                # of an occurrence
 ROUNDS = 3
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -48,8 +49,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _TRIM = ".,;:!?\"'()[]{}<>"
 
-_FOUND = ("base array<struct<kind:string,start:int,end:int,value:string,shape:string,patterns:array<string>>>, "
-          "other array<struct<kind:string,start:int,end:int,value:string,shape:string,patterns:array<string>>>")
+_FOUND = ("base array<struct<kind:string,start:int,end:int,value:string,fits:array<string>,patterns:array<string>>>, "
+          "other array<struct<kind:string,start:int,end:int,value:string,fits:array<string>,patterns:array<string>>>")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -102,10 +103,15 @@ def phones(text: str) -> list[tuple[int, int]]:
 _RULES = (emails, ips, cards, phones)
 
 
-def shape(value: str) -> str:
-    """Runs of digits (short, middling, long) and of letters, other characters as they are."""
-    value = re.sub(r"[^\W\d_]+", "a", value)
-    return re.sub(r"[0-9]+", lambda m: "1" if len(m.group()) <= 3 else "5" if len(m.group()) <= 8 else "9", value)[:80]
+_LOOSE = {"email": re.compile(r"[^@]+@[^@]+"), "ip": re.compile(r"[0-9]+(?:[.][0-9]+){3,}|[0-9A-Fa-f]*(?::[0-9A-Fa-f]*){3,}"),
+          "card": re.compile(r"[0-9-]+"), "phone": re.compile(r"[0-9()+./-]+")}
+_LOOSE_DIGITS = {"email": (0, 80), "ip": (4, 40), "card": (12, 19), "phone": (7, 15)}
+
+
+def fits(value: str) -> list[str]:
+    """Kinds whose loose form an identifier-shaped value has."""
+    n = len(_digits(value))
+    return [k for k in KINDS if _LOOSE_DIGITS[k][0] <= n <= _LOOSE_DIGITS[k][1] and _LOOSE[k].fullmatch(value)]
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
@@ -117,7 +123,7 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def occurrences(text: str) -> tuple[list[tuple], list[tuple]]:
-    """Base spans, and the identifier-shaped tokens beside them, with value, shape and patterns."""
+    """Base spans, and the identifier-shaped tokens beside them, with value, loose kinds and patterns."""
     base = [(kind, a, b) for kind, rule in zip(KINDS, _RULES) for a, b in rule(text)]
     taken = sorted((a, b) for _, a, b in base)
     other, k = [], 0
@@ -135,7 +141,7 @@ def occurrences(text: str) -> tuple[list[tuple], list[tuple]]:
             j += 1
         if value and (j == len(taken) or taken[j][0] >= b):
             other.append((None, a, b))
-    return tuple([(kind, a, b, text[a:b].lower()[:200], shape(text[a:b]), _patterns(text, a, b))
+    return tuple([(kind, a, b, text[a:b].lower()[:200], fits(text[a:b]), _patterns(text, a, b))
                   for kind, a, b in part] for part in (base, other))
 
 
@@ -143,9 +149,9 @@ def find(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of docs, ``base`` and ``other`` occurrences of each text."""
     mark = np.zeros(256, bool)
     mark[[ord("@"), *range(ord("0"), ord("9") + 1)]] = True
-    keys = ("kind", "start", "end", "value", "shape", "patterns")
+    keys = ("kind", "start", "end", "value", "fits", "patterns")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
-                               ("value", pa.string()), ("shape", pa.string()), ("patterns", pa.list_(pa.string()))]))
+                               ("value", pa.string()), ("fits", pa.list_(pa.string())), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches):
         for b in slices(batches):
@@ -168,12 +174,12 @@ def bootstrap(found: DataFrame) -> DataFrame | None:
 
     ``found`` has pii_key, base and other, and is read several times."""
     seen = found.select("pii_key", F.explode(F.concat("base", "other")).alias("o")).select("pii_key", "o.*")
-    seen = seen.groupBy("pii_key", "start", "end").agg(*(F.first(c).alias(c) for c in ("kind", "value", "shape", "patterns")))
+    seen = seen.groupBy("pii_key", "start", "end").agg(*(F.first(c).alias(c) for c in ("kind", "value", "fits", "patterns")))
     seen = materialise(seen, "pii-occurrences")
-    labels = seen.where("kind is not null").select("value", "shape", "kind").distinct()
+    labels = seen.where("kind is not null").select("value", "kind").distinct()
     fresh_rounds = []
     for _ in range(ROUNDS):
-        known = seen.select("pii_key", "start", "end", "value", "shape", F.explode("patterns").alias("pattern"))
+        known = seen.select("pii_key", "start", "end", "value", "fits", F.explode("patterns").alias("pattern"))
         values = known.select("pattern", "value").distinct().join(
             labels.select("value", F.col("kind").alias("label")).distinct(), "value", "left")
         by_kind = values.groupBy("pattern", "label").agg(F.count("*").alias("n"))
@@ -183,11 +189,10 @@ def bootstrap(found: DataFrame) -> DataFrame | None:
                    .where(F.col("confidence") >= MIN_CONFIDENCE))
         # a trusted pattern still counts the values that it is about to label against itself
         open_ = known.join(labels.select("value").distinct(), "value", "left_anti")
-        scored = (open_.join(trusted, "pattern").groupBy("pii_key", "start", "end", "value", "shape", "label")
+        scored = (open_.join(trusted, "pattern").where(F.array_contains("fits", F.col("label")))
+                  .groupBy("pii_key", "start", "end", "value", "label")
                   .agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("score")))
-        shapes = labels.select("shape", F.col("kind").alias("label")).distinct()
-        fresh = (scored.where(F.col("score") >= MIN_SCORE).join(shapes, ["shape", "label"])
-                 .groupBy("value", "shape").agg(F.max_by("label", F.struct("score", "label")).alias("kind")))
+        fresh = (scored.where(F.col("score") >= MIN_SCORE).groupBy("value").agg(F.max_by("label", F.struct("score", "label")).alias("kind")))
         fresh = materialise(fresh, "pii-round")
         if fresh.isEmpty():
             break
