@@ -43,6 +43,16 @@ BUCKET_ROWS = 50_000           # pieces of one (length, bucket) window, about
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_TOGETHER = 500                # pre-tokens of one call
+_WORKER: dict[str, "WordTokenizer"] = {}      # a Python worker keeps its memo between tasks
+
+
+def _worker_tokenizer(vocabulary: str) -> "WordTokenizer":
+    if vocabulary not in _WORKER:
+        _WORKER[vocabulary] = WordTokenizer(public_tokenizers.path(vocabulary))
+    return _WORKER[vocabulary]
+
+
 class WordTokenizer:
     """Ids of a vocabulary that lower-cases and drops white space, by pre-token."""
 
@@ -57,9 +67,20 @@ class WordTokenizer:
             return np.empty(0, np.int64), np.zeros(len(off), np.int64)
 
         def make(where):
-            data = raw.tobytes()
-            words = [data[runs.start[i]:runs.end[i]].decode() for i in where.tolist()]
-            return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            made = [None] * len(where)
+            texts = [raw[runs.start[i]:runs.end[i]].tobytes().decode() for i in where.tolist()]
+            whole = runs.hard[where]
+            for i in np.flatnonzero(whole).tolist():
+                made[i] = self.library.encode(texts[i], add_special_tokens=False).ids
+            # any other run is one pre-token: many of them are encoded as one text
+            plain = np.flatnonzero(~whole).tolist()
+            for at in range(0, len(plain), _TOGETHER):
+                some = plain[at:at + _TOGETHER]
+                done = self.library.encode(" ".join([texts[i] for i in some]), add_special_tokens=False)
+                sizes = np.bincount(np.array(done.word_ids, np.int64), minlength=len(some))
+                for i, ids in zip(some, np.split(np.array(done.ids, np.int64), np.cumsum(sizes)[:-1])):
+                    made[i] = ids
+            return made
 
         self.memo.make = make
         slots = self.memo.get(runs.hash, np.arange(len(runs)))
@@ -71,7 +92,7 @@ def cut(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY,
         with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids; ``with_ids`` adds the ids themselves."""
     def pieces(batches):
-        tokenizer = WordTokenizer(public_tokenizers.path(vocabulary))
+        tokenizer = _worker_tokenizer(vocabulary)
         for b in slices(batches):
             raw, off = text_buffer(b.column("text"))
             ids, first = tokenizer.ids(raw, off)

@@ -15,7 +15,7 @@ import numpy as np
 from playstat.llm.ragged import _MUL, _POWERS, Alphabet, mix
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
-MEMO_ENTRIES = 1_000_000       # entries of a worker's memo before it starts anew
+MEMO_ENTRIES = 500_000         # keys that a worker's memo keeps
 
 _CLASS = np.full(256, OTHER, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
@@ -94,32 +94,33 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_ascii_c
 
 
 class Memo:
-    """Ragged int arrays by 64-bit key; ``make`` computes the unseen ones in one call."""
+    """Ragged int arrays by 64-bit key; ``make`` computes the unseen ones in one call.
+
+    It keeps the first ``MEMO_ENTRIES`` keys, among which are the frequent ones;
+    what comes later is made again in each call that needs it."""
 
     def __init__(self, make):
         self.make = make
-        self.clear()
-
-    def clear(self):
         self.slot: dict[int, int] = {}
+        self.kept = 0
         self.values, self.offsets = np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def get(self, keys: np.ndarray, where: np.ndarray):
-        """(slot of each key) with every key present; ``make`` gets the entries
-        of ``where`` (one example place for each unseen key)."""
+        """Slot of each key, valid until the next call; ``make`` gets the entries of
+        ``where`` (one example place for each unseen key)."""
         unique, example, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.slot) + len(unique) > MEMO_ENTRIES:
-            self.clear()
+        self.offsets = self.offsets[:self.kept + 1]
         slots = np.array([self.slot.get(k, -1) for k in unique.tolist()], np.int64)
         unseen = np.flatnonzero(slots < 0)
         if len(unseen):
             made = self.make(where[example[unseen]])
-            base = len(self.offsets) - 1
             sizes = np.fromiter((len(x) for x in made), np.int64, len(made))
             self.values = _append(self.values, self.offsets[-1], np.concatenate([np.asarray(x, np.int64) for x in made]))
             self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
-            slots[unseen] = base + np.arange(len(unseen))
-            self.slot.update(zip(unique[unseen].tolist(), slots[unseen].tolist()))
+            slots[unseen] = self.kept + np.arange(len(unseen))
+            if self.kept + len(unseen) <= MEMO_ENTRIES:
+                self.slot.update(zip(unique[unseen].tolist(), slots[unseen].tolist()))
+                self.kept += len(unseen)
         return slots[inverse]
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

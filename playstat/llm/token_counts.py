@@ -105,8 +105,7 @@ class Counter:
 
     def __init__(self, merger: RankMerger):
         self.merger = merger
-        self.memo = Memo(lambda keys: None)
-        self.text_memo: dict[str, int] = {}
+        self.memo = Memo(None)
 
     def _merge(self, groups: list[list[np.ndarray]]) -> np.ndarray:
         """Token count of each group of pre-tokens (arrays of symbol ids)."""
@@ -199,10 +198,15 @@ class Counter:
         return result
 
 
+_WORKER: dict[str, Counter] = {}      # a Python worker keeps its memo between tasks
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every text."""
     def count(batches):
-        counter = Counter(RankMerger(public_tokenizers.path(vocabulary)))
+        if vocabulary not in _WORKER:
+            _WORKER[vocabulary] = Counter(RankMerger(public_tokenizers.path(vocabulary)))
+        counter = _WORKER[vocabulary]
         for b in slices(batches):
             raw, off = text_buffer(b.column("text"))
             yield pa.RecordBatch.from_arrays(
