@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from playstat.llm import decontamination, language_id, packing, pii, token_counts
+from playstat.llm import chat, decontamination, language_id, nearest, packing, pii, token_counts, warc
 
 QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_pii": pii.op4_pii,
+    "op5_nearest": nearest.op5_nearest,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_warc": warc.op8_warc,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL = {
+    "op5_nearest": nearest.OP5_SQL,
+    "op6_chat_formatting": chat.OP6_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
