@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from playstat.llm import chat, decontamination, language_id, nearest, ngram_join, packing, pii, token_counts, warc
+from playstat.llm import chat, decontamination, language_id, nearest, ngram_join, packing, pii, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_pii": pii.op4_pii,
     "op5_nearest": nearest.op5_nearest,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_ngram_jaccard": ngram_join.OP1_SQL,
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op5_nearest": nearest.OP5_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
