@@ -18,8 +18,11 @@ MIN_LANGUAGE_SCORE = 0.2       # below it a text resembles no learned language
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or unlike every language learned from the labelled rows."""
+    """Drops documents without letters or unlike every language learned from the labelled rows
+    (none, where no row is labelled)."""
     profiles = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    if not profiles.names:
+        return docs
     told = language_id.predict(docs, profiles)
     return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)) \
         .select(*docs.columns)
