@@ -59,7 +59,9 @@ class FMIndex:
     """Index of ``text`` (ids from 1; 0 separates runs and never matches)."""
 
     def __init__(self, text: np.ndarray, n_symbols: int):
-        closed = np.concatenate((text, [0])).astype(np.int64)
+        # one end mark, smaller than all and unlike the separators, makes the walk back exact
+        closed = np.concatenate((np.asarray(text) + 1, [0])).astype(np.int64)
+        n_symbols += 1
         order = suffix_array(closed)
         self.n = len(closed)
         self.last = closed[order - 1]
@@ -79,7 +81,7 @@ class FMIndex:
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), self.n, np.int64)
         for j in reversed(range(phrases.shape[1])):
-            c = phrases[alive, j]
+            c = phrases[alive, j] + 1
             low = self.before[c] + self.tree.rank(c, low)
             high = self.before[c] + self.tree.rank(c, high)
             keep = low < high

@@ -183,23 +183,17 @@ def _plan(counts, capacity, most_parts):
         while n:
             fit = np.flatnonzero(gaps[length:])
             gap = length + int(fit[0]) if len(fit) else capacity
+            lengths, free = open_by_gap[gap].pop() if len(fit) else ((), n)
+            # the gap that a piece leaves is the smallest for the next one of its length
+            side = min(gap // length, n)
+            times = min(n // side, free)
             if len(fit):
-                lengths, free = open_by_gap[gap].pop()
-                gaps[gap] -= free
-                times = min(n, free)
+                gaps[gap] -= times
                 if free > times:
                     open_by_gap[gap].append([lengths, free - times])
-                    gaps[gap] += free - times
-            else:
-                # as many of this length side by side as fit, in sequences of their own
-                side = capacity // length
-                lengths, times = (length,) * (side - 1), n // side
-                if not times:
-                    lengths, times = (length,) * (n - 1), 1
-                gap, n = capacity - length * len(lengths), n - times * len(lengths)
-            n -= times
-            rest = gap - length
-            open_by_gap.setdefault(rest, []).append([(*lengths, length), times])
+            n -= times * side
+            rest = gap - side * length
+            open_by_gap.setdefault(rest, []).append([(*lengths, *[length] * side), times])
             gaps[rest] += times
     return made + [(tuple(lengths), times) for group in open_by_gap.values() for lengths, times in group]
 
