@@ -37,10 +37,25 @@ def enrich_listens(b: Bundle, clock: bool = True) -> DataFrame:
 
     The chunked clock ends in a join Catalyst cannot prune, so callers that
     never read abs_time_sec pass ``clock=False``."""
-    lst = (reconstruct_time(b.listens, b.order_cols, b.clock, chunk_col=b.chunk_for("listens"))
+    lst = (reconstruct_time(b.table("listens"), b.order("listens"), b.clock, chunk_col=b.chunk_for("listens"))
            if clock else b.listens)
     return with_flags(lst)
 
 
 def clocked(b: Bundle, table: str) -> DataFrame:
-    return reconstruct_time(getattr(b, table), b.order_cols, b.clock, chunk_col=b.chunk_for(table))
+    return reconstruct_time(b.table(table), b.order(table), b.clock, chunk_col=b.chunk_for(table))
+
+
+def clocked_together(b: Bundle, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+    """Two event tables on one clock: with per-user deltas, the running sum goes over
+    the events of both, or their times could not be compared."""
+    if b.clock == "absolute":
+        return clocked(b, first), clocked(b, second)
+    one, two = getattr(b, first), getattr(b, second)
+    both = one.withColumn("__second", F.lit(0)).unionByName(two.withColumn("__second", F.lit(1)),
+                                                            allowMissingColumns=True)
+    merged = b.with_(listens=both)             # ties are broken by all columns, the kind among them
+    timed = reconstruct_time(merged.table("listens"), merged.order("listens"), b.clock,
+                             chunk_col=merged.chunk_for("listens"))
+    return (timed.filter(F.col("__second") == 0).select(*one.columns, "abs_time_sec"),
+            timed.filter(F.col("__second") == 1).select(*two.columns, "abs_time_sec"))

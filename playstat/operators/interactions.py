@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from playstat.operators.skew import join_maybe_salted
+from playstat.sources.schemas import HOT_KEY_ROWS
+
 PAIR = ["uid", "item_id"]
 TOP_FRACTION = 0.01         # fixed value: share of users treated as "top"
 
@@ -87,10 +90,10 @@ def top_fraction_users(per_user: DataFrame, count_col: str = "cnt", fraction: fl
     from playstat.session import cut_lineage
     per_user = cut_lineage(per_user)          # one row per user, read three times
     hist = per_user.groupBy(count_col).agg(F.count(F.lit(1)).alias("users"))
-    w = Window.orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, -1)
-    n_users = F.sum("users").over(Window.partitionBy())
-    cut = (hist.withColumn("above", F.coalesce(F.sum("users").over(w), F.lit(0)))
-           .withColumn("k", (F.floor(n_users * fraction) + 1).cast("bigint"))
+    n_users = hist.agg(F.sum("users").alias("__users"))                       # one row
+    hist = hist.withColumn("__down", -F.col(count_col))
+    cut = (global_prefix(hist, "__down", "users", "above").crossJoin(F.broadcast(n_users))
+           .withColumn("k", (F.floor(F.col("__users") * fraction) + 1).cast("bigint"))
            .filter((F.col("above") < F.col("k")) & (F.col("above") + F.col("users") >= F.col("k")))
            .select(F.col(count_col).alias("__cut"), (F.col("k") - F.col("above")).alias("__need")))
     c = per_user.crossJoin(F.broadcast(cut))            # one row
@@ -101,7 +104,7 @@ def top_fraction_users(per_user: DataFrame, count_col: str = "cnt", fraction: fl
     return above.unionByName(tied)
 
 
-def exclude_users(df: DataFrame, users: DataFrame, part: str = "uid", hot: bool = False) -> DataFrame:
+def exclude_users(df: DataFrame, users: DataFrame, part: str = "uid", hot: bool = False,
+                  hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Rows whose user is not in ``users`` (NULL users dropped too, as NOT IN does)."""
-    from playstat.operators.skew import join_maybe_salted
-    return join_maybe_salted(df.filter(F.col(part).isNotNull()), users.select(part), part, "left_anti", hot)
+    return join_maybe_salted(df.filter(F.col(part).isNotNull()), users.select(part), part, "left_anti", hot, hot_rows)

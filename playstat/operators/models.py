@@ -34,7 +34,8 @@ def add_zscores(df: DataFrame, cols, prefix: str = "s_") -> DataFrame:
 def logit_interaction(df: DataFrame, a: str = "is_organic", b: str = "track_length_seconds",
                       label: str = "listen_plus", max_iter: int = MAX_ITER):
     """Fits label ~ z(a) + z(b) + z(a) z(b) on all complete rows. Returns
-    (coefficients dict name -> (beta, wald_z, p), model).
+    (coefficients dict name -> (beta, wald_z, p), model); where a column or the label
+    has one value only, nothing can be fitted and all of them are None.
 
     Identical (a, b, label) rows contribute identical likelihood terms, so the
     rows are first collapsed into a weighted histogram (map-side combined) and
@@ -56,6 +57,9 @@ def logit_interaction(df: DataFrame, a: str = "is_organic", b: str = "track_leng
     for c in (a, b):
         d = d.withColumn(f"s_{c}", F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std")))
     d = d.withColumn("interaction", F.col(f"s_{a}") * F.col(f"s_{b}")).dropna()
+    names = ["intercept", f"s_{a}", f"s_{b}", "interaction"]
+    if (d.agg(F.count_distinct("label").alias("k")).first().k or 0) < 2:
+        return {nm: (None, None, None) for nm in names}, None
     feats = [f"s_{a}", f"s_{b}", "interaction"]
     data = VectorAssembler(inputCols=feats, outputCol="features").transform(d)
     model = LogisticRegression(maxIter=max_iter, featuresCol="features", labelCol="label",
@@ -80,7 +84,6 @@ def logit_interaction(df: DataFrame, a: str = "is_organic", b: str = "track_leng
         se = [math.sqrt(cov[k, k]) if cov[k, k] > 0 else float("nan") for k in range(4)]
     except np.linalg.LinAlgError:
         se = [float("nan")] * 4
-    names = ["intercept", f"s_{a}", f"s_{b}", "interaction"]
     coefs = dict(zip(names, [b0] + beta))
     out = {}
     for k, nm in enumerate(names):

@@ -7,9 +7,9 @@ small per-chunk offset table is stitched back with an equi-join, so one very
 active key is spread over as many tasks as it has chunks instead of one.
 
 ``global_prefix`` computes, for a frame with a unique ordered key, the sum of a
-weight over all smaller keys without a single-partition window: keys are cut
-into range buckets at approximate quantiles, each bucket is scanned on its own
-and bucket offsets come from a table with one row per bucket.
+weight over all smaller keys without a single-partition window: rows are cut into
+ranges by the key, each range is scanned on its own and the totals of earlier
+ranges are broadcast.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playstat.session import cut_lineage
+
 UNB = Window.unboundedPreceding
 
 
@@ -89,39 +91,29 @@ def row_index(df: DataFrame, part, order, out: str = "idx", chunk_col: str | Non
     return running_sum(df, part, order, F.lit(1), out, chunk_col, inclusive=False)
 
 
-SINGLE_SCAN_MAX_ROWS = 1_000_000   # size bound for the one-window path
+RANGE_ROWS = 200_000          # rows of a range; the number of ranges follows the row count
 
 
 def global_prefix(df: DataFrame, key: str, weight: str, out: str = "cum_before",
-                  part: Sequence[str] = (), n_buckets: int = 128,
-                  single_max_rows: int = SINGLE_SCAN_MAX_ROWS) -> DataFrame:
+                  part: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """``out`` = sum of ``weight`` over rows with a smaller ``key`` (within ``part``).
 
-    ``key`` must be unique within ``part``. Callers pass small, materialised
-    frames (value histograms). When the frame is checked to hold at most
-    ``single_max_rows`` rows, one ordered window over it is cheapest; above
-    that, range buckets come from ``percentile_approx`` cut-points (one small
-    row per part), so each bucket holds about 1/n_buckets of the distinct keys
-    whatever the weights are, and no task sees more than its bucket."""
+    ``key`` must be unique within ``part``. The rows are cut into ranges of
+    (part, key) of about ``range_rows`` rows and written once; each range is scanned
+    on its own, and the totals of earlier ranges, one small row per range and part,
+    are broadcast to it. Runs a count and a write while the query is built."""
     part = list(part)
-    if single_max_rows and df.count() <= single_max_rows:
-        w = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy(key) \
-            .rowsBetween(UNB, -1)
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = (df.groupBy(*part) if part else df.groupBy()).agg(
-        F.percentile_approx(F.col(key), probs, 10000).alias("__cuts"))
-    if part:
-        b = df.join(cuts, part, "inner")
-    else:
-        b = df.crossJoin(F.broadcast(cuts))       # exactly one row
-    b = b.withColumn("__bucket", F.expr(f"size(filter(__cuts, c -> c <= `{key}`))")).drop("__cuts")
-    tot = b.groupBy(*part, "__bucket").agg(F.sum(weight).alias("__bw"))
-    w_off = (Window.partitionBy(*part) if part else Window.partitionBy()) \
-        .orderBy("__bucket").rowsBetween(UNB, -1)
-    # at most n_buckets rows per part
-    offs = tot.withColumn("__off", F.coalesce(F.sum("__bw").over(w_off), F.lit(0))).drop("__bw")
-    w_in = Window.partitionBy(*part, "__bucket").orderBy(key).rowsBetween(UNB, -1)
-    return (b.join(offs, part + ["__bucket"], "inner")
-            .withColumn(out, F.col("__off") + F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
-            .drop("__off", "__bucket"))
+    ranges = max(1, -(-df.count() // range_rows))
+    cut = cut_lineage(df.repartitionByRange(ranges, *part, key).withColumn("__range", F.spark_partition_id()))
+    keys = part + ["__range"]
+    if ranges == 1:
+        w = Window.partitionBy(*keys).orderBy(key).rowsBetween(UNB, -1)
+        return cut.withColumn(out, F.coalesce(F.sum(weight).over(w), F.lit(0))).drop("__range")
+    totals = cut.groupBy(*keys).agg(F.sum(weight).alias("__total"))
+    # at most (ranges + parts) rows
+    earlier = Window.partitionBy(*part).orderBy("__range").rowsBetween(UNB, -1)
+    offsets = totals.withColumn("__off", F.coalesce(F.sum("__total").over(earlier), F.lit(0))).drop("__total")
+    inside = Window.partitionBy(*keys).orderBy(key).rowsBetween(UNB, -1)
+    return (cut.join(F.broadcast(offsets), keys)
+            .withColumn(out, F.col("__off") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+            .drop("__off", "__range"))

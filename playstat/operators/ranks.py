@@ -68,25 +68,29 @@ def spearman(df: DataFrame, x: str, y: str, part=()) -> DataFrame:
     with n, rho, t and the two-sided Student-t p (rho = +-1 -> p = 0; a constant
     column -> NULL rho and p, no error).
 
-    Pairs are first collapsed to a (x, y, count) histogram; ranks of x and y come
-    from their own value histograms and are joined onto it."""
+    Pairs are first collapsed to a (x, y, count) histogram. y is ranked on its own
+    histogram; its rank sums are gathered per value of x, and x is ranked on that
+    frame, so no rank is joined back to the pairs of x. Every part needs a row of
+    its own on one machine: parts are few. Runs jobs while the query is built."""
     part = list(part)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = cut_lineage(d.groupBy(*part, x, y).agg(F.count(F.lit(1)).alias("c")))
-    rx = avg_ranks(pairs.groupBy(*part, x).agg(F.sum("c").alias("n")), x, part).select(
-        *part, x, F.col("avg_rank").alias("rx"))
-    ry = avg_ranks(pairs.groupBy(*part, y).agg(F.sum("c").alias("n")), y, part).select(
-        *part, y, F.col("avg_rank").alias("ry"))
-    j = pairs.join(rx, part + [x]).join(ry, part + [y])
-    tot = j.groupBy(*part).agg(F.sum("c").alias("__n"))
-    j = j.join(tot, part) if part else j.crossJoin(F.broadcast(tot))
-    m = (F.col("__n") + 1) / 2.0
-    dx, dy = F.col("rx") - m, F.col("ry") - m
-    s = j.groupBy(*part).agg(F.first("__n").alias("n"),
-                             F.sum(F.col("c") * dx * dy).alias("sxy"),
-                             F.sum(F.col("c") * dx * dx).alias("sxx"),
-                             F.sum(F.col("c") * dy * dy).alias("syy"))
-    rho = F.when((F.col("sxx") > 0) & (F.col("syy") > 0),
+    ys = avg_ranks(pairs.groupBy(*part, y).agg(F.sum("c").alias("n")), y, part)
+    ry = ys.select(*part, y, F.col("avg_rank").alias("ry"))
+    # rank sums of y per value of x: x is ranked on the frame that carries them
+    xs = pairs.join(ry, part + [y]).groupBy(*part, x).agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("ry")).alias("s"))
+    xs = avg_ranks(cut_lineage(xs), x, part)
+    n, r = F.col("n").cast("double"), F.col("avg_rank")
+    sx = xs.groupBy(*part).agg(F.sum("n").alias("n"), F.sum(n * r * r).alias("xx"), F.sum(r * F.col("s")).alias("xy"))
+    sy = ys.groupBy(*part).agg(F.sum(n * r * r).alias("yy"))
+    s = sx.join(F.broadcast(sy), part) if part else sx.crossJoin(F.broadcast(sy))      # one row per part
+    total = F.col("n").cast("double")
+    centre = total * ((total + 1) / 2.0) * ((total + 1) / 2.0)       # n times the squared mean rank
+    s = (s.withColumn("sxy", F.col("xy") - centre).withColumn("sxx", F.col("xx") - centre)
+         .withColumn("syy", F.col("yy") - centre))
+    eps = F.col("n").cast("double") * F.col("n") * F.col("n") * 1e-14     # cancellation of equal sums
+    rho = F.when((F.col("sxx") > eps) & (F.col("syy") > eps),
                  F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
     rho = F.when(rho.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho)))  # greatest skips NULL
     s = s.withColumn("rho", rho).withColumn(
@@ -102,25 +106,18 @@ def with_t_pvalue(s: DataFrame) -> DataFrame:
                         .when(F.col("n") > 2, p))
 
 
-def exact_median(df: DataFrame, value: str, part=(), out: str = "median",
-                 small: bool = False) -> DataFrame:
-    """Interpolated median (= percentile_cont(0.5)) of ``value`` per ``part``.
+def exact_median(df: DataFrame, value: str, part=(), out: str = "median") -> DataFrame:
+    """Interpolated median (= percentile_cont(0.5)) of ``value`` per ``part`` (few parts).
 
-    ``small=True`` (the caller checked the input holds few rows) uses Spark's
-    ``percentile``, whose final aggregation keeps a group's distinct values in
-    one task. Otherwise the median comes from the value histogram with
-    range-bucketed prefix counts, so no task holds a group's values: the two
-    middle ranks floor((n-1)/2) and ceil((n-1)/2) are located in the cumulative
-    counts and interpolated."""
+    It comes from the value histogram with ranged prefix counts, so no task holds a
+    group's values: the two middle ranks floor((n-1)/2) and ceil((n-1)/2) are located
+    in the cumulative counts and interpolated."""
     part = list(part)
-    if small:
-        g = df.groupBy(*part) if part else df.groupBy()
-        return g.agg(F.percentile(value, 0.5).alias(out))
     h = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*part, value)
                     .agg(F.count(F.lit(1)).alias("__c")))
+    tot = h.groupBy(*part).agg(F.sum("__c").alias("__n"))                     # one row per part
     h = global_prefix(h, value, "__c", "__before", part=part)
-    tot = h.groupBy(*part).agg(F.sum("__c").alias("__n"))
-    h = h.join(tot, part) if part else h.crossJoin(F.broadcast(tot))          # one row per part
+    h = h.join(F.broadcast(tot), part) if part else h.crossJoin(F.broadcast(tot))
     pos = (F.col("__n") - 1) / 2.0
     lo, hi = F.floor(pos), F.ceil(pos)
     covers = lambda r: (F.col("__before") <= r) & (r < F.col("__before") + F.col("__c"))

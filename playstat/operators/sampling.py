@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from playstat.functions.tails import hash_uniform
 
-OVERSAMPLE = 1.2            # fixed value: pre-filter margin before the final limit
-
 
 def hash_sample(df: DataFrame, key, fraction: float, seed: int = 42) -> DataFrame:
     """Bernoulli(fraction) per key value; the same key is always kept or dropped."""
@@ -19,14 +17,8 @@ def hash_sample(df: DataFrame, key, fraction: float, seed: int = 42) -> DataFram
 
 
 def sample_to_target(df: DataFrame, key, target: int, seed: int = 42) -> DataFrame:
-    """At most ``target`` rows: the ``target`` smallest hash uniforms (ties by key).
+    """min(target, rows) rows: those with the smallest hash uniforms, ties by key.
 
-    A pre-filter at OVERSAMPLE x target/n keeps the final top-k small; if the
-    pre-filter leaves fewer than ``target`` rows those are all returned (the
-    sampling is a feature: the limit is its output size)."""
+    A bounded top-k: every task keeps at most ``target`` rows."""
     keys = [key] if isinstance(key, str) else list(key)
-    d = df.withColumn("__u", hash_uniform(seed, *keys))
-    n = d.agg(F.count(F.lit(1)).alias("__n"))
-    frac = F.least(F.lit(1.0), F.lit(OVERSAMPLE * target) / F.col("__n"))
-    d = d.crossJoin(F.broadcast(n)).filter(F.col("__u") < frac)      # one-row side
-    return d.orderBy("__u", *keys).limit(target).drop("__u", "__n")
+    return df.withColumn("__u", hash_uniform(seed, *keys)).orderBy("__u", *keys).limit(target).drop("__u")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from playstat.operators import vectors as V
 from playstat.operators.prefix import row_index, running_sum
 from playstat.operators.skew import join_maybe_salted
+from playstat.sources.schemas import HOT_KEY_ROWS
 
 # fixed values: defaults of the windowed analyses
 WINDOW_SIZE = 100
@@ -46,7 +47,8 @@ def window_stats(win_rows: DataFrame, size: int = WINDOW_SIZE, part: str = "uid"
 
 
 def window_diversity(win_rows: DataFrame, emb: DataFrame, size: int = WINDOW_SIZE,
-                     part: str = "uid", hot_items: bool = False) -> DataFrame:
+                     part: str = "uid", hot_items: bool = False,
+                     hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Per full window: mean pairwise cosine distance of the available vectors
     (repeats kept). A window holds at most ``size`` rows, so the list gathered
     per window is bounded."""
@@ -54,7 +56,7 @@ def window_diversity(win_rows: DataFrame, emb: DataFrame, size: int = WINDOW_SIZ
             .filter(F.col("n") == size).drop("n"))
     u = emb.select("item_id", V.unit("normalized_embed").alias("u"),
                    (V.norm("normalized_embed") >= V.COSINE_EPS).cast("int").alias("nz"))
-    rows = join_maybe_salted(win_rows.join(full, [part, "win"], "left_semi"), u, "item_id", "inner", hot_items)
+    rows = join_maybe_salted(win_rows.join(full, [part, "win"], "left_semi"), u, "item_id", "inner", hot_items, hot_rows)
     agg = rows.groupBy(part, "win").agg(F.collect_list("u").alias("us"),
                                         F.count(F.lit(1)).alias("n_vec"), F.sum("nz").alias("n_nz"))
     return agg.select(part, "win", "n_vec",
@@ -65,7 +67,7 @@ def history_similarity(listens: DataFrame, emb: DataFrame, order_cols, k: int =
                        min_history: int = MIN_HISTORY, part: str = "uid",
                        chunk_col: str | None = None,
                        chunk_rows: int | None = HISTORY_CHUNK_ROWS,
-                       hot_items: bool = False) -> DataFrame:
+                       hot_items: bool = False, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """For each recommended listen with at least ``min_history`` organic listens
     before it: cosine between its vector and the mean vector of the last ``k``
     organic listens that have a vector. Rows without a vector, or whose history
@@ -80,7 +82,7 @@ def history_similarity(listens: DataFrame, emb: DataFrame, order_cols, k: int =
     d = running_sum(listens, part, order_cols, F.col("is_organic"), "n_org", chunk_col)
     vec = emb.select("item_id", "normalized_embed")
     org = join_maybe_salted(d.filter(F.col("is_organic") == 1).select(part, "n_org", "item_id"),
-                            vec, "item_id", "left", hot_items)
+                            vec, "item_id", "left", hot_items, hot_rows)
     if chunk_rows:
         chunk_rows = max(chunk_rows, k - 1)     # the halo reaches one block back
         home = F.floor((F.col("n_org") - 1) / chunk_rows).cast("bigint")
@@ -92,14 +94,17 @@ def history_similarity(listens: DataFrame, emb: DataFrame, order_cols, k: int =
     else:
         org = org.withColumn("__own", F.lit(True))
         w = Window.partitionBy(part).orderBy("n_org").rowsBetween(-(k - 1), 0)
+    # vectors are summed for the histories that some recommended listen asks for
+    asked = d.filter((F.col("is_organic") == 0) & (F.col("n_org") >= min_history)).select(part, "n_org").distinct()
     hist = (org.withColumn("hl", F.collect_list("normalized_embed").over(w))
             .filter(F.col("__own") & (F.size("hl") > 0))
+            .join(asked, [part, "n_org"], "left_semi")
             .select(part, "n_org", V.sum_vectors("hl").alias("hist_sum")))
     rec = join_maybe_salted(
         d.filter((F.col("is_organic") == 0) & (F.col("n_org") >= min_history))
          .select(part, "n_org", "item_id", "listen_plus", *[c for c in order_cols if c != "item_id"]),
-        vec, "item_id", "inner", hot_items)
+        vec, "item_id", "inner", hot_items, hot_rows)
     # a hot user's recommended listens between two organic ones share one n_org
-    return (join_maybe_salted(rec, hist, [part, "n_org"], "inner", chunk_col is not None)
+    return (join_maybe_salted(rec, hist, [part, "n_org"], "inner", chunk_col is not None, hot_rows)
             .withColumn("cosine_sim", V.cosine("normalized_embed", "hist_sum"))
             .drop("normalized_embed", "hist_sum"))

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from playstat.functions.flags import event_flag, position_third
 from playstat.operators.prefix import lag_value, row_index, running_sums
+from playstat.operators.skew import join_maybe_salted
+from playstat.sources.schemas import HOT_KEY_ROWS
 
 # fixed values: defaults of the session analysis
 SESSION_GAP_SEC = 30 * 60
 MIN_SESSION_LEN = 6
 DOMINATED_SHARE = 0.5
-HOT_SESSION_ROWS = 1_000_000   # sessions longer than this are salted in the join-back
-SALT_BUCKETS = 64
 
 
 def sessionize(df: DataFrame, order_cols, gap_sec: int = SESSION_GAP_SEC, time_col: str = "abs_time_sec",
@@ -37,17 +37,14 @@ def sessionize(df: DataFrame, order_cols, gap_sec: int = SESSION_GAP_SEC, time_c
 
 def session_positions(sess: DataFrame, order_cols, min_len: int = MIN_SESSION_LEN, part: str = "uid",
                       chunk_col: str | None = None, dislike_value: str = "dislike",
-                      hot_session_rows: int = HOT_SESSION_ROWS, salt: int = SALT_BUCKETS) -> DataFrame:
+                      hot_session_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Adds pos_in_session, session_len, pos_third, is_dislike, rec_share and
     rec_dominated; keeps sessions with at least ``min_len`` events and at least
     one listen (non-NULL is_organic).
 
     Per-session statistics are an aggregate joined back. When users are chunked
     (some user is hot, so a session may be too), sessions longer than
-    ``hot_session_rows`` are salted: their rows get ``idx mod salt`` and their
-    statistics row is replicated ``salt`` times, so one session is joined by
-    ``salt`` tasks. The hot-session list holds at most rows / hot_session_rows
-    entries, which bounds its broadcast."""
+    ``hot_session_rows`` are salted in that join."""
     d = sess if "__idx" in sess.columns else row_index(sess, part, order_cols, "__idx", chunk_col)
     keys = [part, "session_id"]
     stats = (d.groupBy(*keys).agg(
@@ -56,19 +53,7 @@ def session_positions(sess: DataFrame, order_cols, min_len: int = MIN_SESSION_LE
         F.avg(F.when(F.col("is_organic").isNotNull(),
                      F.when(F.col("is_organic") == 0, 1).otherwise(0))).alias("rec_share"))
         .filter((F.col("session_len") >= min_len) & F.col("rec_share").isNotNull()))
-    if chunk_col is None:
-        joined = d.join(stats, keys, "inner")
-    else:
-        hot = (stats.filter(F.col("session_len") > hot_session_rows).select(*keys)
-               .withColumn("__hot", F.lit(True)))
-        rows = (d.join(F.broadcast(hot), keys, "left")
-                .withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.col("__idx"), F.lit(salt)))
-                            .otherwise(F.lit(0)).cast("bigint")).drop("__hot"))
-        reps = (stats.join(F.broadcast(hot), keys, "left")
-                .withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salt - 1)))
-                                                .otherwise(F.array(F.lit(0))).cast("array<bigint>")))
-                .drop("__hot"))
-        joined = rows.join(reps, keys + ["__salt"], "inner").drop("__salt")
+    joined = join_maybe_salted(d, stats, keys, "inner", chunk_col is not None, hot_session_rows)
     return (joined
             .withColumn("pos_in_session", F.col("__idx") - F.col("__start"))
             .withColumn("pos_third", position_third())

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEY_ROWS = 1_000_000       # a join key with more rows than this is split
+from playstat.sources.schemas import HOT_KEY_ROWS
+
 SALT_BUCKETS = 64
 
 
@@ -18,8 +19,13 @@ def salted_join(big: DataFrame, small: DataFrame, keys, how: str = "inner",
     that list is broadcast. Rows of a hot key get a salt in [0, salt) from a
     hash of the row (deterministic under retries), and the matching ``small``
     row is replicated ``salt`` times, so a hot key is joined by ``salt`` tasks.
-    Other keys join with salt 0. ``how``: inner, left, left_semi, left_anti."""
+    Other keys join with salt 0. Without a limit (``hot_rows`` 0) every key is
+    salted, and there is no list. ``how``: inner, left, left_semi, left_anti."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if hot_rows <= 0:
+        b = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salt)))
+        s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<bigint>")))
+        return b.join(s, keys + ["__salt"], how).drop("__salt")
     hot = (big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
            .filter(F.col("__n") > hot_rows).select(*keys).withColumn("__hot", F.lit(True)))
     b = (big.join(F.broadcast(hot), keys, "left")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from playstat.session import cut_lineage
 from playstat.sources.adapters import events_bundle, lineitem_bundle
 from playstat.sources.loader import load_bundle
-from playstat.sources.schemas import Bundle
+from playstat.sources.schemas import HOT_KEY_ROWS, Bundle
 
 
 @dataclass(frozen=True)
@@ -24,7 +26,7 @@ class Params:
     eligible_min_rec: int = 1
     bootstrap_b: int = 2000
     seed: int = 42
-    hot_session_rows: int = 1_000_000
+    hot_session_rows: int = HOT_KEY_ROWS
 
 
 class Context:
@@ -38,6 +40,23 @@ class Context:
         self.spark = spark
         self._volume, self._behaviour = volume, behaviour
         self.params = params or Params()
+        self._shared: dict | None = None
+        self._lock = threading.RLock()
+
+    def sharing(self) -> "Context":
+        """A context whose ``shared`` frames are written once and read by all analyses."""
+        own = Context(self.spark, self.volume, self.behaviour, self.params)
+        own._shared = {}
+        return own
+
+    def shared(self, name: str, make):
+        """``make()``, or the frame of that name written before (see ``sharing``)."""
+        if self._shared is None:
+            return make()
+        with self._lock:
+            if name not in self._shared:
+                self._shared[name] = cut_lineage(make())
+            return self._shared[name]
 
     @staticmethod
     def _get(v):
@@ -55,8 +74,8 @@ class Context:
 
     @staticmethod
     def from_folder(spark: SparkSession, path: str, params: Params | None = None,
-                    clock: str = "cumsum") -> "Context":
-        b = load_bundle(spark, path, clock)
+                    clock: str = "cumsum", order_cols: tuple[str, ...] = ()) -> "Context":
+        b = load_bundle(spark, path, clock, order_cols)
         return Context(spark, b, b, params or Params())
 
     @staticmethod

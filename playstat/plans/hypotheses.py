@@ -86,8 +86,7 @@ def h3_cancellation(ctx):
     canc = c.filter(F.col("cancelled") == 1)
     mw = R.mann_whitney(canc, "time_to_cancel", "is_organic", 0, 1, tie_correction=False).select(
         F.col("p_two_sided").alias("time_p_value"))
-    med = R.exact_median(canc, "time_to_cancel", ["is_organic"],
-                         small=Q.E(ctx).rows_at_most(Q.SMALL_GROUP_ROWS)).agg(
+    med = R.exact_median(canc, "time_to_cancel", ["is_organic"]).agg(
         F.max(F.when(F.col("is_organic") == 0, F.col("median"))).alias("median_time_rec"),
         F.max(F.when(F.col("is_organic") == 1, F.col("median"))).alias("median_time_org"))
     w = chi.crossJoin(boot).crossJoin(mw).crossJoin(med)                     # one-row frames
@@ -110,9 +109,10 @@ def h5_length_interaction(ctx):
     coefs, _ = logit_interaction(lst)
     rows = []
     for name, (beta, z, p) in coefs.items():
-        rows += [(f"coef_{name}", beta), (f"wald_z_{name}", z), (f"p_{name}", p)]
-    conf = coefs["interaction"][0] > 0
-    return ctx.spark.createDataFrame([("H5", DESCRIPTIONS["H5"], bool(conf), m, float(v)) for m, v in rows],
+        rows += [(f"{k}_{name}", None if v is None or v != v else v)
+                 for k, v in (("coef", beta), ("wald_z", z), ("p", p))]
+    conf = (coefs["interaction"][0] or 0) > 0
+    return ctx.spark.createDataFrame([("H5", DESCRIPTIONS["H5"], conf, m, v) for m, v in rows],
                                  RESULT_SCHEMA)
 
 
@@ -164,15 +164,21 @@ def h10_asymmetry(ctx):
 def h11_diversity(ctx):
     st = Q.window_table(ctx)
     t = Q.diversity_test_df(ctx, st)
+    if Q.E(ctx).embeddings is None:               # optional source absent: entropy alone decides
+        w = t.withColumn("diversity_p_value", F.lit(None).cast("double"))
+        return _h11_result(w)
     b, win = Q._win_rows(ctx)
     from playstat.operators.sequences import window_diversity
     div = (window_diversity(win, b.embeddings, ctx.params.window_size,
-                            hot_items=b.key_is_hot("listens", "item_id"))
+                            hot_items=b.key_is_hot("listens", "item_id"), hot_rows=b.hot_key_rows)
            .join(st.select("uid", "win", "rec_dom"), ["uid", "win"])
            .withColumn("diversity", F.round("diversity", Q.RANK_DIGITS)))
     dm = R.mann_whitney(div, "diversity", "rec_dom", 1, 0).select(
         F.col("p_two_sided").alias("diversity_p_value"))
-    w = t.crossJoin(dm)                                                       # one-row frames
+    return _h11_result(t.crossJoin(dm))                                       # one-row frames
+
+
+def _h11_result(w: DataFrame) -> DataFrame:
     return result(w, "H11", (F.col("p_two_sided") < ALPHA) & (F.col("mean_rec") > F.col("mean_org")),
                   ["n1", "n2", "mean_rec", "mean_org", "p_two_sided", "diversity_p_value"])
 
@@ -190,6 +196,7 @@ def run_all(ctx, workers: int = CONCURRENT_ANALYSES) -> DataFrame:
     pipelines at once. The analyses are independent, so a few are submitted
     concurrently from driver threads; the union keeps the H1..H11 order."""
     from concurrent.futures import ThreadPoolExecutor
+    ctx = ctx.sharing()
     with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
         parts = list(pool.map(lambda h: cut_lineage(h(ctx)), ALL))
     return reduce(DataFrame.unionByName, parts)
@@ -232,4 +239,4 @@ CTX_HYPOTHESES = {
     "bootstrap_rate_diff": bootstrap_rate_diff_q,
 }
 
-HYPOTHESIS_QUERIES = {k: Q.on_testdata(f) for k, f in CTX_HYPOTHESES.items()}
+HYPOTHESIS_QUERIES = {k: Q.on_testdata(lambda ctx, f=f: Q.rounded(f(ctx))) for k, f in CTX_HYPOTHESES.items()}

@@ -49,7 +49,7 @@ EME AS (
                        WHEN 'error' THEN 'dislike' WHEN 'signup' THEN 'undislike' END AS event_type
   FROM EV),
 EMB AS (
-  SELECT CASE WHEN vec_id % 7 = 0 THEN vec_id // 7 END AS item_id, embedding AS normalized_embed
+  SELECT vec_id + 14 AS item_id, embedding AS normalized_embed
   FROM embeddings),
 EPAIR AS (
   SELECT uid, item_id, arg_max(is_organic, (ts, event_id)) AS is_organic, count(*) AS n_listens,
@@ -200,6 +200,28 @@ ORACLE["asymmetry_test"] = q(
 
 ORACLE["cancel_match"] = q("SELECT * FROM ECANCEL")
 
+ORACLE["cancellation_rate_by_group"] = q(
+    "SELECT is_organic, count(*) AS dislikes, CAST(sum(cancelled) AS BIGINT) AS cancelled, avg(cancelled) AS cancel_rate "
+    "FROM ECANCEL GROUP BY is_organic", ["cancel_rate"])
+
+# dislikes and undislikes on one clock of deltas
+CUMSUM = f"""
+CTIME AS (
+  SELECT uid, item_id, raw_type, CAST(event_id % 2 AS INTEGER) AS is_organic,
+         CAST(5 * SUM(event_id % 5 + 1) OVER (PARTITION BY uid ORDER BY {E_ORDER}
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS abs_time_sec
+  FROM EV WHERE raw_type IN ('error', 'signup')),
+CCANCEL AS (
+  SELECT d.uid, d.item_id, d.abs_time_sec, d.is_organic,
+         MAX(CASE WHEN u.abs_time_sec IS NOT NULL THEN 1 ELSE 0 END) AS cancelled,
+         MIN(u.abs_time_sec) - d.abs_time_sec AS time_to_cancel
+  FROM (SELECT * FROM CTIME WHERE raw_type = 'error') d LEFT JOIN (SELECT * FROM CTIME WHERE raw_type = 'signup') u
+    ON d.uid = u.uid AND d.item_id = u.item_id AND u.abs_time_sec > d.abs_time_sec
+  GROUP BY d.uid, d.item_id, d.abs_time_sec, d.is_organic)
+"""
+ORACLE["cancel_match_cumsum"] = q("SELECT * FROM CCANCEL", extra_ctes=CUMSUM)
+ORACLE["contingency_cancel_cumsum"] = q(contingency_sql("CCANCEL", "cancelled"), extra_ctes=CUMSUM)
+
 ORACLE["time_to_cancel"] = q(
     "SELECT is_organic, count(*) AS n_cancelled, quantile_cont(time_to_cancel, 0.5) AS median_time, "
     "avg(time_to_cancel) AS mean_time FROM ECANCEL WHERE cancelled = 1 GROUP BY is_organic",
@@ -236,8 +258,9 @@ ORACLE["session_rec_share"] = q(
     "SELECT DISTINCT uid, session_id, session_len, rec_share, rec_dominated FROM POS2", ["rec_share"],
     extra_ctes=SESS)
 ORACLE["dislike_by_third"] = q(
-    "SELECT rec_dominated, pos_third, avg(is_dislike) AS p_dislike, count(*) AS n FROM POS2 GROUP BY ALL",
-    ["p_dislike"], extra_ctes=SESS)
+    "SELECT rec_dominated, pos_third, avg(is_dislike) AS p_dislike, count(*) AS n, "
+    "stddev_samp(is_dislike) AS sd_dislike FROM POS2 GROUP BY ALL",
+    ["p_dislike", "sd_dislike"], extra_ctes=SESS)
 _z = "(CASE WHEN se > 0 THEN (p_end - p_begin) / se END)"
 ORACLE["session_fatigue"] = q(
     f"SELECT p_end, n_end, p_begin, n_begin, {_z} AS z, {p_two(_z)} AS p_value FROM ("
@@ -323,6 +346,12 @@ ORACLE["zscore_stats"] = q(
     f"FROM {L_COMPLETE}",
     ["is_organic_mean", "is_organic_std", "track_length_seconds_mean", "track_length_seconds_std"])
 
+ORACLE["zscore_columns"] = q(
+    "SELECT (is_organic - mo) / so AS s_is_organic, (track_length_seconds - mt) / st AS s_track_length_seconds, "
+    f"count(*) AS n FROM {L_COMPLETE}, (SELECT avg(is_organic) mo, stddev_samp(is_organic) so, "
+    f"avg(track_length_seconds) mt, stddev_samp(track_length_seconds) st FROM {L_COMPLETE}) GROUP BY ALL",
+    ["s_is_organic", "s_track_length_seconds"])
+
 ORACLE["avg_ranks"] = q(
     "SELECT played_ratio_pct, n, CAST(sum(n) OVER (ORDER BY played_ratio_pct ROWS UNBOUNDED PRECEDING) AS DOUBLE) "
     "- n + (n + 1) / 2.0 AS avg_rank FROM (SELECT played_ratio_pct, count(*) AS n FROM L "
@@ -438,3 +467,41 @@ ORACLE["diversity_test"] = q(
                                 "entropy", "rec_dom", 1, 0, "n1 n2 u1 z p_two_sided") + ") m, "
     "(SELECT avg(entropy) FILTER (WHERE rec_share > 0.5) AS mean_rec, avg(entropy) FILTER (WHERE rec_share <= 0.5) "
     "AS mean_org FROM WS) w", ["u1", "z", "p_two_sided", "mean_rec", "mean_org"], extra_ctes=WIN)
+
+
+# ---------------------------------------------------------------- analyses in long form
+
+def result_sql(wide: str, hid: str, confirmed: str, metrics: str) -> str:
+    """(id, description, confirmed, metric, value) rows of a one-row table of metrics."""
+    from playstat.plans.hypotheses import DESCRIPTIONS
+    names = metrics.split()
+    listed = ", ".join(f"'{m}'" for m in names)
+    values = ", ".join(f"CAST({m} AS DOUBLE)" for m in names)
+    return (f"SELECT id, description, confirmed, metric, round(value, 6) AS value FROM (SELECT '{hid}' AS id, "
+            f"'{DESCRIPTIONS[hid]}' AS description, coalesce({confirmed}, false) AS confirmed, "
+            f"unnest([{listed}]) AS metric, unnest([{values}]) AS value FROM ({wide}))")
+
+
+ORACLE["h1_listen_plus"] = q(result_sql(
+    mwu_sql("L", "played_ratio_pct", "is_organic", 0, 1, "n1 n2 u1 z p_less p_two_sided r_rank_biserial"), "H1",
+    "p_less < 0.05 AND r_rank_biserial < 0", "n1 n2 u1 z p_less r_rank_biserial"))
+ORACLE["h4_correlation"] = result_sql(
+    ORACLE["fisher_z"], "H4", "p_value < 0.05 AND rho_rec < rho_org", "rho_rec rho_org n_rec n_org z p_value")
+_EXCL = ORACLE["rewind_rate_excl_top"]
+ORACLE["h6_rewind"] = result_sql(
+    "SELECT *, CASE WHEN rec_pos * org_neg > 0 THEN CAST(org_pos AS DOUBLE) * rec_neg / (CAST(rec_pos AS DOUBLE) * org_neg) "
+    "WHEN org_pos * rec_neg > 0 THEN CAST('inf' AS DOUBLE) END AS or_org_over_rec "
+    f"FROM ({ORACLE['chi2_rewind']}) c, (SELECT max(rewind_rate) FILTER (WHERE is_organic = 0) AS rate_rec_excl_top, "
+    f"max(rewind_rate) FILTER (WHERE is_organic = 1) AS rate_org_excl_top FROM ({_EXCL})) x", "H6",
+    "p_value < 0.05 AND or_org_over_rec > 1", "chi2 p_value or_org_over_rec rate_rec_excl_top rate_org_excl_top")
+ORACLE["h7_session_fatigue"] = result_sql(
+    ORACLE["session_fatigue"], "H7", "p_value < 0.05 AND p_end > p_begin", "p_end n_end p_begin n_begin z p_value")
+ORACLE["h10_asymmetry"] = result_sql(
+    ORACLE["asymmetry_test"], "H10", "confirmed",
+    "p_like_adj p_dislike_adj like_rec like_org dislike_rec dislike_org")
+_DIVP = q(mwu_sql("(SELECT round(PC.diversity, 9) AS diversity, CASE WHEN WS.rec_share > 0.5 THEN 1 ELSE 0 END AS rec_dom "
+                  "FROM WN LEFT JOIN PC USING (uid, win) JOIN WS USING (uid, win))", "diversity", "rec_dom", 1, 0,
+                  "p_two_sided"), extra_ctes=DIV)
+ORACLE["h11_diversity"] = result_sql(
+    f"SELECT t.*, d.p_two_sided AS diversity_p_value FROM ({ORACLE['diversity_test']}) t, ({_DIVP}) d", "H11",
+    "p_two_sided < 0.05 AND mean_rec > mean_org", "n1 n2 mean_rec mean_org p_two_sided diversity_p_value")

@@ -18,8 +18,8 @@ from playstat.operators import ranks as R
 from playstat.operators import sequences as Q
 from playstat.operators import sessions as S
 from playstat.operators import tests as TS
-from playstat.operators.enrich import clocked, enrich_listens, reconstruct_time
-from playstat.operators.models import zscore_stats
+from playstat.operators.enrich import clocked, clocked_together, enrich_listens, reconstruct_time, with_flags
+from playstat.operators.models import add_zscores, zscore_stats
 from playstat.operators.prefix import global_prefix
 from playstat.operators.sampling import hash_sample, sample_to_target
 from playstat.operators.skew import join_maybe_salted
@@ -47,7 +47,7 @@ def L(ctx):
     return ctx.volume
 
 
-def E(ctx, emb=True):
+def E(ctx):
     return ctx.behaviour
 
 
@@ -63,13 +63,13 @@ def e_enriched(ctx, clock=False):
 
 def e_pairs(ctx):
     b, lst = e_enriched(ctx)
-    return b, I.pair_agg(lst, b.order_cols)
+    return b, ctx.shared("pairs", lambda: I.pair_agg(lst, b.order("listens")))
 
 
 # ---------------------------------------------------------------- A: sources
 
 def table_profile(ctx):
-    b = E(ctx, emb=False)
+    b = E(ctx)
     parts = [getattr(b, t).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("row_count"),
                                F.count_distinct("uid").alias("distinct_uid"))
              for t in ("listens", "likes", "dislikes", "undislikes", "multi_event")]
@@ -89,7 +89,7 @@ def needed_embeddings(ctx):
 
 def reconstruct_time_q(ctx):
     b = L(ctx)
-    r = reconstruct_time(b.listens, b.order_cols, b.clock, chunk_col=b.chunk_for("listens"))
+    r = reconstruct_time(b.table("listens"), b.order("listens"), b.clock, chunk_col=b.chunk_for("listens"))
     return r.select("uid", "item_id", "l_orderkey", "l_linenumber", "l_suppkey", "abs_time_sec")
 
 
@@ -99,28 +99,21 @@ def enrich_listens_q(ctx):
                       "abs_time_sec", "listen_plus", "length_bucket")
 
 
-# rows up to which a group's values may sit in one task (exact percentile buffer)
-SMALL_GROUP_ROWS = 4_000_000
-
-
 def listen_plus_by_group(ctx):
-    b, lst = l_enriched(ctx)
+    _, lst = l_enriched(ctx)
     base = lst.filter(F.col("played_ratio_pct").isNotNull())
     g = base.groupBy("is_organic").agg(
         F.count(F.lit(1)).alias("total"), F.sum("listen_plus").alias("lp_count"),
         F.avg("listen_plus").alias("lp_rate"), F.avg("played_ratio_pct").alias("mean_ratio"))
-    # exact median: one buffer per group when the table is small, else from the
-    # distributed value histogram
-    med = R.exact_median(base, "played_ratio_pct", ["is_organic"], "median_ratio",
-                         small=b.rows_at_most(SMALL_GROUP_ROWS))
-    return rounded(g.join(med, "is_organic"))
+    med = R.exact_median(base, "played_ratio_pct", ["is_organic"], "median_ratio")
+    return rounded(g.join(med, "is_organic").orderBy("is_organic"))
 
 
 def listen_plus_by_bucket(ctx):
     _, lst = l_enriched(ctx)
     return rounded(lst.filter(F.col("played_ratio_pct").isNotNull())
                    .groupBy("length_bucket", "is_organic")
-                   .agg(F.avg("listen_plus").alias("lp_rate"), F.count(F.lit(1)).alias("n")))
+                   .agg(F.avg("listen_plus").alias("lp_rate"), F.count(F.lit(1)).alias("n"))).orderBy("length_bucket", "is_organic")
 
 
 def listen_plus_by_len6(ctx):
@@ -129,7 +122,7 @@ def listen_plus_by_len6(ctx):
                               & F.col("track_length_seconds").isNotNull())
                    .withColumn("len_bucket", length_bucket6())
                    .groupBy("len_bucket", "is_organic")
-                   .agg(F.avg("listen_plus").alias("lp_rate"), F.count(F.lit(1)).alias("n")))
+                   .agg(F.avg("listen_plus").alias("lp_rate"), F.count(F.lit(1)).alias("n"))).orderBy("len_bucket", "is_organic")
 
 
 def _l_rewind(ctx):
@@ -141,7 +134,7 @@ def rewind_rate_by_group(ctx):
     lst = _l_rewind(ctx)
     return rounded(lst.groupBy("is_organic").agg(
         F.count(F.lit(1)).alias("total"), F.sum("rewind").alias("rewind_count"),
-        F.avg("rewind").alias("rewind_rate")))
+        F.avg("rewind").alias("rewind_rate"))).orderBy("is_organic")
 
 
 def _top_users(lst):
@@ -155,9 +148,10 @@ def top_fraction_users(ctx):
 
 def rewind_rate_excl_top(ctx):
     lst = _l_rewind(ctx)
-    rest = I.exclude_users(lst, _top_users(lst), hot=L(ctx).key_is_hot("listens", "uid"))
+    b = L(ctx)
+    rest = I.exclude_users(lst, _top_users(lst), hot=b.key_is_hot("listens", "uid"), hot_rows=b.hot_key_rows)
     return rounded(rest.groupBy("is_organic").agg(F.count(F.lit(1)).alias("total"),
-                                                  F.avg("rewind").alias("rewind_rate")))
+                                                  F.avg("rewind").alias("rewind_rate"))).orderBy("is_organic")
 
 
 # ---------------------------------------------------------------- C/D: pairs and flags
@@ -181,14 +175,14 @@ def like_dislike_rates(ctx):
     h = _like_dislike(ctx)
     return rounded(h.groupBy("is_organic").agg(F.count(F.lit(1)).alias("pairs"),
                                                F.avg("liked").alias("like_rate"),
-                                               F.avg("disliked").alias("dislike_rate")))
+                                               F.avg("disliked").alias("dislike_rate"))).orderBy("is_organic")
 
 
 def asymmetry_ratio(ctx):
     h = _like_dislike(ctx)
     g = h.groupBy("is_organic").agg(F.avg("liked").alias("like_rate"),
                                     F.avg("disliked").alias("dislike_rate"))
-    return rounded(g.withColumn("asymmetry_ratio", F.try_divide("dislike_rate", "like_rate")))
+    return rounded(g.withColumn("asymmetry_ratio", F.try_divide("dislike_rate", "like_rate"))).orderBy("is_organic")
 
 
 def contingency_like(ctx):
@@ -204,8 +198,8 @@ def contingency_rewind(ctx):
 
 
 def _cancel(ctx):
-    b = E(ctx, emb=False)
-    return I.cancel_match(clocked(b, "dislikes"), clocked(b, "undislikes"))
+    b = E(ctx)
+    return I.cancel_match(*clocked_together(b, "dislikes", "undislikes"))
 
 
 def contingency_cancel(ctx):
@@ -260,17 +254,39 @@ def time_to_cancel(ctx):
     c = _cancel(ctx).filter(F.col("cancelled") == 1)
     g = c.groupBy("is_organic").agg(F.count(F.lit(1)).alias("n_cancelled"),
                                     F.avg("time_to_cancel").alias("mean_time"))
-    med = R.exact_median(c, "time_to_cancel", ["is_organic"], "median_time",
-                         small=E(ctx).rows_at_most(SMALL_GROUP_ROWS))
-    return rounded(g.join(med, "is_organic"))
+    med = R.exact_median(c, "time_to_cancel", ["is_organic"], "median_time")
+    return rounded(g.join(med, "is_organic").orderBy("is_organic"))
+
+
+def cancellation_rate_by_group(ctx):
+    return rounded(_cancel(ctx).groupBy("is_organic").agg(
+        F.count(F.lit(1)).alias("dislikes"), F.sum("cancelled").alias("cancelled"),
+        F.avg("cancelled").alias("cancel_rate")).orderBy("is_organic"))
+
+
+def _cumsum_ctx(ctx):
+    """The events view with per-user deltas (1 to 5 units) for dislikes and undislikes."""
+    b = E(ctx)
+    delta = F.col("event_id") % 5 + 1
+    b = b.with_(clock="cumsum", dislikes=b.dislikes.withColumn("timestamp", delta),
+                undislikes=b.undislikes.withColumn("timestamp", delta))
+    return Context.from_bundle(ctx.spark, b, ctx.params)
+
+
+def cancel_match_cumsum(ctx):
+    return _cancel(_cumsum_ctx(ctx))
+
+
+def contingency_cancel_cumsum(ctx):
+    return contingency_cancel(_cumsum_ctx(ctx))
 
 
 # ---------------------------------------------------------------- E: sessions
 
 def _sessions(ctx, with_index=False):
-    b = E(ctx, emb=False)
+    b = E(ctx)
     me = clocked(b, "multi_event")
-    return b, S.sessionize(me, b.order_cols, gap_sec=ctx.params.session_gap, chunk_col=b.chunk_for("multi_event"),
+    return b, S.sessionize(me, b.order("multi_event"), gap_sec=ctx.params.session_gap, chunk_col=b.chunk_for("multi_event"),
                            with_index=with_index)
 
 
@@ -281,7 +297,7 @@ def sessionize_q(ctx):
 
 def _positions(ctx):
     b, s = _sessions(ctx, with_index=True)
-    return S.session_positions(s, b.order_cols, min_len=ctx.params.min_session_len,
+    return S.session_positions(s, b.order("multi_event"), min_len=ctx.params.min_session_len,
                                chunk_col=b.chunk_for("multi_event"),
                                hot_session_rows=ctx.params.hot_session_rows)
 
@@ -299,7 +315,8 @@ def session_rec_share(ctx):
 def dislike_by_third(ctx):
     p = _positions(ctx)
     return rounded(p.groupBy("rec_dominated", "pos_third").agg(
-        F.avg("is_dislike").alias("p_dislike"), F.count(F.lit(1)).alias("n")))
+        F.avg("is_dislike").alias("p_dislike"), F.count(F.lit(1)).alias("n"),
+        F.stddev_samp("is_dislike").alias("sd_dislike")).orderBy("rec_dominated", "pos_third"))
 
 
 def session_fatigue_df(ctx):
@@ -361,7 +378,7 @@ def _rec_quartile(ctx):
 def listen_plus_by_quartile(ctx):
     _, r = _rec_quartile(ctx)
     return rounded(r.groupBy("activity_quartile").agg(F.avg("listen_plus").alias("lp_rate"),
-                                                      F.count(F.lit(1)).alias("n")))
+                                                      F.count(F.lit(1)).alias("n"))).orderBy("activity_quartile")
 
 
 def like_rate_by_quartile(ctx):
@@ -369,7 +386,7 @@ def like_rate_by_quartile(ctx):
     pairs = r.groupBy("uid", "item_id", "activity_quartile").agg(F.count(F.lit(1)).alias("n"))
     h = I.flag_join(pairs, b.likes, "liked")
     return rounded(h.groupBy("activity_quartile").agg(F.avg("liked").alias("like_rate"),
-                                                      F.count(F.lit(1)).alias("pairs")))
+                                                      F.count(F.lit(1)).alias("pairs"))).orderBy("activity_quartile")
 
 
 def trend_spearman(ctx):
@@ -385,6 +402,13 @@ def zscore_stats_q(ctx):
     return rounded(zscore_stats(lst, ["is_organic", "track_length_seconds"]))
 
 
+def zscore_columns(ctx):
+    b = L(ctx)
+    lst = b.listens.filter(F.col("played_ratio_pct").isNotNull() & F.col("track_length_seconds").isNotNull())
+    z = add_zscores(lst, ["is_organic", "track_length_seconds"])
+    return rounded(z.groupBy("s_is_organic", "s_track_length_seconds").agg(F.count(F.lit(1)).alias("n")))
+
+
 def avg_ranks_q(ctx):
     b = L(ctx)
     h = R.value_histogram(b.listens, "played_ratio_pct")
@@ -428,13 +452,13 @@ def fisher_z_q(ctx):
 # ---------------------------------------------------------------- F: sampling
 
 def hash_sample_q(ctx):
-    b = E(ctx, emb=False)
+    b = E(ctx)
     users = b.listens.select("uid").distinct()
     return hash_sample(users, "uid", SAMPLE_FRACTION, SAMPLE_SEED)
 
 
 def sample_to_target_q(ctx):
-    b = E(ctx, emb=False)
+    b = E(ctx)
     s = sample_to_target(b.listens, "event_id", SAMPLE_TARGET, SAMPLE_SEED)
     return s.select("event_id", "uid", "item_id")
 
@@ -446,7 +470,7 @@ def _eligible(lst, p):
 
 
 def eligible_users(ctx):
-    b = E(ctx, emb=False)
+    b = E(ctx)
     return _eligible(b.listens, ctx.params)
 
 
@@ -460,12 +484,13 @@ def sampled_user_history(ctx):
 # ---------------------------------------------------------------- vectors and windows
 
 def _history(ctx):
-    b, lst = e_enriched(ctx)
+    b, _ = e_enriched(ctx)
+    lst = with_flags(b.table("listens"))
     lst = join_maybe_salted(lst, _eligible(lst, ctx.params).select("uid"), "uid", "left_semi",
                             b.key_is_hot("listens", "uid"), b.hot_key_rows)
-    return Q.history_similarity(lst, b.embeddings, b.order_cols, k=ctx.params.history_len,
+    return Q.history_similarity(lst, b.embeddings, b.order("listens"), k=ctx.params.history_len,
                                 min_history=ctx.params.min_history, chunk_col=b.chunk_for("listens"),
-                                hot_items=b.key_is_hot("listens", "item_id"))
+                                hot_items=b.key_is_hot("listens", "item_id"), hot_rows=b.hot_key_rows)
 
 
 def history_similarity(ctx):
@@ -483,8 +508,9 @@ def history_spearman(ctx):
 
 
 def _win_rows(ctx):
-    b, lst = e_enriched(ctx)
-    return b, Q.sliding_count_windows(lst, b.order_cols, ctx.params.window_size, ctx.params.window_step,
+    b = E(ctx)
+    lst = with_flags(b.table("listens"))
+    return b, Q.sliding_count_windows(lst, b.order("listens"), ctx.params.window_size, ctx.params.window_step,
                                        chunk_col=b.chunk_for("listens"))
 
 
@@ -502,7 +528,7 @@ def window_entropy(ctx):
 def window_cosine_diversity(ctx):
     b, w = _win_rows(ctx)
     return rounded(Q.window_diversity(w, b.embeddings, ctx.params.window_size,
-                                      hot_items=b.key_is_hot("listens", "item_id")))
+                                      hot_items=b.key_is_hot("listens", "item_id"), hot_rows=b.hot_key_rows))
 
 
 def window_table(ctx) -> DataFrame:
@@ -553,6 +579,9 @@ CTX_QUERIES = {
     "chi2_cancel": chi2_cancel,
     "asymmetry_test": asymmetry_test,
     "cancel_match": cancel_match_q,
+    "cancel_match_cumsum": cancel_match_cumsum,
+    "contingency_cancel_cumsum": contingency_cancel_cumsum,
+    "cancellation_rate_by_group": cancellation_rate_by_group,
     "time_to_cancel": time_to_cancel,
     "sessionize": sessionize_q,
     "session_position": session_position,
@@ -565,6 +594,7 @@ CTX_QUERIES = {
     "like_rate_by_quartile": like_rate_by_quartile,
     "trend_spearman": trend_spearman,
     "zscore_stats": zscore_stats_q,
+    "zscore_columns": zscore_columns,
     "avg_ranks": avg_ranks_q,
     "mann_whitney_less": mann_whitney_less,
     "mann_whitney_two_sided": mann_whitney_two_sided,

@@ -29,6 +29,7 @@ def parse(argv=None):
     p = argparse.ArgumentParser(description=__doc__.split("\n")[0])
     p.add_argument("--data-dir", required=True)
     p.add_argument("--clock", choices=["cumsum", "absolute"], default="cumsum")
+    p.add_argument("--order-cols", default="", help="comma-separated columns that order a user's events")
     p.add_argument("--out", default=None, help="folder for the results parquet")
     d = Params()
     p.add_argument("--session-gap", type=int, default=d.session_gap)
@@ -44,7 +45,8 @@ def main(argv=None, spark: SparkSession | None = None):
     ensure_checkpoint_dir(spark)
     params = Params(session_gap=a.session_gap, window_size=a.window_size, window_step=a.window_step,
                     seed=a.seed)
-    ctx = Context.from_folder(spark, a.data_dir, params, clock=a.clock)
+    ctx = Context.from_folder(spark, a.data_dir, params, clock=a.clock,
+                              order_cols=tuple(c for c in a.order_cols.split(",") if c))
     res = H.run_all(ctx)                      # checkpointed, small
     if a.out:
         res.write.mode("overwrite").parquet(a.out)

@@ -25,27 +25,15 @@ from playstat.sources.schemas import Bundle
 LISTEN_TYPES = ("view", "click")
 EVENT_TYPE_MAP = {"view": "listen", "click": "listen", "purchase": "like",
                   "error": "dislike", "signup": "undislike"}
-VECTOR_ID_FACTOR = 7          # item i owns vector vec_id = 7 * i
+VECTOR_ID_SHIFT = 14          # vector v belongs to item v + 14; items below 14 have none
 NULL_RATIO_EVERY = 53         # every 53rd listen (by event_id) has no ratio
 
 L_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "item_id", "l_suppkey", "l_extendedprice")
 E_ORDER = ("ts", "event_id")
 
 
-_READS: dict = {}
-
-
 def _pq(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Base table definition, cached per Spark application and path (schema and
-    file listing are resolved once; every execution still scans the files)."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001  (no SparkContext, e.g. Spark Connect)
-        return spark.read.parquet(join_path(sf_dir, f"{name}.parquet"))
-    key = (app, join_path(sf_dir, f"{name}.parquet"))
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(key[1])
-    return _READS[key]
+    return spark.read.parquet(join_path(sf_dir, f"{name}.parquet"))
 
 
 def lineitem_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
@@ -66,11 +54,10 @@ def lineitem_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
         F.when((F.col("l_returnflag") == "R") & (ln == 6), F.lit(None).cast("double"))
          .otherwise((F.col("p_size") * 12).cast("double")).alias("track_length_seconds"),
         "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
-        F.to_date("l_shipdate").alias("day"),
     )
     # every listen is one lineitem row (inner joins on keys): the parquet row
     # count (footer metadata) bounds the rows of any user
-    return Bundle(listens=listens, order_cols=L_ORDER, chunk_col="day", clock="cumsum",
+    return Bundle(listens=listens, order_cols=L_ORDER, clock="cumsum",
                   bound_source=li)
 
 
@@ -84,14 +71,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 5000000")
          .alias("timestamp"),
         F.col("event_type").alias("raw_type"), "value",
-        F.to_date("ts").alias("day"),
     )
 
 
 def events_bundle(spark: SparkSession, sf_dir: str, with_embeddings: bool = True) -> Bundle:
     ev = _events(spark, sf_dir)
     organic = (F.col("event_id") % 2).cast("int")
-    keys = ["uid", "item_id", "timestamp", "ts", "event_id", "day"]
+    keys = ["uid", "item_id", "timestamp", "ts", "event_id"]
     listens = ev.filter(F.col("raw_type").isin(*LISTEN_TYPES)).select(
         *keys, organic.alias("is_organic"),
         F.when(F.col("event_id") % NULL_RATIO_EVERY == 0, F.lit(None).cast("double"))
@@ -109,9 +95,7 @@ def events_bundle(spark: SparkSession, sf_dir: str, with_embeddings: bool = True
     emb = None
     if with_embeddings:
         emb = _pq(spark, sf_dir, "embeddings").select(
-            F.when(F.col("vec_id") % VECTOR_ID_FACTOR == 0,
-                   F.col("vec_id") / VECTOR_ID_FACTOR).cast("bigint").alias("item_id"),
+            (F.col("vec_id") + VECTOR_ID_SHIFT).alias("item_id"),
             F.col("embedding").cast("array<float>").alias("normalized_embed"))
     return Bundle(listens=listens, likes=likes, dislikes=dislikes, undislikes=undislikes,
-                  multi_event=multi, embeddings=emb, order_cols=E_ORDER, chunk_col="day",
-                  clock="absolute", bound_source=ev)
+                  multi_event=multi, embeddings=emb, order_cols=E_ORDER, clock="absolute", bound_source=ev)

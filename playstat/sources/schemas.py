@@ -19,7 +19,10 @@ UNDISLIKES = {"uid": L, "item_id": L, "timestamp": L}
 UNLIKES = {"uid": L, "item_id": L, "timestamp": L}
 EMBEDDINGS = {"item_id": L, "normalized_embed": T.ArrayType(T.FloatType())}
 
-HOT_KEY_ROWS = 4_000_000      # rows one task sorts comfortably in a per-user window
+HOT_KEY_ROWS = 1_000_000      # the row budget: rows of one key that one task takes
+
+CHUNK = "order_range"         # column of the ranges that a hot table is cut into
+MIN_CHUNK_ROWS = 64           # a smaller budget (tests force one) cuts no finer
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("id", S, False),
@@ -34,10 +37,8 @@ RESULT_SCHEMA = T.StructType([
 class Bundle:
     """Immutable set of domain tables. Transforms return new bundles.
 
-    ``order_cols`` is a total order of one user's events (the clock and every
-    sequence operator sort by it). ``chunk_col`` is an optional coarse column,
-    monotone in ``order_cols`` within a user (e.g. the event day); sequence
-    operators use it to split a very active user's history over many tasks.
+    ``order_cols`` orders one user's events (the clock and every sequence operator
+    sort by it, see ``order``).
     """
     listens: DataFrame
     likes: DataFrame | None = None
@@ -47,12 +48,12 @@ class Bundle:
     multi_event: DataFrame | None = None
     embeddings: DataFrame | None = None
     order_cols: tuple[str, ...] = ("timestamp",)
-    chunk_col: str | None = None
+    # False: a table's other columns break ties (see ``order``)
+    order_is_total: bool = True
     # "cumsum": ``timestamp`` holds per-user deltas (clock = running sum);
     # "absolute": ``timestamp`` already is the time in clock units
     clock: str = "cumsum"
-    # per-user row count above which a user's scans are split by ``chunk_col``
-    # (0: always split)
+    # rows of a key above which its scans and joins are split (0: always split)
     hot_key_rows: int = HOT_KEY_ROWS
     # a frame whose row count bounds the rows of any table (counted lazily, on
     # the first hot-key check); at or below hot_key_rows no key can be hot
@@ -85,9 +86,32 @@ class Bundle:
             self._chunk_cache[(table, key)] = (top.m or 0) > self.hot_key_rows
         return self._chunk_cache[(table, key)]
 
+    def order(self, name: str) -> tuple[str, ...]:
+        """Total order of one user's rows in a table, up to equal rows."""
+        if self.order_is_total:
+            return self.order_cols
+        rest = [c for c in getattr(self, name).columns if c not in self.order_cols and c != "uid"]
+        return (*self.order_cols, *rest)
+
+    def table(self, name: str) -> DataFrame:
+        """The table; with a ``CHUNK`` column if some user of it is hot.
+
+        A hot table is cut into ranges of (uid, order) of about ``hot_key_rows``
+        rows and written once. The range number is the chunk: it is monotone in a
+        user's order, so a hot user is spread over many chunks whatever the days or
+        deltas of its events are, and no chunk of a user exceeds its range."""
+        df = getattr(self, name)
+        if not self.key_is_hot(name):
+            return df
+        if name not in self._chunk_cache:
+            from pyspark.sql import functions as F
+
+            from playstat.session import cut_lineage
+            ranges = max(2, -(-df.count() // max(self.hot_key_rows, MIN_CHUNK_ROWS)))
+            self._chunk_cache[name] = cut_lineage(
+                df.repartitionByRange(ranges, "uid", *self.order(name)).withColumn(CHUNK, F.spark_partition_id()))
+        return self._chunk_cache[name]
+
     def chunk_for(self, table: str = "listens", part: str = "uid") -> str | None:
-        """``chunk_col`` if some user of ``table`` is hot, else None (one plain
-        window per user is cheaper then)."""
-        if self.chunk_col is None:
-            return None
-        return self.chunk_col if self.key_is_hot(table, part) else None
+        """``CHUNK`` if ``table()`` has it, else None (one plain window per user is cheaper then)."""
+        return CHUNK if self.key_is_hot(table, part) else None

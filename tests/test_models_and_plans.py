@@ -31,8 +31,10 @@ def test_hash_sample_is_partition_independent(spark):
     a = {r.uid for r in hash_sample(df, "uid", 0.3).collect()}
     b = {r.uid for r in hash_sample(df.repartition(7), "uid", 0.3).collect()}
     assert a == b and 1300 < len(a) < 1700
-    s = sample_to_target(df, "uid", 100)
-    assert s.count() == 100
+    few = spark.range(1000).withColumnRenamed("id", "uid")
+    for seed in range(100):
+        assert sample_to_target(few, "uid", 20, seed).count() == 20
+    assert sample_to_target(few, "uid", 5000).count() == 1000
 
 
 def test_sessions_plan_has_no_single_partition_exchange(spark):
@@ -40,16 +42,18 @@ def test_sessions_plan_has_no_single_partition_exchange(spark):
     from playstat.operators.enrich import clocked
     from playstat.operators.sessions import sessionize, session_positions
     b = events_bundle(spark, "/root/testdata/sf0.001", with_embeddings=False)
-    s = session_positions(sessionize(clocked(b, "multi_event"), b.order_cols, chunk_col=b.chunk_col),
-                          b.order_cols, chunk_col=b.chunk_col)
+    s = session_positions(sessionize(clocked(b, "multi_event"), b.order_cols, chunk_col=None),
+                          b.order_cols, chunk_col=None)
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
 
 
 def test_registered_queries_have_oracles_or_are_rows_only():
-    import __spark_entry__ as E
-    q, o = E.queries(), E.oracle_sql()
+    from playstat.plans.hypotheses import HYPOTHESIS_QUERIES
+    from playstat.plans.oracle import ORACLE
+    from playstat.plans.queries import REGISTRY
+    q, o = {**REGISTRY, **HYPOTHESIS_QUERIES}, ORACLE
     assert set(o) <= set(q)
     assert len(o) >= 50
 
@@ -61,9 +65,10 @@ def test_entry_runs(spark):
 
 
 def test_every_registered_query_runs(spark):
-    import __spark_entry__ as E
+    from playstat.plans.hypotheses import HYPOTHESIS_QUERIES
+    from playstat.plans.queries import REGISTRY
     failed = {}
-    for key, f in E.queries().items():
+    for key, f in {**REGISTRY, **HYPOTHESIS_QUERIES}.items():
         try:
             f(spark, "/root/testdata/sf0.001").collect()
         except Exception as e:  # noqa: BLE001

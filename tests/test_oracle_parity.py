@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from playstat.plans.oracle import ORACLE
+from playstat.sources.schemas import CHUNK
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["part", "orders", "lineitem", "events", "embeddings"]
@@ -15,7 +17,7 @@ SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType
 
 def test_types_match_for_every_oracle_key(spark, con):
     bad = {}
-    for key, sql in E.oracle_sql().items():
+    for key, sql in ORACLE.items():
         df = E.queries()[key](spark, SF)
         st = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
         rel = con.sql(sql)
@@ -28,7 +30,9 @@ def test_types_match_for_every_oracle_key(spark, con):
 KEYS = ["table_profile", "enrich_listens", "listen_plus_by_group", "top_fraction_users", "pair_agg",
         "chi2_dislike", "cancel_match", "sessionize", "session_position", "activity_cutpoints",
         "mann_whitney_less", "spearman_by_group", "history_similarity", "window_entropy",
-        "window_cosine_diversity"]
+        "window_cosine_diversity", "cancel_match_cumsum", "contingency_cancel_cumsum", "cancellation_rate_by_group",
+        "dislike_by_third", "zscore_columns", "avg_ranks", "trend_spearman", "history_spearman", "h1_listen_plus",
+        "h4_correlation", "h6_rewind", "h7_session_fatigue", "h10_asymmetry", "h11_diversity"]
 
 
 def _norm(rows, cols):
@@ -86,7 +90,7 @@ def test_parity_with_forced_chunking(spark, con, key):
     # every user chunked, every session of more than 5 rows salted
     ctx = Context(spark, base.volume.with_(hot_key_rows=0), base.behaviour.with_(hot_key_rows=0),
                   replace(base.params, hot_session_rows=5))
-    assert ctx.behaviour.chunk_for("multi_event") == "day"
+    assert ctx.behaviour.chunk_for("multi_event") == CHUNK
     df = CTX_QUERIES[key](ctx)
     cur = con.execute(E.oracle_sql()[key])
     ocols = [c[0] for c in cur.description]
@@ -97,4 +101,4 @@ def test_chunking_is_size_checked(spark):
     from playstat.sources.adapters import events_bundle
     b = events_bundle(spark, SF, with_embeddings=False)
     assert b.chunk_for("listens") is None                 # < 100 events per user
-    assert b.with_(hot_key_rows=10).chunk_for("listens") == "day"
+    assert b.with_(hot_key_rows=10).chunk_for("listens") == CHUNK

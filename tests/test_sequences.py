@@ -39,7 +39,7 @@ def test_global_prefix_matches_cumsum(spark):
     rnd = random.Random(2)
     keys = rnd.sample(range(100000), 3000)
     df = spark.createDataFrame([(k, rnd.randint(1, 5)) for k in keys], "k long, w long")
-    got = {r.k: r.cum_before for r in global_prefix(df, "k", "w", n_buckets=16, single_max_rows=0).collect()}
+    got = {r.k: r.cum_before for r in global_prefix(df, "k", "w", range_rows=40).collect()}
     run, w = 0, dict(rows(df))
     for k in sorted(keys):
         assert got[k] == run

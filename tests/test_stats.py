@@ -144,13 +144,12 @@ def test_bootstrap_ci_positions_and_reproducible(spark):
     assert a.ci_low == pytest.approx(d[50], abs=0.01) and a.ci_high == pytest.approx(d[1950], abs=0.01)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_exact_median_matches_percentile(spark, small):
+def test_exact_median_matches_percentile(spark):
     import random
     rnd = random.Random(1)
     for n in (1, 2, 3, 10, 501):
         data = [(rnd.randint(0, 2), float(rnd.randint(0, 20))) for _ in range(n)]
         df = spark.createDataFrame(data, "g int, v double")
-        got = {r.g: r.median for r in R.exact_median(df, "v", ["g"], small=small).collect()}
+        got = {r.g: r.median for r in R.exact_median(df, "v", ["g"]).collect()}
         want = {r.g: r.m for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect()}
         assert got == want
