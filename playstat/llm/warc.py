@@ -3,8 +3,8 @@
 An archive is a skippable frame (magic 0x184D2A5D) with the dictionary, then one
 Zstandard frame per WARC record, each compressed alone with that dictionary, so a
 reader can start at any record. The dictionary is trained on a bounded sample of
-the records that are archived (``SAMPLE_RECORDS`` of the smallest payload digests
-among payloads of at most ``SAMPLE_RECORD_BYTES``).
+the records that are archived: about ``SAMPLE_RECORDS``, twice as many at most,
+drawn by a hash among payloads of at most ``SAMPLE_RECORD_BYTES``.
 
 Of records with equal payloads (of at least ``min_bytes``) the one with the
 largest page_id is a response, the others are revisits that name it. The largest
@@ -119,8 +119,10 @@ def archive(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     payload = pages.select("page_id", "url", "html", F.sha1(html).alias("sha1"), F.octet_length(html).alias("bytes"))
     first = payload.where(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("winner"))
-    sample = (payload.where(F.col("bytes") <= SAMPLE_RECORD_BYTES).orderBy("sha1", "page_id").limit(SAMPLE_RECORDS)
-              .select("page_id", "url", "html").collect())
+    small = payload.where(F.col("bytes") <= SAMPLE_RECORD_BYTES)
+    share = SAMPLE_RECORDS / max(1, small.count())
+    draw = F.pmod(F.xxhash64("page_id", "sha1"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = small.where(draw < share).limit(2 * SAMPLE_RECORDS).select("page_id", "url", "html").collect()
     dictionary = train([page_record(r[0], r[1], r[2], None, False) for r in sample])
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)
     marked = (payload.join(first, "sha1", "left")
