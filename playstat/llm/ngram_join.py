@@ -140,6 +140,8 @@ def nodes_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     sets = materialise(docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n long, one long, two long, bins binary"), "ngram-sets")
     first = sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"))
+    # written, or the join would share the aggregate's exchange and could not split a large group of copies
+    first = materialise(first, "ngram-first")
     return materialise(sets.join(first, ["n", "one", "two"], "left").select(
         "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "bins"), "ngram-nodes")
 

@@ -101,47 +101,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n_words long, one long, two long, tag long, sha string"), "dedup-texts")
 
 
-def _shared(batches, key: str, names: list[str], refer: bool):
-    """Rows of key runs with two or more documents, from rows sorted by key, doc_id.
-
-    ``refer``: rows of the run's first document are left out, and the others get that
-    document and its first place. Holds the first document of a run only."""
-    at, first, place, pending = None, None, None, 0
-    for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
-        keys, doc = b.column(key).to_numpy(zero_copy_only=False), cols[0]
-        n = len(keys)
-        if not n:
-            continue
-        start = np.flatnonzero(np.concatenate(([at is None or keys[0] != at], keys[1:] != keys[:-1])))
-        run = np.searchsorted(start, np.arange(n), "right") - 1       # -1: the run before goes on
-        lead_doc = np.concatenate((doc[start], [first if first is not None else 0]))[run]
-        later = doc != lead_doc
-        if refer:
-            lead_place = np.concatenate((cols[1][start], [place if place is not None else 0]))[run]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[later]) for c in cols), pa.array(lead_doc[later]),
-                                              pa.array(lead_place[later])], [*names, "ref", "ref_place"])
-        else:
-            several = np.zeros(len(start) + 1, bool)
-            np.logical_or.at(several, run, later)
-            keep = several[run]
-            if pending and several[-1]:
-                yield pa.RecordBatch.from_arrays([pa.array([first] * pending), pa.array([at] * pending)], names)
-                pending = 0
-            # rows of the last run's first document wait for a second document
-            last = len(start) - 1
-            if last >= 0:
-                pending = 0 if several[last] else int(np.count_nonzero(run == last))
-            elif not several[-1] and pending:
-                pending += n
-            elif not several[-1]:
-                keep = np.ones(n, bool)        # the run is known to be shared
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
-        if len(start):
-            at, first = keys[start[-1]], doc[start[-1]]
-            place = cols[1][start[-1]] if refer else None
-
-
 def _shared_anchors(docs: DataFrame) -> DataFrame:
     """(doc_id, anchors): of each document those that another one has too."""
     def emit(batches):
@@ -157,9 +116,9 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc[i][new])),
                                               pa.array(low[i][new].view(np.int64))], ["doc_id", "anchor"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, anchor long")
-    shared = rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(
-        lambda batches: _shared(batches, "anchor", ["doc_id", "anchor"], refer=False), "doc_id long, anchor long")
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(_gathered(emit), "doc_id long, anchor long"), "dedup-grams")
+    several = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    shared = rows.join(materialise(several.select("anchor"), "dedup-several"), "anchor", "left_semi")
     return materialise(shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "dedup-anchors")
 
 
@@ -180,11 +139,17 @@ def _hits(docs: DataFrame, shared: DataFrame) -> DataFrame:
                     [pa.array(full[x:y][i].view(np.int64)), pa.array(np.full(len(i), b.column("doc_id")[d].as_py(), np.int64)),
                      pa.array(i + (int(tag[d]) << 32))], ["window", "doc_id", "place"])
 
-    rows = semi_join(docs.select("doc_id", "text"), shared.select("doc_id")).join(shared, "doc_id") \
-        .select("doc_id", "text", "anchors").mapInArrow(_gathered(emit), "window long, doc_id long, place long")
-    return materialise(rows.repartition("window").sortWithinPartitions("window", "doc_id", "place").mapInArrow(
-        lambda batches: _shared(batches, "window", ["doc_id", "place"], refer=True),
-        "doc_id long, place long, ref long, ref_place long"), "dedup-hits")
+    rows = materialise(
+        semi_join(docs.select("doc_id", "text"), shared.select("doc_id")).join(shared, "doc_id")
+        .select("doc_id", "text", "anchors").mapInArrow(_gathered(emit), "window long, doc_id long, place long"),
+        "dedup-windows")
+    # the first place of a window is a partial aggregate, so a window that very many
+    # documents have meets its reference in a join that Spark can split
+    first = rows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")) \
+        .where("first.doc_id < last") \
+        .select("window", F.col("first.doc_id").alias("ref"), F.col("first.place").alias("ref_place"))
+    return materialise(rows.join(materialise(first, "dedup-first"), "window").where("doc_id > ref")
+                       .select("doc_id", "place", "ref", "ref_place"), "dedup-hits")
 
 
 def _gathered(emit, rows: int = 20_000):
@@ -318,7 +283,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = fingerprints(docs)
     first = texts.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW)) \
         .groupBy("one", "two", "n_words").agg(F.min("doc_id").alias("first"))
-    texts = materialise(texts.join(first, ["one", "two", "n_words"], "left")
+    texts = materialise(texts.join(materialise(first, "dedup-originals"), ["one", "two", "n_words"], "left")
                         .select("doc_id", "tag", "n_words", "sha", (F.col("doc_id") > F.col("first")).alias("copy")),
                         "dedup-copies")
     source = docs.select("doc_id", "text").where("doc_id is not null")
