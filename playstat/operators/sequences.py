@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,28 @@ def window_stats(win_rows: DataFrame, size: int = WINDOW_SIZE, part: str = "uid"
             .filter(F.col("n") == size).drop("n"))
 
 
-def window_diversity(win_rows: DataFrame, emb: DataFrame, size: int = WINDOW_SIZE,
-                     part: str = "uid", hot_items: bool = False,
-                     hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def window_diversity(indexed: DataFrame, emb: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP,
+                     part: str = "uid", hot_items: bool = False, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Per full window: mean pairwise cosine distance of the available vectors
-    (repeats kept). A window holds at most ``size`` rows, so the list gathered
-    per window is bounded."""
-    full = (win_rows.groupBy(part, "win").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") == size).drop("n"))
+    (repeats kept).
+
+    ``indexed`` has ``idx``, the row's position in its ``part``. Rows meet their
+    vectors once; unit vectors are summed per block of gcd(size, step) rows, and
+    only the block sums are copied into the windows, which are size / gcd blocks."""
+    width = math.gcd(size, step)
     u = emb.select("item_id", V.unit("normalized_embed").alias("u"),
                    (V.norm("normalized_embed") >= V.COSINE_EPS).cast("int").alias("nz"))
-    rows = join_maybe_salted(win_rows.join(full, [part, "win"], "left_semi"), u, "item_id", "inner", hot_items, hot_rows)
-    agg = rows.groupBy(part, "win").agg(F.collect_list("u").alias("us"),
-                                        F.count(F.lit(1)).alias("n_vec"), F.sum("nz").alias("n_nz"))
+    rows = join_maybe_salted(indexed.select(part, "idx", "item_id"), u, "item_id", "left", hot_items, hot_rows)
+    blocks = rows.groupBy(part, F.floor(F.col("idx") / width).alias("blk")).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list("u").alias("us"), F.sum("nz").alias("n_nz"))
+    blocks = blocks.select(part, "blk", "n", F.size("us").alias("n_vec"), "n_nz", V.sum_vectors("us").alias("u"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("blk") * width - size + width) / step)).cast("bigint")
+    last = F.floor(F.col("blk") * width / step).cast("bigint")
+    copies = blocks.withColumn("win", F.explode(F.when(first <= last, F.sequence(first, last))
+                                                .otherwise(F.array().cast("array<bigint>"))))
+    agg = copies.groupBy(part, "win").agg(
+        F.sum("n").alias("n"), F.sum("n_vec").alias("n_vec"), F.coalesce(F.sum("n_nz"), F.lit(0)).alias("n_nz"),
+        F.collect_list("u").alias("us")).filter((F.col("n") == size) & (F.col("n_vec") > 0))
     return agg.select(part, "win", "n_vec",
                       V.pairwise_diversity(V.sum_vectors("us"), "n_vec", "n_nz").alias("diversity"))
 

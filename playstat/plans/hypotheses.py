@@ -167,10 +167,7 @@ def h11_diversity(ctx):
     if Q.E(ctx).embeddings is None:               # optional source absent: entropy alone decides
         w = t.withColumn("diversity_p_value", F.lit(None).cast("double"))
         return _h11_result(w)
-    b, win = Q._win_rows(ctx)
-    from playstat.operators.sequences import window_diversity
-    div = (window_diversity(win, b.embeddings, ctx.params.window_size,
-                            hot_items=b.key_is_hot("listens", "item_id"), hot_rows=b.hot_key_rows)
+    div = (Q.window_diversity_df(ctx)
            .join(st.select("uid", "win", "rec_dom"), ["uid", "win"])
            .withColumn("diversity", F.round("diversity", Q.RANK_DIGITS)))
     dm = R.mann_whitney(div, "diversity", "rec_dom", 1, 0).select(

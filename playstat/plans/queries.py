@@ -20,7 +20,7 @@ from playstat.operators import sessions as S
 from playstat.operators import tests as TS
 from playstat.operators.enrich import clocked, clocked_together, enrich_listens, reconstruct_time, with_flags
 from playstat.operators.models import add_zscores, zscore_stats
-from playstat.operators.prefix import global_prefix
+from playstat.operators.prefix import global_prefix, row_index
 from playstat.operators.sampling import hash_sample, sample_to_target
 from playstat.operators.skew import join_maybe_salted
 from playstat.plans.context import Context, testdata_context  # noqa: F401
@@ -525,10 +525,15 @@ def window_entropy(ctx):
     return rounded(Q.window_stats(w, ctx.params.window_size))
 
 
+def window_diversity_df(ctx):
+    b = E(ctx)
+    rows = row_index(b.table("listens"), "uid", b.order("listens"), "idx", b.chunk_for("listens"))
+    return Q.window_diversity(rows, b.embeddings, ctx.params.window_size, ctx.params.window_step,
+                              hot_items=b.key_is_hot("listens", "item_id"), hot_rows=b.hot_key_rows)
+
+
 def window_cosine_diversity(ctx):
-    b, w = _win_rows(ctx)
-    return rounded(Q.window_diversity(w, b.embeddings, ctx.params.window_size,
-                                      hot_items=b.key_is_hot("listens", "item_id"), hot_rows=b.hot_key_rows))
+    return rounded(window_diversity_df(ctx))
 
 
 def window_table(ctx) -> DataFrame:

@@ -112,9 +112,9 @@ def test_cosine_and_diversity(spark):
                                "a array<float>, b array<float>")
     assert [r[0] for r in df.select(V.cosine("a", "b")).collect()] == pytest.approx([0.0, 1.0, 0.0])
     emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 3.0])], "item_id long, normalized_embed array<float>")
-    w = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (2, 0, 1), (2, 0, 2), (3, 0, 1), (3, 0, 5)],
-                              "uid long, win long, item_id long")
-    got = {r.uid: r.diversity for r in Q.window_diversity(w, emb, size=2).collect()}
+    w = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 0, 1), (2, 1, 2), (3, 0, 1), (3, 1, 5)],
+                              "uid long, idx long, item_id long")
+    got = {r.uid: r.diversity for r in Q.window_diversity(w, emb, size=2, step=2).collect()}
     assert got[1] == pytest.approx(0.0) and got[2] == pytest.approx(1.0) and got[3] is None
 
 
@@ -125,8 +125,8 @@ def test_diversity_closed_form_equals_pairwise(spark):
     vecs = {i: [rnd.gauss(0, 1) for _ in range(8)] for i in range(12)}
     items = [rnd.randrange(12) for _ in range(10)]
     emb = spark.createDataFrame([(k, v) for k, v in vecs.items()], "item_id long, normalized_embed array<float>")
-    w = spark.createDataFrame([(1, 0, i) for i in items], "uid long, win long, item_id long")
-    got = Q.window_diversity(w, emb, size=10).first().diversity
+    w = spark.createDataFrame([(1, k, i) for k, i in enumerate(items)], "uid long, idx long, item_id long")
+    got = Q.window_diversity(w, emb, size=10, step=10).first().diversity
     f = {k: [float(x) for x in spark.createDataFrame([(v,)], "v array<float>").first().v] for k, v in vecs.items()}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
     pairs = [1 - cos(f[items[i]], f[items[j]]) for i in range(10) for j in range(i + 1, 10)]
