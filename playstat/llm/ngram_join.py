@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from playstat.llm.components import components
 from playstat.llm.membership import anti_join, semi_join
 from playstat.llm.ragged import WHITE, Alphabet, Words, mix, slices, text_buffer, windows
-from playstat.llm.storage import materialise, table
+from playstat.llm.storage import materialise, release, table
 
 SHINGLE = 4
 PERCENT = 85
@@ -142,8 +142,10 @@ def nodes_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     first = sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"))
     # written, or the join would share the aggregate's exchange and could not split a large group of copies
     first = materialise(first, "ngram-first")
-    return materialise(sets.join(first, ["n", "one", "two"], "left").select(
+    nodes = materialise(sets.join(first, ["n", "one", "two"], "left").select(
         "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "bins"), "ngram-nodes")
+    release(sets, first)
+    return nodes
 
 
 def candidate_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -324,9 +326,11 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()),
                                               pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-    return materialise(
+    found = materialise(
         rows.unionByName(hubs).repartition("b", "place").sortWithinPartitions("b", "place", F.col("a").asc_nulls_first())
         .mapInArrow(compare, "a long, b long").distinct(), "ngram-links")
+    release(pairs, content)
+    return found
 
 
 def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -352,6 +356,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     more = _links(docs, _pairs_in_groups(rest, percent), size, percent)
     if not more.isEmpty():
         label = materialise(components(links.unionByName(more)), "ngram-components")
+    release(members, found, more)
     return nodes.join(label, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
 

@@ -17,7 +17,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_path = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` whose readers have all been written themselves.
+
+    What a result still reads stays until the checkpoint folder is cleaned."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

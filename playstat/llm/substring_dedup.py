@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from playstat.llm.membership import anti_join, semi_join
 from playstat.llm.pretokens import ragged_index
 from playstat.llm.ragged import WHITE, Alphabet, Words, mix, slices, text_buffer, windows
-from playstat.llm.storage import materialise, table
+from playstat.llm.storage import materialise, release, table
 from playstat.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW = 50
@@ -118,8 +118,11 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
 
     rows = materialise(docs.select("doc_id", "text").mapInArrow(_gathered(emit), "doc_id long, anchor long"), "dedup-grams")
     several = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    shared = rows.join(materialise(several.select("anchor"), "dedup-several"), "anchor", "left_semi")
-    return materialise(shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "dedup-anchors")
+    several = materialise(several.select("anchor"), "dedup-several")
+    shared = rows.join(several, "anchor", "left_semi")
+    found = materialise(shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "dedup-anchors")
+    release(rows, several)
+    return found
 
 
 def _hits(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -148,8 +151,11 @@ def _hits(docs: DataFrame, shared: DataFrame) -> DataFrame:
     first = rows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")) \
         .where("first.doc_id < last") \
         .select("window", F.col("first.doc_id").alias("ref"), F.col("first.place").alias("ref_place"))
-    return materialise(rows.join(materialise(first, "dedup-first"), "window").where("doc_id > ref")
-                       .select("doc_id", "place", "ref", "ref_place"), "dedup-hits")
+    first = materialise(first, "dedup-first")
+    found = materialise(rows.join(first, "window").where("doc_id > ref")
+                        .select("doc_id", "place", "ref", "ref_place"), "dedup-hits")
+    release(rows, first)
+    return found
 
 
 def _gathered(emit, rows: int = 20_000):
@@ -207,7 +213,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, spans): word ranges (start, end, ...) that a smaller document has too.
 
     ``docs`` holds each word sequence once."""
-    hits = _hits(docs, _shared_anchors(docs))
+    shared = _shared_anchors(docs)
+    hits = _hits(docs, shared)
+    release(shared)
     block = F.shiftright(F.col("ref_place"), 32), F.floor((F.col("ref_place") % (1 << 32)) / BLOCK)
     blocks = materialise(hits.select(F.col("ref").alias("doc_id"), block[0].alias("tag"), block[1].alias("block")).distinct(),
                          "dedup-blocks")
@@ -217,6 +225,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return F.pmod(F.xxhash64(doc, tag, F.floor(block / BLOCKS)), F.lit(shards))
 
     segments = materialise(_segments(hits, shard(F.col("ref"), *block)), "dedup-segments")
+    release(hits)
     places = segments.groupBy("shard").agg((1 + F.floor(F.sum(F.col("n") + WINDOW) / PLACE_WORDS)).cast("int").alias("places"))
     passages = blocks.select("doc_id", "tag", F.lit(0).alias("kind"), (F.col("block") * BLOCK).alias("start"),
                              F.lit(BLOCK + WINDOW - 1).cast("long").alias("size"),
@@ -274,8 +283,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = (dealt.select("doc_id", "tag", "kind", "start", "shard", "place", "words")
              .repartition("shard", "place").sortWithinPartitions("shard", "place", "kind")
              .mapInArrow(stream, "doc_id long, tag long, a long, b long"))
-    return materialise(spans.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")),
-                       "dedup-spans")
+    found = materialise(spans.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")),
+                        "dedup-spans")
+    release(blocks, segments, wanted)
+    return found
 
 
 def dedup(docs: DataFrame) -> DataFrame:
