@@ -17,8 +17,8 @@ Signatures lead to candidate groups, not pairs:
 1. texts of one set collapse to one node, and groups with equal members to one;
 2. every member of a group is compared with its smallest member (a star);
 3. linked members are one component. Pairs of a group that are still in different
-   components are compared too, unless their sizes or the distance of their 64-bin
-   count vectors (a lower bound of the difference) rule a link out. Large groups
+   components are compared too, unless their sizes or the distance of their bin
+   counts (a lower bound of the difference) rule a link out. Large groups
    are compared block by block.
 
 Comparisons are exact, on whole sets; only documents in candidate pairs move.
@@ -46,7 +46,7 @@ from playstat.llm.storage import materialise, release, table
 
 SHINGLE = 4
 PERCENT = 85
-BINS = 64
+BINS = 64                      # bins of a small set's counts; large sets have 4, 16, ... times as many
 BLOCK = 1024                   # members of a group that are compared with as many others at once
 STAR_ROWS = 256                # comparisons with one hub in one place
 CARRIED_ROWS = 1_000_000       # rows of one signature that a task holds at most
@@ -68,6 +68,27 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> Itera
             yield grams[:0]
 
 
+def bin_counts(elements: np.ndarray) -> np.ndarray:
+    """Elements per equal range of the hash domain, at most 255 each; 64, 256, 1024, ...
+    ranges, so that a bin of a large set holds few elements too."""
+    bins = BINS
+    while 8 * bins < len(elements) and bins < 1 << 14:
+        bins *= 4
+    place = (elements >> _U(64 - (bins.bit_length() - 1))).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=bins), 255).astype(np.uint8)
+
+
+def folded(bins: list[bytes], width: int) -> np.ndarray:
+    """Bin counts added up to ``width`` bins, a row for each set."""
+    out = np.empty((len(bins), width), np.int32)
+    sizes = np.fromiter(map(len, bins), np.int64, len(bins))
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        stacked = np.frombuffer(b"".join([bins[i] for i in own.tolist()]), np.uint8).reshape(len(own), width, -1)
+        out[own] = stacked.sum(axis=2, dtype=np.int32)
+    return out
+
+
 class Bands:
     """Size bands and the shape of their signatures for a threshold in per cent."""
 
@@ -128,9 +149,8 @@ def nodes_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         for b in slices(batches):
             rows = []
             for s in shingle_sets(*text_buffer(b.column("text")), size):
-                bins = np.bincount((s >> _U(64 - 6)).astype(np.int64), minlength=BINS)
                 rows.append((len(s), mix(s).sum(dtype=_U), mix(s ^ _U(0xD6E8FEB86659FD93)).sum(dtype=_U),
-                             np.minimum(bins, 255).astype(np.uint8).tobytes()))
+                             bin_counts(s).tobytes()))
             n, one, two, bins = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(one, _U).view(np.int64)),
@@ -222,9 +242,13 @@ def _close(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             na, nb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-                    for c in ("ba", "bb"))
-            yield b.select(["a", "b"]).filter(pa.array(_possible(na, nb, np.abs(x - y).sum(axis=1), percent)))
+            x, y = (b.column(c).to_pylist() for c in ("ba", "bb"))
+            width = np.fromiter((min(len(p), len(q)) for p, q in zip(x, y)), np.int64, len(x))
+            apart = np.zeros(len(x), np.int64)
+            for w in np.unique(width).tolist():
+                own = np.flatnonzero(width == w).tolist()
+                apart[own] = np.abs(folded([x[i] for i in own], w) - folded([y[i] for i in own], w)).sum(axis=1)
+            yield b.select(["a", "b"]).filter(pa.array(_possible(na, nb, apart, percent)))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb") \
         .mapInArrow(run, "a long, b long")
@@ -247,10 +271,12 @@ def _pairs_in_groups(members: DataFrame, percent: int) -> DataFrame:
                           "block", "node", "component", "n", "bins", "hub")
 
     def unit(block, i, j, node, component, n, bins, hub):
+        bins = folded(bins, min(map(len, bins)))
         left = np.flatnonzero(block == i)
         right = np.flatnonzero(block == j) if i != j else left
-        for at in range(0, len(left), 64):
-            own = left[at:at + 64]
+        most = max(1, (1 << 22) // (bins.shape[1] * max(1, len(right))))
+        for at in range(0, len(left), most):
+            own = left[at:at + most]
             apart = np.abs(bins[own][:, None] - bins[right]).sum(axis=2)
             fits = _possible(n[own][:, None], n[right], apart, percent) & (component[own][:, None] != component[right])
             x, y = np.nonzero(fits)
@@ -270,12 +296,12 @@ def _pairs_in_groups(members: DataFrame, percent: int) -> DataFrame:
             if not b.num_rows:
                 continue
             cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
-            cols["bins"] = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+            cols["bins"] = b.column("bins").to_pylist()
             change = np.flatnonzero((np.diff(cols["grp"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
             for x, y in zip([0, *change], [*change, b.num_rows]):
                 part = {c: v[x:y] for c, v in cols.items()}
                 if held is not None and all(held[c][0] == part[c][0] for c in ("grp", "i", "j")):
-                    held = {c: np.concatenate((held[c], part[c])) for c in held}
+                    held = {c: held[c] + part[c] if c == "bins" else np.concatenate((held[c], part[c])) for c in held}
                 else:
                     if held is not None:
                         yield from flush(held)
