@@ -58,30 +58,26 @@ def chi2_df1_p(chi2) -> Column:
 
 # ---- Student t (incomplete beta by continued fraction) -------------------
 
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
+def _beta_coefficient(a: float, b: float, x: float, n: int) -> float:
+    """n-th numerator of the continued fraction (NIST Digital Library of Mathematical
+    Functions, 8.17.22 and 8.17.23)."""
+    m, odd = divmod(n, 2)
+    if odd:
+        return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+    return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """1 / (1 + d1 / (1 + d2 / (1 + ...))), from the inside out, with twice as many
+    terms until more of them change nothing."""
+    depth, last = 32, None
+    while True:
+        value = 1.0
+        for n in range(depth, 0, -1):
+            value = 1.0 + _beta_coefficient(a, b, x, n) / (value or 1e-300)
+        if last is not None and abs(value - last) <= 1e-15 * abs(value) or depth >= 1 << 20:
+            return 1.0 / value
+        last, depth = value, 2 * depth
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
@@ -92,8 +88,8 @@ def betainc_reg(a: float, b: float, x: float) -> float:
     lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
            + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+        return math.exp(lbt) * _beta_fraction(a, b, x) / a
+    return 1.0 - math.exp(lbt) * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def t_two_sided(t: float, df: float) -> float:
