@@ -10,7 +10,6 @@ through; the exact join that follows makes the result right in any case.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,26 +43,26 @@ def bloom(ids: DataFrame) -> Column:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own).tobytes()])],
                                                  ["chunk", "bits"])
 
-    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts["bits"]])
-        return pd.DataFrame({"chunk": [key[0]], "bits": [total.tobytes()]})
+    def merge(parts: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts.column("bits").to_pylist()])
+        return pa.table({"chunk": parts.column("chunk").slice(0, 1), "bits": [total.tobytes()]})
 
     schema = "chunk int, bits binary"
     chunks = (ids.select(F.col(name).cast("long")).where(F.col(name).isNotNull())
-              .mapInArrow(mark, schema).groupBy("chunk").applyInPandas(merge, schema).collect())
+              .mapInArrow(mark, schema).groupBy("chunk").applyInArrow(merge, schema).collect())
     packed = np.zeros(BITS // 8, np.uint8)
     for r in chunks:
         packed[r["chunk"] * CHUNK // 8:(r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
     shared = ids.sparkSession.sparkContext.broadcast(packed.tobytes())
 
-    @F.pandas_udf("boolean")
-    def maybe(x: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def maybe(x: pa.Array) -> pa.Array:
         bits = np.frombuffer(shared.value, np.uint8)
-        known = x.notna().to_numpy()
-        values = x.fillna(0).to_numpy().astype(np.int64)
+        known = x.is_valid().to_numpy(zero_copy_only=False).copy()
+        values = x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for at in _places(values):
             known &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(known)
+        return pa.array(known)
 
     return maybe
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from playstat.llm.components import components
 from playstat.llm.membership import anti_join, semi_join
-from playstat.llm.ragged import WHITE, Alphabet, Words, mix, slices, text_buffer, windows
+from playstat.llm.ragged import SLICE_BYTES, WHITE, Alphabet, Words, mix, slices, text_buffer, windows
 from playstat.llm.storage import materialise, release, table
 
 SHINGLE = 4
@@ -336,7 +336,7 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
 
     def compare(batches):
         hub, own = None, []
-        for b in batches:
+        for b in slices(batches, "elements", 4 * SLICE_BYTES):
             found = []
             for x, place, a, elements in zip(*(b.column(c).to_pylist() for c in ("b", "place", "a", "elements"))):
                 mine = np.frombuffer(elements, _U)

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20          # text bytes held in numpy form at a time
+SLICE_BYTES = 1 << 18          # text bytes held in numpy form at a time (about 60 bytes each)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 
@@ -112,13 +112,10 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; nulls become empty."""
-    if pa.types.is_large_string(texts.type):
-        width = np.int64
-    else:
-        texts, width = texts.cast(pa.string()), np.int32
+    """Bytes and offsets of a string or binary column; nulls become empty."""
+    width = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) else "")
     _, off, data = texts.buffers()
     at = np.frombuffer(off, width)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) \
         if len(texts) else np.zeros(1, np.int64)
@@ -136,6 +133,8 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
+        del b, off
+        pa.default_memory_pool().release_unused()     # two workers share what an executor's heap leaves
 
 
 def byte_views(raw: np.ndarray, off: np.ndarray) -> list[str]:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from playstat.llm.membership import anti_join, semi_join
 from playstat.llm.pretokens import ragged_index
-from playstat.llm.ragged import WHITE, Alphabet, Words, mix, slices, text_buffer, windows
+from playstat.llm.ragged import SLICE_BYTES, WHITE, Alphabet, Words, mix, slices, text_buffer, windows
 from playstat.llm.storage import materialise, release, table
 from playstat.llm.suffix_automaton import SuffixAutomaton
 
@@ -265,7 +265,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     def stream(batches):
         home, passages_, automaton = None, [], None
-        for b in batches:
+        for b in slices(batches, "words", 4 * SLICE_BYTES):
             rows = []
             for doc, tag, kind, start, *key, data in zip(*(b.column(c).to_pylist() for c in (
                     "doc_id", "tag", "kind", "start", "shard", "place", "words"))):
