@@ -7,10 +7,12 @@ at most k2 differences, and within such a part some ``n2 - k2`` of its ``n2``
 sub-parts are equal. The signatures of a set are the hashes of its elements in
 every such choice of sub-parts: similar sets share one.
 
-A choice that holds fewer than two elements would be shared by sets that have
-nothing in common. So there are ``x`` parts more than needed: x + 1 parts agree, and
-a set with at most x weak parts leaves their signatures out without losing a
-partner (a set with more of them keeps all).
+A choice that holds no or few elements would be shared by sets that have little in
+common. So there are ``x`` parts more than needed, and x + 1 parts agree. A set leaves
+out the choices with fewer than m elements, for the largest m up to ``STRONG`` of which
+at most x of its parts have any. Of two similar sets, take the one with the larger m:
+one of the x + 1 parts has no such choice in it, so the choice that both share there
+has m elements or more, and both keep it. No partner is lost.
 
 Signatures lead to candidate groups, not pairs:
 
@@ -50,6 +52,7 @@ BINS = 64                      # bins of a small set's counts; large sets have 4
 BLOCK = 1024                   # members of a group that are compared with as many others at once
 STAR_ROWS = 256                # comparisons with one hub in one place
 CARRIED_ROWS = 1_000_000       # rows of one signature that a task holds at most
+STRONG = 4                     # elements that a signature's sub-parts should hold
 _WIDE = 24                     # differences from which parts are not subdivided
 _ALPHABET = Alphabet(WHITE, fold_ascii_case=True)
 _U = np.uint64
@@ -115,7 +118,7 @@ class Bands:
             k = self.differences(2 * top)
             k2, n2 = (0, 1) if k >= _WIDE else (1, 3)
             need = k // (k2 + 1) + 1
-            extra = 1 + need // 8
+            extra = 1 + need // 6
             parts = (need + extra) * n2
             cuts = np.array([p * (1 << 64) // parts for p in range(1, parts)], _U)
             salt = mix(np.arange(parts, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(top)).reshape(-1, n2)
@@ -135,11 +138,10 @@ class Bands:
             if k2:
                 part = part.sum(axis=1, keepdims=True, dtype=_U) - part
                 count = count.sum(axis=1, keepdims=True) - count
-            signature, weak = mix(part + salt), count < 2
-            if np.count_nonzero(weak.any(axis=1)) <= extra:
-                found.append(signature[~weak])
-            else:
-                found.append(signature.ravel())
+            fewest, least = count.min(axis=1), STRONG
+            while np.count_nonzero(fewest < least) > extra:
+                least -= 1
+            found.append(mix(part + salt)[count >= least])
         return np.concatenate(found) if found else np.empty(0, _U)
 
 
