@@ -23,8 +23,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
     if not profiles.names:
         return docs
-    told = language_id.predict(docs, profiles)
-    return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)) \
+    told = language_id.predict(docs, profiles, ("_language", "_language_score"))
+    return told.where((F.col("_language") != language_id.UNKNOWN) & (F.col("_language_score") >= MIN_LANGUAGE_SCORE)) \
         .select(*docs.columns)
 
 

@@ -149,8 +149,10 @@ def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> Profile
     return Profiles(by_language, size)
 
 
-def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` with lang_pred and score; only ``text`` is looked at."""
+def predict(docs: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score, under ``names``, which replace
+    columns so called; only ``text`` is looked at."""
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
@@ -160,9 +162,9 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
                     for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.float64())],
-                [*b.schema.names, "lang_pred", "score"])
+                [*b.schema.names, *names])
 
-    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
     return docs.mapInArrow(run, schema)
 
 

@@ -249,14 +249,15 @@ def redact(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     _, added = _spans(docs)
     if added is None:
-        marked = docs.withColumn("extra", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+        marked = docs.withColumn("_pii_extra", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     else:
-        marked = docs.withColumn("pii_key", F.xxhash64("doc_id", "text")).join(added, "pii_key", "left") \
-            .select(*columns, "extra")
+        added = added.select(F.col("pii_key").alias("_pii_key"), F.col("extra").alias("_pii_extra"))
+        marked = docs.withColumn("_pii_key", F.xxhash64("doc_id", "text")).join(added, "_pii_key", "left") \
+            .select(*columns, "_pii_extra")
 
     def run(batches):
         for b in slices(batches):
-            texts, extra = b.column("text").to_pylist(), b.column("extra").to_pylist()
+            texts, extra = b.column("text").to_pylist(), b.column("_pii_extra").to_pylist()
             for i, text in enumerate(texts):
                 if not text:
                     continue

@@ -33,9 +33,9 @@ def odd_texts():
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    rows = [(i, t, "en" if i and i % 3 else None, "s", -1, "node", 7, "k") for i, t in odd_texts()]
+    rows = [(i, t, "en" if i and i % 3 else None, "s", -1, "node", 7, "k", "sc", [1]) for i, t in odd_texts()]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
-                                       "node string, a long, kind string").repartition(3)
+                                       "node string, a long, kind string, score string, extra array<int>").repartition(3)
 
 
 @pytest.fixture(scope="session")
