@@ -15,7 +15,7 @@ import numpy as np
 from playstat.llm.ragged import _MUL, _POWERS, Alphabet, mix
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
-MEMO_ENTRIES = 500_000         # keys that a worker's memo keeps
+MEMO_ENTRIES = 250_000         # keys that a worker's memo keeps
 
 _CLASS = np.full(256, OTHER, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE

@@ -11,11 +11,13 @@ match needs a 64-bit collision.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of the GNU C library
 SLICE_BYTES = 1 << 18          # text bytes held in numpy form at a time (about 60 bytes each)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
@@ -123,6 +125,13 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: an executor's workers share what its heap leaves."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``limit`` text bytes (at least a row)."""
@@ -134,7 +143,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
             yield b.slice(i, j - i)
             i = j
         del b, off
-        pa.default_memory_pool().release_unused()     # two workers share what an executor's heap leaves
+        _give_back()
 
 
 def byte_views(raw: np.ndarray, off: np.ndarray) -> list[str]:
