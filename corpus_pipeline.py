@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playstat.llm import decontamination, language_id, ngram_join, packing, pii
-from playstat.llm.storage import materialise, table
+from playstat.llm.storage import materialise, small_batches, table
 
 MIN_LANGUAGE_SCORE = 0.2       # below it a text resembles no learned language
 
@@ -20,6 +20,7 @@ MIN_LANGUAGE_SCORE = 0.2       # below it a text resembles no learned language
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or unlike every language learned from the labelled rows
     (none, where no row is labelled)."""
+    small_batches(spark)
     profiles = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
     if not profiles.names:
         return docs

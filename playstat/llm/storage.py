@@ -9,12 +9,23 @@ from pyspark.sql import DataFrame
 from playstat.session import ensure_checkpoint_dir
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark) -> None:
+    """Batches of 4 MB between Spark and Python, unless the session says otherwise: with
+    whole texts, the default of 64 MB is held several times in an executor."""
+    if spark.conf.get(_BATCH_BYTES, None) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_BATCH_BYTES, "4m")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
     Cuts lineage: the files are on shared storage, so a lost executor costs at
     most the tasks that it was running."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
@@ -33,4 +44,5 @@ def release(*tables: DataFrame) -> None:
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
