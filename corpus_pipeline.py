@@ -14,19 +14,17 @@ from pyspark.sql import functions as F
 from playstat.llm import decontamination, language_id, ngram_join, packing, pii
 from playstat.llm.storage import materialise, small_batches, table
 
-MIN_LANGUAGE_SCORE = 0.2       # below it a text resembles no learned language
-
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or unlike every language learned from the labelled rows
-    (none, where no row is labelled)."""
+    """Drops documents without letters or without any letter of the labelled rows' texts
+    (none, where no row is labelled). The score depends on the size of the alphabet and the
+    length of the text, so it rejects nothing."""
     small_batches(spark)
     profiles = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
     if not profiles.names:
         return docs
-    told = language_id.predict(docs, profiles, ("_language", "_language_score"))
-    return told.where((F.col("_language") != language_id.UNKNOWN) & (F.col("_language_score") >= MIN_LANGUAGE_SCORE)) \
-        .select(*docs.columns)
+    told = language_id.predict(docs, profiles, ("_language", "_language_score", "_language_letters"))
+    return told.where((F.col("_language") != language_id.UNKNOWN) & F.col("_language_letters")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ absent.
 Profiles are learned from about ``SAMPLE`` labelled training documents per
 language, chosen by a hash of the doc_id (all of them where there are fewer);
 every document is predicted from its whole text. Predicting needs no shuffle; the
-profiles that are broadcast are ``PROFILE`` n-grams per language.
+profiles that are broadcast are ``PROFILE`` n-grams per language, and the letters of
+the learned texts that are in no profile.
 
 Cases: null text or a text without letters is ``und`` with score 0; so is every
 text where no training document has letters. Equal distances go to the language
@@ -84,21 +85,27 @@ class Grams:
         return code[order], count[order]
 
 
+def letters(code: np.ndarray) -> np.ndarray:
+    """The codes that stand for one letter."""
+    return code[code & ((1 << 2 * _CODE_BITS) - 1) == 0]
+
+
 def ranked(code: np.ndarray, count: np.ndarray, size: int = PROFILE) -> np.ndarray:
     """The codes of the ``size`` largest counts, most frequent first."""
     return code[np.argsort(-count, kind="stable")[:size]]
 
 
 class Profiles:
-    """Rank of every n-gram in every language's profile."""
+    """Rank of every n-gram in every language's profile; ``rare`` are learned letters beyond the profiles."""
 
-    def __init__(self, by_language: dict[str, list[int]], size: int = PROFILE):
+    def __init__(self, by_language: dict[str, list[int]], size: int = PROFILE, rare: tuple[int, ...] = ()):
         self.size = size
         self.names = sorted(by_language)
         self.codes = np.unique(np.array([c for n in self.names for c in by_language[n]], np.int64))
         self.rank = np.full((len(self.codes) + 1, len(self.names)), -1, np.int64)
         for k, name in enumerate(self.names):
             self.rank[np.searchsorted(self.codes, by_language[name]), k] = np.arange(len(by_language[name]))
+        self.letters = np.union1d(letters(self.codes), np.array(rare, np.int64))
 
     def nearest(self, own: np.ndarray) -> tuple[str, float]:
         """Language and score (1 less the distance's share of the largest) of a ranking."""
@@ -112,6 +119,10 @@ class Profiles:
         best = int(distance.argmin())
         return self.names[best], float(1 - distance[best] / (self.size * len(own)))
 
+    def share_letters(self, code: np.ndarray) -> bool:
+        """Whether a learned text of any language has a letter among these codes."""
+        return bool(np.isin(letters(code), self.letters).any())
+
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -142,29 +153,38 @@ def learn(docs: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> Profile
     counted = chosen.mapInArrow(count, "lang string, code long, n long") \
         .groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    one_letter = F.col("code").bitwiseAND(F.lit((1 << 2 * _CODE_BITS) - 1)) == 0
+    top = counted.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= size) | one_letter)
     by_language: dict[str, list[int]] = {}
+    rare = set()
     for r in top.orderBy("lang", "rank").collect():
-        by_language.setdefault(r["lang"], []).append(r["code"])
-    return Profiles(by_language, size)
+        if r["rank"] <= size:
+            by_language.setdefault(r["lang"], []).append(r["code"])
+        else:
+            rare.add(r["code"])
+    return Profiles(by_language, size, tuple(rare))
 
 
-def predict(docs: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, profiles: Profiles, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its score, under ``names``, which replace
-    columns so called; only ``text`` is looked at."""
+    columns so called; only ``text`` is looked at. A third name is for whether the text has
+    a letter of a learned text."""
     docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
         grams = Grams()
         for b in slices(batches):
-            made = [shared.value.nearest(ranked(*grams.counts(t), shared.value.size))
-                    for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.float64())],
-                [*b.schema.names, *names])
-
-    schema = docs.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
+            made = [[], [], []]
+            for t in b.column("text").to_pylist():
+                code, count = grams.counts(t)
+                name, score = shared.value.nearest(ranked(code, count, shared.value.size))
+                for x, to in zip((name, score, score > 0 or shared.value.share_letters(code)), made):
+                    to.append(x)
+            new = [pa.array(x, kind) for x, kind in zip(made, (pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new[:len(names)]], [*b.schema.names, *names])
+
+    schema = docs.withColumns(dict(zip(names, (F.lit(""), F.lit(0.0), F.lit(True))))).schema
     return docs.mapInArrow(run, schema)
 
 

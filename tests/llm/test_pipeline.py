@@ -1,5 +1,6 @@
 """The pipeline against a plain Python version of each stage."""
 
+import random
 import re
 
 import corpus_pipeline as P
@@ -84,3 +85,15 @@ def test_clean_documents_survive(spark):
     for f in (P.identify, P.near_duplicates, P.decontaminate, P.redact):
         out = f(spark, docs, SF)
         assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
+
+
+def test_short_texts_of_a_large_alphabet_survive(spark):
+    r = random.Random(3)
+    often = [1 / (k + 2.7) for k in range(3500)]
+    rows = [(i, "".join(chr(0x4E00 + c) for c in r.choices(range(3500), often, k=r.randint(20, 400))), "zh") for i in range(600)]
+    rows += [(1000 + i, f"Some plain text number {i} in another alphabet", "en") for i in range(50)]
+    rare = max(rows[0][1] + rows[1][1])
+    rows += [(2000, rare, None), (2001, "βγδ αβγ", None), (2002, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in P.identify(spark, docs, SF).collect()}
+    assert kept == {i for i, _, _ in rows} - {2001, 2002}
