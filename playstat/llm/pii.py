@@ -15,7 +15,7 @@ the bootstrap:
 
 Spark scores this graph of patterns and occurrences in rounds (distinct values,
 partial aggregation, joins on the pattern's hash); new labels support patterns in
-the next round, until none is new or after ``ROUNDS``.
+the next round, until none is new.
 
 Cases: null text is empty (no spans); copies of a document count once towards a
 pattern; repeated rows give a row each; a null doc_id stays null; other columns
@@ -25,7 +25,6 @@ are ignored; positions are code points, ends exclusive.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_VALUES = 5                 # distinct labelled values that a pattern must introduce
 MIN_CONFIDENCE = 0.8           # of a pattern
 MIN_SCORE = 0.8                # of an occurrence
-ROUNDS = 3
+MERGE = 16                     # rounds whose labels are read as separate tables
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -176,9 +175,9 @@ def bootstrap(found: DataFrame) -> DataFrame | None:
     seen = found.select("pii_key", F.explode(F.concat("base", "other")).alias("o")).select("pii_key", "o.*")
     seen = seen.groupBy("pii_key", "start", "end").agg(*(F.first(c).alias(c) for c in ("kind", "value", "fits", "patterns")))
     seen = materialise(seen, "pii-occurrences")
-    labels = seen.where("kind is not null").select("value", "kind").distinct()
-    fresh_rounds = []
-    for _ in range(ROUNDS):
+    labels = seen.where("kind is not null").select("value", "kind", F.lit(False).alias("added")).distinct()
+    rounds = 0
+    while True:
         known = seen.select("pii_key", "start", "end", "value", "fits", F.explode("patterns").alias("pattern"))
         values = known.select("pattern", "value").distinct().join(
             labels.select("value", F.col("kind").alias("label")).distinct(), "value", "left")
@@ -193,14 +192,16 @@ def bootstrap(found: DataFrame) -> DataFrame | None:
                   .groupBy("pii_key", "start", "end", "value", "label")
                   .agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("score")))
         fresh = (scored.where(F.col("score") >= MIN_SCORE).groupBy("value").agg(F.max_by("label", F.struct("score", "label")).alias("kind")))
-        fresh = materialise(fresh, "pii-round")
+        fresh = materialise(fresh.withColumn("added", F.lit(True)), "pii-round")
         if fresh.isEmpty():
             break
-        fresh_rounds.append(fresh)
+        rounds += 1
         labels = labels.unionByName(fresh)
-    if not fresh_rounds:
+        if rounds % MERGE == 0:
+            labels = materialise(labels, "pii-labels")
+    if not rounds:
         return None
-    new = reduce(DataFrame.unionByName, fresh_rounds).select("value", F.col("kind").alias("label"))
+    new = labels.where("added").select("value", F.col("kind").alias("label"))
     return seen.where("kind is null").join(new, "value").select("pii_key", F.col("label").alias("kind"), "start", "end")
 
 

@@ -70,3 +70,15 @@ def test_copies_do_not_make_a_pattern_trusted(spark):
     docs = spark.createDataFrame([(i, "ring +1 555 1234567 now") for i in range(50)] + [(99, "ring 555-12-4567 now")],
                                  "doc_id long, text string")
     assert bootstrap(find(docs.withColumnRenamed("doc_id", "pii_key"), ["pii_key"])) is None
+
+
+def test_labels_spread_until_no_round_finds_more(spark):
+    n, values = 5, [f"555-123-{4000 + k}" for k in range(1, 6)]
+    rows = []
+    for k in range(n):
+        old = [f"+1 555 {1000 + 10 * k + j}" for j in range(5 - (k > 0))]
+        name = "abcde"[k] * 3
+        rows += [f"word {name} {v} then {j}" for j, v in enumerate(old + values[max(0, k - 1):k + 1])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    text = " ".join(r.text for r in redact(docs).collect())
+    assert not any(v in text for v in values)
