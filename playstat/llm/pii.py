@@ -8,7 +8,9 @@ the bootstrap:
 * its lexical patterns are the two words before it, and the word before together
   with the word after;
 * a pattern's confidence for a kind is the share of that kind among the distinct
-  values that it introduces, if it introduces enough of them;
+  values that it introduces and that speak for or against it, if it introduces enough
+  of the kind; values of another kind or without the loose form of this one speak
+  against it, unlabelled values with the form do neither;
 * an unlabelled occurrence takes a kind when its patterns' joint confidence is
   high and its value has the loose form of that kind (an ``@`` between other
   characters; dotted or coloned groups; 12-19 digits; 7-15 digits).
@@ -176,17 +178,20 @@ def bootstrap(found: DataFrame) -> DataFrame | None:
     seen = seen.groupBy("pii_key", "start", "end").agg(*(F.first(c).alias(c) for c in ("kind", "value", "fits", "patterns")))
     seen = materialise(seen, "pii-occurrences")
     labels = seen.where("kind is not null").select("value", "kind", F.lit(False).alias("added")).distinct()
+    known = seen.select("pii_key", "start", "end", "value", "fits", F.explode("patterns").alias("pattern"))
+    introduced = materialise(known.select("pattern", "value", "fits").distinct(), "pii-introduced")
     rounds = 0
     while True:
-        known = seen.select("pii_key", "start", "end", "value", "fits", F.explode("patterns").alias("pattern"))
-        values = known.select("pattern", "value").distinct().join(
-            labels.select("value", F.col("kind").alias("label")).distinct(), "value", "left")
-        by_kind = values.groupBy("pattern", "label").agg(F.count("*").alias("n"))
-        totals = values.groupBy("pattern").agg(F.countDistinct("value").alias("total"))
-        trusted = (by_kind.where(F.col("label").isNotNull() & (F.col("n") >= MIN_VALUES)).join(totals, "pattern")
-                   .withColumn("confidence", F.col("n") / F.col("total"))
+        kinds = labels.groupBy("value").agg(F.collect_set("kind").alias("kinds"))
+        values = introduced.join(kinds, "value", "left")
+        of = {kind: F.coalesce(F.array_contains("kinds", kind), F.lit(False)) for kind in KINDS}
+        against = {kind: ~of[kind] & (F.col("kinds").isNotNull() | ~F.array_contains("fits", kind)) for kind in KINDS}
+        by_kind = values.groupBy("pattern").agg(F.array(*(
+            F.struct(F.lit(kind).alias("label"), F.count_if(of[kind]).alias("n"), F.count_if(against[kind]).alias("against"))
+            for kind in KINDS)).alias("by_kind"))
+        trusted = (by_kind.select("pattern", F.inline("by_kind")).where(F.col("n") >= MIN_VALUES)
+                   .select("pattern", "label", (F.col("n") / (F.col("n") + F.col("against"))).alias("confidence"))
                    .where(F.col("confidence") >= MIN_CONFIDENCE))
-        # a trusted pattern still counts the values that it is about to label against itself
         open_ = known.join(labels.select("value").distinct(), "value", "left_anti")
         scored = (open_.join(trusted, "pattern").where(F.array_contains("fits", F.col("label")))
                   .groupBy("pii_key", "start", "end", "value", "label")

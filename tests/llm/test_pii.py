@@ -82,3 +82,13 @@ def test_labels_spread_until_no_round_finds_more(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     text = " ".join(r.text for r in redact(docs).collect())
     assert not any(v in text for v in values)
+
+
+def test_many_unseen_values_do_not_spoil_a_pattern(spark):
+    rows = [f"dial {v} please" for v in [f"+1 555 {1000 + k}" for k in range(6)] + [f"555-123-{4000 + k}" for k in range(40)]]
+    # mostly values of no phone's form, or of another kind
+    rows += [f"order {v} please" for v in [f"+1 556 {1000 + k}" for k in range(6)] + [f"x{4000 + k}" for k in range(3)] + ["5551239999"]]
+    rows += [f"host {v} please" for v in [f"+1 557 {1000 + k}" for k in range(6)] + [f"1.2.3.{k}" for k in range(3)] + ["5551238888"]]
+    docs = spark.createDataFrame(list(enumerate(f"lorem {t.split()[0]} {t}" for t in rows)), "doc_id long, text string")
+    text = " ".join(r.text for r in redact(docs).collect())
+    assert "555-123-4" not in text and "5551239999" in text and "5551238888" in text
