@@ -64,7 +64,9 @@ def _sequence_hash(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Smallest gram hash of the window that begins at each word."""
+    """Smallest gram hash of the window that begins at each word (none, if shorter)."""
+    if len(h) < window:
+        return np.empty(0, np.uint64)
     low, width, want = windows(h, gram), 1, window - gram + 1
     while 2 * width <= want:
         low, width = np.minimum(low[:-width], low[width:]), 2 * width

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
+from playstat.llm.ragged import mix, windows
 from playstat.llm.substring_dedup import anchors, dedup
 from playstat.llm.suffix_automaton import SuffixAutomaton
 from tests.llm.conftest import odd_texts, words
@@ -38,6 +41,20 @@ def test_empty(none):
     assert got(dedup(none)) == []
 
 
+def test_anchors_of_every_length():
+    for n in range(61):
+        h = mix(np.arange(n, dtype=np.uint64) * np.uint64(7) + np.uint64(n))
+        grams = [int(x) for x in windows(h, 25)]
+        assert [int(x) for x in anchors(h)] == [min(grams[i:i + 26]) for i in range(max(0, n - 49))]
+
+
+def test_a_short_text_alone_in_its_slice(spark):
+    for n in (45, 48):
+        rows = [(1, " ".join(words(70_000, 3))), (2, " ".join(words(n, 4)))]
+        for some in (rows, rows[1:]):
+            assert got(dedup(spark.createDataFrame(some, "doc_id long, text string").coalesce(1))) == brute(some)
+
+
 def mosaics():
     r, pieces = random.Random(6), [words(n, 50 + n, 3000) for n in (49, 50, 51, 80, 200, 1200)]
     rows = []
