@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from playstat.llm import chat, decontamination, language_id, nearest, ngram_join, packing, pii, substring_dedup, token_counts, warc
+from playstat.llm import (chat, collocations, decontamination, fingerprints, language_id, nearest, ngram_join, packing, pii,
+                          ranked_search, substring_dedup, token_counts, warc)
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -24,4 +28,6 @@ ORACLE_SQL = {
     "op6_chat_formatting": chat.OP6_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
