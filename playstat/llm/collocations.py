@@ -6,11 +6,12 @@ as lead columns w2..w4, padded with null. A ROLLUP over (lang, w1, .., w4) then
 windows that share a shorter prefix, which gives the count of every word and of every
 phrase of 2 to 4 words at once; no other order is ever exploded.
 
-Nothing below ``MIN_COUNT`` can be in a candidate or in a part of one. A count sketch of
-fixed size (``BUCKETS`` saturating counters, whatever the corpus; added up on the
-executors, its bits broadcast) tells words and word pairs that surely occur less often,
-and a window is padded from the first such word or pair on. What it lets through wrongly
-only costs time: all counts that decide are exact sums. Windows of a slice of text are
+Nothing below ``MIN_COUNT`` can be in a candidate or in a part of one. A sketch of
+saturating counters (one for every ``BUCKET_BYTES`` of text and order, ``MAX_BUCKETS`` at
+most; added up on the executors, its bits broadcast) tells phrases that surely occur less
+often, and a window is padded from the first word on that would complete such a phrase.
+What it lets through wrongly only costs time: all counts that decide are exact sums, and a
+corpus beyond the largest sketch is counted with less padding. Windows of a slice of text are
 counted before Spark sees them, and Spark's partial aggregation follows, so a phrase or
 language that fills a third of the corpus is a few rows of each task.
 
@@ -38,7 +39,8 @@ ORDER = 4                      # words of the longest phrase
 MIN_COUNT = 30
 INSIDE_PERCENT = 80            # a longer phrase this frequent swallows a shorter one
 TOP = 2000
-BUCKETS = 1 << 24              # counters of the sketch (2 MiB as bits)
+BUCKET_BYTES = 40              # text bytes for each counter of the sketch (for two orders)
+MIN_BUCKETS, MAX_BUCKETS = 1 << 20, 1 << 27        # at most 16 MiB of bits for two orders
 CHUNK = 1 << 18                # counters of a chunk of it
 SLICE = 1 << 20                # text bytes whose windows are counted together
 SALTS = 64                     # shares of a language in the first step of its ranking
@@ -55,9 +57,9 @@ LEADS = [f"w{k}" for k in range(1, ORDER + 1)]
 
 class _Windows:
     """The words of a slice: lower-cased bytes, the language of each, how many words of
-    the same piece follow, and hashes of (lang, word) and (lang, word, next word)."""
+    the same piece follow, and hashes of (lang, word), (lang, word, next word), ..."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, order: int = ORDER):
         raw, off = text_buffer(batch.column("text"))
         self.data = _LOWER[raw]
         words = Words(self.data, off, _ALPHABET)
@@ -73,9 +75,10 @@ class _Windows:
         last = np.searchsorted(piece, np.arange(piece[-1] + 1), "right") if self.n else np.empty(0, np.int64)
         self.follow = (last[piece] - 1 - np.arange(self.n)) if self.n else np.empty(0, np.int64)
         self.hash = words.hash
-        self.one = mix(words.hash + of * _STEP)
-        after = np.concatenate((words.hash[1:], np.zeros(min(1, self.n), _U)))
-        self.two = mix(self.one * _STEP + after)
+        self.prefix = [mix(words.hash + of * _STEP)]
+        for k in range(1, order):
+            after = np.concatenate((words.hash[k:], np.zeros(min(k, self.n), _U)))
+            self.prefix.append(mix(self.prefix[-1] * _STEP + after + _U(k)))
 
     def texts(self, index: np.ndarray, present: np.ndarray) -> pa.Array:
         """The words at ``index`` as strings, null where not present."""
@@ -99,23 +102,31 @@ def hash_text(x: str) -> int:
     return made
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
+def _place(h: np.ndarray, k: int, buckets: int) -> np.ndarray:
+    """Counter of a prefix of k words; each two orders have ``buckets`` of their own."""
+    return (h >> _U(64 - (buckets.bit_length() - 1))).astype(np.int64) + (k - 1) // 2 * buckets
 
 
-def sketch(docs: DataFrame, min_count: int):
-    """Broadcast bits: may the words or pairs of a bucket occur ``min_count`` times?"""
-    top = np.uint8(min(255, min_count))
+def _buckets(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (int(size) // BUCKET_BYTES).bit_length()))
+
+
+def sketch(docs: DataFrame, min_count: int, order: int = ORDER) -> tuple:
+    """Broadcast bits (may the phrases of a counter occur ``min_count`` times?) and the
+    number of counters for two orders."""
+    top, buckets = np.uint8(min(255, min_count)), _buckets(docs)
+    size = buckets * ((order + 1) // 2)
 
     def count(batches):
-        counts = np.zeros(BUCKETS, np.uint8)
+        counts = np.zeros(size, np.uint8)
         for b in slices(batches, limit=SLICE):
-            words = _Windows(b)
-            for h in (words.one, words.two[words.follow > 0]):
-                at, n = np.unique(_bucket(h), return_counts=True)
+            words = _Windows(b, order)
+            for k, h in enumerate(words.prefix, 1):
+                at, n = np.unique(_place(h[words.follow >= k - 1], k, buckets), return_counts=True)
                 counts[at] = np.minimum(counts[at] + np.minimum(n, top), top)
         pack = zstandard.ZstdCompressor(level=1)
-        for k in range(max(1, BUCKETS // CHUNK)):
+        for k in range(-(-size // CHUNK)):
             own = counts[k * CHUNK:(k + 1) * CHUNK]
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack.compress(own.tobytes())])],
@@ -127,33 +138,29 @@ def sketch(docs: DataFrame, min_count: int):
         for b in batches:                    # one by one: the tasks' shares never lie together
             for k, x in zip(b.column(0).to_pylist(), b.column(1)):
                 own = np.frombuffer(unpack.decompress(x.as_py()), np.uint8).astype(np.uint16)
-                total[k] = np.minimum(total[k] + own, top) if k in total else own
+                total[k] = np.minimum(total[k] + own, top).astype(np.uint8) if k in total else own.astype(np.uint8)
         for k, own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own >= top).tobytes()])],
                                              ["chunk", "bits"])
 
     parts = (docs.mapInArrow(count, "chunk int, counts binary").repartition("chunk")
-             .mapInArrow(add, "chunk int, bits binary").collect())            # BUCKETS bits at most
-    bits = np.zeros(BUCKETS, bool)
+             .mapInArrow(add, "chunk int, bits binary").collect())            # ``size`` bits
+    bits = np.zeros(-(-size // 8), np.uint8)
     for r in parts:
-        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-        bits[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(own)] = own[:BUCKETS - r["chunk"] * CHUNK]
-    return docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-
+        bits[r["chunk"] * CHUNK // 8:][:len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(bits.tobytes()), buckets
 
-def _kept(words: _Windows, bits: np.ndarray, order: int) -> np.ndarray:
-    """Length of each word's window: up to the first rare word or pair (0: a rare word)."""
-    def known(h):
-        at = _bucket(h)
-        return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
-    size = known(words.one).astype(np.int64)
-    joined = known(words.two) & (words.follow > 0)
-    alive = size > 0
-    for k in range(order - 1):
-        alive = alive & (np.concatenate((joined[k:], np.zeros(min(k, words.n), bool))))
-        size += alive
-    return size
+def _kept(words: _Windows, bits: np.ndarray, buckets: int) -> np.ndarray:
+    """Length of each word's window: as long as no phrase in it is surely rare (0: a rare word)."""
+    fine = []
+    for k, h in enumerate(words.prefix, 1):
+        at = _place(h, k, buckets)
+        ok = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & (words.follow >= k - 1)
+        if k > 1:                            # and so are the phrases without its first or last word
+            ok &= fine[-1] & np.concatenate((fine[-1][1:], np.zeros(min(1, words.n), bool)))
+        fine.append(ok)
+    return np.sum(fine, axis=0, dtype=np.int64)
 
 
 def lead_windows(docs: DataFrame, min_count: int = MIN_COUNT, order: int = ORDER) -> DataFrame:
@@ -162,20 +169,17 @@ def lead_windows(docs: DataFrame, min_count: int = MIN_COUNT, order: int = ORDER
     A word that is surely rarer than ``min_count`` leads a window without words, which
     only the total of its language counts."""
     docs = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    shared = sketch(docs, min_count)
+    shared, buckets = sketch(docs, min_count, order)
     leads = LEADS[:order]
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for b in slices(batches, limit=SLICE):
-            words = _Windows(b)
+            words = _Windows(b, order)
             if not words.n:
                 continue
-            size = _kept(words, bits, order)
-            key = np.where(size > 0, words.one, mix(words.lang.astype(_U) + _U(1)))
-            for k in range(1, order):
-                more = np.flatnonzero(size > k)
-                key[more] = mix(key[more] * _STEP + words.hash[more + k] + _U(k))
+            size = _kept(words, bits, buckets)
+            key = np.choose(size, [mix(words.lang.astype(_U) + _U(1)), *words.prefix])
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             columns = [words.langs.take(pa.array(words.lang[first]))]
             columns += [words.texts(first + k, size[first] > k) for k in range(order)]

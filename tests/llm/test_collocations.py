@@ -64,22 +64,27 @@ def test_against_plain_python(spark, rows):
     assert len(brute(rows)) > 20
 
 
-def test_small_sketch(spark, rows, monkeypatch):
-    """A full sketch lets rare words through, never a frequent one away."""
-    monkeypatch.setattr(C, "BUCKETS", 64)
+def test_small_sketch(rows):
+    """A full sketch lets rare words through, never cuts a frequent phrase."""
     import numpy as np
     import pyarrow as pa
     batch = pa.RecordBatch.from_pydict({"lang": pa.array([x or "und" for x, _ in rows]), "text": pa.array([t for _, t in rows])})
     w = C._Windows(batch)
-    counts = Counter(C._bucket(np.concatenate((w.one, w.two[w.follow > 0]))).tolist())
-    bits = np.zeros(64, bool)
-    bits[[b for b, n in counts.items() if n >= 30]] = True
-    size = C._kept(w, np.packbits(bits), 4)
-    f = Counter((l, h) for l, h in zip(w.lang.tolist(), w.hash.tolist()))
-    for i in range(w.n):
-        assert size[i] <= 1 + w.follow[i]
-        if f[(int(w.lang[i]), int(w.hash[i]))] >= 30:
-            assert size[i] >= 1
+    for buckets in (64, 1 << 12, 1 << 20):
+        seen = [C._place(h[w.follow >= k - 1], k, buckets) for k, h in enumerate(w.prefix, 1)]
+        bits = np.bincount(np.concatenate(seen), minlength=2 * buckets) >= 30
+        size = C._kept(w, np.packbits(bits), buckets)
+        assert (size <= 1 + w.follow).all()
+        for k, h in enumerate(w.prefix, 1):
+            _, inv, n = np.unique(h[w.follow >= k - 1], return_inverse=True, return_counts=True)
+            assert (size[w.follow >= k - 1][n[inv] >= 30] >= k).all()
+    assert (size == 0).any()
+
+
+def test_largest_sketch(spark, rows, monkeypatch):
+    monkeypatch.setattr(C, "MIN_BUCKETS", 64)
+    monkeypatch.setattr(C, "MAX_BUCKETS", 64)
+    assert got(C.collocations(spark.createDataFrame(rows, "lang string, text string"))) == brute(rows)
 
 
 def test_odd_rows(spark, odd, none):
