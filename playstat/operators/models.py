@@ -1,15 +1,16 @@
-"""Standardisation, interaction feature and logistic regression (Spark ML)."""
+"""Standardisation, interaction feature and logistic regression (Newton's method)."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ITER = 300              # fixed value
+from playstat.functions.tails import normal_two_sided_p
+from playstat.session import cut_lineage
+
+NEWTON_PASSES = 25          # passes over the data, at most
+NEWTON_STEP = 1e-10         # the fit ends when no coefficient moves further than this
 
 
 def zscore_stats(df: DataFrame, cols) -> DataFrame:
@@ -31,62 +32,67 @@ def add_zscores(df: DataFrame, cols, prefix: str = "s_") -> DataFrame:
     return d.drop(*[f"{c}_{s}" for c in cols for s in ("mean", "std")])
 
 
-def logit_interaction(df: DataFrame, a: str = "is_organic", b: str = "track_length_seconds",
-                      label: str = "listen_plus", max_iter: int = MAX_ITER):
-    """Fits label ~ z(a) + z(b) + z(a) z(b) on all complete rows. Returns
-    (coefficients dict name -> (beta, wald_z, p), model); where a column or the label
-    has one value only, nothing can be fitted and all of them are None.
-
-    Identical (a, b, label) rows contribute identical likelihood terms, so the
-    rows are first collapsed into a weighted histogram (map-side combined) and
-    the model is fitted with ``weightCol``: the same maximum-likelihood fit, but
-    every optimiser pass scans distinct feature values instead of the full
-    table. Means, sample standard deviations and the Fisher information (for
-    Wald z) are weighted sums over the same histogram."""
-    h = (df.select(F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b),
+def design(df: DataFrame, a: str, b: str, label: str) -> DataFrame:
+    """Weighted design rows (features array<double>, label, w): 1, z(a), z(b), z(a) z(b).
+
+    Identical (a, b, label) rows are one row with their number as weight (map-side
+    combined); means and sample standard deviations are weighted sums over them."""
+    h = (df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"),
                    F.col(label).cast("double").alias("label")).dropna()
-         .groupBy(a, b, "label").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    from playstat.session import cut_lineage
-    h = cut_lineage(h)                               # small; read by several passes
+         .groupBy("a", "b", "label").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    h = cut_lineage(h)                               # read by the statistics and by the design
     n = F.sum("w")
-    st = h.agg(*[x for c in (a, b) for x in (
-        (F.sum(F.col("w") * F.col(c)) / n).alias(f"{c}_mean"),
-        F.sqrt(F.try_divide(F.sum(F.col("w") * F.col(c) * F.col(c)) - F.sum(F.col("w") * F.col(c)) ** 2 / n,
-                            n - 1)).alias(f"{c}_std"))])
-    d = h.crossJoin(F.broadcast(st))                 # one-row side
-    for c in (a, b):
-        d = d.withColumn(f"s_{c}", F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std")))
-    d = d.withColumn("interaction", F.col(f"s_{a}") * F.col(f"s_{b}")).dropna()
+    mean = lambda c: F.sum(F.col("w") * F.col(c)) / n
+    st = h.agg(mean("a").alias("ma"), mean("b").alias("mb"), n.alias("n"))
+    st = h.crossJoin(F.broadcast(st)).agg(*[                                          # one-row side
+        x for c in "ab" for x in (
+            F.max(f"m{c}").alias(f"m{c}"),
+            F.sqrt(F.try_divide(F.sum(F.col("w") * (F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}"))),
+                                F.max("n") - 1)).alias(f"s{c}"))])
+    z = lambda c: F.try_divide(F.col(c) - F.col(f"m{c}"), F.col(f"s{c}"))
+    d = h.crossJoin(F.broadcast(st)).select(z("a").alias("za"), z("b").alias("zb"), "label", "w").dropna()
+    return d.select(F.array(F.lit(1.0), "za", "zb", F.col("za") * F.col("zb")).alias("features"), "label", "w")
+
+
+def newton_logit(rows: DataFrame, size: int, passes: int = NEWTON_PASSES):
+    """Maximum-likelihood logistic fit of (features, label, w) by Newton's method.
+
+    Each pass is one aggregate of the gradient and the upper triangle of the information
+    over the weighted rows; only these sums reach the driver, which solves a system of
+    ``size`` unknowns. Returns (coefficients, covariance), or None without a maximum
+    (one label only, dependent features, separated labels)."""
+    x = [F.col("features")[i] for i in range(size)]
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    beta = np.zeros(size)
+    for _ in range(passes):
+        eta = sum((x[i] * F.lit(float(beta[i])) for i in range(1, size)), F.lit(float(beta[0])))
+        p = 1.0 / (1.0 + F.exp(-eta))
+        v = F.col("w") * p * (1 - p)
+        sums = rows.agg(*[F.sum(F.col("w") * (F.col("label") - p) * x[i]).alias(f"g{i}") for i in range(size)],
+                        *[F.sum(v * x[i] * x[j]).alias(f"h{i}{j}") for i, j in upper],
+                        F.min("label").alias("low"), F.max("label").alias("high")).first()
+        if sums["low"] is None or sums["low"] == sums["high"]:
+            return None
+        info = np.zeros((size, size))
+        for i, j in upper:
+            info[i, j] = info[j, i] = sums[f"h{i}{j}"]
+        if not np.isfinite(info).all() or np.linalg.cond(info) > 1e14:
+            return None
+        covariance = np.linalg.inv(info)             # at the coefficients of this pass
+        move = covariance @ np.array([sums[f"g{i}"] for i in range(size)])
+        beta = beta + move
+        if np.abs(move).max() < NEWTON_STEP:
+            return beta, covariance
+    return None
+
+
+def logit_interaction(df: DataFrame, a: str = "is_organic", b: str = "track_length_seconds",
+                      label: str = "listen_plus") -> DataFrame:
+    """Fits label ~ 1 + z(a) + z(b) + z(a) z(b) on all complete rows: a row per
+    coefficient (name, coef, wald_z, p). Where nothing can be fitted they are NULL."""
     names = ["intercept", f"s_{a}", f"s_{b}", "interaction"]
-    if (d.agg(F.count_distinct("label").alias("k")).first().k or 0) < 2:
-        return {nm: (None, None, None) for nm in names}, None
-    feats = [f"s_{a}", f"s_{b}", "interaction"]
-    data = VectorAssembler(inputCols=feats, outputCol="features").transform(d)
-    model = LogisticRegression(maxIter=max_iter, featuresCol="features", labelCol="label",
-                               weightCol="w").fit(data)
-    beta = [float(x) for x in model.coefficients.toArray()]
-    b0 = float(model.intercept)
-    eta = F.lit(b0)
-    for f, c in zip(feats, beta):
-        eta = eta + F.col(f) * c
-    p = 1.0 / (1.0 + F.exp(-eta))
-    w = F.col("w") * p * (1 - p)
-    xs = [F.lit(1.0)] + [F.col(f) for f in feats]
-    aggs = [F.sum(w * xs[i] * xs[j]).alias(f"i{i}{j}") for i in range(4) for j in range(i, 4)]
-    info = d.agg(*aggs).first()                      # one row of 10 sums
-    import numpy as np
-    m = np.zeros((4, 4))
-    for i in range(4):
-        for j in range(i, 4):
-            m[i, j] = m[j, i] = info[f"i{i}{j}"] or 0.0
-    try:
-        cov = np.linalg.inv(m)
-        se = [math.sqrt(cov[k, k]) if cov[k, k] > 0 else float("nan") for k in range(4)]
-    except np.linalg.LinAlgError:
-        se = [float("nan")] * 4
-    coefs = dict(zip(names, [b0] + beta))
-    out = {}
-    for k, nm in enumerate(names):
-        z = coefs[nm] / se[k] if se[k] and se[k] == se[k] else float("nan")
-        out[nm] = (coefs[nm], z, math.erfc(abs(z) / math.sqrt(2)) if z == z else float("nan"))
-    return out, model
+    fit = newton_logit(cut_lineage(design(df, a, b, label)), len(names))
+    rows = [(n, None, None) for n in names] if fit is None else [
+        (n, float(c), float(c / np.sqrt(v))) for n, c, v in zip(names, fit[0], np.diag(fit[1]))]
+    made = df.sparkSession.createDataFrame(rows, "name string, coef double, wald_z double")
+    return made.withColumn("p", normal_two_sided_p("wald_z"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playstat.operators import vectors as V
-from playstat.operators.prefix import row_index, running_sum
+from playstat.operators.prefix import row_index, running_sums
 from playstat.operators.skew import join_maybe_salted
 from playstat.sources.schemas import HOT_KEY_ROWS
 
@@ -17,7 +17,7 @@ WINDOW_SIZE = 100
 WINDOW_STEP = 50
 HISTORY_LEN = 20
 MIN_HISTORY = 3
-HISTORY_CHUNK_ROWS = 4096    # organic rows per history task (plus a k-1 row halo)
+HISTORY_CHUNK_ROWS = 4096    # rows of a user per block of the history scan (plus k organic ones)
 
 
 def sliding_count_windows(df: DataFrame, order_cols, size: int = WINDOW_SIZE, step: int = WINDOW_STEP,
@@ -74,6 +74,29 @@ def window_diversity(indexed: DataFrame, emb: DataFrame, size: int = WINDOW_SIZE
                       V.pairwise_diversity(V.sum_vectors("us"), "n_vec", "n_nz").alias("diversity"))
 
 
+def _history_blocks(d: DataFrame, part: str, k: int, chunk_rows: int | None) -> DataFrame:
+    """``d`` cut into blocks of ``chunk_rows`` rows of a user (column ``__blk``), plus copies
+    (``__own`` false) of the last k organic rows before each block, by their number."""
+    own = d.withColumn("__blk", F.floor(F.col("__pos") / chunk_rows).cast("bigint") if chunk_rows
+                       else F.lit(0).cast("bigint")).withColumn("__own", F.lit(True))
+    if not chunk_rows:
+        return own
+    before = F.min(F.col("n_org") - F.col("is_organic"))         # organic rows ahead of the block
+    wanted = (own.groupBy(part, "__blk").agg(before.alias("__before"))
+              .where((F.col("__blk") > 0) & (F.col("__before") > 0))
+              .select(part, F.col("__blk"), F.explode(F.sequence(
+                  F.greatest(F.lit(1), F.col("__before") - (k - 1)), F.col("__before"))).alias("n_org")))
+    halo = (d.where(F.col("is_organic") == 1).join(wanted, [part, "n_org"])
+            .withColumn("__own", F.lit(False)).select(*own.columns))
+    return own.unionByName(halo)
+
+
+def vector_prefix(vector: str, dims: int, window, where: Column) -> Column:
+    """Sum of an array column over a window's rows where ``where`` holds, element by element."""
+    return F.array(*[F.coalesce(F.sum(F.when(where, F.col(vector)[i].cast("double"))).over(window), F.lit(0.0))
+                     for i in range(dims)])
+
+
 def history_similarity(listens: DataFrame, emb: DataFrame, order_cols, k: int = HISTORY_LEN,
                        min_history: int = MIN_HISTORY, part: str = "uid",
                        chunk_col: str | None = None,
@@ -81,41 +104,34 @@ def history_similarity(listens: DataFrame, emb: DataFrame, order_cols, k: int =
                        hot_items: bool = False, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """For each recommended listen with at least ``min_history`` organic listens
     before it: cosine between its vector and the mean vector of the last ``k``
-    organic listens that have a vector. Rows without a vector, or whose history
-    has no vector at all, are dropped.
-
-    ``n_org`` (organic listens so far) turns the as-of lookup into an equi-join
-    on (part, n_org); the history side is a bounded ROWS frame over organic rows
-    only. With ``chunk_rows``, the frame runs per (part, block of chunk_rows
-    organic rows) and the last k-1 rows of each block are copied into the next
-    block as a halo, so no task holds more than chunk_rows + k - 1 rows of one
-    user."""
-    d = running_sum(listens, part, order_cols, F.col("is_organic"), "n_org", chunk_col)
-    vec = emb.select("item_id", "normalized_embed")
-    org = join_maybe_salted(d.filter(F.col("is_organic") == 1).select(part, "n_org", "item_id"),
-                            vec, "item_id", "left", hot_items, hot_rows)
-    if chunk_rows:
-        chunk_rows = max(chunk_rows, k - 1)     # the halo reaches one block back
-        home = F.floor((F.col("n_org") - 1) / chunk_rows).cast("bigint")
-        own = org.withColumn("__blk", home).withColumn("__own", F.lit(True))
-        halo = (org.filter((F.col("n_org") - 1) % chunk_rows >= chunk_rows - (k - 1))
-                .withColumn("__blk", home + 1).withColumn("__own", F.lit(False)))
-        org = own.unionByName(halo)
-        w = Window.partitionBy(part, "__blk").orderBy("n_org").rowsBetween(-(k - 1), 0)
-    else:
-        org = org.withColumn("__own", F.lit(True))
-        w = Window.partitionBy(part).orderBy("n_org").rowsBetween(-(k - 1), 0)
-    # vectors are summed for the histories that some recommended listen asks for
-    asked = d.filter((F.col("is_organic") == 0) & (F.col("n_org") >= min_history)).select(part, "n_org").distinct()
-    hist = (org.withColumn("hl", F.collect_list("normalized_embed").over(w))
-            .filter(F.col("__own") & (F.size("hl") > 0))
-            .join(asked, [part, "n_org"], "left_semi")
-            .select(part, "n_org", V.sum_vectors("hl").alias("hist_sum")))
-    rec = join_maybe_salted(
-        d.filter((F.col("is_organic") == 0) & (F.col("n_org") >= min_history))
-         .select(part, "n_org", "item_id", "listen_plus", *[c for c in order_cols if c != "item_id"]),
-        vec, "item_id", "inner", hot_items, hot_rows)
-    # a hot user's recommended listens between two organic ones share one n_org
-    return (join_maybe_salted(rec, hist, [part, "n_org"], "inner", chunk_col is not None, hot_rows)
-            .withColumn("cosine_sim", V.cosine("normalized_embed", "hist_sum"))
-            .drop("normalized_embed", "hist_sum"))
+    organic listens, as far as these have vectors. Rows without a vector, or whose
+    history has no vector at all, are dropped.
+
+    The sum of a history is the difference of two running sums of vectors, over the
+    organic rows up to number ``n_org`` and up to ``n_org - k``: both are scans of the
+    same sorted rows, to which each listen carries its own vector once. They run per
+    block of ``chunk_rows`` rows of a user (with copies of the k organic rows before it),
+    so neither a hot user nor a long run of recommended listens makes a large task, and
+    sums are short enough for their difference to be exact to about 1e-12."""
+    sums = {"n_org": (F.col("is_organic"), True), "__pos": (F.lit(1), False)}
+    d = running_sums(listens, part, order_cols, sums, chunk_col)
+    keep = [part, "n_org", "item_id", "listen_plus", *[c for c in order_cols if c not in (part, "item_id")]]
+    d = d.select(*dict.fromkeys([*keep, "is_organic", "__pos"]))
+    vec = emb.select("item_id", "normalized_embed").where(F.col("normalized_embed").isNotNull())
+    first = vec.select(F.size("normalized_embed").alias("n")).first()
+    dims = first["n"] if first else 0
+    rec = (F.col("is_organic") == 0) & (F.col("n_org") >= min_history)
+    rows = _history_blocks(d, part, k, chunk_rows).where(rec | (F.col("is_organic") == 1)).drop("__pos")
+    rows = join_maybe_salted(rows, vec, "item_id", "inner", hot_items, hot_rows)
+    upto = Window.partitionBy(part, "__blk").orderBy("n_org").rangeBetween(Window.unboundedPreceding, 0)
+    older = Window.partitionBy(part, "__blk").orderBy("n_org").rangeBetween(Window.unboundedPreceding, -k)
+    organic = F.col("is_organic") == 1
+    held = F.count(F.when(organic, 1))
+    rows = (rows.withColumn("__n_vec", held.over(upto) - held.over(older))
+            .withColumn("__upto", vector_prefix("normalized_embed", dims, upto, organic))
+            .withColumn("__older", vector_prefix("normalized_embed", dims, older, organic)))
+    history = F.zip_with("__upto", "__older", lambda x, y: x - y)
+    return (rows.where(rec & F.col("__own") & (F.col("__n_vec") > 0))
+            .withColumn("__history", history)
+            .withColumn("cosine_sim", V.cosine("normalized_embed", "__history"))
+            .select(*dict.fromkeys(keep), "cosine_sim"))

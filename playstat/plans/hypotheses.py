@@ -106,14 +106,13 @@ def h5_length_interaction(ctx):
     from playstat.operators.enrich import enrich_listens
     lst = enrich_listens(b, clock=False).filter(F.col("played_ratio_pct").isNotNull()
                                    & F.col("track_length_seconds").isNotNull())
-    coefs, _ = logit_interaction(lst)
-    rows = []
-    for name, (beta, z, p) in coefs.items():
-        rows += [(f"{k}_{name}", None if v is None or v != v else v)
-                 for k, v in (("coef", beta), ("wald_z", z), ("p", p))]
-    conf = (coefs["interaction"][0] or 0) > 0
-    return ctx.spark.createDataFrame([("H5", DESCRIPTIONS["H5"], conf, m, v) for m, v in rows],
-                                 RESULT_SCHEMA)
+    fit = logit_interaction(lst)                 # four rows
+    long = fit.select("name", F.expr("stack(3, 'coef', coef, 'wald_z', wald_z, 'p', p) AS (kind, value)"))
+    conf = fit.agg(F.coalesce(F.max(F.when(F.col("name") == "interaction", F.col("coef") > 0)),
+                              F.lit(False)).alias("confirmed"))
+    return long.crossJoin(F.broadcast(conf)).select(
+        F.lit("H5").alias("id"), F.lit(DESCRIPTIONS["H5"]).alias("description"), "confirmed",
+        F.concat_ws("_", "kind", "name").alias("metric"), "value")
 
 
 def h6_rewind(ctx):

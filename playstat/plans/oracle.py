@@ -324,13 +324,29 @@ def spearman_sql(src: str, x: str, y: str, part: str = "") -> str:
             f"FROM (SELECT *, CAST({rho} AS DOUBLE) AS rho FROM ({sums}))")
 
 
-def mwu_sql(src: str, v: str, g: str, xv: int, yv: int, cols: str) -> str:
+def t_two(t: str, n: str) -> str:
+    """Two-sided Student-t tail with n - 2 degrees of freedom, by midpoint sums over the angle."""
+    df = f"({n} - 2.0)"
+    c = f"(2.0 * exp(lgamma(({df} + 1.0) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()))"
+    lo = f"atan(abs({t}) / sqrt({df}))"
+    w = f"((pi() / 2.0 - {lo}) / 400000.0)"
+    return (f"(CASE WHEN {n} > 2 THEN least(1.0, {c} * {w} * (SELECT sum(pow(cos({lo} + {w} * (i + 0.5)), {df} - 1.0)) "
+            f"FROM range(400000) r(i))) END)")
+
+
+def spearman_p_sql(inner: str) -> str:
+    return (f"SELECT n, rho, CASE WHEN abs(rho) = 1.0 THEN 0.0 WHEN t IS NOT NULL THEN {t_two('t', 'n')} END AS p_value "
+            f"FROM ({inner})")
+
+
+def mwu_sql(src: str, v: str, g: str, xv: int, yv: int, cols: str, ties: bool = True) -> str:
     base = f"SELECT {v} AS v, {g} AS g FROM {src} WHERE {v} IS NOT NULL AND {g} IN ({xv}, {yv})"
     ranked = f"SELECT g, {avg_rank_sql('v')} AS rk FROM ({base})"
     tie = f"SELECT sum(c * c * c - c) AS tie FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM ({base}) GROUP BY v)"
     s = (f"SELECT CAST(count_if(g = {xv}) AS DOUBLE) AS n1, CAST(count_if(g = {yv}) AS DOUBLE) AS n2, "
          f"sum(rk) FILTER (WHERE g = {xv}) AS r1 FROM ({ranked})")
-    var = "(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1))))"
+    var = ("(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1))))" if ties
+           else "(n1 * n2 / 12.0 * (n1 + n2 + 1))")
     z = "(CASE WHEN var > 0 THEN (u1 - n1 * n2 / 2.0) / sqrt(var) END)"
     inner = (f"SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u1, {var} AS var FROM ({s}) a, ({tie}) b")
     allc = {"n1": "CAST(n1 AS BIGINT) AS n1", "n2": "CAST(n2 AS BIGINT) AS n2", "u1": "u1", "z": f"{z} AS z",
@@ -505,3 +521,107 @@ _DIVP = q(mwu_sql("(SELECT round(PC.diversity, 9) AS diversity, CASE WHEN WS.rec
 ORACLE["h11_diversity"] = result_sql(
     f"SELECT t.*, d.p_two_sided AS diversity_p_value FROM ({ORACLE['diversity_test']}) t, ({_DIVP}) d", "H11",
     "p_two_sided < 0.05 AND mean_rec > mean_org", "n1 n2 mean_rec mean_org p_two_sided diversity_p_value")
+
+
+# ---------------------------------------------------------------- keyed bootstrap
+
+def boot_sql(src: str, outcome: str, b: int = 2000, seed: int = 42) -> str:
+    """diff, ci_low, ci_high: binomial draws as inverse values of md5 uniforms."""
+    u = f"(CAST('0x' || substr(md5('{seed}:' || b || ':' || g), 1, 8) AS BIGINT) / 4294967296.0)"
+    return f"""
+WITH grp AS MATERIALIZED (
+  SELECT CASE WHEN is_organic = 0 THEN 1 ELSE 2 END AS g, count(*) AS n, sum({outcome}) / CAST(count(*) AS DOUBLE) AS p
+  FROM {src} WHERE is_organic IN (0, 1) GROUP BY 1),
+span AS (SELECT *, CASE WHEN p <= 0 OR p >= 1 THEN CAST(round(n * p) AS BIGINT)
+                        ELSE greatest(0, CAST(floor(n * p - 10 * sqrt(n * p * (1 - p)) - 10) AS BIGINT)) END AS lo,
+                   CASE WHEN p <= 0 OR p >= 1 THEN CAST(round(n * p) AS BIGINT)
+                        ELSE least(n, CAST(ceil(n * p + 10 * sqrt(n * p * (1 - p)) + 10) AS BIGINT)) END AS hi FROM grp),
+term AS (SELECT *, exp(sum(CASE WHEN k = lo THEN 0.0 ELSE ln((n - k + 1) / CAST(k AS DOUBLE) * p / (1 - p)) END)
+                       OVER (PARTITION BY g ORDER BY k)) AS w
+         FROM (SELECT *, unnest(range(lo, hi + 1)) AS k FROM span)),
+dist AS MATERIALIZED (SELECT g, k, CASE WHEN k = hi THEN 1.0 ELSE sum(w) OVER (PARTITION BY g ORDER BY k)
+                                               / sum(w) OVER (PARTITION BY g) END AS cdf FROM term),
+draw AS (SELECT g, b, min(k) AS x FROM (SELECT g, b, {u} AS u FROM grp, range({b}) r(b)) JOIN dist USING (g)
+         WHERE cdf >= u GROUP BY g, b),
+diffs AS (SELECT b, max(x / CAST(n AS DOUBLE)) FILTER (WHERE g = 1) - max(x / CAST(n AS DOUBLE)) FILTER (WHERE g = 2) AS d
+          FROM draw JOIN grp USING (g) GROUP BY b),
+ci AS (SELECT list_sort(list(d)) AS l FROM diffs WHERE d IS NOT NULL)
+SELECT (SELECT p FROM grp WHERE g = 1) - (SELECT p FROM grp WHERE g = 2) AS diff,
+       l[{int(b * 0.025) + 1}] AS ci_low, l[{int(b * 0.975) + 1}] AS ci_high FROM ci"""
+
+
+ORACLE["bootstrap_rate_diff"] = q(f"SELECT * FROM ({boot_sql('EFLAGS', 'disliked')})", ["diff", "ci_low", "ci_high"])
+ORACLE["h2_dislike_rate"] = q(result_sql(
+    f"SELECT c.*, b.* FROM ({chi2_sql('EFLAGS', 'disliked')}) c, ({boot_sql('EFLAGS', 'disliked')}) b", "H2",
+    "p_value < 0.05 AND odds_ratio_rec_over_org > 1 AND ci_low > 0",
+    "chi2 p_value odds_ratio_rec_over_org diff ci_low ci_high"))
+_CANCELLED = "(SELECT * FROM ECANCEL WHERE cancelled = 1)"
+ORACLE["h3_cancellation"] = q(result_sql(
+    f"SELECT c.*, b.*, m.p_two_sided AS time_p_value, t.* FROM ({chi2_sql('ECANCEL', 'cancelled')}) c, "
+    f"({boot_sql('ECANCEL', 'cancelled')}) b, "
+    f"({mwu_sql(_CANCELLED, 'time_to_cancel', 'is_organic', 0, 1, 'p_two_sided', ties=False)}) m, "
+    "(SELECT quantile_cont(time_to_cancel, 0.5) FILTER (WHERE is_organic = 0) AS median_time_rec, "
+    f"quantile_cont(time_to_cancel, 0.5) FILTER (WHERE is_organic = 1) AS median_time_org FROM {_CANCELLED}) t", "H3",
+    "p_value < 0.05 AND odds_ratio_rec_over_org > 1",
+    "chi2 p_value odds_ratio_rec_over_org diff ci_low ci_high time_p_value median_time_rec median_time_org"))
+
+
+# ---------------------------------------------------------------- logistic fit by Newton's method
+
+def newton_sql(src: str, passes: int = 9) -> tuple[str, str]:
+    """CTEs that end in NEWTON (coefficients b0..b3 and their variances v0..v3).
+
+    Each pass is one aggregate over the weighted rows and one elimination of the
+    symmetric system, spelled step by step."""
+    ks = range(4)
+    ctes = [f"""
+HIST4 AS MATERIALIZED (SELECT CAST(is_organic AS DOUBLE) AS a, track_length_seconds AS b, CAST(listen_plus AS DOUBLE) AS y,
+                     CAST(count(*) AS DOUBLE) AS w FROM {src} GROUP BY 1, 2, 3),
+MOM AS (SELECT sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w) AS n FROM HIST4),
+DEV AS (SELECT any_value(ma) AS ma, any_value(mb) AS mb, sqrt(sum(w * (a - ma) * (a - ma)) / (any_value(n) - 1)) AS sa,
+               sqrt(sum(w * (b - mb) * (b - mb)) / (any_value(n) - 1)) AS sb FROM HIST4, MOM),
+X4 AS MATERIALIZED (SELECT 1.0::DOUBLE AS x0, (a - ma) / sa AS x1, (b - mb) / sb AS x2, (a - ma) / sa * ((b - mb) / sb) AS x3, y, w
+                  FROM HIST4, DEV),
+B0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3)"""]
+    for t in range(passes):
+        prob = "1.0 / (1.0 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3)))"
+        sums = ", ".join([f"sum(w * (y - p) * x{i}) AS r{i}" for i in ks]
+                         + [f"sum(w * p * (1 - p) * x{i} * x{j}) AS m{i}{j}" for i in ks for j in ks]
+                         + [f"{1.0 if i == j else 0.0} AS e{i}{j}" for i in ks for j in ks])
+        ctes.append(f"S{t}_0 AS MATERIALIZED (SELECT {sums} FROM (SELECT *, {prob} AS p FROM X4, B{t}))")
+        for c in ks:                        # Gauss-Jordan: column c to a unit column
+            cols = []
+            for i in ks:
+                for name in [f"r{i}"] + [f"m{i}{j}" for j in ks] + [f"e{i}{j}" for j in ks]:
+                    pivot = name[0] + str(c) + name[2:]
+                    cols.append(f"{pivot} / m{c}{c} AS {name}" if i == c
+                                else f"{name} - m{i}{c} / m{c}{c} * {pivot} AS {name}")
+            ctes.append(f"S{t}_{c + 1} AS MATERIALIZED (SELECT {', '.join(cols)} FROM S{t}_{c})")
+        moved = ", ".join([f"b{i} + r{i} AS b{i}" for i in ks] + [f"e{i}{i} AS v{i}" for i in ks])
+        ctes.append(f"B{t + 1} AS MATERIALIZED (SELECT {moved} FROM B{t}, S{t}_4)")
+    return ",".join(ctes), f"B{passes}"
+
+
+_NEWTON, _FIT = newton_sql("(SELECT * FROM LE WHERE played_ratio_pct IS NOT NULL AND track_length_seconds IS NOT NULL)")
+_FIT_NAMES = ["intercept", "s_is_organic", "s_track_length_seconds", "interaction"]
+_FIT_METRICS = ", ".join(f"b{i} AS coef_{n}, b{i} / sqrt(v{i}) AS wald_z_{n}, {p_two(f'(b{i} / sqrt(v{i}))')} AS p_{n}"
+                         for i, n in enumerate(_FIT_NAMES))
+ORACLE["h5_length_interaction"] = q(result_sql(
+    f"SELECT {_FIT_METRICS} FROM {_FIT}", "H5", "coef_interaction > 0",
+    " ".join(f"{k}_{n}" for n in _FIT_NAMES for k in ("coef", "wald_z", "p"))), extra_ctes=_NEWTON)
+ORACLE["logit_interaction"] = f"SELECT metric, value FROM ({ORACLE['h5_length_interaction']})"
+
+ORACLE["h8_experience"] = q(result_sql(
+    spearman_p_sql(spearman_sql("RQ", "activity_quartile", "listen_plus")), "H8",
+    "p_value < 0.05 AND rho > 0", "n rho p_value"), extra_ctes=ACT)
+ORACLE["h9_similarity"] = q(result_sql(
+    spearman_p_sql(spearman_sql("(SELECT round(cosine_sim, 9) AS cosine_sim, listen_plus FROM SIM)", "cosine_sim", "listen_plus")),
+    "H9", "p_value < 0.05 AND rho > 0", "n rho p_value"), extra_ctes=HIST)
+
+_VERDICTS = " UNION ALL ".join(f"SELECT id, description, confirmed FROM ({ORACLE[k]})" for k in (
+    "h1_listen_plus", "h2_dislike_rate", "h3_cancellation", "h4_correlation", "h5_length_interaction", "h6_rewind",
+    "h7_session_fatigue", "h8_experience", "h9_similarity", "h10_asymmetry", "h11_diversity"))
+ORACLE["hypothesis_summary"] = f"""
+WITH per AS (SELECT id, description, max(CAST(confirmed AS BIGINT)) AS confirmed FROM ({_VERDICTS}) GROUP BY id, description)
+SELECT id, description, confirmed, CAST(1 AS BIGINT) AS total FROM per
+UNION ALL SELECT 'ALL', 'confirmed / total', CAST(sum(confirmed) AS BIGINT), count(*) FROM per"""

@@ -19,7 +19,7 @@ def test_logit_recovers_planted_coefficients(spark):
     y = (rng.uniform(size=n) < 1 / (1 + np.exp(-eta))).astype(int)
     df = spark.createDataFrame([(int(a), float(b), int(c)) for a, b, c in zip(org, length, y)],
                                "is_organic int, track_length_seconds double, listen_plus int")
-    coefs, _ = logit_interaction(df)
+    coefs = {r["name"]: tuple(r)[1:] for r in logit_interaction(df).collect()}
     assert coefs["s_is_organic"][0] == pytest.approx(0.5, abs=0.1)
     assert coefs["s_track_length_seconds"][0] == pytest.approx(-0.8, abs=0.1)
     assert coefs["interaction"][0] == pytest.approx(0.4, abs=0.1)

@@ -1,15 +1,25 @@
 import math
 
 import pytest
+
 from pyspark.sql import functions as F
 
-from playstat.functions.tails import t_two_sided
+from playstat.functions.tails import student_t_two_sided_p
 from playstat.operators import ranks as R
 from playstat.operators import tests as TS
 from playstat.operators.bootstrap import bootstrap_rate_diff
 from tests.conftest import rows
 
 
+def plain_t_tail(t, df):
+    """Midpoint sums of the density over log-spaced pieces."""
+    import numpy as np
+    c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) if df < 1e9 else 1 / math.sqrt(2 * math.pi)
+    edges = abs(t) + np.concatenate(([0.0], np.geomspace(1e-6, 1e14, 2_000_000)))
+    mid, width = (edges[1:] + edges[:-1]) / 2, np.diff(edges)
+    return min(1.0, 2 * c * float(np.sum(np.exp(-(df + 1) / 2 * np.log1p(mid * mid / df)) * width)))
+
+
 def _groups(spark, x, y):
     data = [(float(v), 0) for v in x] + [(float(v), 1) for v in y]
     return spark.createDataFrame(data, "v double, g int")
@@ -104,10 +114,16 @@ def test_spearman_matches_pearson_of_ranks(spark):
     assert s.rho == pytest.approx(num / den)
 
 
-def test_student_t_tail():
-    assert t_two_sided(2.0, 10) == pytest.approx(0.07338803, rel=1e-6)
-    assert t_two_sided(0.0, 5) == pytest.approx(1.0)
-    assert t_two_sided(1.96, 1e6) == pytest.approx(0.04999579, rel=1e-4)
+def test_student_t_tail(spark):
+    cases = [(2.0, 10.0), (0.0, 5.0), (1.96, 1e6), (-3.3, 4.0), (0.7, 1.0), (12.7, 1.0), (40.0, 2.0), (1e-9, 7.0),
+             (5.5, 1e10), (0.3, 0.5), (8.0, 33.0)]
+    df = spark.createDataFrame(cases, "t double, df double")
+    got = [r.p for r in df.select(student_t_two_sided_p("t", "df").alias("p")).collect()]
+    for (t, n), p in zip(cases, got):
+        assert p == pytest.approx(plain_t_tail(t, n), rel=1e-7, abs=1e-12), (t, n)
+    assert got[0] == pytest.approx(0.07338803, rel=1e-6) and got[1] == pytest.approx(1.0)
+    odd = spark.createDataFrame([(float("inf"), 3.0), (None, 3.0), (float("nan"), 3.0), (1.0, 0.0), (1.0, None)], df.schema)
+    assert [r.p for r in odd.select(student_t_two_sided_p("t", "df").alias("p")).collect()] == [0.0, None, None, None, None]
 
 
 def test_fisher_and_two_proportion(spark):
