@@ -66,7 +66,7 @@ def _half_gamma_ratio(a: Column) -> Column:
 
 
 def student_t_two_sided_p(t, df) -> Column:
-    """Two-sided tail P(|T| >= |t|); NULL or NaN in, or df <= 0 -> NULL.
+    """Two-sided tail P(|T| >= |t|); NULL or NaN in, or df < 1 -> NULL.
 
     With t = sqrt(df) tan(theta) the tail is an integral of cos(theta) ** (df - 1), done
     by Simpson's rule on a fixed number of panels (a bounded ``aggregate``)."""
@@ -84,7 +84,7 @@ def student_t_two_sided_p(t, df) -> Column:
 
     integral = F.aggregate(F.sequence(F.lit(0), F.lit(QUADRATURE_PANELS)), F.lit(0.0), add) * step / 3.0
     p = F.lit(2.0 / math.sqrt(math.pi)) * _half_gamma_ratio(df / 2.0) * integral
-    none = t.isNull() | df.isNull() | F.isnan(t) | F.isnan(df) | (df <= 0)        # least() skips NULLs
+    none = t.isNull() | df.isNull() | F.isnan(t) | F.isnan(df) | (df < 1)        # least() skips NULLs
     return F.when(none, F.lit(None).cast("double")).when(
         F.abs(t) == float("inf"), F.lit(0.0)).otherwise(F.least(F.lit(1.0), p))
 
