@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,9 +168,15 @@ class Chains:
         self.packed = np.packbits(flat, axis=1)
         self.bits = self.packed.view(np.uint64)
 
-    def text(self, i: int) -> str:
-        return ",".join(f"{n}:{p.tobytes().hex()}" for n, p in zip(
-            self.features[self.first[i]:self.first[i + 1]].tolist(), self.packed[self.first[i]:self.first[i + 1]]))
+    def raw(self, i: int) -> bytes:
+        """The chain of a text: per filter a byte with its features, then its bits."""
+        own = slice(self.first[i], self.first[i + 1])
+        return np.concatenate((self.features[own, None].astype(np.uint8), self.packed[own]), axis=1).tobytes()
+
+
+def as_text(raw: bytes) -> str:
+    size = BITS // 8 + 1
+    return ",".join(f"{raw[i]}:{raw[i + 1:i + size].hex()}" for i in range(0, len(raw), size))
 
 
 def _overlap(a: Chains, i: np.ndarray, b: Chains, j: np.ndarray) -> np.ndarray:
@@ -232,26 +239,44 @@ def edited(text: str, following: str) -> str:
 
 DIGEST = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
-_NAMES = [c.split()[0] for c in DIGEST.split(", ")]
+_PACKED = "doc_id long, n_chars long, edited_sha256 string, chains binary, size int, near_edited double, near_next double"
+_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.float64(), pa.float64()]
 
 
 def _digests(ids: list, texts: list[str], follow: list[int], rank: np.ndarray) -> list[list]:
-    """Columns of DIGEST for texts 0.. of ``ids``; ``follow`` gives each one's next text."""
+    """Columns of _PACKED for texts 0.. of ``ids``; ``follow`` gives each one's next text.
+
+    Both chains of a text are packed together: three quarters of them are alike."""
     made = [edited(texts[i], texts[k]) for i, k in enumerate(follow)]
     own, new = Chains(*_buffer(texts), rank), Chains(*_buffer(made), rank)
     i, k = np.arange(len(follow)), np.array(follow, np.int64)
+    pack = zstandard.ZstdCompressor(level=3)
     return [ids, [len(texts[x]) for x in i], [hashlib.sha256(t.encode()).hexdigest() for t in made],
-            [own.text(x) for x in i], [new.text(x) for x in i],
+            [pack.compress(own.raw(x) + new.raw(x)) for x in i], [len(own.raw(x)) for x in i],
             likeness(own, i, new, i).tolist(), likeness(own, i, own, k).tolist()]
 
 
+def _unpacked(batches):
+    """Rows of _PACKED as rows of DIGEST."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        for piece in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+            of = dict(zip(_NAMES, piece.columns))
+            raw = [(unpack.decompress(x), n) for x, n in zip(of["chains"].to_pylist(), of["size"].to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [of["doc_id"], of["n_chars"], of["edited_sha256"], pa.array([as_text(x[:n]) for x, n in raw], pa.string()),
+                 pa.array([as_text(x[n:]) for x, n in raw], pa.string()), of["near_edited"], of["near_next"]],
+                [c.split()[0] for c in DIGEST.split(", ")])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document the columns of DIGEST, for all documents."""
     shared = ranks(docs.select("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["doc_id", "tie"]
     dealt = rows.withColumn("tie", F.md5("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    schema, limit = f"{DIGEST}, part int, edge string, text string", SLICE
+    schema, limit = f"{_PACKED}, part int, edge string, text string", SLICE
 
     def run(batches):
         rank, part = shared.value, TaskContext.get().partitionId()
@@ -259,11 +284,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         def record(columns, edge=None, texts=None):
             n = len(columns[0])
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)]
+                [pa.array(c, t) for c, t in zip(columns, _TYPES)]
                 + [pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.string()),
                    pa.array(texts or [None] * n, pa.string())], [*_NAMES, "part", "edge", "text"])
 
-        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
         waiting = None
         for b in slices(batches, limit=limit):
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
@@ -292,9 +316,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 columns = _digests([r["doc_id"]], [r["text"], r["following"]], [1], rank)
-                yield pa.RecordBatch.from_pydict(dict(zip(_NAMES, columns)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
-    return made.where("edge IS NULL").select(*_NAMES).unionByName(pairs.mapInArrow(meet, DIGEST))
+    return (made.where("edge IS NULL").select(*_NAMES).unionByName(pairs.mapInArrow(meet, _PACKED))
+            .mapInArrow(_unpacked, DIGEST))
 
 
 def op12_fingerprints(spark, sf_dir: str) -> DataFrame:
