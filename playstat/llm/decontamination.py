@@ -7,14 +7,16 @@ benchmark windows are searched backwards through the ranks of its wavelet
 matrix. Sampled suffix positions give the occurrences, whose words are merged to
 removal spans.
 
-The benchmark goes to the tasks in chunks of ``CHUNK_WORDS`` words; a larger one
-costs one scan of the documents per chunk. Documents are never shuffled, so a hot
-source is no hot spot.
+The benchmark's distinct (window, item) pairs are a Spark table, dealt to parts of about
+``CHUNK_WORDS`` words by a hash of the pair, so neither a long item nor a window of very
+many items makes a large part. The driver holds one part at a time and broadcasts it. A
+task runs one Python worker, which takes a shard through all parts, one part after the
+other. Documents are never shuffled, so a hot source is no hot spot.
 
 Cases: null or wordless texts have no words and no hits; a null benchmark text is
 no item; an item with a null id marks words but is not listed; repeated
 documents give a row each, repeated item ids count once; with no items nothing is
-hit; other columns of either table are ignored.
+hit; other columns of either table are ignored and keep their values and names.
 """
 
 from __future__ import annotations
@@ -28,29 +30,46 @@ from pyspark.sql import functions as F
 
 from playstat.llm.fm_index import FMIndex, ranges
 from playstat.llm.ragged import NOT_ALNUM, Alphabet, Words, slices, text_buffer, windows
-from playstat.llm.storage import table
+from playstat.llm.storage import materialise, release, table
 
 WINDOW = 10                    # words of a benchmark window
-CHUNK_WORDS = 2_000_000        # benchmark words that are broadcast at once
-SHARD_BYTES = 16 << 20         # text of one FM-index
+CHUNK_WORDS = 2_000_000        # words of the windows that are broadcast at once
+SHARD_BYTES = 4 << 20          # text of one FM-index
 _FILTER_BITS = 20
-WORDS, HITS, ITEMS = "_leak_words", "_leak_hits", "_leak_items"
 _ALPHABET = Alphabet(NOT_ALNUM, fold_ascii_case=True)
 
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Written distinct (item_id, words): word hashes of every window of an item, or of the
+    whole item if it is shorter."""
+    def run(batches):
+        for b in slices(batches):
+            words = Words(*text_buffer(b.column("text")), _ALPHABET)
+            for k in np.flatnonzero(np.diff(words.first)).tolist():
+                own = words.hash[words.first[k]:words.first[k + 1]].view(np.int64)
+                rows = np.lib.stride_tricks.sliding_window_view(own, min(window, len(own)))
+                for i in range(0, len(rows), 10_000):
+                    some = rows[i:i + 10_000]
+                    off = pa.array(np.arange(len(some) + 1) * some.shape[1], pa.int32())
+                    item = pa.array([b.column("item_id")[k].as_py()] * len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays([item, pa.ListArray.from_arrays(off, pa.array(some.ravel()))],
+                                                     ["item_id", "words"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    return materialise(rows.mapInArrow(run, "item_id long, words array<long>").distinct(), "leak-windows")
+
+
 class Phrases:
     """Benchmark windows as rows of word ids, with the items they come from."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
-        texts = pa.array([t for _, t in items], pa.string())
-        raw, off = text_buffer(texts)
-        words = Words(raw, off, _ALPHABET)
-        self.vocabulary, ids = np.unique(words.hash, return_inverse=True)
-        ids = ids.astype(np.int64) + 1
+    def __init__(self, pairs: list):
         rows: dict[tuple, set] = {}
-        for k, (item, _) in enumerate(items):
-            mine = ids[words.first[k]:words.first[k + 1]].tolist()
-            for i in range(max(1, len(mine) - window + 1) if mine else 0):
-                rows.setdefault(tuple(mine[i:i + window]), set()).add(item)
+        for item, words in pairs:
+            rows.setdefault(tuple(words), set()).add(item)
+        flat = np.array([h for phrase in rows for h in phrase], np.int64).view(np.uint64)
+        self.vocabulary, ids = np.unique(flat, return_inverse=True)
+        cut = np.cumsum([len(phrase) for phrase in rows])[:-1]
+        rows = dict(zip(map(tuple, np.split(ids.astype(np.int64) + 1, cut)), rows.values())) if rows else {}
         self.by_length = {}
         for phrase, owners in rows.items():
             self.by_length.setdefault(len(phrase), ([], []))
@@ -94,27 +113,27 @@ class _Shard:
     """Slices of a task whose words share one index."""
 
     def __init__(self):
-        self.batches, self.firsts, self.ids, self.at = [], [], [], []
-        self.n_words, self.n_bytes = 0, 0
+        self.batches, self.words, self.n_bytes = [], [], 0
 
-    def add(self, batch: pa.RecordBatch, phrases: Phrases):
+    def add(self, batch: pa.RecordBatch):
         raw, off = text_buffer(batch.column("text"))
-        words = Words(raw, off, _ALPHABET)
-        kept = phrases.candidates(words)
-        document = np.searchsorted(words.first, kept, "right")
-        ids = np.searchsorted(phrases.vocabulary, words.hash[kept]) + 1
-        split = np.flatnonzero((np.diff(kept) != 1) | (np.diff(document) != 0)) + 1
-        split = np.concatenate(([0], split)) if len(kept) else split
-        self.ids.append(np.insert(ids, split, 0))
-        self.at.append(np.insert(kept, split, 0) + self.n_words)
         self.batches.append(batch)
-        self.firsts.append(words.first[:-1] + self.n_words)
-        self.n_words += len(words)
+        self.words.append(Words(raw, off, _ALPHABET))
         self.n_bytes += len(raw)
 
     def occurrences(self, phrases: Phrases):
         """(first word, phrase length, item ids) of every occurrence of a phrase."""
-        text, at = np.concatenate(self.ids), np.concatenate(self.at)
+        ids, places, before = [], [], 0
+        for words in self.words:
+            kept = phrases.candidates(words)
+            document = np.searchsorted(words.first, kept, "right")
+            of = np.searchsorted(phrases.vocabulary, words.hash[kept]) + 1
+            split = np.flatnonzero((np.diff(kept) != 1) | (np.diff(document) != 0)) + 1
+            split = np.concatenate(([0], split)) if len(kept) else split
+            ids.append(np.insert(of, split, 0))
+            places.append(np.insert(kept, split, 0) + before)
+            before += len(words)
+        text, at = np.concatenate(ids), np.concatenate(places)
         if not len(text):
             return
         index = FMIndex(text, phrases.n_symbols)
@@ -123,25 +142,22 @@ class _Shard:
             suffix, owner = ranges(low, high)
             yield at[index.locate(suffix)], n, found[owner], items
 
-    def marked(self, phrases: Phrases) -> Iterator[pa.RecordBatch]:
-        """The slices with the hits of these phrases added to what they carry."""
-        firsts = np.concatenate([*self.firsts, [self.n_words]])
+    def leaks(self, parts) -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
+        """Per slice: the slice, and for each document its number of words, the hit words as
+        merged ranges (start, end, start, end, ...) and the ids of the items found."""
+        sizes = np.cumsum([0] + [len(w) for w in self.words])
+        firsts = np.concatenate([w.first[:-1] + n for w, n in zip(self.words, sizes)] + [sizes[-1:]])
         n_docs = len(firsts) - 1
-        whole = [b.column(c).to_pylist() for c in (HITS, ITEMS) for b in self.batches]
-        hits = [x or [] for part in whole[:len(self.batches)] for x in part]
-        items = [set(x or []) for part in whole[len(self.batches):] for x in part]
-        cover = np.zeros(self.n_words + 1, np.int64)
-        for d in range(n_docs):
-            for a, b in zip(hits[d][::2], hits[d][1::2]):
-                cover[firsts[d] + a] += 1
-                cover[firsts[d] + b] -= 1
-        for first, n, phrase, names in self.occurrences(phrases):
-            np.add.at(cover, first, 1)
-            np.add.at(cover, first + n, -1)
-            document = np.searchsorted(firsts, first, "right") - 1
-            for d, p in np.unique(np.stack((document, phrase)), axis=1).T.tolist():
-                items[d].update(names[p])
-        hit = np.cumsum(cover[:self.n_words]) > 0
+        hits, items = [[] for _ in range(n_docs)], [set() for _ in range(n_docs)]
+        cover = np.zeros(sizes[-1] + 1, np.int64)
+        for phrases in parts:
+            for first, n, phrase, names in self.occurrences(phrases):
+                np.add.at(cover, first, 1)
+                np.add.at(cover, first + n, -1)
+                document = np.searchsorted(firsts, first, "right") - 1
+                for d, p in np.unique(np.stack((document, phrase)), axis=1).T.tolist():
+                    items[d].update(names[p])
+        hit = np.cumsum(cover[:-1]) > 0
         total = np.concatenate(([0], np.cumsum(hit)))
         for d in np.flatnonzero(total[firsts[1:]] - total[firsts[:-1]]):
             own = np.concatenate(([0], hit[firsts[d]:firsts[d + 1]].astype(np.int8), [0]))
@@ -150,53 +166,54 @@ class _Shard:
         for b in self.batches:
             own = slice(at, at + b.num_rows)
             at += b.num_rows
-            fresh = {WORDS: pa.array(n_words[own], pa.int64()), HITS: pa.array(hits[own], pa.list_(pa.int64())),
-                     ITEMS: pa.array([sorted(x) for x in items[own]], pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([fresh.get(f.name, c) for f, c in zip(b.schema, b.columns)],
-                                             b.schema.names)
-
-
-def _chunks(benchmark: DataFrame) -> list[list[tuple]]:
-    """The benchmark in chunks of bounded words, from a local iterator."""
-    chunks, size = [[]], 0
-    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        size += len(r["text"]) // 2 + 1
-        if size > CHUNK_WORDS and chunks[-1]:
-            chunks.append([])
-            size = len(r["text"]) // 2 + 1
-        chunks[-1].append((r["item_id"], r["text"]))
-    return chunks
-
-
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with three more columns: number of words, hit words as merged
-    ranges of word numbers (start, end, start, end, ...), ids of the items found."""
-    marked = docs.withColumns({WORDS: F.lit(0).cast("long"), HITS: F.array().cast("array<long>"),
-                               ITEMS: F.array().cast("array<long>")})
-    for chunk in _chunks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Phrases(chunk, window))
-
-        def search(batches, shared=shared):
+            yield b, n_words[own].tolist(), hits[own], [sorted(x) for x in items[own]]
+
+
+class _Parts:
+    """The broadcast parts of a benchmark, of which a worker holds one at a time."""
+
+    def __init__(self, benchmark: DataFrame, window: int):
+        windows = benchmark_windows(benchmark, window)
+        n = max(1, -(-(windows.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0) // CHUNK_WORDS))
+        part = F.pmod(F.xxhash64("words", "item_id"), F.lit(n))
+        context = benchmark.sparkSession.sparkContext
+        self.shared = [context.broadcast(Phrases([tuple(r) for r in windows.where(part == k).collect()]))
+                       for k in range(n)]
+        release(windows)
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for b in self.shared:
+            yield b.value
+            if len(self.shared) > 1:
+                b.__dict__.pop("_value", None)       # the worker's copy; the next use loads it again
+
+
+def _search(batches, parts: _Parts, shard_bytes: int):
+    """``_Shard.leaks`` of all slices of a task."""
+    shard = _Shard()
+    for piece in slices(batches):
+        shard.add(piece)
+        if shard.n_bytes >= shard_bytes:
+            yield from shard.leaks(parts)
             shard = _Shard()
-            for piece in slices(batches):
-                shard.add(piece, shared.value)
-                if shard.n_bytes >= SHARD_BYTES:
-                    yield from shard.marked(shared.value)
-                    shard = _Shard()
-            if shard.batches:
-                yield from shard.marked(shared.value)
-
-        marked = marked.mapInArrow(search, marked.schema)
-    return marked
+    if shard.batches:
+        yield from shard.leaks(parts)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, item ids and the hit word ranges."""
-    size = F.aggregate(F.transform(HITS, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)),
-                       F.lit(0).cast("long"), lambda s, x: s + x)
-    return mark_leaks(docs.select("doc_id", "text"), benchmark, window).select(
-        "doc_id", F.col(WORDS).alias("n_words"), size.alias("n_hit"), F.col(ITEMS).alias("items"),
-        F.col(HITS).alias("hits"))
+    parts, size = _Parts(benchmark, window), SHARD_BYTES
+
+    def run(batches):
+        for b, n_words, hits, items in _search(batches, parts, size):
+            n_hit = [sum(h[1::2]) - sum(h[::2]) for h in hits]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+                 pa.array(items, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.int64()))],
+                ["doc_id", "n_words", "n_hit", "items", "hits"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>, hits array<long>")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -205,12 +222,11 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     Keeps every column; ``text`` loses the bytes from the first to the last word
     of each merged span, and ``n_chars``, where present, follows it. Documents
     whose every word is hit are dropped."""
-    columns = docs.columns
+    columns, parts, size = docs.columns, _Parts(benchmark, window), SHARD_BYTES
 
     def clean(batches):
-        for b in slices(batches):
+        for b, n_words, hits, _ in _search(batches, parts, size):
             texts, keep = b.column("text").to_pylist(), np.ones(b.num_rows, bool)
-            n_words, hits = b.column(WORDS).to_pylist(), b.column(HITS).to_pylist()
             for i in (i for i, x in enumerate(hits) if x):
                 data, out, end = texts[i].encode(), [], 0
                 words = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), _ALPHABET)
@@ -225,7 +241,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], new["n_chars"].type)
             yield pa.RecordBatch.from_arrays([new[c] for c in columns], columns).filter(pa.array(keep))
 
-    return mark_leaks(docs, benchmark, window).mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

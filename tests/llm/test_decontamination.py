@@ -57,6 +57,31 @@ def test_chunks_of_the_benchmark_and_small_shards(spark, odd, monkeypatch):
     assert got(find_leaks(odd, bench(spark))) == brute(odd_texts(), ITEMS)
 
 
+def test_one_worker_for_any_number_of_parts(spark, odd, monkeypatch):
+    """Python workers of a task do not grow with the benchmark."""
+    for words_, parts in ((10 ** 9, 1), (10, 40)):
+        monkeypatch.setattr(D, "CHUNK_WORDS", words_)
+        for made in (find_leaks(odd, bench(spark)), remove_leaks(odd, bench(spark))):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("MapInArrow") == 1 and "Exchange" not in plan.split("MapInArrow")[0]
+    assert len(D._Parts(bench(spark), 10).shared) >= parts
+
+
+def test_a_window_of_many_items_is_dealt(spark, monkeypatch):
+    items = [(i, PASSAGE) for i in range(300)]
+    monkeypatch.setattr(D, "CHUNK_WORDS", 20_000)
+    parts = D._Parts(bench(spark, items), 10)
+    assert len(parts.shared) == 10 and max(sum(len(o) for _, o in [(r, x) for r, x in zip(*p.by_length[10])]) for p in parts) < 3000
+    rows = [(1, "before " + PASSAGE)]
+    assert got(find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, items))) == brute(rows, items)
+
+
+def test_clashing_helper_names(spark, odd):
+    named = odd.selectExpr("*", "'x' AS _leak_words", "'y' AS _leak_hits", "1 AS words", "'z' AS items")
+    made = remove_leaks(named, bench(spark))
+    assert made.columns == named.columns and {(r._leak_words, r._leak_hits, r["items"]) for r in made.collect()} == {("x", "y", "z")}
+
+
 def test_removal(spark, odd):
     clean = remove_leaks(odd, bench(spark))
     assert clean.columns == odd.columns
