@@ -18,10 +18,12 @@ Signatures lead to candidate groups, not pairs:
 
 1. texts of one set collapse to one node, and groups with equal members to one;
 2. every member of a group is compared with its smallest member (a star);
-3. linked members are one component. Pairs of a group that are still in different
-   components are compared too, unless their sizes or the distance of their bin
-   counts (a lower bound of the difference) rule a link out. Large groups
-   are compared block by block.
+3. linked members are one component. Where a group still holds several components, its
+   members meet again, block by block: first their sizes and bin counts, whose distance is
+   a lower bound of the difference. Members that these leave a possible partner of another
+   component then bring their sets, and each unit of work compares them with the partners
+   that it has not yet joined. It returns the links of a spanning forest, never pairs: fewer
+   rows than it has members.
 
 Comparisons are exact, on whole sets; only documents in candidate pairs move.
 Components are then contracted (``components``).
@@ -50,6 +52,8 @@ SHINGLE = 4
 PERCENT = 85
 BINS = 64                      # bins of a small set's counts; large sets have 4, 16, ... times as many
 BLOCK = 1024                   # members of a group that are compared with as many others at once
+BLOCK_ELEMENTS = 500_000       # and elements of their sets, about
+_COMPARED = 1 << 20            # bin differences in memory at a time
 STAR_ROWS = 256                # comparisons with one hub in one place
 CARRIED_ROWS = 1_000_000       # rows of one signature that a task holds at most
 STRONG = 4                     # elements that a signature's sub-parts should hold
@@ -260,59 +264,126 @@ def _possible(na, nb, apart, percent):
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
 
-def _pairs_in_groups(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one group that may be linked.
+def _units(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of a pair of blocks of a group (grp, i, j) next to each other."""
+    return (placed.select("grp", "i", "j", "block", *columns).repartition("grp", "i", "j")
+            .sortWithinPartitions("grp", "i", "j", "node"))
+
+
+def _each_unit(batches, lists: set[str]):
+    """The columns of one unit at a time; ``lists`` stay Python lists."""
+    held, names = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = b.schema.names
+        cols = {c: b.column(c).to_pylist() if c in lists else b.column(c).to_numpy(zero_copy_only=False) for c in names}
+        change = np.flatnonzero((np.diff(cols["grp"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
+        for x, y in zip([0, *change], [*change, b.num_rows]):
+            part = {c: v[x:y] for c, v in cols.items()}
+            if held is not None and all(held[c][0] == part[c][0] for c in ("grp", "i", "j")):
+                held = {c: held[c] + part[c] if c in lists else np.concatenate((held[c], part[c])) for c in names}
+            else:
+                if held is not None:
+                    yield held
+                held = part
+    if held is not None:
+        yield held
+
+
+def _possible_pairs(unit: dict, bins: list[bytes], n: np.ndarray, percent: int):
+    """(x, y) of members of block i and of block j, in different components, that sizes and
+    bins leave possible; a few rows and columns of the square at a time."""
+    width = min(map(len, bins))
+    left = np.flatnonzero(unit["block"] == unit["i"][0])
+    right = np.flatnonzero(unit["block"] == unit["j"][0])
+    side = max(1, int((_COMPARED // width) ** 0.5))
+    for at in range(0, len(left), side):
+        own = left[at:at + side]
+        mine = folded([bins[k] for k in own.tolist()], width)
+        for to in range(0, len(right), side):
+            others = right[to:to + side]
+            apart = np.abs(mine[:, None] - folded([bins[k] for k in others.tolist()], width)).sum(axis=2)
+            fits = _possible(n[own][:, None], n[others], apart, percent) \
+                & (unit["component"][own][:, None] != unit["component"][others])
+            x, y = np.nonzero(fits)
+            yield own[x], others[y]
+
+
+def _links_in_groups(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each group; written.
 
     ``members``: grp, node, component, n, bins. A group is cut into blocks, and each
     pair of blocks is one unit of work."""
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"),
-                                       F.min("node").alias("hub"))
-    placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                          "block", "node", "component", "n", "bins", "hub")
-
-    def unit(block, i, j, node, component, n, bins, hub):
-        bins = folded(bins, min(map(len, bins)))
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == j) if i != j else left
-        most = max(1, (1 << 22) // (bins.shape[1] * max(1, len(right))))
-        for at in range(0, len(left), most):
-            own = left[at:at + most]
-            apart = np.abs(bins[own][:, None] - bins[right]).sum(axis=2)
-            fits = _possible(n[own][:, None], n[right], apart, percent) & (component[own][:, None] != component[right])
-            x, y = np.nonzero(fits)
-            a, b = node[own[x]], node[right[y]]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            new = low != hub                   # the star has compared those
-            yield pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new])], ["a", "b"])
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS))).cast("int")
+    placed = members.join(members.groupBy("grp").agg(blocks.alias("blocks")), "grp") \
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def partners(batches):
+        """The members of a unit that have a possible partner in it."""
+        for u in _each_unit(batches, {"bins"}):
+            some = np.zeros(len(u["node"]), bool)
+            for x, y in _possible_pairs(u, u["bins"], u["n"], percent):
+                some[x] = some[y] = True
+            if some.any():
+                names = ["grp", "i", "j", "block", "node", "component"]
+                yield pa.RecordBatch.from_arrays([pa.array(u[c][some]) for c in names], names)
+
+    meeting = materialise(_units(placed, ["node", "component", "n", "bins"]).mapInArrow(
+        partners, "grp long, i int, j int, block int, node long, component long").distinct(), "ngram-meeting")
+    content = _contents(docs, meeting.select("node"), size)
+
+    def join(batches):
+        for u in _each_unit(batches, {"elements"}):
+            sets = [np.frombuffer(e, _U) for e in u["elements"]]
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            root = {c: c for c in u["component"].tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            links = []
+            for x, y in _possible_pairs(u, [bin_counts(e).tobytes() for e in sets], n, percent):
+                for k, m in zip(x.tolist(), y.tolist()):
+                    one, two = find(int(u["component"][k])), find(int(u["component"][m]))
+                    if one != two and _similar(sets[k], sets[m], percent):
+                        root[max(one, two)] = min(one, two)
+                        links.append((int(u["node"][k]), int(u["node"][m])))
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    found = materialise(_units(meeting.join(content, F.col("node") == F.col("id")), ["node", "component", "elements"])
+                        .mapInArrow(join, "a long, b long"), "ngram-more")
+    release(meeting, content)
+    return found
 
-    def run(batches):
-        held = None
-        names = ["grp", "i", "j", "block", "node", "component", "n", "hub"]
 
-        def flush(h):
-            yield from unit(h["block"], h["i"][0], h["j"][0], h["node"], h["component"], h["n"], h["bins"], h["hub"][0])
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
-            cols["bins"] = b.column("bins").to_pylist()
-            change = np.flatnonzero((np.diff(cols["grp"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
-            for x, y in zip([0, *change], [*change, b.num_rows]):
-                part = {c: v[x:y] for c, v in cols.items()}
-                if held is not None and all(held[c][0] == part[c][0] for c in ("grp", "i", "j")):
-                    held = {c: held[c] + part[c] if c == "bins" else np.concatenate((held[c], part[c])) for c in held}
-                else:
-                    if held is not None:
-                        yield from flush(held)
-                    held = part
-        if held is not None:
-            yield from flush(held)
-
-    return (units.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-            .mapInArrow(run, "a long, b long").distinct())
+
+def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Written (id, elements): the sets of the wanted documents, once for each task."""
+    def sets(batches):
+        seen = set()
+        for b in slices(batches):
+            ids, found, fresh = b.column("doc_id").to_pylist(), [], []
+            for k, s in enumerate(shingle_sets(*text_buffer(b.column("text")), size)):
+                key = ids[k], len(s), int(mix(s).sum(dtype=_U))
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(ids[k])
+                    found.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.array(found, pa.binary())], ["id", "elements"])
+
+    return materialise(semi_join(docs.select("doc_id", "text"), wanted).mapInArrow(sets, "id long, elements binary"),
+                       "ngram-contents")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -322,14 +393,7 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     places as keeps ``STAR_ROWS`` comparisons in each."""
     pairs = materialise(pairs, "ngram-pairs")
 
-    def sets(batches):
-        for b in slices(batches):
-            found = [s.tobytes() for s in shingle_sets(*text_buffer(b.column("text")), size)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], ["id", "elements"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    content = materialise(semi_join(docs.select("doc_id", "text"), wanted).mapInArrow(sets, "id long, elements binary"),
-                          "ngram-contents")
+    content = _contents(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), size)
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR_ROWS)).cast("int").alias("places"))
     dealt = pairs.join(degree, "b").select("b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"), "a")
     rows = dealt.join(content, F.col("a") == F.col("id")).select("b", "place", "a", "elements")
@@ -346,11 +410,8 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
                     own = own + [mine] if hub == (x, place) else [mine]
                     hub = (x, place)
                     continue
-                for other in own:
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    if 100 * both >= percent * (len(mine) + len(other) - both):
-                        found.append((a, x))
-                        break
+                if any(_similar(mine, other, percent) for other in own):
+                    found.append((a, x))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()),
                                               pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
@@ -381,7 +442,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     mixed = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                       F.count("*").alias("size")).where("low < high and size > 2").select("grp")
     rest = placed.join(mixed, "grp", "left_semi").join(info, "node")
-    more = _links(docs, _pairs_in_groups(rest, percent), size, percent)
+    more = _links_in_groups(docs, rest, size, percent)
     if not more.isEmpty():
         label = materialise(components(links.unionByName(more)), "ngram-components")
     release(members, found, more)
