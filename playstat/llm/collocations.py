@@ -6,10 +6,11 @@ as lead columns w2..w4, padded with null. A ROLLUP over (lang, w1, .., w4) then
 windows that share a shorter prefix, which gives the count of every word and of every
 phrase of 2 to 4 words at once; no other order is ever exploded.
 
-Nothing below ``MIN_COUNT`` can be in a candidate or in a part of one. A sketch of
-saturating counters (one for every ``BUCKET_BYTES`` of text and order, ``MAX_BUCKETS`` at
-most; added up on the executors, its bits broadcast) tells phrases that surely occur less
-often, and a window is padded from the first word on that would complete such a phrase.
+Nothing below ``MIN_COUNT`` can be in a candidate or in a part of one. Two sketches of
+saturating counters (one for every ``BUCKET_BYTES`` of text, ``MAX_BUCKETS`` at most; added
+up on the executors, their bits broadcast) tell phrases that surely occur less often: the
+first those of one and two words, the second those of three and four that hold none of the
+first. A window is padded from the first word on that would complete such a phrase.
 What it lets through wrongly only costs time: all counts that decide are exact sums, and a
 corpus beyond the largest sketch is counted with less padding. Windows of a slice of text are
 counted before Spark sees them, and Spark's partial aggregation follows, so a phrase or
@@ -39,8 +40,8 @@ ORDER = 4                      # words of the longest phrase
 MIN_COUNT = 30
 INSIDE_PERCENT = 80            # a longer phrase this frequent swallows a shorter one
 TOP = 2000
-BUCKET_BYTES = 40              # text bytes for each counter of the sketch (for two orders)
-MIN_BUCKETS, MAX_BUCKETS = 1 << 20, 1 << 27        # at most 16 MiB of bits for two orders
+BUCKET_BYTES = 40              # text bytes for each counter of a sketch
+MIN_BUCKETS, MAX_BUCKETS = 1 << 20, 1 << 27        # at most 16 MiB of bits
 CHUNK = 1 << 18                # counters of a chunk of it
 SLICE = 1 << 20                # text bytes whose windows are counted together
 SALTS = 64                     # shares of a language in the first step of its ranking
@@ -102,9 +103,8 @@ def hash_text(x: str) -> int:
     return made
 
 
-def _place(h: np.ndarray, k: int, buckets: int) -> np.ndarray:
-    """Counter of a prefix of k words; each two orders have ``buckets`` of their own."""
-    return (h >> _U(64 - (buckets.bit_length() - 1))).astype(np.int64) + (k - 1) // 2 * buckets
+def _place(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> _U(64 - (buckets.bit_length() - 1))).astype(np.int64)
 
 
 def _buckets(docs: DataFrame) -> int:
@@ -112,21 +112,37 @@ def _buckets(docs: DataFrame) -> int:
     return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (int(size) // BUCKET_BYTES).bit_length()))
 
 
-def sketch(docs: DataFrame, min_count: int, order: int = ORDER) -> tuple:
-    """Broadcast bits (may the phrases of a counter occur ``min_count`` times?) and the
-    number of counters for two orders."""
-    top, buckets = np.uint8(min(255, min_count)), _buckets(docs)
-    size = buckets * ((order + 1) // 2)
+def _fine(words: _Windows, bits: list[np.ndarray], buckets: int) -> list[np.ndarray]:
+    """Per order: which windows of so many words are in a piece and hold no surely rare
+    phrase, as far as the sketches so far tell (one for each two orders)."""
+    fine = []
+    for k, h in enumerate(words.prefix):
+        ok = words.follow >= k
+        if k:
+            ok &= fine[-1] & np.concatenate((fine[-1][1:], np.zeros(min(1, words.n), bool)))
+        if k // 2 < len(bits):
+            at = _place(h, buckets)
+            ok &= (bits[k // 2][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        fine.append(ok)
+    return fine
+
+
+def _sketch(docs: DataFrame, min_count: int, order: int, buckets: int, earlier: list):
+    """Broadcast bits of the next two orders: may its phrases occur ``min_count`` times?"""
+    top = np.uint8(min(255, min_count))
+    orders = range(2 * len(earlier), min(order, 2 * len(earlier) + 2))
 
     def count(batches):
-        counts = np.zeros(size, np.uint8)
+        counts = np.zeros(buckets, np.uint8)
+        bits = [np.frombuffer(x.value, np.uint8) for x in earlier]
         for b in slices(batches, limit=SLICE):
             words = _Windows(b, order)
-            for k, h in enumerate(words.prefix, 1):
-                at, n = np.unique(_place(h[words.follow >= k - 1], k, buckets), return_counts=True)
+            fine = _fine(words, bits, buckets)
+            for k in orders:
+                at, n = np.unique(_place(words.prefix[k][fine[k]], buckets), return_counts=True)
                 counts[at] = np.minimum(counts[at] + np.minimum(n, top), top)
         pack = zstandard.ZstdCompressor(level=1)
-        for k in range(-(-size // CHUNK)):
+        for k in range(-(-buckets // CHUNK)):
             own = counts[k * CHUNK:(k + 1) * CHUNK]
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack.compress(own.tobytes())])],
@@ -144,23 +160,11 @@ def sketch(docs: DataFrame, min_count: int, order: int = ORDER) -> tuple:
                                              ["chunk", "bits"])
 
     parts = (docs.mapInArrow(count, "chunk int, counts binary").repartition("chunk")
-             .mapInArrow(add, "chunk int, bits binary").collect())            # ``size`` bits
-    bits = np.zeros(-(-size // 8), np.uint8)
+             .mapInArrow(add, "chunk int, bits binary").collect())            # ``buckets`` bits
+    bits = np.zeros(-(-buckets // 8), np.uint8)
     for r in parts:
         bits[r["chunk"] * CHUNK // 8:][:len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(bits.tobytes()), buckets
-
-
-def _kept(words: _Windows, bits: np.ndarray, buckets: int) -> np.ndarray:
-    """Length of each word's window: as long as no phrase in it is surely rare (0: a rare word)."""
-    fine = []
-    for k, h in enumerate(words.prefix, 1):
-        at = _place(h, k, buckets)
-        ok = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & (words.follow >= k - 1)
-        if k > 1:                            # and so are the phrases without its first or last word
-            ok &= fine[-1] & np.concatenate((fine[-1][1:], np.zeros(min(1, words.n), bool)))
-        fine.append(ok)
-    return np.sum(fine, axis=0, dtype=np.int64)
+    return docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
 def lead_windows(docs: DataFrame, min_count: int = MIN_COUNT, order: int = ORDER) -> DataFrame:
@@ -169,16 +173,18 @@ def lead_windows(docs: DataFrame, min_count: int = MIN_COUNT, order: int = ORDER
     A word that is surely rarer than ``min_count`` leads a window without words, which
     only the total of its language counts."""
     docs = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    shared, buckets = sketch(docs, min_count, order)
+    buckets, sketches = _buckets(docs), []
+    for _ in range(0, order, 2):
+        sketches.append(_sketch(docs, min_count, order, buckets, list(sketches)))
     leads = LEADS[:order]
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits = [np.frombuffer(x.value, np.uint8) for x in sketches]
         for b in slices(batches, limit=SLICE):
             words = _Windows(b, order)
             if not words.n:
                 continue
-            size = _kept(words, bits, buckets)
+            size = np.sum(_fine(words, bits, buckets), axis=0, dtype=np.int64)     # each order needs the last
             key = np.choose(size, [mix(words.lang.astype(_U) + _U(1)), *words.prefix])
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             columns = [words.langs.take(pa.array(words.lang[first]))]

@@ -19,8 +19,8 @@ Signatures lead to candidate groups, not pairs:
 1. texts of one set collapse to one node, and groups with equal members to one;
 2. every member of a group is compared with its smallest member (a star);
 3. linked members are one component. Where a group still holds several components, its
-   members meet again, block by block: first their sizes and bin counts, whose distance is
-   a lower bound of the difference. Members that these leave a possible partner of another
+   members meet again, block by block: first their sizes and the parities of their bins,
+   whose distance is a lower bound of the difference, and a close one. Members that these leave a possible partner of another
    component then bring their sets, and each unit of work compares them with the partners
    that it has not yet joined. It returns the links of a spanning forest, never pairs: fewer
    rows than it has members.
@@ -50,10 +50,9 @@ from playstat.llm.storage import materialise, release, table
 
 SHINGLE = 4
 PERCENT = 85
-BINS = 64                      # bins of a small set's counts; large sets have 4, 16, ... times as many
 BLOCK = 1024                   # members of a group that are compared with as many others at once
 BLOCK_ELEMENTS = 500_000       # and elements of their sets, about
-_COMPARED = 1 << 20            # bin differences in memory at a time
+_COMPARED = 1 << 17            # words of bins compared at a time
 STAR_ROWS = 256                # comparisons with one hub in one place
 CARRIED_ROWS = 1_000_000       # rows of one signature that a task holds at most
 STRONG = 4                     # elements that a signature's sub-parts should hold
@@ -75,27 +74,32 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> Itera
             yield grams[:0]
 
 
-def bin_counts(elements: np.ndarray) -> np.ndarray:
-    """Elements per equal range of the hash domain, at most 255 each; 64, 256, 1024, ...
-    ranges, so that a bin of a large set holds few elements too."""
-    bins = BINS
-    while 8 * bins < len(elements) and bins < 1 << 14:
-        bins *= 4
-    place = (elements >> _U(64 - (bins.bit_length() - 1))).astype(np.int64)
-    return np.minimum(np.bincount(place, minlength=bins), 255).astype(np.uint8)
+def parities(elements: np.ndarray) -> bytes:
+    """Parity of the elements in each bin of the hash domain, a bit for each bin; two to four
+    bins an element. A bin whose parity differs holds a difference of two sets at least."""
+    bins = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    place = (elements & _U(bins - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bins) & 1).astype(bool)).tobytes()
 
 
-def folded(bins: list[bytes], width: int) -> np.ndarray:
-    """Bin counts added up to ``width`` bins, a row for each set."""
-    out = np.empty((len(bins), width), np.int32)
-    sizes = np.fromiter(map(len, bins), np.int64, len(bins))
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Parities for ``width`` bins, in words of 64, a row for each set."""
+    out = np.empty((len(bits), width // 64), np.uint64)
+    sizes = np.fromiter(map(len, bits), np.int64, len(bits))
     for size in np.unique(sizes).tolist():
         own = np.flatnonzero(sizes == size)
-        stacked = np.frombuffer(b"".join([bins[i] for i in own.tolist()]), np.uint8).reshape(len(own), width, -1)
-        out[own] = stacked.sum(axis=2, dtype=np.int32)
+        rows = np.frombuffer(b"".join([bits[i] for i in own.tolist()]), np.uint64).reshape(len(own), -1)
+        while rows.shape[1] > width // 64:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        out[own] = rows
     return out
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
 class Bands:
     """Size bands and the shape of their signatures for a threshold in per cent."""
 
@@ -150,13 +154,13 @@ class Bands:
 
 
 def nodes_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Written (doc_id, n, node, bins): set size, smallest doc_id of the same set, bin counts."""
+    """Written (doc_id, n, node, bins): set size, smallest doc_id of the same set, parities."""
     def run(batches):
         for b in slices(batches):
             rows = []
             for s in shingle_sets(*text_buffer(b.column("text")), size):
                 rows.append((len(s), mix(s).sum(dtype=_U), mix(s ^ _U(0xD6E8FEB86659FD93)).sum(dtype=_U),
-                             bin_counts(s).tobytes()))
+                             parities(s)))
             n, one, two, bins = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(one, _U).view(np.int64)),
@@ -241,7 +245,7 @@ def candidate_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
 
 def _close(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bin counts leave a link possible."""
+    """The pairs (a, b) whose sizes and parities leave a link possible."""
     left = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba"))
     right = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb"))
 
@@ -249,11 +253,11 @@ def _close(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             na, nb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
             x, y = (b.column(c).to_pylist() for c in ("ba", "bb"))
-            width = np.fromiter((min(len(p), len(q)) for p, q in zip(x, y)), np.int64, len(x))
+            width = np.fromiter((8 * min(len(p), len(q)) for p, q in zip(x, y)), np.int64, len(x))
             apart = np.zeros(len(x), np.int64)
             for w in np.unique(width).tolist():
                 own = np.flatnonzero(width == w).tolist()
-                apart[own] = np.abs(folded([x[i] for i in own], w) - folded([y[i] for i in own], w)).sum(axis=1)
+                apart[own] = _apart(folded([x[i] for i in own], w), folded([y[i] for i in own], w))
             yield b.select(["a", "b"]).filter(pa.array(_possible(na, nb, apart, percent)))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb") \
@@ -294,16 +298,16 @@ def _each_unit(batches, lists: set[str]):
 def _possible_pairs(unit: dict, bins: list[bytes], n: np.ndarray, percent: int):
     """(x, y) of members of block i and of block j, in different components, that sizes and
     bins leave possible; a few rows and columns of the square at a time."""
-    width = min(map(len, bins))
+    width = 8 * min(map(len, bins))
     left = np.flatnonzero(unit["block"] == unit["i"][0])
     right = np.flatnonzero(unit["block"] == unit["j"][0])
-    side = max(1, int((_COMPARED // width) ** 0.5))
+    side = max(1, int((_COMPARED // (width // 64)) ** 0.5))
     for at in range(0, len(left), side):
         own = left[at:at + side]
         mine = folded([bins[k] for k in own.tolist()], width)
         for to in range(0, len(right), side):
             others = right[to:to + side]
-            apart = np.abs(mine[:, None] - folded([bins[k] for k in others.tolist()], width)).sum(axis=2)
+            apart = _apart(mine[:, None], folded([bins[k] for k in others.tolist()], width))
             fits = _possible(n[own][:, None], n[others], apart, percent) \
                 & (unit["component"][own][:, None] != unit["component"][others])
             x, y = np.nonzero(fits)
@@ -347,7 +351,7 @@ def _links_in_groups(docs: DataFrame, members: DataFrame, size: int, percent: in
                 return c
 
             links = []
-            for x, y in _possible_pairs(u, [bin_counts(e).tobytes() for e in sets], n, percent):
+            for x, y in _possible_pairs(u, [parities(e) for e in sets], n, percent):
                 for k, m in zip(x.tolist(), y.tolist()):
                     one, two = find(int(u["component"][k])), find(int(u["component"][m]))
                     if one != two and _similar(sets[k], sets[m], percent):

@@ -71,9 +71,12 @@ def test_small_sketch(rows):
     batch = pa.RecordBatch.from_pydict({"lang": pa.array([x or "und" for x, _ in rows]), "text": pa.array([t for _, t in rows])})
     w = C._Windows(batch)
     for buckets in (64, 1 << 12, 1 << 20):
-        seen = [C._place(h[w.follow >= k - 1], k, buckets) for k, h in enumerate(w.prefix, 1)]
-        bits = np.bincount(np.concatenate(seen), minlength=2 * buckets) >= 30
-        size = C._kept(w, np.packbits(bits), buckets)
+        bits = []
+        for first in (0, 2):
+            fine = C._fine(w, bits, buckets)
+            seen = [C._place(w.prefix[k][fine[k]], buckets) for k in (first, first + 1)]
+            bits.append(np.packbits(np.bincount(np.concatenate(seen), minlength=buckets) >= 30))
+        size = np.sum(C._fine(w, bits, buckets), axis=0)
         assert (size <= 1 + w.follow).all()
         for k, h in enumerate(w.prefix, 1):
             _, inv, n = np.unique(h[w.follow >= k - 1], return_inverse=True, return_counts=True)

@@ -93,6 +93,21 @@ def test_similar_sets_share_a_signature():
             assert len(np.intersect1d(bands.signatures(a), bands.signatures(b)))
 
 
+def test_parities_bound_the_difference():
+    import numpy as np
+    from playstat.llm.ngram_join import _apart, folded, parities
+    r = np.random.default_rng(9)
+    for n in (1, 3, 31, 33, 200, 5000):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for gone in {0, 1, n // 10, n // 2, n}:
+            b = np.unique(np.concatenate((a[gone:], r.integers(0, 1 << 63, n // 4).astype(np.uint64))))
+            if len(b):
+                x, y = parities(a), parities(b)
+                width = 8 * min(len(x), len(y))
+                bound, true = int(_apart(folded([x], width), folded([y], width))[0]), len(np.setxor1d(a, b))
+                assert bound <= true and (true > n // 5 or bound >= true * .6)
+
+
 def test_one_of_each_keeps_the_smallest(odd):
     kept = one_of_each(odd)
     assert kept.columns == odd.columns
