@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playstat.llm.components import components
-from playstat.llm.membership import anti_join, semi_join
+from playstat.llm.membership import semi_join
 from playstat.llm.ragged import SLICE_BYTES, WHITE, Alphabet, Words, mix, slices, text_buffer, windows
 from playstat.llm.storage import materialise, release, table
 
@@ -457,8 +457,9 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that are similar to one with a smaller doc_id (in
     the sense of components); rows that repeat a kept doc_id stay."""
-    gone = similar(docs, size, percent).where("component_id < doc_id").select("doc_id")
-    return anti_join(docs, materialise(gone, "ngram-gone"))
+    gone = similar(docs, size, percent).where("component_id < doc_id").select("doc_id").distinct()
+    # a written table has a size: Spark broadcasts a small one and shuffles by id beyond that
+    return docs.join(materialise(gone, "ngram-gone"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -10,13 +10,17 @@ from playstat.session import ensure_checkpoint_dir
 
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark) -> None:
-    """Batches of 4 MB between Spark and Python, unless the session says otherwise: with
-    whole texts, the default of 64 MB is held several times in an executor."""
+    """Batches of 4 MB and 2,000 rows between Spark and Python, unless the session says
+    otherwise: with whole texts, the default of 64 MB is held several times in an executor,
+    and so are the 10,000 rows that wait for the answers of a function of their ids."""
     if spark.conf.get(_BATCH_BYTES, None) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(_BATCH_BYTES, "4m")
+    if spark.conf.get(_BATCH_ROWS, None) == "10000":
+        spark.conf.set(_BATCH_ROWS, "2000")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
