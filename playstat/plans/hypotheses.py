@@ -9,6 +9,7 @@ odds-ratio orientation, full data instead of driver samples).
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,10 @@ from playstat.operators import tests as TS
 from playstat.operators.bootstrap import bootstrap_rate_diff
 from playstat.operators.models import logit_interaction
 from playstat.plans import queries as Q
+from playstat.plans.context import TESTDATA_PARAMS, Context
 from playstat.sources.schemas import RESULT_SCHEMA
-from playstat.session import cut_lineage
+from playstat.session import cut_lineage, ensure_checkpoint_dir
+from playstat.sources.adapters import events_bundle
 
 ALPHA = 0.05                # fixed value: significance level of every verdict
 
@@ -218,6 +221,20 @@ def bootstrap_rate_diff_q(ctx) -> DataFrame:
                                ctx.params.bootstrap_b, ctx.params.seed)
 
 
+def folder_results(spark, sf_dir: str) -> DataFrame:
+    """All analyses as ``plans/run.py`` runs them on a folder: the events views are written
+    as domain tables (without embeddings), loaded, analysed, and the results written to and
+    read back from the sink."""
+    from playstat.plans.run import write_results
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/folder-{uuid.uuid4().hex}"
+    b = events_bundle(spark, sf_dir, with_embeddings=False)
+    for name in ("listens", "likes", "dislikes", "undislikes", "multi_event"):
+        getattr(b, name).write.parquet(f"{base}/tables/{name}.parquet")
+    ctx = Context.from_folder(spark, f"{base}/tables", TESTDATA_PARAMS, clock="absolute", order_cols=b.order_cols)
+    write_results(run_all(ctx), f"{base}/results", ctx.params)
+    return Q.rounded(spark.read.parquet(f"{base}/results"))
+
+
 CTX_HYPOTHESES = {
     "h1_listen_plus": h1_listen_plus,
     "h2_dislike_rate": h2_dislike_rate,
@@ -236,3 +253,4 @@ CTX_HYPOTHESES = {
 }
 
 HYPOTHESIS_QUERIES = {k: Q.on_testdata(lambda ctx, f=f: Q.rounded(f(ctx))) for k, f in CTX_HYPOTHESES.items()}
+HYPOTHESIS_QUERIES["folder_results"] = folder_results

@@ -625,3 +625,38 @@ ORACLE["hypothesis_summary"] = f"""
 WITH per AS (SELECT id, description, max(CAST(confirmed AS BIGINT)) AS confirmed FROM ({_VERDICTS}) GROUP BY id, description)
 SELECT id, description, confirmed, CAST(1 AS BIGINT) AS total FROM per
 UNION ALL SELECT 'ALL', 'confirmed / total', CAST(sum(confirmed) AS BIGINT), count(*) FROM per"""
+
+
+# ---------------------------------------------------------------- sampling in groups, sketch, folder run
+
+ORACLE["sample_to_target_by_group"] = q(
+    "SELECT event_id, uid, item_id, is_organic FROM ELIS "
+    f"QUALIFY row_number() OVER (PARTITION BY is_organic ORDER BY {hu('event_id')}, event_id) <= 500")
+# below 10,000 users the sketch is exact
+ORACLE["activity_cutpoints_approx"] = q("SELECT * FROM CUTS", extra_ctes=ACT)
+
+# all analyses on the events views: the listens of H1, H5 and H6 come from events too
+_L_VIEW = BASE[BASE.index("L AS ("):BASE.index("LE AS (")]
+_L_EVENTS = """L AS (
+  SELECT user_id AS uid, CAST(props->>'k' AS BIGINT) AS item_id, epoch_us(ts) // 5000000 AS "timestamp",
+         CAST(event_id % 2 AS INTEGER) AS is_organic, CASE WHEN event_id % 53 = 0 THEN NULL ELSE value END AS played_ratio_pct,
+         CAST(30 + (CAST(props->>'k' AS BIGINT) * 37) % 571 AS DOUBLE) AS track_length_seconds,
+         ts AS l_shipdate, event_id AS l_orderkey, 0 AS l_linenumber, 0 AS l_suppkey, 0 AS l_extendedprice
+  FROM events WHERE event_type IN ('view', 'click')),
+"""
+_ON_FOLDER = {k: ORACLE[k].replace(_L_VIEW, _L_EVENTS) for k in (
+    "h1_listen_plus", "h2_dislike_rate", "h3_cancellation", "h4_correlation", "h5_length_interaction", "h6_rewind",
+    "h7_session_fatigue", "h8_experience", "h10_asymmetry")}
+_ON_FOLDER["h11_diversity"] = result_sql(
+    f"SELECT t.*, NULL AS diversity_p_value FROM ({ORACLE['diversity_test']}) t", "H11",
+    "p_two_sided < 0.05 AND mean_rec > mean_org", "n1 n2 mean_rec mean_org p_two_sided diversity_p_value")
+
+
+def _skipped_sql(hid: str, reason: str) -> str:
+    from playstat.plans.hypotheses import DESCRIPTIONS
+    return (f"SELECT '{hid}' AS id, '{DESCRIPTIONS[hid]}' AS description, false AS confirmed, '{reason}' AS metric, "
+            "CAST(NULL AS DOUBLE) AS value")
+
+
+ORACLE["folder_results"] = " UNION ALL ".join(
+    [f"SELECT * FROM ({sql})" for sql in _ON_FOLDER.values()] + [_skipped_sql("H9", "SKIPPED: no embeddings")])

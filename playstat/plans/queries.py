@@ -21,7 +21,7 @@ from playstat.operators import tests as TS
 from playstat.operators.enrich import clocked, clocked_together, enrich_listens, reconstruct_time, with_flags
 from playstat.operators.models import add_zscores, zscore_stats
 from playstat.operators.prefix import global_prefix, row_index
-from playstat.operators.sampling import hash_sample, sample_to_target
+from playstat.operators.sampling import hash_sample, quantile_sketch, sample_to_target, sample_to_target_by_group
 from playstat.operators.skew import join_maybe_salted
 from playstat.plans.context import Context, testdata_context  # noqa: F401
 from playstat.session import cut_lineage
@@ -365,6 +365,12 @@ def activity_cutpoints(ctx):
     return _activity(ctx)[2]
 
 
+def activity_cutpoints_approx(ctx):
+    lst = E(ctx).listens
+    return quantile_sketch(lst.groupBy("uid").agg(F.count(F.lit(1)).alias("total_listens")), "total_listens",
+                           QUARTILE_PROBS, ("q1", "q2", "q3"))
+
+
 def activity_quartile(ctx):
     return _activity(ctx)[3]
 
@@ -463,6 +469,11 @@ def sample_to_target_q(ctx):
     return s.select("event_id", "uid", "item_id")
 
 
+def sample_to_target_by_group_q(ctx):
+    s = sample_to_target_by_group(E(ctx).listens, "is_organic", "event_id", SAMPLE_TARGET, SAMPLE_SEED)
+    return s.select("event_id", "uid", "item_id", "is_organic")
+
+
 def _eligible(lst, p):
     g = lst.groupBy("uid").agg(F.count_if(F.col("is_organic") == 1).alias("organic_cnt"),
                                F.count_if(F.col("is_organic") == 0).alias("rec_cnt"))
@@ -607,6 +618,8 @@ CTX_QUERIES = {
     "fisher_z": fisher_z_q,
     "hash_sample": hash_sample_q,
     "sample_to_target": sample_to_target_q,
+    "sample_to_target_by_group": sample_to_target_by_group_q,
+    "activity_cutpoints_approx": activity_cutpoints_approx,
     "eligible_users": eligible_users,
     "sampled_user_history": sampled_user_history,
     "history_similarity": history_similarity,

@@ -4,7 +4,7 @@
         --clock absolute --out hdfs:///results/run1
 
 Writes the long-form results (id, description, confirmed, metric, value) as
-parquet when ``--out`` is given and prints the per-analysis verdicts. The
+parquet when ``--out`` is given (and the run's parameters beside them) and prints the per-analysis verdicts. The
 session (master, resources, checkpoint dir) comes from spark-submit.
 """
 
@@ -17,7 +17,7 @@ import sys
 if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from playstat.plans import hypotheses as H  # noqa: E402
@@ -39,6 +39,14 @@ def parse(argv=None):
     return p.parse_args(argv)
 
 
+def write_results(res: DataFrame, out: str, params: Params) -> None:
+    """The long-form results under ``out``, the parameters of the run (name, value) next to them."""
+    res.write.mode("overwrite").parquet(out)
+    rows = [(k, str(v)) for k, v in vars(params).items()]
+    res.sparkSession.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").parquet(
+        out.rstrip("/") + "_parameters")
+
+
 def main(argv=None, spark: SparkSession | None = None):
     a = parse(argv)
     spark = spark or SparkSession.builder.appName("playstat").getOrCreate()
@@ -49,7 +57,7 @@ def main(argv=None, spark: SparkSession | None = None):
                               order_cols=tuple(c for c in a.order_cols.split(",") if c))
     res = H.run_all(ctx)                      # checkpointed, small
     if a.out:
-        res.write.mode("overwrite").parquet(a.out)
+        write_results(res, a.out, params)
     verdicts = (res.groupBy("id", "description").agg(F.max(F.col("confirmed").cast("int")).alias("c"))
                 .collect())
     order = {f"H{i}": i for i in range(1, 12)}

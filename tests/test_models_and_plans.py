@@ -74,3 +74,33 @@ def test_every_registered_query_runs(spark):
         except Exception as e:  # noqa: BLE001
             failed[key] = str(e)[:200]
     assert not failed
+
+
+def test_sample_to_target_by_group(spark):
+    import hashlib
+    from playstat.operators.sampling import sample_to_target_by_group
+    rows = [(i, ["a", "b", None][0 if i % 10 else 1 + i % 3 % 2]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, g string")
+    u = lambda k: int(hashlib.md5(f"7:{k}".encode()).hexdigest()[:8], 16)
+    for target in (0, 1, 40, 150, 5000):
+        got = {(r.k, r.g) for r in sample_to_target_by_group(df.repartition(5), "g", "k", target, 7).collect()}
+        want = {x for g in {g for _, g in rows} for x in sorted((r for r in rows if r[1] == g), key=lambda r: (u(r[0]), r[0]))[:target]}
+        assert got == want
+
+
+def test_newton_equals_spark_ml(spark):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    from playstat.operators.models import design, newton_logit
+    r = np.random.default_rng(3)
+    data = [(int(a), float(b), int(y)) for a, b, y in zip(r.integers(0, 2, 4000), r.uniform(0, 9, 4000), r.integers(0, 2, 4000))]
+    rows = design(spark.createDataFrame(data, "a int, b double, y int"), "a", "b", "y").cache()
+    beta, _ = newton_logit(rows, 4)
+    fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", maxIter=300, tol=1e-12, standardization=False).fit(
+        rows.withColumn("x", array_to_vector(F.slice("features", 2, 3))))
+    assert np.allclose(beta, [fit.intercept, *fit.coefficients.toArray()], atol=1e-6)
+    same = spark.createDataFrame([(a, b, 1) for a, b, _ in data], "a int, b double, y int")
+    assert newton_logit(design(same, "a", "b", "y"), 4) is None                     # one label only
+    split = spark.createDataFrame([(a, b, int(b > 4)) for a, b, _ in data], "a int, b double, y int")
+    assert newton_logit(design(split, "a", "b", "y"), 4) is None                    # separated
