@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from playstat.llm.components import components
 from playstat.llm.membership import semi_join
-from playstat.llm.ragged import SLICE_BYTES, WHITE, Alphabet, Words, mix, slices, text_buffer, windows
+from playstat.llm.ragged import SLICE_BYTES, WHITE, Alphabet, Words, give_back, mix, slices, text_buffer, windows
 from playstat.llm.storage import materialise, release, table
 
 SHINGLE = 4
@@ -218,7 +218,9 @@ def candidate_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, length).view(np.int64)), pa.array(doc[at])],
                                              ["grp", "doc_id"])
 
-        for b in batches:
+        for k, b in enumerate(batches):
+            if k % 64 == 0:
+                give_back()
             sig = np.concatenate((sig, b.column("sig").to_numpy(zero_copy_only=False)))
             doc = np.concatenate((doc, b.column("doc_id").to_numpy(zero_copy_only=False)))
             if not len(sig):
@@ -278,6 +280,7 @@ def _each_unit(batches, lists: set[str]):
     """The columns of one unit at a time; ``lists`` stay Python lists."""
     held, names = None, None
     for b in batches:
+        give_back()
         if not b.num_rows:
             continue
         names = b.schema.names

@@ -125,7 +125,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: an executor's workers share what its heap leaves."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
@@ -143,7 +143,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
             yield b.slice(i, j - i)
             i = j
         del b, off
-        _give_back()
+        give_back()
 
 
 def byte_views(raw: np.ndarray, off: np.ndarray) -> list[str]:
