@@ -26,6 +26,7 @@ are ignored; positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -123,6 +124,12 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
     return [f"{clean[0]} {clean[1]} _", f"{clean[1]} _ {clean[2]}"]
 
 
+def _key(value: str) -> str:
+    """What a value is compared by: itself, or a digest of all of it if it is long."""
+    value = value.lower()
+    return value if len(value) <= 64 else hashlib.sha256(value.encode()).hexdigest()
+
+
 def occurrences(text: str) -> tuple[list[tuple], list[tuple]]:
     """Base spans, and the identifier-shaped tokens beside them, with value, loose kinds and patterns."""
     base = [(kind, a, b) for kind, rule in zip(KINDS, _RULES) for a, b in rule(text)]
@@ -142,7 +149,7 @@ def occurrences(text: str) -> tuple[list[tuple], list[tuple]]:
             j += 1
         if value and (j == len(taken) or taken[j][0] >= b):
             other.append((None, a, b))
-    return tuple([(kind, a, b, text[a:b].lower()[:200], fits(text[a:b]), _patterns(text, a, b))
+    return tuple([(kind, a, b, _key(text[a:b]), fits(text[a:b]), _patterns(text, a, b))
                   for kind, a, b in part] for part in (base, other))
 
 

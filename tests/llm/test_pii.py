@@ -92,3 +92,10 @@ def test_many_unseen_values_do_not_spoil_a_pattern(spark):
     docs = spark.createDataFrame(list(enumerate(f"lorem {t.split()[0]} {t}" for t in rows)), "doc_id long, text string")
     text = " ".join(r.text for r in redact(docs).collect())
     assert "555-123-4" not in text and "5551239999" in text and "5551238888" in text
+
+
+def test_long_values_with_an_equal_start_differ():
+    from playstat.llm.pii import occurrences
+    one, two = "1" * 200 + "@localhost", "1" * 200 + "x" * 15
+    values = [o[3] for t in (one, two, one.upper()) for part in occurrences(t) for o in part]
+    assert len(values) == 3 and values[0] != values[1] and values[0] == values[2]
