@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from playstat.llm.pretokens import Memo, Runs
-from playstat.llm.ragged import slices, text_buffer
+from playstat.llm.ragged import kept, slices, text_buffer
 from playstat.llm.storage import materialise, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -44,13 +44,6 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 _TOGETHER = 500                # pre-tokens of one call
-_WORKER: dict[str, "WordTokenizer"] = {}      # a Python worker keeps its memo between tasks
-
-
-def _worker_tokenizer(vocabulary: str) -> "WordTokenizer":
-    if vocabulary not in _WORKER:
-        _WORKER[vocabulary] = WordTokenizer(public_tokenizers.path(vocabulary))
-    return _WORKER[vocabulary]
 
 
 class WordTokenizer:
@@ -92,8 +85,9 @@ def cut(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY,
         with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids; ``with_ids`` adds the ids themselves."""
     def pieces(batches):
-        tokenizer = _worker_tokenizer(vocabulary)
-        for b in slices(batches):
+        memo = f"packing {vocabulary}"
+        tokenizer = kept(memo, lambda: WordTokenizer(public_tokenizers.path(vocabulary)))
+        for b in slices(batches, keeps=memo):
             raw, off = text_buffer(b.column("text"))
             ids, first = tokenizer.ids(raw, off)
             whole = np.insert(ids, first[1:], end_id).astype("<u4")

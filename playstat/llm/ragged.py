@@ -12,7 +12,8 @@ match needs a 64-bit collision.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,16 +126,36 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: an executor's workers share what its heap leaves."""
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable):
+    """What a Python worker keeps between the tasks of one operator. Tasks of any other
+    operator free it: workers are reused, and what each keeps is the executor's memory."""
+    if name not in _KEPT:
+        give_back()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def give_back(keeps: str | None = None) -> None:
+    """Returns freed memory to the system, and all that is ``kept`` but under ``keeps``:
+    an executor's workers share what its heap leaves."""
+    others = [name for name in _KEPT if name != keeps]
+    if others:
+        for name in others:
+            del _KEPT[name]
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
-           limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``limit`` text bytes (at least a row)."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES,
+           keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about ``limit`` text bytes (at least a row).
+    Frees what the worker has ``kept`` but under ``keeps``."""
+    give_back(keeps)
     for b in batches:
         _, off = text_buffer(b.column(text))
         i = 0
@@ -143,7 +164,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
             yield b.slice(i, j - i)
             i = j
         del b, off
-        give_back()
+        give_back(keeps)
 
 
 def byte_views(raw: np.ndarray, off: np.ndarray) -> list[str]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from playstat.llm.pretokens import Memo, Runs, ragged_index, span_hash
-from playstat.llm.ragged import slices, text_buffer
+from playstat.llm.ragged import kept, slices, text_buffer
 from playstat.llm.storage import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -198,16 +198,12 @@ class Counter:
         return result
 
 
-_WORKER: dict[str, Counter] = {}      # a Python worker keeps its memo between tasks
-
-
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every text."""
     def count(batches):
-        if vocabulary not in _WORKER:
-            _WORKER[vocabulary] = Counter(RankMerger(public_tokenizers.path(vocabulary)))
-        counter = _WORKER[vocabulary]
-        for b in slices(batches):
+        memo = f"token counts {vocabulary}"
+        counter = kept(memo, lambda: Counter(RankMerger(public_tokenizers.path(vocabulary))))
+        for b in slices(batches, keeps=memo):
             raw, off = text_buffer(b.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(counter.counts(raw, off), pa.int64())],
