@@ -34,7 +34,7 @@ from playstat.llm.storage import materialise, release, table
 
 WINDOW = 10                    # words of a benchmark window
 CHUNK_WORDS = 2_000_000        # words of the windows that are broadcast at once
-SHARD_BYTES = 4 << 20          # text of one FM-index
+SHARD_BYTES = 2 << 20          # text of one FM-index
 _FILTER_BITS = 20
 _ALPHABET = Alphabet(NOT_ALNUM, fold_ascii_case=True)
 
