@@ -4,7 +4,8 @@ An archive is a skippable frame (magic 0x184D2A5D) with the dictionary, then one
 Zstandard frame per WARC record, each compressed alone with that dictionary, so a
 reader can start at any record. The dictionary is trained on a bounded sample of
 the records that are archived: about ``SAMPLE_RECORDS``, twice as many at most,
-drawn by a hash among payloads of at most ``SAMPLE_RECORD_BYTES``.
+drawn by a hash among all records; of a payload longer than ``SAMPLE_CHARS`` it
+sees that many characters from a place that the hash names.
 
 Of records with equal payloads (of at least ``min_bytes``) the one with the
 largest page_id is a response, the others are revisits that name it. The largest
@@ -39,7 +40,7 @@ MIN_BYTES = 0
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_RECORDS = 1000
-SAMPLE_RECORD_BYTES = 64 << 10
+SAMPLE_CHARS = 16 << 10
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"      # pages carry no capture time
@@ -114,15 +115,21 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, block
 
 
+def samples(payload: DataFrame) -> DataFrame:
+    """The drawn records' page_id, url and at most ``SAMPLE_CHARS`` of html."""
+    share = SAMPLE_RECORDS / max(1, payload.count())
+    draw = F.pmod(F.xxhash64("page_id", "sha1"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = payload.where(draw < share).limit(2 * SAMPLE_RECORDS)
+    start = 1 + F.pmod(F.xxhash64("sha1", "page_id"), F.greatest(F.length("html") - SAMPLE_CHARS + 1, F.lit(1)))
+    return drawn.select("page_id", "url", F.substr("html", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("html"))
+
+
 def archive(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Archives of ``pages`` (page_id, url, html): a written table of (archive, data)."""
     html = F.coalesce("html", F.lit(""))
     payload = pages.select("page_id", "url", "html", F.sha1(html).alias("sha1"), F.octet_length(html).alias("bytes"))
     first = payload.where(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("winner"))
-    small = payload.where(F.col("bytes") <= SAMPLE_RECORD_BYTES)
-    share = SAMPLE_RECORDS / max(1, small.count())
-    draw = F.pmod(F.xxhash64("page_id", "sha1"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = small.where(draw < share).limit(2 * SAMPLE_RECORDS).select("page_id", "url", "html").collect()
+    sample = samples(payload).collect()
     dictionary = train([page_record(r[0], r[1], r[2], None, False) for r in sample])
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)
     marked = (payload.join(first, "sha1", "left")

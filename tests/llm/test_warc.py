@@ -57,3 +57,26 @@ def test_archive_format():
     one = d.decompressobj().decompress(data[8 + len(dictionary):])
     assert one == records[0]                   # each record is a frame of its own
     assert list(read_archive(write_archive([], b""))) == []
+
+
+def test_pages_all_large_train_a_dictionary(spark):
+    import random
+    r = random.Random(3)
+    words = ["<div class='row'>", "<p>some words</p>", "<a href='/x'>more</a>", "été ", "\n"]
+    rows = [(i, f"http://h/{i}", "".join(r.choice(words) + str(r.randrange(99)) for _ in range(9000))) for i in range(40)]
+    assert min(len(h.encode()) for _, _, h in rows) > 64 << 10
+    files = archive(frame(spark, rows))
+    for f in files.collect():
+        assert int.from_bytes(f.data[4:8], "little") > 1000
+    assert got(read(files)) == brute(rows)
+
+
+def test_samples_are_slices_of_the_payload(spark):
+    from playstat.llm.warc import SAMPLE_CHARS, samples
+    rows = [(i, "u", None if i == 0 else str(i) * (5 if i % 2 else 40_000), str(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string")
+    drawn = {r.page_id: r.html for r in samples(df).collect()}
+    assert len(drawn) == len(rows) and drawn[0] is None
+    for i, _, h, _ in rows:
+        if h is not None:
+            assert len(drawn[i]) == min(len(h), SAMPLE_CHARS) and drawn[i] in h
