@@ -6,7 +6,10 @@ and each round applies, in every sequence at once, all occurrences of that
 sequence's lowest-ranked pair, left to right. A sequence without a known pair is
 done; its surviving symbols are its tokens. A pair that contains a merged symbol
 ranks after the merge that made it, so taking all occurrences in one round gives
-what one merge at a time gives.
+what one merge at a time gives. In sequences of more than ``LONG`` bytes a round
+takes the lowest rank of all of them, from lists of places by rank, and looks only at
+the neighbours of what it merged: such runs would need as many rounds over everything as
+they have different pairs.
 
 Texts with Unicode white space or a special token's string are cut by the
 tokenizer library's own pre-tokenizer as whole texts; the merging is the same.
@@ -17,8 +20,10 @@ each; a null doc_id stays null; other columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +37,7 @@ from playstat.llm.storage import table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
+LONG = 512                     # bytes of a sequence that is merged by lists of places
 _UNKNOWN = np.iinfo(np.int64).max
 #: White space beyond ASCII, where a run of it may reach across chunks.
 _WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -57,6 +63,7 @@ class RankMerger:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.merged = made
         order = np.argsort(key)
         self.key, self.rank, self.made = key[order], order, made[order]
         characters = byte_characters()
@@ -68,7 +75,12 @@ class RankMerger:
     def counts(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Symbols that survive in each sequence (none is empty)."""
         result = np.zeros(len(sizes), np.int64)
-        alive, symbols = np.arange(len(sizes)), symbols.copy()
+        long = sizes > LONG
+        if long.any():
+            of_long = np.repeat(long, sizes)
+            result[long] = self.counts_of_long(symbols[of_long], sizes[long])
+            symbols, sizes = symbols[~of_long], sizes[~long]
+        alive, symbols = np.flatnonzero(~long), symbols.copy()
         while len(alive):
             first = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -90,6 +102,55 @@ class RankMerger:
             symbols, alive = symbols[keep], alive[~done]
         return result
 
+    def _ranks(self, pair: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return np.where(self.key[at] == pair, self.rank[at], _UNKNOWN)
+
+    def counts_of_long(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``counts`` with linked symbols: ``waiting`` has the places of each rank's pairs."""
+        n = len(symbols)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.cumsum(sizes) - sizes
+        # n stands for no neighbour
+        symbols = np.append(symbols, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[first + sizes - 1] = n
+        before[first] = n
+        rank = np.append(self._ranks(symbols[:n] << 32 | symbols[after[:n]]), _UNKNOWN)
+        waiting: dict[int, list[int]] = defaultdict(list)
+        queue: list[int] = []
+
+        def wait(places: np.ndarray):
+            places = places[rank[places] != _UNKNOWN]
+            for place, r in zip(places.tolist(), rank[places].tolist()):
+                if r not in waiting:
+                    heapq.heappush(queue, r)
+                waiting[r].append(place)
+
+        wait(np.arange(n))
+        left = sizes.copy()
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.array(waiting.pop(r), np.int64))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            overlaps = np.zeros(len(at), bool)
+            overlaps[1:] = after[at[:-1]] == at[1:]
+            index = np.arange(len(at))
+            at = at[(index - np.maximum.accumulate(np.where(overlaps, 0, index))) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.merged[r]
+            rank[gone] = _UNKNOWN
+            after[at] = after[gone]
+            before[after[at]] = at
+            left -= np.bincount(owner[at], minlength=len(left))
+            touched = np.unique(np.concatenate((at, before[at])))
+            touched = touched[touched < n]
+            rank[touched] = self._ranks(symbols[touched] << 32 | symbols[after[touched]])
+            wait(touched)
+        return left
+
     @staticmethod
     def _every_second(hit: np.ndarray) -> np.ndarray:
         """Within runs of overlapping hits (a pair of equal symbols), the 1st, 3rd, ..."""

@@ -48,3 +48,44 @@ def test_memo_overflow_changes_nothing(spark, monkeypatch):
         rows = [(i, "".join(r.choice(PARTS) for _ in range(12))) for i in range(200)]
         got = counter.counts(*text_buffer(pa.array([t for _, t in rows])))
         assert sorted(zip(range(200), got.tolist()), key=repr) == sorted(((i, n) for i, _, n in brute(rows)), key=repr)
+
+
+def long_runs():
+    r = random.Random(11)
+    letters = lambda n, some: "".join(r.choice(some) for _ in range(n))
+    return [letters(n, some) for n in (511, 512, 513, 514, 3000, 20_000)
+            for some in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "éßaz日本", "!?.,;", "etaoinshr" * 3 + "x")]
+
+
+def test_long_runs_equal_the_library(spark):
+    rows = list(enumerate(long_runs() + [" ".join(long_runs()[:20]) + "\n" * 2000 + "x"]))
+    got = count_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
+def test_both_ways_of_merging_agree(monkeypatch):
+    import numpy as np
+    import playstat.llm.token_counts as T
+    merger = T.RankMerger(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(4)
+    texts = [bytes(r.choice(b"aabeht ") for _ in range(r.randint(1, 60))) for _ in range(2000)]
+    symbols = merger.byte_id[np.frombuffer(b"".join(texts), np.uint8)]
+    sizes = np.array([len(t) for t in texts])
+    batched = merger.counts(symbols, sizes)
+    for bound in (0, 20):
+        monkeypatch.setattr(T, "LONG", bound)
+        assert (merger.counts(symbols, sizes) == batched).all()
+
+
+def test_a_megabyte_of_letters():
+    import time
+
+    import numpy as np
+    from playstat.llm.token_counts import Counter, RankMerger
+    r = random.Random(6)
+    text = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20))
+    counter = Counter(RankMerger(public_tokenizers.path("byte_bpe_50k.json")))
+    raw, start = np.frombuffer(text.encode(), np.uint8), time.time()
+    got = counter.counts(raw, np.array([0, len(raw)]))
+    assert time.time() - start < 10
+    assert got.tolist() == [brute([(0, text)])[0][2]]
