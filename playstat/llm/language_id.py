@@ -35,6 +35,7 @@ PROFILE = 400                  # n-grams of a profile
 SAMPLE = 4000                  # labelled documents per language, about
 UNKNOWN = "und"
 _CODE_BITS = 21
+_BLANK = 0x20                  # sorts before all letters
 _DENSE = 1 << 18               # largest table of trigram counts held densely
 
 
@@ -50,8 +51,8 @@ class Grams:
         self.letter = _letters()
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, counts), codes ascending; a code packs up to three code points,
-        and 0 stands for a run of other characters or an end of the text."""
+        """(codes, counts), codes ascending and distinct; a code packs up to three code points,
+        and a blank stands for a run of other characters or an end of the text."""
         empty = np.empty(0, np.int64)
         points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         points = np.where(self.letter[points], points, 0)
@@ -61,6 +62,7 @@ class Grams:
             return empty, empty
         alphabet, small = np.unique(framed, return_inverse=True)
         size = len(alphabet)
+        alphabet[0] = _BLANK                      # 0 is the place after a shorter n-gram's end
         codes, counts = [], []
         for n in (1, 2, 3):
             key = np.zeros(len(small) - n + 1, np.int64)
@@ -77,7 +79,7 @@ class Grams:
             code = np.zeros(len(key), np.int64)
             for j in range(n):
                 code |= alphabet[key // size ** (n - 1 - j) % size] << (_CODE_BITS * (2 - j))
-            real = code != 0
+            real = code != _BLANK << 2 * _CODE_BITS
             codes.append(code[real])
             counts.append(count[real])
         code, count = np.concatenate(codes), np.concatenate(counts)

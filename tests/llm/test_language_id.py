@@ -45,3 +45,41 @@ def test_rank_order_distance_by_hand(spark):
     named = {"".join(chr(x) if x else "_" for x in k): n for k, n in chars.items()}
     assert named["a__"] == 2 and named["b__"] == 3 and named["ab_"] == 2
     assert list(ranked(code, count, 1)) == [ord("b") << 42] or count.max() == count[code == ranked(code, count, 1)[0]][0]
+
+
+def plain_ranking(texts, size=400):
+    """The most frequent n-grams of some texts, counted one at a time."""
+    count = {}
+    for text in texts:
+        line = [" "]
+        for c in (text or "").lower() + " ":
+            if c.isalpha():
+                line.append(c)
+            elif line[-1] != " ":
+                line.append(" ")
+        for n in (1, 2, 3):
+            for i in range(len(line) - n + 1):
+                gram = "".join(line[i:i + n])
+                if gram != " " and not (n == 3 and gram[1] == " "):
+                    count[gram] = count.get(gram, 0) + 1
+    return sorted(count, key=lambda g: (-count[g], g))[:size]
+
+
+def test_predictions_equal_plain_out_of_place_distances(spark, odd):
+    docs = spark.read.parquet(SF01 + "/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 400") \
+        .unionByName(odd.select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text", "lang")).collect()
+    learned = {}
+    for r in docs:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            learned.setdefault(r.lang, []).append(r.text)
+    rank = {k: {g: i for i, g in enumerate(plain_ranking(v))} for k, v in learned.items()}
+    assert len(rank) > 2
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("row", F.monotonically_increasing_id())
+    told = predict(df, learn(df.where(~held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")))))).collect()
+    assert len(told) == len(docs)
+    for r in told:
+        own = plain_ranking([r.text])
+        away = {k: sum(abs(p[g] - i) if g in p else 400 for i, g in enumerate(own)) for k, p in rank.items()}
+        want = min(sorted(away), key=away.get) if own else "und"
+        assert r.lang_pred == want
+        assert abs(r.score - (1 - away[want] / (400 * len(own)) if own else 0)) < 1e-12
