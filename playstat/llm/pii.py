@@ -6,7 +6,8 @@ the bootstrap:
 * an occurrence is a base span or an identifier-shaped token (it has an ``@`` or
   at least four digits) that no base span touches;
 * its lexical patterns are the two words before it, and the word before together
-  with the word after;
+  with the word after, whole words however long or far (words end at white space and
+  at the edges of occurrences);
 * a pattern's confidence for a kind is the share of that kind among the distinct
   values that it introduces and that speak for or against it, if it introduces enough
   of the kind; values of another kind or without the loose form of this one speak
@@ -28,6 +29,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playstat.llm.ragged import slices, text_buffer
-from playstat.llm.storage import materialise, table
+from playstat.llm.storage import materialise, table, unused
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_VALUES = 5                 # distinct labelled values that a pattern must introduce
@@ -116,16 +119,44 @@ def fits(value: str) -> list[str]:
     return [k for k in KINDS if _LOOSE_DIGITS[k][0] <= n <= _LOOSE_DIGITS[k][1] and _LOOSE[k].fullmatch(value)]
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: words lower-cased, digits masked."""
-    before = [w.strip(_TRIM).lower() for w in text[max(0, start - 120):start].split()[-2:]]
-    after = [w.strip(_TRIM).lower() for w in text[end:end + 60].split()[:1]]
-    clean = [re.sub(r"[0-9]+", "0", w)[:40] for w in ["^", "^", *before][-2:] + (after or ["$"])]
-    return [f"{clean[0]} {clean[1]} _", f"{clean[1]} _ {clean[2]}"]
+class Neighbours:
+    """The words of a text beside given places; ``edges`` of occurrences end words too."""
+
+    def __init__(self, text: str, tokens: tuple[array, array], edges: set[int]):
+        self.text, (self.starts, self.ends), self.edges = text, tokens, sorted(edges)
+
+    def before(self, place: int) -> tuple[int, int] | None:
+        i = bisect_left(self.starts, place) - 1
+        if i < 0:
+            return None
+        end = min(self.ends[i], place)
+        edge = bisect_left(self.edges, end) - 1
+        return max(self.starts[i], self.edges[edge] if edge >= 0 else 0), end
+
+    def after(self, place: int) -> tuple[int, int] | None:
+        i = bisect_right(self.ends, place)
+        if i == len(self.starts):
+            return None
+        start = max(self.starts[i], place)
+        edge = bisect_right(self.edges, start)
+        return start, min(self.ends[i], self.edges[edge] if edge < len(self.edges) else len(self.text))
+
+    def word(self, span: tuple[int, int] | None, none: str) -> str:
+        """Lower-cased, digits masked; a long one by its digest."""
+        if span is None:
+            return none
+        return _key(re.sub(r"[0-9]+", "0", self.text[span[0]:span[1]].strip(_TRIM)))
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """Lexical patterns around a span."""
+        near = self.before(start)
+        far = self.before(near[0]) if near else None
+        one, two, three = self.word(far, "^"), self.word(near, "^"), self.word(self.after(end), "$")
+        return [f"{one} {two} _", f"{two} _ {three}"]
 
 
 def _key(value: str) -> str:
-    """What a value is compared by: itself, or a digest of all of it if it is long."""
+    """What a value or word is compared by: itself, or a digest of all of it if it is long."""
     value = value.lower()
     return value if len(value) <= 64 else hashlib.sha256(value.encode()).hexdigest()
 
@@ -135,8 +166,11 @@ def occurrences(text: str) -> tuple[list[tuple], list[tuple]]:
     base = [(kind, a, b) for kind, rule in zip(KINDS, _RULES) for a, b in rule(text)]
     taken = sorted((a, b) for _, a, b in base)
     other, k = [], 0
+    tokens = array("q"), array("q")
     for m in _TOKEN.finditer(text):
         token = m.group()
+        tokens[0].append(m.start())
+        tokens[1].append(m.end())
         if "@" not in token and sum(c in "0123456789" for c in token) < 4:
             continue
         value = token.strip(_TRIM)
@@ -149,7 +183,8 @@ def occurrences(text: str) -> tuple[list[tuple], list[tuple]]:
             j += 1
         if value and (j == len(taken) or taken[j][0] >= b):
             other.append((None, a, b))
-    return tuple([(kind, a, b, _key(text[a:b]), fits(text[a:b]), _patterns(text, a, b))
+    near = Neighbours(text, tokens, {p for _, a, b in base + other for p in (a, b)})
+    return tuple([(kind, a, b, _key(text[a:b]), fits(text[a:b]), near.patterns(a, b))
                   for kind, a, b in part] for part in (base, other))
 
 
@@ -222,9 +257,14 @@ def _bare(spans: str) -> Column:
                                                  x["end"].alias("end")))
 
 
+def _text_key() -> Column:
+    """128 bits that stand for a row's (doc_id, text)."""
+    return F.concat_ws(":", F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1)))
+
+
 def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, pii_key, base spans) of every row; (pii_key, extra spans) that the bootstrap adds."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("pii_key"))
+    keyed = docs.select("doc_id", "text", _text_key().alias("pii_key"))
     found = materialise(find(keyed, ["doc_id", "pii_key"]), "pii-found")
     added = bootstrap(found)
     if added is not None:
@@ -260,17 +300,17 @@ def redact(docs: DataFrame) -> DataFrame:
     The base spans are found again in the pass that replaces them, so texts are
     moved only if the bootstrap added spans, to join those."""
     columns = docs.columns
+    extra_name, key_name = (unused(name, columns) for name in ("_pii_extra", "_pii_key"))
     _, added = _spans(docs)
     if added is None:
-        marked = docs.withColumn("_pii_extra", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+        marked = docs.withColumn(extra_name, F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     else:
-        added = added.select(F.col("pii_key").alias("_pii_key"), F.col("extra").alias("_pii_extra"))
-        marked = docs.withColumn("_pii_key", F.xxhash64("doc_id", "text")).join(added, "_pii_key", "left") \
-            .select(*columns, "_pii_extra")
+        added = added.select(F.col("pii_key").alias(key_name), F.col("extra").alias(extra_name))
+        marked = docs.withColumn(key_name, _text_key()).join(added, key_name, "left").select(*columns, extra_name)
 
     def run(batches):
         for b in slices(batches):
-            texts, extra = b.column("text").to_pylist(), b.column("_pii_extra").to_pylist()
+            texts, extra = b.column("text").to_pylist(), b.column(extra_name).to_pylist()
             for i, text in enumerate(texts):
                 if not text:
                     continue

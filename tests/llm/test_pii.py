@@ -99,3 +99,109 @@ def test_long_values_with_an_equal_start_differ():
     one, two = "1" * 200 + "@localhost", "1" * 200 + "x" * 15
     values = [o[3] for t in (one, two, one.upper()) for part in occurrences(t) for o in part]
     assert len(values) == 3 and values[0] != values[1] and values[0] == values[2]
+
+
+def plain_occurrences(text):
+    """(kind or None, start, end, value, patterns), neighbours found by looking at all words."""
+    from playstat.llm.pii import _TRIM
+    spans = base(text)
+    found = list(spans)
+    tokens = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    for a, b in tokens:
+        while a < b and text[a] in _TRIM:
+            a += 1
+        while a < b and text[b - 1] in _TRIM:
+            b -= 1
+        word = text[a:b]
+        if word and ("@" in word or len(re.findall("[0-9]", word)) >= 4) and not any(x < b and y > a for _, x, y in spans):
+            found.append((None, a, b))
+    edges = {p for _, a, b in found for p in (a, b)}
+    words = []
+    for a, b in tokens:
+        cuts = [a, *sorted(p for p in edges if a < p < b), b]
+        words += zip(cuts, cuts[1:])
+    short = lambda w: hashlib.sha256(w.encode()).hexdigest() if len(w) > 64 else w
+    clean = lambda s: short(re.sub("[0-9]+", "0", text[s[0]:s[1]].strip(_TRIM)).lower())
+    rows = []
+    for kind, a, b in found:
+        before = ["^", "^", *(clean(w) for w in words if w[1] <= a)]
+        after = [clean(w) for w in words if w[0] >= b] + ["$"]
+        rows.append((kind, a, b, short(text[a:b].lower()),
+                     (f"{before[-2]} {before[-1]} _", f"{before[-1]} _ {after[0]}")))
+    return rows
+
+
+def plain_bootstrap(texts):
+    """All spans of each text, labels spread over dicts until a round adds none."""
+    from playstat.llm.pii import fits
+    rows = [(t, *o) for t in set(texts) for o in plain_occurrences(t)]
+    kinds, added = {}, {}
+    for _, kind, _, _, value, _ in rows:
+        if kind:
+            kinds.setdefault(value, set()).add(kind)
+    while True:
+        by_pattern = {}
+        for t, _, a, b, value, patterns in rows:
+            for p in patterns:
+                by_pattern.setdefault(p, {})[value] = fits(t[a:b])
+        trusted = {}
+        for p, values in by_pattern.items():
+            for k in KINDS:
+                n = sum(k in kinds.get(v, ()) for v in values)
+                against = sum(k not in kinds.get(v, ()) and (v in kinds or k not in f) for v, f in values.items())
+                if n >= 5 and n >= 0.8 * (n + against):
+                    trusted[p, k] = n / (n + against)
+        best = {}
+        for t, _, a, b, value, patterns in rows:
+            if value not in kinds:
+                for k in fits(t[a:b]):
+                    miss = 1.0
+                    for p in patterns:
+                        miss *= 1 - min(0.999, trusted.get((p, k), 0))
+                    if 1 - miss >= 0.8 - 1e-9:
+                        best[value] = max(best.get(value, (0, "")), (1 - miss, k))
+        if not best:
+            break
+        for value, (_, k) in best.items():
+            kinds[value], added[value] = {k}, k
+    return {t: sorted(((kind or added[v], a, b) for kind, a, b, v, _ in plain_occurrences(t) if kind or v in added),
+                      key=lambda s: (KINDS.index(s[0]), *s[1:])) for t in set(texts)}
+
+
+def test_spans_equal_a_plain_bootstrap(spark):
+    r = random.Random(9)
+    leads = ["call me at", "phone:", "mail to", "write", "host", "x" * 50, "y" * 90, "order no", "see", ""]
+    made = [lambda: f"+1 555 {r.randrange(1000, 1400)}", lambda: f"555-123-{r.randrange(4000, 4040)}",
+            lambda: f"u{r.randrange(40)}@x.example.com", lambda: f"bob{r.randrange(30)}@localhost",
+            lambda: f"10.0.0.{r.randrange(200)}", lambda: f"10.0.0.{r.randrange(200)}.7", lambda: f"fe80::{r.randrange(1000, 1030)}:1",
+            lambda: str(r.randrange(10 ** 6, 10 ** 6 + 30)), lambda: "9" * 70 + "@" + "a" * r.randrange(1, 9)]
+    likely = {0: (0, 1), 1: (0, 0, 1), 2: (2, 3), 3: (2, 3, 3), 4: (4, 5, 6), 5: (0, 1), 6: (2, 3, 8), 7: (7, 7, 0)}
+    texts = []
+    for _ in range(700):
+        words = []
+        for _ in range(r.randint(1, 4)):
+            lead = r.randrange(len(leads))
+            pick = r.choice(likely[lead]) if lead in likely and r.random() < 0.9 else r.randrange(len(made))
+            words += [leads[lead], made[pick]() + r.choice(["", "", ",", ")", ";a"]), r.choice(["now", "today", "", "\n"])]
+        texts.append(r.choice(["", "é ", "the "]) + " ".join(words))
+    texts += texts[:50]
+    want = plain_bootstrap(texts)
+    assert sum(len(s) for s in want.values()) > sum(len(base(t)) for t in want) + 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for row in extract(docs).collect():
+        assert [tuple(s) for s in row.spans] == want[texts[row.doc_id]], texts[row.doc_id]
+
+
+def test_a_long_text_of_one_word_is_read_once():
+    import time
+
+    from playstat.llm.pii import occurrences
+    text, start = "a@b.cc,;" * 100_000, time.time()
+    assert len(occurrences(text)[0]) == 100_000 and time.time() - start < 10
+
+
+def test_helper_columns_of_redact_do_not_clash(spark):
+    docs = contexts(spark).selectExpr("doc_id", "text", "'mine' _pii_extra", "1 _PII_KEY")
+    rows = redact(docs).collect()
+    assert redact(docs).columns == docs.columns and {(r._pii_extra, r._PII_KEY) for r in rows} == {("mine", 1)}
+    assert {r.text for r in rows} == {r.text for r in redact(contexts(spark)).collect()}
