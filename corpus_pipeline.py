@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playstat.llm import decontamination, language_id, ngram_join, packing, pii
-from playstat.llm.storage import materialise, small_batches, table
+from playstat.llm.storage import materialise, small_batches, table, unused
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
     if not profiles.names:
         return docs
-    told = language_id.predict(docs, profiles, ("_language", "_language_score", "_language_letters"))
-    return told.where((F.col("_language") != language_id.UNKNOWN) & F.col("_language_letters")).select(*docs.columns)
+    names = tuple(unused(name, docs.columns) for name in ("_language", "_language_score", "_language_letters"))
+    told = language_id.predict(docs, profiles, names)
+    return told.where((F.col(names[0]) != language_id.UNKNOWN) & F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
