@@ -4,7 +4,8 @@ A conversation is a tree of messages (node, parent). Root-to-leaf paths are
 enumerated by iterative self-joins that double their reach: after round k a leaf
 knows its ancestors up to distance 2**k, so depth d takes log2(d) joins, and rows
 hold ids only. Branches are ranked by the sum of their messages' scores, and each
-chosen path is formatted as one conversation. All of it is DataFrame operations.
+chosen path is formatted as one conversation. All of that is DataFrame operations;
+reading back parses each formatted string in its task.
 
 Template: every turn is ``<|im_start|>`` role newline text ``<|im_end|>`` newline.
 Control strings in a role or text are escaped: a backslash is doubled, and a
@@ -22,6 +23,9 @@ columns are ignored; no rows give no conversations.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,35 +103,57 @@ def format_paths(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     turns = p.join(nodes, _same("conv_id", "c") & (F.col("node") == F.col("at")))
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(START), F.regexp_replace(escape(role), "\n", "\\\\\n"), F.lit("\n"))
-    listed = turns.select("conv_id", "leaf", "branch", F.struct(
-        (-F.col("height")).alias("at"), head.alias("head"), escape(text).alias("body"),
-        (role == LOSS_ROLE).alias("learned")).alias("turn")).groupBy("conv_id", "leaf", "branch") \
-        .agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     close = F.lit(END + "\n")
-    size = F.transform("turns", lambda t: _chars(t["head"]) + _chars(t["body"]) + _chars(close))
-    begin = F.aggregate(size, F.array(F.lit(0).cast("long")),
-                        lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], close)), "")
-    spans = F.transform(F.arrays_zip(F.col("turns").alias("t"), F.slice("begin", 1, F.size("turns")).alias("b")),
-                        lambda x: F.struct(x["t"]["learned"].alias("learned"),
-                                           (x["b"] + _chars(x["t"]["head"])).alias("start"),
-                                           (x["b"] + _chars(x["t"]["head"]) + _chars(x["t"]["body"])).alias("end")))
-    return listed.withColumn("begin", begin).select(
-        "conv_id", "leaf", "branch", formatted.alias("formatted"),
-        F.transform(F.filter(spans, lambda s: s["learned"]),
-                    lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss"))
+    written = turns.select("conv_id", "leaf", "branch", "height", head.alias("head"), escape(text).alias("body"),
+                           (role == LOSS_ROLE).alias("learned"))
+    until = Window.partitionBy("conv_id", "leaf", "branch").orderBy(F.desc("height"), "head", "body")
+    end = F.sum(_chars(F.col("head")) + _chars(F.col("body")) + _chars(close)) \
+        .over(until.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - _chars(close)
+    placed = written.withColumn("end", end)
+    listed = placed.groupBy("conv_id", "leaf", "branch").agg(F.array_sort(F.collect_list(F.struct(
+        "end", "learned", (F.col("end") - _chars(F.col("body"))).alias("start"),
+        F.concat("head", "body", close).alias("turn")))).alias("turns"))
+    return listed.select(
+        "conv_id", "leaf", "branch", F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["learned"]),
+                    lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("loss"))
+
+
+_HEADER = re.compile(r"(?s)((?:[^\\\n]|\\.)*)\n")
+_ESCAPE = re.compile(r"(?s)\\(.)")
+
+
+def parse(formatted: str) -> list[dict[str, str]]:
+    """The turns of a formatted conversation: role, text."""
+    turns = []
+    for piece in formatted.split(END + "\n")[:-1]:
+        header = _HEADER.match(piece, len(START))
+        turns.append({"role": _ESCAPE.sub(r"\1", header.group(1)), "text": _ESCAPE.sub(r"\1", piece[header.end():])})
+    return turns
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Adds turns (array of role, text) and learned (the unescaped texts under the loss
-    mask) parsed from ``formatted`` and ``loss``."""
-    pieces = F.filter(F.split("formatted", "<\\|im_end\\|>\n"), lambda x: x != "")
-    header = r"(?s)^<\|im_start\|>((?:[^\\\n]++|\\.)*+)\n(.*)$"
-    turns = F.transform(pieces, lambda x: F.struct(unescape(F.regexp_extract(x, header, 1)).alias("role"),
-                                                   unescape(F.regexp_extract(x, header, 2)).alias("text")))
-    learned = F.transform("loss", lambda s: unescape(F.substring(
-        F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return formatted.withColumn("turns", turns).withColumn("learned", learned)
+    mask) parsed from ``formatted`` and ``loss``.
+
+    SQL's substring walks to its place from the string's start, for every span; tasks cut
+    each string once instead."""
+    names = formatted.columns
+    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+
+    def run(batches):
+        for b in batches:
+            turns, learned = [], []
+            for text, loss in zip(b.column("formatted"), b.column("loss")):
+                text = text.as_py()
+                turns.append(parse(text))
+                learned.append([_ESCAPE.sub(r"\1", text[s["start"]:s["end"]]) for s in loss.as_py()])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(turns, kind),
+                                              pa.array(learned, pa.list_(pa.string()))], [*names, "turns", "learned"])
+
+    more = F.array().cast("array<struct<role:string,text:string>>"), F.array().cast("array<string>")
+    schema = formatted.select(*names, more[0].alias("turns"), more[1].alias("learned")).schema
+    return formatted.mapInArrow(run, schema)
 
 
 def linear(conversations: DataFrame) -> DataFrame:

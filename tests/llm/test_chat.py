@@ -57,3 +57,20 @@ def test_long_chain(spark):
     nodes = spark.range(200).selectExpr("1L conv_id", "id node", "CASE WHEN id > 0 THEN id - 1 END parent", "0.0D score")
     rows = paths(nodes).collect()
     assert sorted((r.node, r.height) for r in rows) == [(i, 199 - i) for i in range(200)]
+
+
+def test_time_grows_with_the_turns(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("7L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role",
+                                         "concat('some </s> words ', id) text")
+        nodes = linear(rows)
+        start = time.time()
+        row = read_back(format_paths(nodes, paths(nodes))).collect()[0]
+        assert len(row.turns) == n and row.turns[n - 1].text == f"some </s> words {n - 1}"
+        assert row.learned == [t.text for t in row.turns if t.role == "assistant"]
+        return time.time() - start
+
+    seconds(2_000)
+    assert seconds(60_000) < 60
