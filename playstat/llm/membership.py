@@ -27,9 +27,8 @@ def _places(ids: np.ndarray) -> list[np.ndarray]:
             for k in range(1, HASHES + 1)]
 
 
-def bloom(ids: DataFrame) -> Column:
-    """For the first column of ``ids`` (long): a function of a column that is false
-    only for values that are surely absent."""
+def marked(ids: DataFrame):
+    """Broadcast filter of the first column of ``ids`` (long), for ``known``."""
     name = ids.columns[0]
 
     def mark(batches):
@@ -53,16 +52,27 @@ def bloom(ids: DataFrame) -> Column:
     packed = np.zeros(BITS // 8, np.uint8)
     for r in chunks:
         packed[r["chunk"] * CHUNK // 8:(r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
-    shared = ids.sparkSession.sparkContext.broadcast(packed.tobytes())
+    return ids.sparkSession.sparkContext.broadcast(packed.tobytes())
+
+
+def known(packed: bytes, x: pa.Array) -> np.ndarray:
+    """False for the values that are surely absent."""
+    bits = np.frombuffer(packed, np.uint8)
+    found = x.is_valid().to_numpy(zero_copy_only=False).copy()
+    values = x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for at in _places(values):
+        found &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
+def bloom(ids: DataFrame) -> Column:
+    """For the first column of ``ids`` (long): a function of a column that is false
+    only for values that are surely absent."""
+    shared = marked(ids)
 
     @F.arrow_udf("boolean")
     def maybe(x: pa.Array) -> pa.Array:
-        bits = np.frombuffer(shared.value, np.uint8)
-        known = x.is_valid().to_numpy(zero_copy_only=False).copy()
-        values = x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for at in _places(values):
-            known &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-        return pa.array(known)
+        return pa.array(known(shared.value, x))
 
     return maybe
 

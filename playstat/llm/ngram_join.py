@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playstat.llm.components import components
-from playstat.llm.membership import semi_join
+from playstat.llm.membership import known, marked
 from playstat.llm.ragged import SLICE_BYTES, WHITE, Alphabet, Words, give_back, mix, slices, text_buffer, windows
 from playstat.llm.storage import materialise, release, table
 
@@ -376,10 +376,17 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Written (id, elements): the sets of the wanted documents, once for each task."""
+    """Written (id, elements): the sets of the wanted documents, once for each task.
+
+    The filter of wanted ids is read where the sets are made: a function of its own
+    would be a second Python worker in each task."""
+    ids = wanted.toDF("id").distinct()
+    shared = marked(ids)
+
     def sets(batches):
         seen = set()
-        for b in slices(batches):
+        some = (b.filter(pa.array(known(shared.value, b.column("doc_id")))) for b in batches)
+        for b in slices(some):
             ids, found, fresh = b.column("doc_id").to_pylist(), [], []
             for k, s in enumerate(shingle_sets(*text_buffer(b.column("text")), size)):
                 key = ids[k], len(s), int(mix(s).sum(dtype=_U))
@@ -389,8 +396,8 @@ def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     found.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.array(found, pa.binary())], ["id", "elements"])
 
-    return materialise(semi_join(docs.select("doc_id", "text"), wanted).mapInArrow(sets, "id long, elements binary"),
-                       "ngram-contents")
+    made = docs.select("doc_id", "text").mapInArrow(sets, "id long, elements binary")
+    return materialise(made.join(ids, "id", "left_semi"), "ngram-contents")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
