@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from playstat.session import cut_lineage
+from playstat.session import cut_lineage, release
 from playstat.sources.adapters import events_bundle, lineitem_bundle
 from playstat.sources.loader import load_bundle
 from playstat.sources.schemas import HOT_KEY_ROWS, Bundle
@@ -45,19 +45,27 @@ class Context:
 
     def sharing(self) -> "Context":
         """A context whose ``shared`` frames are written once and read by all analyses."""
+        if self._shared is not None:
+            return self
         own = Context(self.spark, self.volume, self.behaviour, self.params)
         own._shared = {}
         return own
 
-    def shared(self, name: str, make):
-        """``make()``, or the frame of that name written before (see ``sharing``)."""
+    def shared(self, name: str, make, write=cut_lineage):
+        """``make()``, or the frame of that name written before by ``write`` (see ``sharing``)."""
         if self._shared is None:
             return make()
         with self._lock:
             if name not in self._shared:
-                self._shared[name] = cut_lineage(make())
+                self._shared[name] = write(make())
             return self._shared[name]
 
+    def release(self) -> None:
+        """Deletes the shared tables that lie as files, when every result is written itself."""
+        if self._shared:
+            release(*[t for t in self._shared.values() if hasattr(t, "written_path")])
+            self._shared = {}
+
     @staticmethod
     def _get(v):
         return v() if callable(v) else v

@@ -64,7 +64,7 @@ def _boot_counts(df: DataFrame, outcome: str) -> DataFrame:
 
 
 def h1_listen_plus(ctx):
-    b = Q.L(ctx)
+    b = Q.l_listens(ctx)
     m = R.mann_whitney(b.listens, "played_ratio_pct", "is_organic", 0, 1)
     return result(m, "H1", (F.col("p_less") < ALPHA) & (F.col("r_rank_biserial") < 0),
                   ["n1", "n2", "u1", "z", "p_less", "r_rank_biserial"])
@@ -105,7 +105,7 @@ def h4_correlation(ctx):
 
 
 def h5_length_interaction(ctx):
-    b = Q.L(ctx)
+    b = Q.l_listens(ctx)
     from playstat.operators.enrich import enrich_listens
     lst = enrich_listens(b, clock=False).filter(F.col("played_ratio_pct").isNotNull()
                                    & F.col("track_length_seconds").isNotNull())
@@ -119,6 +119,7 @@ def h5_length_interaction(ctx):
 
 
 def h6_rewind(ctx):
+    ctx = ctx.sharing()                        # the listens are read twice
     # organic/recommended odds ratio; no recommended rewinds at all -> +inf
     org_odds = F.col("org_pos").cast("double") * F.col("rec_neg")
     rec_odds = F.col("rec_pos").cast("double") * F.col("org_neg")
@@ -198,6 +199,7 @@ def run_all(ctx, workers: int = CONCURRENT_ANALYSES) -> DataFrame:
     ctx = ctx.sharing()
     with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
         parts = list(pool.map(lambda h: cut_lineage(h(ctx)), ALL))
+    ctx.release()
     return reduce(DataFrame.unionByName, parts)
 
 

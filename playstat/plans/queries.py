@@ -24,7 +24,7 @@ from playstat.operators.prefix import global_prefix, row_index
 from playstat.operators.sampling import hash_sample, quantile_sketch, sample_to_target, sample_to_target_by_group
 from playstat.operators.skew import join_maybe_salted
 from playstat.plans.context import Context, testdata_context  # noqa: F401
-from playstat.session import cut_lineage
+from playstat.session import cut_lineage, written
 from playstat.sources.adapters import events_bundle, lineitem_bundle
 
 # fixed values: parameters of the registered sampling queries
@@ -51,6 +51,19 @@ def E(ctx):
     return ctx.behaviour
 
 
+LISTEN_COLUMNS = ("uid", "is_organic", "played_ratio_pct", "track_length_seconds")
+
+
+def l_listens(ctx):
+    """The volume bundle with the columns that the listen-only analyses read. Analyses that
+    share their frames write listens that come from joins once, instead of joining for each
+    of their passes."""
+    b = L(ctx)
+    lst = b.listens.select(*LISTEN_COLUMNS)
+    return b.with_(listens=ctx.shared("listens", lambda: lst, lambda df: written(df, "listens"))
+                   if b.listens_joined else lst)
+
+
 def l_enriched(ctx, clock=False):
     b = L(ctx)
     return b, enrich_listens(b, clock)
@@ -126,8 +139,7 @@ def listen_plus_by_len6(ctx):
 
 
 def _l_rewind(ctx):
-    b = L(ctx)
-    return b.listens.withColumn("rewind", rewind_flag())
+    return l_listens(ctx).listens.withColumn("rewind", rewind_flag())
 
 
 def rewind_rate_by_group(ctx):
@@ -137,21 +149,22 @@ def rewind_rate_by_group(ctx):
         F.avg("rewind").alias("rewind_rate"))).orderBy("is_organic")
 
 
-def _top_users(lst):
+def top_fraction_users(ctx):
+    lst = _l_rewind(ctx)
     per_user = lst.filter(F.col("rewind") == 1).groupBy("uid").agg(F.count(F.lit(1)).alias("cnt"))
     return I.top_fraction_users(per_user, "cnt")
 
 
-def top_fraction_users(ctx):
-    return _top_users(_l_rewind(ctx))
-
-
 def rewind_rate_excl_top(ctx):
-    lst = _l_rewind(ctx)
-    b = L(ctx)
-    rest = I.exclude_users(lst, _top_users(lst), hot=b.key_is_hot("listens", "uid"), hot_rows=b.hot_key_rows)
-    return rounded(rest.groupBy("is_organic").agg(F.count(F.lit(1)).alias("total"),
-                                                  F.avg("rewind").alias("rewind_rate"))).orderBy("is_organic")
+    """The top users and the rate of the others both come from one count per user and group:
+    no user is hot in it, and the listens are read and shuffled once."""
+    counts = cut_lineage(_l_rewind(ctx).groupBy("uid", "is_organic").agg(
+        F.count(F.lit(1)).alias("listens"), F.sum("rewind").alias("rewinds")))
+    per_user = counts.filter(F.col("rewinds") > 0).groupBy("uid").agg(F.sum("rewinds").alias("cnt"))
+    rest = I.exclude_users(counts, I.top_fraction_users(per_user, "cnt"))
+    return rounded(rest.groupBy("is_organic").agg(
+        F.sum("listens").alias("total"),
+        (F.sum("rewinds") / F.sum("listens")).alias("rewind_rate"))).orderBy("is_organic")
 
 
 # ---------------------------------------------------------------- C/D: pairs and flags

@@ -58,6 +58,8 @@ class Bundle:
     # a frame whose row count bounds the rows of any table (counted lazily, on
     # the first hot-key check); at or below hot_key_rows no key can be hot
     bound_source: DataFrame | None = None
+    # True: ``listens`` is a join; analyses that share their frames write it once
+    listens_joined: bool = False
     _chunk_cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     def with_(self, **kw) -> "Bundle":
