@@ -54,21 +54,24 @@ def window_diversity(indexed: DataFrame, emb: DataFrame, size: int = WINDOW_SIZE
     (repeats kept).
 
     ``indexed`` has ``idx``, the row's position in its ``part``. Rows meet their
-    vectors once; unit vectors are summed per block of gcd(size, step) rows, and
-    only the block sums are copied into the windows, which are size / gcd blocks."""
+    vectors once, as given (in FLOAT, with the norm), and take these to a block of
+    gcd(size, step) rows, where unit vectors are summed; only the block sums are copied
+    into the windows, which are size / gcd blocks."""
     width = math.gcd(size, step)
-    u = emb.select("item_id", V.unit("normalized_embed").alias("u"),
-                   (V.norm("normalized_embed") >= V.COSINE_EPS).cast("int").alias("nz"))
-    rows = join_maybe_salted(indexed.select(part, "idx", "item_id"), u, "item_id", "left", hot_items, hot_rows)
+    vec = emb.select("item_id", F.when(F.col("normalized_embed").isNotNull(), F.struct(
+        F.col("normalized_embed").alias("v"), V.norm("normalized_embed").alias("norm"))).alias("vec"))
+    rows = join_maybe_salted(indexed.select(part, "idx", "item_id"), vec, "item_id", "left", hot_items, hot_rows)
     blocks = rows.groupBy(part, F.floor(F.col("idx") / width).alias("blk")).agg(
-        F.count(F.lit(1)).alias("n"), F.collect_list("u").alias("us"), F.sum("nz").alias("n_nz"))
-    blocks = blocks.select(part, "blk", "n", F.size("us").alias("n_vec"), "n_nz", V.sum_vectors("us").alias("u"))
+        F.count(F.lit(1)).alias("n"), F.collect_list("vec").alias("vs"))
+    blocks = blocks.select(part, "blk", "n", F.size("vs").alias("n_vec"),
+                           F.size(F.filter("vs", lambda s: s["norm"] >= V.COSINE_EPS)).alias("n_nz"),
+                           V.sum_units("vs", "v", "norm").alias("u"))
     first = F.greatest(F.lit(0), F.ceil((F.col("blk") * width - size + width) / step)).cast("bigint")
     last = F.floor(F.col("blk") * width / step).cast("bigint")
     copies = blocks.withColumn("win", F.explode(F.when(first <= last, F.sequence(first, last))
                                                 .otherwise(F.array().cast("array<bigint>"))))
     agg = copies.groupBy(part, "win").agg(
-        F.sum("n").alias("n"), F.sum("n_vec").alias("n_vec"), F.coalesce(F.sum("n_nz"), F.lit(0)).alias("n_nz"),
+        F.sum("n").alias("n"), F.sum("n_vec").alias("n_vec"), F.sum("n_nz").alias("n_nz"),
         F.collect_list("u").alias("us")).filter((F.col("n") == size) & (F.col("n_vec") > 0))
     return agg.select(part, "win", "n_vec",
                       V.pairwise_diversity(V.sum_vectors("us"), "n_vec", "n_nz").alias("diversity"))

@@ -47,6 +47,15 @@ def sum_vectors(list_col) -> Column:
         lst, zero, lambda acc, v: F.zip_with(acc, v, lambda p, q: p + q.cast("double"))))
 
 
+def sum_units(list_col, vector: str, norm_field: str) -> Column:
+    """Element-wise sum of ``unit`` over an array of (vector, its norm), NULL for empty."""
+    lst = _c(list_col)
+    zero = F.transform(F.element_at(lst, 1)[vector], lambda x: F.lit(0.0))
+    return F.when(F.size(lst) > 0, F.aggregate(lst, zero, lambda acc, s: F.zip_with(
+        acc, s[vector], lambda p, q: p + F.when(s[norm_field] < COSINE_EPS, F.lit(0.0))
+        .otherwise(q.cast("double") / s[norm_field]))))
+
+
 def pairwise_diversity(sum_unit, n_vectors, n_nonzero) -> Column:
     """Mean of (1 - cos) over all pairs, from the sum of unit vectors:
     sum_{i<j} cos = (|sum u|^2 - m) / 2 with m non-zero vectors; fewer than 2

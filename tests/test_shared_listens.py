@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from playstat.operators.sequences import window_diversity
 from playstat.plans import hypotheses as H
 from playstat.plans import queries as Q
 from playstat.plans.context import Context
@@ -85,3 +86,25 @@ def test_shared_tables_go_when_the_results_are_written(spark, folder):
     ctx.release()
     path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_diversity_of_blocks_with_zero_null_and_missing_vectors(spark):
+    rng = random.Random(8)
+    vecs = {i: [rng.gauss(0, 3) for _ in range(4)] for i in range(6)} | {6: [0.0] * 4, 7: None}      # 8, 9: no row
+    emb = spark.createDataFrame(list(vecs.items()), "item_id long, normalized_embed array<float>")
+    seen = [rng.randrange(10) for _ in range(47)]
+    indexed = spark.createDataFrame([(1, i, x) for i, x in enumerate(seen)], "uid long, idx long, item_id long")
+    given = {r.item_id: r.normalized_embed for r in emb.collect()}
+
+    def cosine(x, y):
+        size = (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+        return sum(a * b for a, b in zip(x, y)) / size if size else 0.0
+
+    want = {}
+    for win in range((47 - 8) // 6 + 1):
+        held = [given[x] for x in seen[win * 6:win * 6 + 8] if given.get(x)]
+        pairs = [1 - cosine(x, y) for i, x in enumerate(held) for y in held[:i]]
+        if held:
+            want[win] = (len(held), pytest.approx(sum(pairs) / len(pairs)) if pairs else None)
+    got = rows(window_diversity(indexed, emb, size=8, step=6), "win", "n_vec", "diversity")
+    assert {w: (n, d) for w, n, d in got} == want
